@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mpeg_audio
+from . import line_dedup, mpeg_audio, ngram_join
 from .common import docs_table
 
 
@@ -16,6 +16,7 @@ def _over_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": _over_documents(ngram_join.query),
         "op5_mpeg_audio": _over_documents(mpeg_audio.query),
         "op10_line_dedup": _over_documents(line_dedup.query),
     }
