@@ -1,8 +1,9 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set is its distinct five-word shingles. Each shingle flips one bit of a
-sketch of 64-bit words, so two sketches differ in at most as many words, and in at most
-as many bits, as the sets differ in members. For sets with a Jaccard similarity of at
+A document's set is its distinct five-word shingles. Each shingle flips one bit of one
+word of a sketch, so two sketches differ in at most as many words, and in at most as many
+bits, as the sets differ in members. The words are wide and nearly empty; each is held as
+the exclusive-or of the codes of its set bits. For sets with a Jaccard similarity of at
 least ``t`` the symmetric difference is at most ``d = (a + b)(1 - t)/(1 + t)``.
 
 * Size bands: sketches grow by fours with the set, and a set just above a band's edge
@@ -16,11 +17,12 @@ least ``t`` the symmetric difference is at most ``d = (a + b)(1 - t)/(1 + t)``.
   bits a shingle (a Hamming distance above d proves the pair apart), the rest against
   the shingle sets themselves.
 
-A group of m documents with a common key gives links from the smallest to the others
-first. Where their components leave several in the group, blocks of its sketches are
-compared, so nothing is lost and no group is expanded into all its pairs. Keys that the
-counters show to be frequent never meet in one task: they are summed and dealt in blocks.
-Equal sets are one node throughout.
+Equal sets are one node throughout. A first round takes the LEAD first keys of each
+document and links the nodes of a key to the smallest of them, which joins most copies.
+The second round takes all keys and looks only at keys whose nodes are in several
+components; of large groups it compares blocks of sketches. So nothing is lost and no
+group is expanded into all its pairs. Keys that the counters show to be frequent never
+meet in one task: they are summed and dealt in blocks.
 
 A sketch has too few non-zero words for its prefix with a chance below 1e-18 a document.
 """
@@ -39,7 +41,7 @@ from .components import components
 
 #: Similarity, as a fraction of integers.
 NUM, DEN = 75, 100
-#: Smallest set of the first band with 64-bit words of several shingles; smaller sets use a word each.
+#: Smallest set of the first band with words of several shingles; smaller sets use a word each.
 FIRST_BAND = 128
 #: Shingles a word at most, on average.
 FILL = 1.6
@@ -48,8 +50,12 @@ SLOTS = 1 << 20
 CHUNK = 4096
 #: Keys in a group that one task matches, on average, and keys that a task gathers before it sends them.
 GROUP_KEYS, FLUSH_KEYS = 250_000, 2_000_000
-#: Groups up to this size give all their pairs at once; larger ones links to the smallest, then blocks of BLOCK.
-SMALL, BLOCK = 3, 512
+#: Keys of each document in the first round; group size up to which all pairs are tested; side of a block of a larger group.
+LEAD, SMALL, BLOCK = 4, 3, 512
+#: Members that a task compares at a time, on average.
+BLOCK_ROWS = 20_000
+#: Bits of the filter that tells which texts a join needs.
+FILTER_BITS = 1 << 25
 
 _U = np.uint64
 
@@ -73,7 +79,7 @@ def _words(s: np.ndarray, level: int) -> np.ndarray:
     bands = int(FIRST_BAND * 4**level * DEN / NUM / FILL)
     band = ((s >> _U(32)) * _U(bands)) >> _U(32)
     starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-    words = np.bitwise_xor.reduceat(_U(1) << (s & _U(63)), starts)
+    words = np.bitwise_xor.reduceat(mix(s ^ _U(0x5DEECE66D)), starts)
     keys = mix(words ^ mix(band[starts] * _U(64) + _U(level)))
     return keys[words != 0]
 
@@ -154,51 +160,70 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
-_KEYS = "r bigint, keys binary, ids binary, sizes binary, key bigint, id bigint, n bigint"
+def _lead(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, id): the first LEAD keys of each document, and only the first of a task's equal sets."""
+    seen: set[tuple[int, int, int]] = set()
+    for batch in batches:
+        for i, j in text_slices(batch):
+            rows = batch.slice(i, j - i)
+            keys, ids = [], []
+            for doc, s in zip(rows.column(0).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
+                same = (len(s), int(s[0]), int(s[-1])) if len(s) else None
+                if same is None or same in seen:
+                    continue
+                if len(seen) < 500_000:
+                    seen.add(same)
+                for k, _ in band_words(s):
+                    k = ordered(k, rank, LEAD)
+                    keys.append(k)
+                    ids.append(np.full(len(k), doc, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+
+def ordered(keys: np.ndarray, rank: np.ndarray, first: int) -> np.ndarray:
+    """The first keys in the corpus-wide order: rare before frequent, then by hash."""
+    order = np.argsort((rank[(keys & _U(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U(60)) | (keys >> _U(4)))
+    return keys[order[:first]]
+
+
+_KEYS = "r bigint, keys binary, ids binary, comps binary, key bigint, id bigint, comp bigint"
 
 
 def _offer(ranks, groups: int):
-    """Each document's prefix keys: packed by group, and singly where a key is frequent."""
+    """The prefix keys of the rows (doc_id, text, comp): packed by group, and singly where a key is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen, held, total = ranks.value, set(), [], 0
-        names = ["r", "keys", "ids", "sizes", "key", "id", "n"]
+        rank, held, total = ranks.value, [], 0
+        names = [x.split()[0] for x in _KEYS.split(", ")]
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            keys, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, ids, comps = (np.concatenate(x) for x in zip(*held, strict=True))
             hot = rank[(keys & _U(SLOTS - 1)).astype(np.int64)] > 0
             if hot.any():
                 n = int(hot.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3, pa.array(keys[hot].view(np.int64)), pa.array(ids[hot]), pa.array(sizes[hot].astype(np.int64))], names)
-                keys, ids, sizes = keys[~hot], ids[~hot], sizes[~hot]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3, pa.array(keys[hot].view(np.int64)), pa.array(ids[hot]), pa.array(comps[hot])], names)
+                keys, ids, comps = keys[~hot], ids[~hot], comps[~hot]
             r = (((keys >> _U(32)) * _U(groups)) >> _U(32)).astype(np.int64)
             order = np.argsort(r, kind="stable")
-            r, keys, ids, sizes = r[order], (keys[order] & _U(0xFFFFFFFF)).astype(np.uint32), ids[order], sizes[order]
+            r, keys, ids, comps = r[order], (keys[order] & _U(0xFFFFFFFF)).astype(np.uint32), ids[order], comps[order]
             cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
             ends = np.append(cuts[1:], len(r))
             for lo in range(0, len(cuts), 512):
                 c, e = cuts[lo : lo + 512], ends[lo : lo + 512]
                 n = len(c)
                 pack = lambda x, c=c, e=e: pa.array([_packed(x[i:j]) for i, j in zip(c, e, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(r[c]), pack(keys), pack(ids), pack(sizes), *[pa.nulls(n, pa.int64())] * 3], names)
+                yield pa.RecordBatch.from_arrays([pa.array(r[c]), pack(keys), pack(ids), pack(ids ^ comps), *[pa.nulls(n, pa.int64())] * 3], names)
 
         for batch in batches:
             for i, j in text_slices(batch):
                 rows = batch.slice(i, j - i)
-                for doc, s in zip(rows.column(0).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
-                    if not len(s):
-                        continue
-                    same = (len(s), int(mix(s).sum()), int(s[0]))
-                    if same in seen:  # an equal set in this task has offered its keys
-                        continue
-                    if len(seen) < 500_000:
-                        seen.add(same)
-                    for keys, first in band_words(s):
-                        order = np.argsort((rank[(keys & _U(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U(60)) | (keys >> _U(4)))
-                        keys = keys[order[:first]]
-                        held.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), len(s), np.uint32)))
+                for doc, comp, s in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
+                    for keys, first in band_words(s) if len(s) else ():
+                        keys = ordered(keys, rank, first)
+                        held.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), comp, np.int64)))
                         total += len(keys)
                 if total >= FLUSH_KEYS:
                     yield from flush()
@@ -208,52 +233,82 @@ def _offer(ranks, groups: int):
     return run
 
 
-_FOUND = "a bigint, b bigint, key bigint, id bigint, n bigint"
+_FOUND = "a bigint, b bigint, key bigint, id bigint, comp bigint"
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """Pairs of small runs of equal keys, star pairs and members of larger ones."""
-    keys = np.concatenate([_unpacked(x, np.uint32) for x in table.column("keys").to_pylist()])
-    ids = np.concatenate([_unpacked(x, np.int64) for x in table.column("ids").to_pylist()])
-    n = np.concatenate([_unpacked(x, np.uint32) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-    r = table.column("r")[0].as_py()
-    order = np.lexsort((n, keys))
-    keys, ids, n = keys[order], ids[order], n[order]
+    """Of the runs of equal keys that span components: pairs if small, else members."""
+    cat = lambda c, kind: np.concatenate([_unpacked(x, kind) for x in table.column(c).to_pylist()])
+    keys, ids, comps = cat("keys", np.uint32), cat("ids", np.int64), cat("comps", np.int64)
+    comps ^= ids
+    order = np.argsort(keys)
+    keys, ids, comps = keys[order], ids[order], comps[order]
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(cuts, len(keys)))
-    a, b = [], []
-
-    def pairs(x: np.ndarray, y: np.ndarray) -> None:
-        fit = (ids[x] != ids[y]) & (DEN * n[x] >= NUM * n[y])
-        x, y = ids[x[fit]], ids[y[fit]]
-        a.append(np.minimum(x, y))
-        b.append(np.maximum(x, y))
-
+    spans = np.minimum.reduceat(comps, cuts) != np.maximum.reduceat(comps, cuts)
+    found = []
     for m in range(2, SMALL + 1):
-        at = cuts[size == m]
+        at = cuts[spans & (size == m)]
         for i in range(m):
             for j in range(i + 1, m):
-                pairs(at + i, at + j)
-    big = size > SMALL
-    mk, mi, mn = [], [], []
-    for at, m in zip(cuts[big], size[big], strict=True):
-        run = np.arange(at, at + m)
-        mk.append(np.full(m, (r << 32 | int(keys[at])) & 0x7FFFFFFFFFFFFFFF, np.int64))
-        mi.append(ids[run])
-        mn.append(n[run])
-        while len(run) > 1:  # sorted by size: the smallest, to all that its size allows
-            fit = DEN * n[run[0]] >= NUM * n[run]
-            pairs(np.full(int(fit.sum()) - 1, run[0]), run[fit][1:])
-            run = run[~fit]
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    ab = np.unique(np.stack([cat(a), cat(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    mk, mi, mn = cat(mk), cat(mi), cat(mn)
+                x, y = at[comps[at + i] != comps[at + j]] + i, at[comps[at + i] != comps[at + j]] + j
+                found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+    ab = np.unique(np.concatenate(found), axis=0)
+    big = np.repeat(spans & (size > SMALL), size)
+    key = (table.column("r")[0].as_py() << 32 | keys[big].astype(np.int64)) & 0x7FFFFFFFFFFFFFFF
     no = lambda k: pa.nulls(k, pa.int64())
-    x = pa.table({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1]), "key": no(len(ab)), "id": no(len(ab)), "n": no(len(ab))})
-    y = pa.table({"a": no(len(mk)), "b": no(len(mk)), "key": pa.array(mk), "id": pa.array(mi), "n": pa.array(mn)})
+    x = pa.table({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1]), "key": no(len(ab)), "id": no(len(ab)), "comp": no(len(ab))})
+    y = pa.table({"a": no(len(key)), "b": no(len(key)), "key": pa.array(key), "id": pa.array(ids[big]), "comp": pa.array(comps[big])})
     return pa.concat_tables([x, y])
 
 
+def _bits(ids: pa.Array) -> np.ndarray:
+    h = mix(ids.to_numpy().view(np.uint64))
+    return np.concatenate([h & _U(FILTER_BITS - 1), (h >> _U(32)) & _U(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        bits[_bits(batch.column(0))] = True
+    parts = np.packbits(bits, bitorder="little").reshape(-1, CHUNK)
+    some = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
+
+
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            made[k] = made.get(k, np.zeros(CHUNK, np.uint8)) | np.frombuffer(c, np.uint8)
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in made.values()], pa.binary())], ["chunk", "bits"])
+
+
+def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_maybe``: false only where doc_id is surely not among ``ids`` (id).
+
+    A filter of FILTER_BITS bits, whatever the number of ids; it spares most other texts a
+    shuffle, and at worst spares none.
+    """
+    parts = ids.select(F.col("id").cast("bigint")).mapInArrow(_filter_parts, "chunk int, bits binary").repartition("chunk").mapInArrow(_merge_parts, "chunk int, bits binary").collect()
+    bits = np.zeros((FILTER_BITS // 8 // CHUNK, CHUNK), np.uint8)
+    for p in parts:
+        bits[p["chunk"]] = np.frombuffer(p["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.ravel(), bitorder="little").astype(bool) if len(parts) else None)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared.value is None:
+                hit = np.zeros(len(batch), bool)
+            else:
+                at = _bits(batch.column(0).fill_null(0))
+                hit = shared.value[at[: len(batch)]] & shared.value[at[len(batch) :]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "_maybe"])
+
+    return docs.mapInArrow(look, "doc_id bigint, text string, _maybe boolean")
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, na, nb, sa, sb) whose sketches don't prove them apart."""
     for batch in batches:
@@ -266,38 +321,35 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block(every: bool):
-    """For the members of one block or of two: pairs in different components that may link.
+def _blocks(every: bool):
+    """For the members of blocks (or of two blocks) g: pairs in different components that may link.
 
     Unless ``every``, only each member's nearest, which joins components fast.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+        g, ids, comp, n = (table.column(c).to_numpy() for c in ("g", "id", "comp", "n"))
         sk = table.column("sketch").to_pylist()
-        a, b = [], []
         width = np.array([len(x) // 8 for x in sk])
-        rows = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-        made = {w: np.frombuffer(b"".join(sk[i] for i in at), np.uint64).reshape(len(at), w) for w, at in rows.items()}
-        for w, at in rows.items():
-            # Pairs of one width, and of this width with the next one folded to it.
-            others, theirs = [at], [made[w]]
-            for v in rows:
-                if w < v <= 2 * w:
-                    others.append(rows[v])
-                    theirs.append(fold(made[v], w))
-            other, their = np.concatenate(others), np.concatenate(theirs)
-            for k, i in enumerate(at):
-                d = np.bitwise_count(their ^ made[w][k]).sum(1, dtype=np.int64)
-                small, large = np.minimum(n[i], n[other]), np.maximum(n[i], n[other])
-                ok = (comp[other] != comp[i]) & (d * (DEN + NUM) <= (n[i] + n[other]) * (DEN - NUM)) & (DEN * small >= NUM * large)
-                hit = np.flatnonzero(ok)
-                if len(hit) and not every:
-                    hit = hit[[np.argmin(d[hit])]]
-                a.append(np.minimum(ids[i], ids[other[hit]]))
-                b.append(np.maximum(ids[i], ids[other[hit]]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        ab = np.unique(np.stack([cat(a), cat(b)], 1), axis=0)
+        order = np.lexsort((width, g))
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(g[order]) != 0)))
+        found = []
+        for at, end in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            run = order[at:end]
+            for w in np.unique(width[run]):
+                # Pairs of one width, and of this width with the next one folded to it.
+                mine, next_ = run[width[run] == w], run[width[run] == 2 * w]
+                rows = [np.frombuffer(b"".join(sk[i] for i in x), np.uint64).reshape(len(x), -1) for x in (mine, next_)]
+                other, their = (np.concatenate((mine, next_)), np.concatenate((rows[0], fold(rows[1], w)))) if len(next_) else (mine, rows[0])
+                for k, i in enumerate(mine):
+                    d = np.bitwise_count(their ^ rows[0][k]).sum(1, dtype=np.int64)
+                    ok = (comp[other] != comp[i]) & (d * (DEN + NUM) <= (n[i] + n[other]) * (DEN - NUM)) & (DEN * np.minimum(n[i], n[other]) >= NUM * np.maximum(n[i], n[other]))
+                    hit = np.flatnonzero(ok)
+                    if len(hit):
+                        if not every:
+                            hit = hit[[np.argmin(d[hit])]]
+                        found.append(np.stack([np.minimum(ids[i], ids[other[hit]]), np.maximum(ids[i], ids[other[hit]])], 1))
+        ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
 
     return run
@@ -318,8 +370,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids whose shingle sets link; only their texts are read into sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id bigint, members binary"), "sets")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    few = maybe_among(docs.where("doc_id is not null"), ids).where("_maybe")
+    sets = written(few.join(ids, few["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id bigint, members binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     return both.select("a", "b", "ma", "mb").mapInArrow(_verified, "a bigint, b bigint")
 
@@ -351,43 +404,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = meta.where("doc_id is not null and n > 0")
     nodes = some.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("node"))
     known = written(some.join(nodes, ["n", "fp1", "fp2"]).select("doc_id", "n", "node", "sketch"), "nodes")
-
-    offered = docs.where("doc_id is not null and text is not null").mapInArrow(_offer(ranks, groups), _KEYS)
-    offered = written(offered, "keys")
-    found = written(offered.where("r is not null").select("r", "keys", "ids", "sizes").groupBy("r").applyInArrow(_match, _FOUND), "found")
-    hot = offered.where("r is null").select("key", "id", "n")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)))
-    first = hot.groupBy("key", band.alias("band")).agg(F.min(F.struct("n", "id")).alias("c"))
-    star = hot.withColumn("band", band).join(first, ["key", "band"]).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).where("a < b")
-
-    # Nodes in place of ids, in pairs and in the members of the larger groups.
-    node = known.select(F.col("doc_id").alias("id"), "node")
-    pairs = found.where("a is not null").select("a", "b").union(star).distinct()
-    pairs = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b")
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    whole = known.where("doc_id = node")
+    whole = known.where("doc_id = node").select("node", "n", "sketch")
     side = lambda c, k: whole.select(F.col("node").alias(c), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    tested = written(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint"), "pairs")
+    near = lambda p: p.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint")
+    texts = docs.where("doc_id is not null and text is not null")
+
+    # First round.
+    lead = texts.mapInArrow(lambda it: _lead(it, ranks.value), "key bigint, id bigint").join(known.select(F.col("doc_id").alias("id"), "node"), "id")
+    lead = written(lead.select("key", "node").distinct(), "lead")
+    least = lead.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = lead.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    tested = written(near(pairs), "pairs")
     links = written(verify(tested, docs), "linked")
     comps = components(links)
 
-    members = hot.select("key", "id").union(found.where("key is not null").select("key", "id"))
-    members = written(members.join(node, "id").select("key", "node").distinct(), "members")
+    # Second round: each node with its component; copies of nodes stay out.
+    placed = known.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").where("doc_id <> node or comp is not null")
+    placed = written(placed.select("doc_id", (F.col("doc_id") == F.col("node")).alias("own"), "comp"), "placed")
+    split = maybe_among(texts, placed.select(F.col("doc_id").alias("id")))
+    rest = split.where("_maybe").join(placed, "doc_id", "left").where("own is null or own").select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
+    offered = split.where("not _maybe").select("doc_id", "text", F.col("doc_id").alias("comp")).union(rest).mapInArrow(_offer(ranks, groups), _KEYS)
+    offered = written(offered, "keys")
+    found = written(offered.where("r is not null").select("r", "keys", "ids", "comps").groupBy("r").applyInArrow(_match, _FOUND), "found")
+    pairs = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    more = written(near(pairs), "pairs")
+    links = written(links.union(verify(more, docs)), "linked")
+    tested = written(tested.union(more), "tested")
+    comps = components(links)
+
+    members = written(found.where("key is not null").select("key", F.col("id").alias("node")).union(offered.where("r is null").select("key", F.col("id").alias("node"))), "members")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // BLOCK_ROWS)
     for every in (False, True):
         here = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # Groups of several components; of those with the same members, one.
         mark = here.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("h2")).where("lo < hi")
         one = mark.groupBy("m", "h1", "h2").agg(F.min("key").alias("key"))
-        act = here.join(one.select("key", "m"), "key").join(whole.select("node", "n", "sketch"), "node")
+        act = here.join(one.select("key", "m"), "key").join(whole, "node")
         nb = F.ceil(F.col("m") / BLOCK).cast("int")
         act = act.withColumn("p", F.pmod(F.xxhash64("node"), nb).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), nb - 1)))
-        act = act.select("key", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), F.col("node").alias("id"), "comp", "n", "sketch")
-        more = act.groupBy("key", "u", "v").applyInArrow(_block(every), "a bigint, b bigint").distinct()
+        act = act.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), F.col("node").alias("id"), "comp", "n", "sketch")
+        more = act.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_blocks(every), "a bigint, b bigint").distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count() == 0:
             break
         links = written(links.union(verify(more, docs)), "linked")
-        tested = tested.union(more)
+        tested = written(tested.union(more), "tested")
         comps = components(links)
 
     out = meta.join(known.select("doc_id", "node"), "doc_id", "left").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left")

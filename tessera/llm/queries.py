@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mpeg_audio, ngram_join, piece_encoding, quality_rules
+from . import context_tree, line_dedup, mpeg_audio, ngram_join, piece_encoding, quality_rules
 from .common import docs_table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": _over_documents(ngram_join.query),
         "op2_quality_rules": _over_documents(quality_rules.query),
+        "op4_context_tree": _over_documents(context_tree.query),
         "op5_mpeg_audio": _over_documents(mpeg_audio.query),
         "op7_piece_encoding": _over_documents(piece_encoding.query),
         "op10_line_dedup": _over_documents(line_dedup.query),
