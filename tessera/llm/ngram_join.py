@@ -339,7 +339,7 @@ def _blocks(every: bool):
             for w in np.unique(width[run]):
                 # Pairs of one width, and of this width with the next one folded to it.
                 mine, next_ = run[width[run] == w], run[width[run] == 2 * w]
-                rows = [np.frombuffer(b"".join(sk[i] for i in x), np.uint64).reshape(len(x), -1) for x in (mine, next_)]
+                rows = [np.frombuffer(b"".join(sk[i] for i in x), np.uint64).reshape(len(x), w * (1 + k)) for k, x in enumerate((mine, next_))]
                 other, their = (np.concatenate((mine, next_)), np.concatenate((rows[0], fold(rows[1], w)))) if len(next_) else (mine, rows[0])
                 for k, i in enumerate(mine):
                     d = np.bitwise_count(their ^ rows[0][k]).sum(1, dtype=np.int64)
