@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,3 +150,18 @@ def shingles(words: Words, size: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def range_hash(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [start, end) of ``w.data``, equal for equal bytes."""
+    if not hasattr(w, "_sums"):
+        power, _ = _power(len(w.data))
+        w._sums = np.zeros(len(w.data) + 1, np.uint64)
+        np.cumsum(_BYTE[w.data] * power[: len(w.data)], out=w._sums[1:])
+    _, inverse = _power(len(w.data))
+    return mix((w._sums[end] - w._sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def fold_of(fold: int) -> Column:
+    """True where crc32(doc_id as text) mod ``fold`` is 2, and where there is no doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % fold == 2, F.lit(True))

@@ -49,7 +49,7 @@ FILL = 1.6
 SLOTS = 1 << 20
 CHUNK = 4096
 #: Keys in a group that one task matches, on average, and keys that a task gathers before it sends them.
-GROUP_KEYS, FLUSH_KEYS = 250_000, 2_000_000
+GROUP_KEYS, FLUSH_KEYS = 250_000, 600_000
 #: Keys of each document in the first round; group size up to which all pairs are tested; side of a block of a larger group.
 LEAD, SMALL, BLOCK = 4, 3, 512
 #: Members that a task compares at a time, on average.
@@ -268,10 +268,11 @@ def _bits(ids: pa.Array) -> np.ndarray:
 
 
 def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, bool)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in batches:
-        bits[_bits(batch.column(0))] = True
-    parts = np.packbits(bits, bitorder="little").reshape(-1, CHUNK)
+        at = _bits(batch.column(0))
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    parts = bits.reshape(-1, CHUNK)
     some = np.flatnonzero(parts.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
 
@@ -295,7 +296,7 @@ def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = np.zeros((FILTER_BITS // 8 // CHUNK, CHUNK), np.uint8)
     for p in parts:
         bits[p["chunk"]] = np.frombuffer(p["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.ravel(), bitorder="little").astype(bool) if len(parts) else None)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel() if len(parts) else None)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +304,8 @@ def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 hit = np.zeros(len(batch), bool)
             else:
                 at = _bits(batch.column(0).fill_null(0))
-                hit = shared.value[at[: len(batch)]] & shared.value[at[len(batch) :]]
+                set_ = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                hit = set_[: len(batch)] & set_[len(batch) :]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "_maybe"])
 
     return docs.mapInArrow(look, "doc_id bigint, text string, _maybe boolean")
