@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, line_dedup, mpeg_audio, ngram_join, piece_encoding, quality_rules
+from . import context_tree, language_id, line_dedup, mpeg_audio, ngram_join, piece_encoding, quality_rules, toxicity
 from .common import docs_table
 
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_context_tree": _over_documents(context_tree.query),
         "op5_mpeg_audio": _over_documents(mpeg_audio.query),
         "op7_piece_encoding": _over_documents(piece_encoding.query),
+        "op8_language_id": _over_documents(language_id.query),
+        "op9_toxicity": toxicity.query,
         "op10_line_dedup": _over_documents(line_dedup.query),
     }
 
