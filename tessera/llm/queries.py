@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, language_id, line_dedup, mpeg_audio, ngram_join, piece_encoding, quality_rules, toxicity
+from . import context_tree, language_id, line_dedup, mpeg_audio, ngram_join, packing, piece_encoding, quality_rules, token_trees, toxicity
 from .common import docs_table
 
 
@@ -18,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": _over_documents(ngram_join.query),
         "op2_quality_rules": _over_documents(quality_rules.query),
+        "op3_token_trees": _over_documents(token_trees.query),
         "op4_context_tree": _over_documents(context_tree.query),
         "op5_mpeg_audio": _over_documents(mpeg_audio.query),
+        "op6_packing": _over_documents(packing.query),
         "op7_piece_encoding": _over_documents(piece_encoding.query),
         "op8_language_id": _over_documents(language_id.query),
         "op9_toxicity": toxicity.query,
