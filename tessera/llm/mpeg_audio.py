@@ -152,20 +152,20 @@ def scan_audio(data: bytes) -> dict:
     """Frames, durations, tags, table and payload of a file; any bytes are allowed.
 
     ``offsets``: where each audio frame begins. ``skipped``: bytes outside tags and
-    frames. A header counts if another header of the same version, layer and rate, or the
-    end of the data, follows its frame. Bytes that hold no frame give no frames.
+    frames. A header counts if the frame before ends where it begins, or if another header
+    of the same version, layer and rate, or the end of the data, follows its frame. Bytes that hold no frame give no frames.
     """
     tags, at = read_tags(data)
     end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
-    spots, heads, skipped, table, key = [], [], 0, None, None
+    spots, heads, skipped, table, key, synced = [], [], 0, None, None, -1
     word = lambda i: int.from_bytes(data[i : i + 4], "big")
     while at + 4 <= end:
         h = header(word(at))
         if h is not None and at + h.length <= end and (key in (None, h.key)):
             after = at + h.length
             follow = header(word(after)) if after + 4 <= end else h
-            if follow is not None and follow.key == h.key or key == h.key and after == end:
-                key = h.key
+            if follow is not None and follow.key == h.key or at == synced:
+                key, synced = h.key, after
                 spots.append(at)
                 heads.append(h)
                 at = after
