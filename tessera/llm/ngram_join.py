@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shingles, text_slices, written
+from .common import Words, mix, shingles, small_batches, text_slices, written
 from .components import components
 
 #: Similarity, as a fraction of integers.
@@ -314,10 +314,10 @@ def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, na, nb, sa, sb) whose sketches don't prove them apart."""
     for batch in batches:
-        a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+        na, nb, sa, sb = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5)
         keep = []
-        for i in range(len(a)):
-            x, y = np.frombuffer(sa[i], np.uint64)[None, :], np.frombuffer(sb[i], np.uint64)[None, :]
+        for i in range(len(batch)):
+            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64)[None, :] for c in (sa, sb))
             w = min(x.shape[1], y.shape[1])
             keep.append(may_link(na[i], nb[i], int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum())))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -366,7 +366,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -388,6 +388,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     read, whatever its name. No documents give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     census = written(docs.mapInArrow(_census, _DOC), "census")
     meta = census.where("chunk is null").select("doc_id", "n", "fp1", "fp2", "sketch")
