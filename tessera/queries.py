@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import frames
+from .plans import frames, timeline
 
-_ALL = frames.QUERIES
+_ALL = frames.QUERIES | timeline.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
