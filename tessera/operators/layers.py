@@ -176,6 +176,7 @@ def background_plate(still: DataFrame, mask: DataFrame, iters: int = 40) -> Data
 
 def heal(plate: DataFrame, strokes: DataFrame, fade: int, width: int, height: int, iters: int = 20) -> DataFrame:
     """The opaque plate (clip_id = plate_id, frame, ...) with painted areas filled and blended over their bands."""
+    plate = plate.checkpoint()
     painted = stroke_mask(strokes, width, height).withColumnRenamed("plate_id", "clip_id")
     frames = plate.select("clip_id", "frame").distinct()
     region = painted.join(frames, "clip_id").select(*KEY)
@@ -189,7 +190,8 @@ def heal(plate: DataFrame, strokes: DataFrame, fade: int, width: int, height: in
 
 def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame, plate: DataFrame, fade: int, iters: int = 20) -> DataFrame:
     """The patch (clip_id, frame 0, ...): the ground under what the character vacates, feathered."""
-    swept = footprint_union(still, rigs, bones, keyframes, frames).withColumn("frame", F.lit(0))
+    plate = plate.checkpoint()
+    swept = footprint_union(still, rigs, bones, keyframes, frames).withColumn("frame", F.lit(0)).checkpoint()
     ground = fill_region(plate, swept.select(*KEY), iters)
     grid = plate.select(*KEY).join(swept.select(*KEY, F.lit(255).alias("m")), KEY, "left").na.fill(0, ["m"])
     return ground.drop("a").join(feather_ramp(grid, fade).withColumnRenamed("m", "a"), KEY)

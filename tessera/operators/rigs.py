@@ -20,17 +20,17 @@ POSE = ["rot", "tx", "ty"]
 def bone_closure(bones: DataFrame, max_depth: int = 64) -> DataFrame:
     """(rig_id, bone_id, ancestor_id, depth): each bone with each of its ancestors, parents at 1.
 
-    The walk takes a join a level and stops when no bone has a further parent; a cycle shows as
-    a bone that is its own ancestor.
+    The walk takes a join a level, each cut by a checkpoint, and stops when a level finds no new
+    pair; a cycle shows as a bone that is its own ancestor.
     """
-    up = bones.select("rig_id", F.col("bone_id").alias("ancestor_id"), F.col("parent_id").alias("_up")).where("_up is not null")
-    step = bones.where("parent_id is not null").select("rig_id", "bone_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    known = bones.select("rig_id", F.col("bone_id").alias("ancestor_id"))
-    step = step.join(known, ["rig_id", "ancestor_id"], "left_semi").select("rig_id", "bone_id", "ancestor_id", "depth")
-    out = step
+    known = bones.select("rig_id", F.col("bone_id").alias("ancestor_id")).distinct()
+    up = bones.where("parent_id is not null").select("rig_id", F.col("bone_id").alias("ancestor_id"), F.col("parent_id").alias("_up"))
+    step = bones.where("parent_id is not null").select("rig_id", "bone_id", F.col("parent_id").alias("ancestor_id"))
+    out = step = step.join(known, ["rig_id", "ancestor_id"], "left_semi").select("rig_id", "bone_id", "ancestor_id", F.lit(1).alias("depth")).checkpoint()
     for depth in range(2, max_depth + 1):
-        step = step.where("bone_id <> ancestor_id").join(up, ["rig_id", "ancestor_id"]).select("rig_id", "bone_id", F.col("_up").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        step = step.join(known, ["rig_id", "ancestor_id"], "left_semi").select("rig_id", "bone_id", "ancestor_id", "depth")
+        step = step.join(up, ["rig_id", "ancestor_id"]).select("rig_id", "bone_id", F.col("_up").alias("ancestor_id")).distinct()
+        step = step.join(known, ["rig_id", "ancestor_id"], "left_semi").join(out, ["rig_id", "bone_id", "ancestor_id"], "left_anti")
+        step = step.select("rig_id", "bone_id", "ancestor_id", F.lit(depth).alias("depth")).checkpoint()
         if step.limit(1).count() == 0:
             break
         out = out.unionByName(step)

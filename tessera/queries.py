@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import frames, timeline
+from .plans import frames, rigs, sources, timeline
 
-_ALL = frames.QUERIES | timeline.QUERIES
+_ALL = frames.QUERIES | timeline.QUERIES | rigs.QUERIES | sources.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
