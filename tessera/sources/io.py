@@ -53,7 +53,7 @@ def read_rigs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     bones = b.select("rig_id", F.col("v.id").alias("bone_id"), "ord", F.col("v.parent").alias("parent_id"), *(F.col(f"v.rest.{e}")[k].alias(n) for e, k, n in (("head", 0, "hx"), ("head", 1, "hy"), ("tail", 0, "tx"), ("tail", 1, "ty"))), F.coalesce("v.radius", F.lit(10.0)).alias("radius"), F.coalesce("v.falloff", F.lit("smooth")).alias("falloff"))
     k = good.select(F.col("id").alias("rig_id"), F.explode("keyframes").alias("k")).select("rig_id", F.col("k.frame").alias("frame"), F.explode("k.pose").alias("bone_id", "p"))
     keyframes = k.select("rig_id", "frame", "bone_id", *(F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(c) for c in ("rot", "tx", "ty")))
-    return rigs, bones, keyframes, d.where("_corrupt is not null").select("file", "_corrupt")
+    return rigs, bones, keyframes, d.where("_corrupt is not null and id is null").select("file", "id", "_corrupt")
 
 
 def read_strokes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

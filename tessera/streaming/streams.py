@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.ledger import CHUNK_FAILURES, JOB_ERRORS
 from ..operators.segment import boxed
@@ -41,12 +42,11 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     out = f"{root}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}-part")
+        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/part-{number}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    schema = df.schema.add("batch", "bigint")
-    return spark.read.schema(schema).parquet(f"{out}/*")
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{out}/*")
 
 
 def stream_frames(frames: DataFrame, ranges: DataFrame) -> DataFrame:
