@@ -469,3 +469,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     comp = near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_comp")).where("_id <> _comp")
     return docs.join(comp, docs["doc_id"] == comp["_id"], "left_anti")
+
+
+SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0d]+') w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+u as (select doc_id, len(s) n, unnest(s) x from s),
+p as (select a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) both_ from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from p where 100 * both_ >= 75 * (na + nb - both_) union select b, a from p where 100 * both_ >= 75 * (na + nb - both_)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) m from r group by 1)
+select doc_id, len(s)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id from s left join c on c.a = doc_id
+"""

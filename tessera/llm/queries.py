@@ -30,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL}
