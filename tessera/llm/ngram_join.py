@@ -52,6 +52,8 @@ CHUNK = 4096
 GROUP_KEYS, FLUSH_KEYS = 250_000, 600_000
 #: Keys of each document in the first round; group size up to which all pairs are tested; side of a block of a larger group.
 LEAD, SMALL, BLOCK = 4, 3, 512
+#: Rounds of nearest pairs at most, before the round of all open pairs.
+NEAREST_ROUNDS = 8
 #: Members that a task compares at a time, on average.
 BLOCK_ROWS = 20_000
 #: Bits of the filter that tells which texts a join needs.
@@ -437,7 +439,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = written(found.where("key is not null").select("key", F.col("id").alias("node")).union(offered.where("r is null").select("key", F.col("id").alias("node"))), "members")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // BLOCK_ROWS)
-    for every in (False, True):
+    every, rounds = False, 0
+    while True:
         here = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # Groups of several components; of those with the same members, one.
         mark = here.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("h2")).where("lo < hi")
@@ -448,11 +451,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         act = act.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), F.col("node").alias("id"), "comp", "n", "sketch")
         more = act.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_blocks(every), "a bigint, b bigint").distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count() == 0:
+        # Nearest pairs as long as they join components; then, once, all that the sketches leave open.
+        new = written(verify(more, docs), "linked") if more.limit(1).count() else None
+        if new is not None:
+            tested = written(tested.union(more), "tested")
+        if new is not None and new.limit(1).count():
+            links = written(links.union(new), "linked")
+            comps = components(links)
+            rounds += 1
+        joined = new is not None and new.limit(1).count() > 0
+        if every:
             break
-        links = written(links.union(verify(more, docs)), "linked")
-        tested = written(tested.union(more), "tested")
-        comps = components(links)
+        every = not joined or rounds >= NEAREST_ROUNDS
 
     out = meta.join(known.select("doc_id", "node"), "doc_id", "left").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
