@@ -69,9 +69,9 @@ def test_large_group_of_chained_copies_and_frequent_keys(spark, monkeypatch):
     rng = np.random.RandomState(6)
     base = [f"w{i}" for i in range(120)]
     rows = []
-    for i in range(300):  # each near its neighbours, the ends far apart
+    for i in range(150):  # each near its neighbours, the ends far apart
         t = list(base)
-        for k in range(i // 12):
+        for k in range(i // 8):
             t[k * 4] = f"y{k}"
         t[119 - i % 3] = f"z{i}"
         rows.append((i, " ".join(t)))
