@@ -132,3 +132,11 @@ def test_edge_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == [("1", 1), ("1", 1), ("2", 1), ("4", 30001), ("None", 3)]
     assert all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in out)
     assert C.query(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_rare_contexts_of_a_large_corpus_are_kept(spark):
+    train, texts = ["ab " * 40000, "qzxjv qzxjv"], ["qzxjv", "b qzx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    learned = spark.createDataFrame([(t,) for t in train], "text string")
+    got = {r["doc_id"]: r["score"] for r in C.score(df, learned).collect()}
+    assert np.allclose([got[0], got[1]], brute_scores(train, texts, 1 << 60), rtol=1e-4)
