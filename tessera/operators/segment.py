@@ -156,26 +156,27 @@ def missed_blocks(pixels: DataFrame, alpha: DataFrame, ranges: DataFrame, tol: i
     return g.where("fg > 0 and bg > 0.5 * fg")
 
 
-def connected_regions(mask: DataFrame, rounds: int = 200) -> DataFrame:
+def connected_regions(mask: DataFrame) -> DataFrame:
     """(clip_id, frame, y, x, label): 8-connected regions of m > 0, labelled by their least pixel number.
 
-    Labels spread to neighbours and jump to their labels' labels, in rounds cut by a
-    checkpoint. A region's area is its pixel count.
+    Labels spread to neighbours, take the least that any of their members sees and jump to
+    their labels' labels, in rounds cut by a checkpoint, until none moves. A region's area is its pixel count.
     """
     on = mask.where("m > 0").select(*KEY)
-    num = (F.col("y").cast("bigint") * (1 << 31) + F.col("x")).alias("label")
+    num = F.col("y").cast("bigint") * (1 << 31) + F.col("x")
     labels = on.withColumn("label", num).checkpoint()
     steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    for _ in range(rounds):
+    while True:
         spread = labels.select("clip_id", "frame", "label", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("p"))
         near = spread.groupBy("clip_id", "frame", F.col("p.y").alias("y"), F.col("p.x").alias("x")).agg(F.min("label").alias("m"))
         new = labels.join(near, KEY).withColumnRenamed("label", "old")
-        far = labels.select("clip_id", "frame", (F.col("y").cast("bigint") * (1 << 31) + F.col("x")).alias("m"), F.col("label").alias("far"))
-        new = new.join(far, ["clip_id", "frame", "m"], "left").withColumn("label", F.least("m", F.coalesce("far", "m"))).select(*KEY, "label", "old").checkpoint()
+        hook = new.groupBy("clip_id", "frame", F.col("old").alias("num")).agg(F.min("m").alias("m")).select("clip_id", "frame", "num", F.lit(None).cast("bigint").alias("old"), "m")
+        new = new.select("clip_id", "frame", num.alias("num"), "old", "m").union(hook).groupBy("clip_id", "frame", "num").agg(F.max("old").alias("old"), F.min("m").alias("m")).checkpoint()
+        far = new.select("clip_id", "frame", F.col("num").alias("m"), F.col("m").alias("far"))
+        new = new.join(far, ["clip_id", "frame", "m"]).join(on.select(*KEY, num.alias("num")), ["clip_id", "frame", "num"]).select(*KEY, F.col("far").alias("label"), "old").checkpoint()
         labels = new.select(*KEY, "label")
         if new.where("label <> old").limit(1).count() == 0:
             return labels
-    raise RuntimeError("regions did not settle")
 
 
 def missed_regions(pixels: DataFrame, alpha: DataFrame, ranges: DataFrame, tol: int | None = None, area: int = 50) -> DataFrame:

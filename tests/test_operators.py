@@ -73,6 +73,14 @@ def test_regions_and_fill(spark):
     assert out.where("b <> 40 or g <> 50 or r <> 60 or a <> 255").count() == 0 and out.count() == 64
 
 
+def test_comb_shaped_region_settles(spark):
+    """Teeth joined at the bottom, each tip lower than the next: labels that only hop need a round a tooth."""
+    n = 240
+    on = [(1, 0, y, 2 * c, 255) for c in range(n) for y in range(n - c, n + 1)] + [(1, 0, n + 1, 2 * c + 1, 255) for c in range(n)]
+    labels = S.connected_regions(spark.createDataFrame(on, "clip_id int, frame int, y int, x int, m int"))
+    assert [(r["label"], r["count"]) for r in labels.groupBy("label").count().collect()] == [((1 << 31) + 2 * (n - 1), len(on))]
+
+
 def test_blur_keeps_constants(spark):
     f = grid(spark, 6, 5, "true", (7, 8, 9, 255), (0, 0, 0, 0))
     assert S.gaussian_blur(f, 5).where("b <> 7 or g <> 8 or r <> 9 or a <> 255").count() == 0
