@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a slice of its own.
@@ -19,13 +22,16 @@ def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a local session without one, as in tests, gets a temporary folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
-    if not where:  # local sessions, as in tests
-        import tempfile
-
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-tessera-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -36,14 +42,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Whole texts go to Python in batches of so many rows, not ten thousand: an executor holds several at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:
@@ -172,3 +193,17 @@ def range_hash(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def fold_of(fold: int) -> Column:
     """True where crc32(doc_id as text) mod ``fold`` is 2, and where there is no doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % fold == 2, F.lit(True))
+
+
+def first_of_each(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """The distinct (doc_id, label), at most ``n`` of each label, that come first by a hash of doc_id.
+
+    Each label's rows are counted and thinned to about twice ``n`` before they are ranked, so
+    no task gathers a label's rows.
+    """
+    total = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_total"))
+    # A hash is below this share of its range for some 2n + 50 rows of each label.
+    low = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(float(1 << 63)) * ((2 * n + 50) / F.col("_total"))
+    few = rows.join(F.broadcast(total), label).where(low).select("doc_id", label).distinct()
+    first = Window.partitionBy(label).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1), "doc_id")
+    return few.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n).select("doc_id", label)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,15 +17,18 @@ def components(links: DataFrame) -> DataFrame:
     shared folder each round. No link is collected. An empty table of links has no components.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
-    while True:
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp"), F.lit(True).alias("moved")), "labels")
+    while labels.where("moved").limit(1).count():
+        old, labels = labels, labels.select("id", "comp")
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "id").select("id", "comp", F.least("comp", "m").alias("m"))
         hook = step.groupBy(F.col("comp").alias("id")).agg(F.min("m").alias("m")).select("id", F.lit(None).cast(labels.schema["comp"].dataType).alias("comp"), "m")
         # A label is itself an id with a label at most as large.
         step = written(step.union(hook).groupBy("id").agg(F.max("comp").alias("comp"), F.min("m").alias("m")), "hooked")
         jump = step.select(F.col("id").alias("m"), F.col("m").alias("far"))
-        new = written(step.join(jump, "m").select("id", F.least("m", "far").alias("comp"), (F.least("m", "far") < F.col("comp")).alias("moved")), "labels")
-        labels = new.select("id", "comp")
-        if new.where("moved").limit(1).count() == 0:
-            return labels
+        labels = written(step.join(jump, "m").select("id", F.least("m", "far").alias("comp"), (F.least("m", "far") < F.col("comp")).alias("moved")), "labels")
+        discard(old, step)
+    discard(both)
+    out = labels.select("id", "comp")
+    out._written_to = labels._written_to
+    return out

@@ -13,16 +13,17 @@ least ``t`` the symmetric difference is at most ``d = (a + b)(1 - t)/(1 + t)``.
   d + 1 as keys; the first common word is in both prefixes. The order puts words that
   the whole corpus repeats often last: a fixed table of counters, filled from every
   document, ranks them. So a common passage makes no common keys.
-* Verification: pairs with a common key are held against a second sketch of about two
-  bits a shingle (a Hamming distance above d proves the pair apart), the rest against
-  the shingle sets themselves.
-
-Equal sets are one node throughout. A first round takes the LEAD first keys of each
-document and links the nodes of a key to the smallest of them, which joins most copies.
-The second round takes all keys and looks only at keys whose nodes are in several
-components; of large groups it compares blocks of sketches. So nothing is lost and no
-group is expanded into all its pairs. Keys that the counters show to be frequent never
-meet in one task: they are summed and dealt in blocks.
+* Sketch test: the nodes of a key go to the key's smallest node, its lead, and all nodes
+  of a lead are held against each other by a second sketch of two to four bits a
+  shingle (a Hamming distance above d proves a pair apart).
+* Verification: what the sketches leave joined is a family. Each family's shingle sets
+  meet once, and all its pairs of fitting size that are not yet joined are tested.
+
+Equal sets are one node throughout. Blocks bound what meets in a task: a lead's nodes or a
+family beyond a block's size are dealt into parts, and each part meets each. No pair leaves
+a task: a task returns, for each row, one row that it is joined with, at most. So a family
+of m nodes gives m links, but where nearly all its pairs stay apart by a little, m * m / 2
+tests. Keys that the counters show to be frequent never meet in one task: they are summed.
 
 A sketch has too few non-zero words for its prefix with a chance below 1e-18 a document.
 """
@@ -33,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shingles, small_batches, text_slices, written
+from .common import Words, discard, mix, shingles, small_batches, text_slices, written
 from .components import components
 
 #: Similarity, as a fraction of integers.
@@ -50,12 +51,14 @@ SLOTS = 1 << 20
 CHUNK = 4096
 #: Keys in a group that one task matches, on average, and keys that a task gathers before it sends them.
 GROUP_KEYS, FLUSH_KEYS = 250_000, 600_000
-#: Keys of each document in the first round; group size up to which all pairs are tested; side of a block of a larger group.
-LEAD, SMALL, BLOCK = 4, 3, 512
-#: Rounds of nearest pairs at most, before the round of all open pairs.
-NEAREST_ROUNDS = 8
-#: Members that a task compares at a time, on average.
-BLOCK_ROWS = 20_000
+#: Nodes in a part of a lead, shingles in a part of a family.
+LEAD_PART, FAMILY_PART = 2048, 1_000_000
+#: Nodes, and shingles, that a task compares at a time, on average.
+TASK_NODES, TASK_SHINGLES = 20_000, 1_000_000
+#: Shingles of pairs that are counted at once.
+PAIR_MEMBERS = 4_000_000
+#: Equal sets of at least this count, and this share of all documents, find their node by a broadcast.
+MANY_COPIES, COPY_SHARE = 1000, 1000
 #: Bits of the filter that tells which texts a join needs.
 FILTER_BITS = 1 << 25
 
@@ -86,9 +89,9 @@ def _words(s: np.ndarray, level: int) -> np.ndarray:
     return keys[words != 0]
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """The parity sketch of two to four bits a shingle, a power of two in length."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+def sketch(s: np.ndarray, per: int = 1) -> bytes:
+    """The parity sketch of two to four bits a shingle, times ``per``; a power of two in length."""
+    bits = max(64, 1 << (2 * per * len(s) - 1).bit_length())
     at = (mix(s ^ _U(0xA5A5A5A5A5A5A5A5)) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,14 +104,14 @@ def fold(sk: np.ndarray, n: int) -> np.ndarray:
     return sk
 
 
-def may_link(a: int, b: int, distance: int) -> bool:
+def may_link(a, b, distance):
     """Whether a symmetric difference of at least ``distance`` allows the similarity."""
     return distance * (DEN + NUM) <= (a + b) * (DEN - NUM)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and DEN * both >= NUM * (len(a) + len(b) - both)
+def linked(a, b, both):
+    """Whether sets of sizes a and b with ``both`` common members link."""
+    return (both > 0) & (DEN * both >= NUM * (a + b - both))
 
 
 _DOC = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary, chunk int, counts binary"
@@ -147,9 +150,10 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ranks_of(counts: np.ndarray) -> np.ndarray:
-    """0 for words of ordinary count, then 1 to 15 by the logarithm of the count."""
-    level = max(256.0, 4.0 * counts.mean())
-    return np.where(counts < level, 0, np.clip(1 + np.log2(np.maximum(counts, 1) / level), 1, 15)).astype(np.uint8)
+    """0 for words of ordinary count, then 1 to 15 by the logarithm of what the count has beyond chance."""
+    mean = counts.mean()
+    excess, level = counts - mean, 32.0 + 6.0 * np.sqrt(mean)
+    return np.where(excess < level, 0, np.clip(1 + np.log2(np.maximum(excess, 1) / level), 1, 15)).astype(np.uint8)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -162,38 +166,17 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
-def _lead(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, id): the first LEAD keys of each document, and only the first of a task's equal sets."""
-    seen: set[tuple[int, int, int]] = set()
-    for batch in batches:
-        for i, j in text_slices(batch):
-            rows = batch.slice(i, j - i)
-            keys, ids = [], []
-            for doc, s in zip(rows.column(0).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
-                same = (len(s), int(s[0]), int(s[-1])) if len(s) else None
-                if same is None or same in seen:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(same)
-                for k, _ in band_words(s):
-                    k = ordered(k, rank, LEAD)
-                    keys.append(k)
-                    ids.append(np.full(len(k), doc, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
-
-
 def ordered(keys: np.ndarray, rank: np.ndarray, first: int) -> np.ndarray:
     """The first keys in the corpus-wide order: rare before frequent, then by hash."""
     order = np.argsort((rank[(keys & _U(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U(60)) | (keys >> _U(4)))
     return keys[order[:first]]
 
 
-_KEYS = "r bigint, keys binary, ids binary, comps binary, key bigint, id bigint, comp bigint"
+_KEYS = "r bigint, keys binary, ids binary, key bigint, id bigint"
 
 
 def _offer(ranks, groups: int):
-    """The prefix keys of the rows (doc_id, text, comp): packed by group, and singly where a key is frequent."""
+    """The prefix keys of the rows (doc_id, text): packed by group, and singly where a key is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, held, total = ranks.value, [], 0
@@ -202,30 +185,29 @@ def _offer(ranks, groups: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            keys, ids, comps = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             hot = rank[(keys & _U(SLOTS - 1)).astype(np.int64)] > 0
             if hot.any():
                 n = int(hot.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3, pa.array(keys[hot].view(np.int64)), pa.array(ids[hot]), pa.array(comps[hot])], names)
-                keys, ids, comps = keys[~hot], ids[~hot], comps[~hot]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 2, pa.array(keys[hot].view(np.int64)), pa.array(ids[hot])], names)
+                keys, ids = keys[~hot], ids[~hot]
             r = (((keys >> _U(32)) * _U(groups)) >> _U(32)).astype(np.int64)
             order = np.argsort(r, kind="stable")
-            r, keys, ids, comps = r[order], (keys[order] & _U(0xFFFFFFFF)).astype(np.uint32), ids[order], comps[order]
+            r, keys, ids = r[order], (keys[order] & _U(0xFFFFFFFF)).astype(np.uint32), ids[order]
             cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
             ends = np.append(cuts[1:], len(r))
             for lo in range(0, len(cuts), 512):
                 c, e = cuts[lo : lo + 512], ends[lo : lo + 512]
-                n = len(c)
                 pack = lambda x, c=c, e=e: pa.array([_packed(x[i:j]) for i, j in zip(c, e, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(r[c]), pack(keys), pack(ids), pack(ids ^ comps), *[pa.nulls(n, pa.int64())] * 3], names)
+                yield pa.RecordBatch.from_arrays([pa.array(r[c]), pack(keys), pack(ids), *[pa.nulls(len(c), pa.int64())] * 2], names)
 
         for batch in batches:
             for i, j in text_slices(batch):
                 rows = batch.slice(i, j - i)
-                for doc, comp, s in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
+                for doc, s in zip(rows.column(0).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
                     for keys, first in band_words(s) if len(s) else ():
                         keys = ordered(keys, rank, first)
-                        held.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), comp, np.int64)))
+                        held.append((keys, np.full(len(keys), doc, np.int64)))
                         total += len(keys)
                 if total >= FLUSH_KEYS:
                     yield from flush()
@@ -235,33 +217,165 @@ def _offer(ranks, groups: int):
     return run
 
 
-_FOUND = "a bigint, b bigint, key bigint, id bigint, comp bigint"
+_STAR, _LINK = "lead bigint, id bigint", "a bigint, b bigint"
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """Of the runs of equal keys that span components: pairs if small, else members."""
+    """For each key of several nodes, each of them with the smallest."""
     cat = lambda c, kind: np.concatenate([_unpacked(x, kind) for x in table.column(c).to_pylist()])
-    keys, ids, comps = cat("keys", np.uint32), cat("ids", np.int64), cat("comps", np.int64)
-    comps ^= ids
+    keys, ids = cat("keys", np.uint32), cat("ids", np.int64)
     order = np.argsort(keys)
-    keys, ids, comps = keys[order], ids[order], comps[order]
+    keys, ids = keys[order], ids[order]
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(cuts, len(keys)))
-    spans = np.minimum.reduceat(comps, cuts) != np.maximum.reduceat(comps, cuts)
-    found = []
-    for m in range(2, SMALL + 1):
-        at = cuts[spans & (size == m)]
-        for i in range(m):
-            for j in range(i + 1, m):
-                x, y = at[comps[at + i] != comps[at + j]] + i, at[comps[at + i] != comps[at + j]] + j
-                found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
-    ab = np.unique(np.concatenate(found), axis=0)
-    big = np.repeat(spans & (size > SMALL), size)
-    key = (table.column("r")[0].as_py() << 32 | keys[big].astype(np.int64)) & 0x7FFFFFFFFFFFFFFF
-    no = lambda k: pa.nulls(k, pa.int64())
-    x = pa.table({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1]), "key": no(len(ab)), "id": no(len(ab)), "comp": no(len(ab))})
-    y = pa.table({"a": no(len(key)), "b": no(len(key)), "key": pa.array(key), "id": pa.array(ids[big]), "comp": pa.array(comps[big])})
-    return pa.concat_tables([x, y])
+    lead = np.repeat(np.minimum.reduceat(ids, cuts), np.diff(np.append(cuts, len(keys))))
+    return _star(lead, ids)
+
+
+def _star(lead: np.ndarray, ids: np.ndarray) -> pa.Table:
+    some = lead != ids
+    lead, ids = lead[some], ids[some]
+    order = np.lexsort((ids, lead))
+    lead, ids = lead[order], ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (lead[1:] != lead[:-1]) | (ids[1:] != ids[:-1])
+    return pa.table({"lead": pa.array(lead[new]), "id": pa.array(ids[new])})
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (of each row the first row known to be joined with it) with the rows a and b joined."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (up != up[up]).any():
+            up = up[up]
+        label = up[label]
+
+
+def _sketch_test(sketches: list[bytes], n: np.ndarray):
+    """Which of the pairs of rows (a, b) the sketches leave open."""
+    width = np.array([len(x) // 8 for x in sketches], np.int64)
+    place, rows = np.zeros(len(n), np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        rows[w] = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(len(at), w)
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        wa, wb = width[a], width[b]
+        for w in np.unique(np.minimum(wa, wb)).tolist():
+            for v, u in ((w, w), (w, 2 * w), (2 * w, w)):  # sets that may link differ less in size
+                at = np.flatnonzero((wa == v) & (wb == u))
+                for lo in range(0, len(at), step := max(1, (1 << 18) // w)):
+                    k = at[lo : lo + step]
+                    d = np.bitwise_count(fold(rows[v][place[a[k]]], w) ^ fold(rows[u][place[b[k]]], w)).sum(1, dtype=np.int64)
+                    out[k] = may_link(n[a[k]], n[b[k]], d)
+        return out
+
+    return run
+
+
+def _set_test(sets: list[np.ndarray], n: np.ndarray):
+    """Which of the pairs of rows (a, b) link."""
+    near = _sketch_test([sketch(s, 4) for s in sets], n)
+    first = np.concatenate(([0], np.cumsum(n)))
+    # Small numbers for the members, in their order.
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
+    kinds = np.int64(member.max() + 1)
+
+    def laid(rows: np.ndarray) -> np.ndarray:
+        size = n[rows]
+        pair = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(pair)) + np.repeat(first[rows] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        return pair * kinds + member[at]
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = near(a, b)
+        at = np.flatnonzero(out)
+        work = np.cumsum(n[a[at]] + n[b[at]])
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + PAIR_MEMBERS, side="right")))
+            k = at[lo:hi]
+            x = np.sort(np.concatenate([laid(a[k]), laid(b[k])]))
+            both = np.bincount(x[1:][x[1:] == x[:-1]] // kinds, minlength=len(k))
+            out[k] = linked(n[a[k]], n[b[k]], both)
+            lo = hi
+        return out
+
+    return run
+
+
+def joined(block: np.ndarray, part: np.ndarray, n: np.ndarray, two: np.ndarray, test) -> np.ndarray:
+    """The first row that each row is joined with, directly or by others, through pairs that pass ``test``.
+
+    Pairs are of one ``block``, of sizes that may link, and where a block holds ``two``
+    parts, of both. Rows known to be joined aren't tested again. Rows are sorted by block.
+    """
+    label = np.arange(len(block))
+    size = np.unique(block, return_counts=True)[1]
+    end = np.repeat(np.cumsum(size), size)
+    act, k = label, 1
+    while len(act := act[act + k < end[act]]):
+        a = act[label[act] != label[act + k]]
+        b = a + k
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        ok = (DEN * small >= NUM * large) & (~two[a] | (part[a] != part[b]))
+        a, b = a[ok], b[ok]
+        if len(a):
+            hit = test(a, b)
+            label = merged(label, a[hit], b[hit])
+        k += 1
+    return label
+
+
+def _near_blocks(table: pa.Table) -> pa.Table:
+    """Of blocks of sketches: rows and the first row that sketches can't keep apart from them."""
+    order = np.argsort(table.column("g").to_numpy(), kind="stable")
+    block, part, n, ids = (table.column(c).to_numpy()[order] for c in ("g", "part", "n", "id"))
+    sketches = table.column("sketch").take(pa.array(order)).to_pylist()
+    return _edges(ids, joined(block, part, n, table.column("two").to_numpy()[order], _sketch_test(sketches, n)))
+
+
+def _linked_blocks(table: pa.Table) -> pa.Table:
+    """Of blocks of sets: rows and the first row that links join them with."""
+    order = np.argsort(table.column("g").to_numpy(), kind="stable")
+    block, part, n, ids = (table.column(c).to_numpy()[order] for c in ("g", "part", "n", "id"))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("members").take(pa.array(order)).to_pylist()]
+    return _edges(ids, joined(block, part, n, table.column("two").to_numpy()[order], _set_test(sets, n)))
+
+
+def _edges(ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    """Links (a, b) of ids; ids in several blocks are joined through each of them."""
+    some = np.flatnonzero(label != np.arange(len(label)))
+    a, b = ids[label[some]], ids[some]
+    out = _star(np.minimum(a, b), np.maximum(a, b))
+    return out.rename_columns(["a", "b"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in text_slices(batch):
+            rows = batch.slice(i, j - i)
+            sets = shingles(Words(rows.column(0), lower=True))
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "g", "part", "two", "n", "members"])
+
+
+def _dealt(groups: DataFrame, weight: Column, most: int) -> DataFrame:
+    """The rows (unit, id, ...) of ``groups`` with their block ``g``: a unit, or two parts of a unit of more than ``most`` in all.
+
+    A large unit's members are dealt into parts, and each part meets each; ``two``: the
+    block has two parts.
+    """
+    total = groups.groupBy("unit").agg(F.sum(weight).alias("total")).where(F.col("total") > most)
+    out = groups.join(total, "unit", "left").withColumn("parts", F.coalesce(F.ceil(F.col("total") / most), F.lit(1)).cast("int"))
+    out = out.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # xxhash64 names blocks; two of one name are compared together, which costs time alone.
+    return out.withColumn("g", F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other"))).withColumn("two", F.col("part") != F.col("other")).drop("unit", "total", "parts", "other")
 
 
 def _bits(ids: pa.Array) -> np.ndarray:
@@ -313,74 +427,6 @@ def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(look, "doc_id bigint, text string, _maybe boolean")
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, na, nb, sa, sb) whose sketches don't prove them apart."""
-    for batch in batches:
-        na, nb, sa, sb = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5)
-        keep = []
-        for i in range(len(batch)):
-            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64)[None, :] for c in (sa, sb))
-            w = min(x.shape[1], y.shape[1])
-            keep.append(may_link(na[i], nb[i], int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _blocks(every: bool):
-    """For the members of blocks (or of two blocks) g: pairs in different components that may link.
-
-    Unless ``every``, only each member's nearest, which joins components fast.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        g, ids, comp, n = (table.column(c).to_numpy() for c in ("g", "id", "comp", "n"))
-        sk = table.column("sketch").to_pylist()
-        width = np.array([len(x) // 8 for x in sk])
-        order = np.lexsort((width, g))
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(g[order]) != 0)))
-        found = []
-        for at, end in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-            run = order[at:end]
-            for w in np.unique(width[run]):
-                # Pairs of one width, and of this width with the next one folded to it.
-                mine, next_ = run[width[run] == w], run[width[run] == 2 * w]
-                rows = [np.frombuffer(b"".join(sk[i] for i in x), np.uint64).reshape(len(x), w * (1 + k)) for k, x in enumerate((mine, next_))]
-                other, their = (np.concatenate((mine, next_)), np.concatenate((rows[0], fold(rows[1], w)))) if len(next_) else (mine, rows[0])
-                for k, i in enumerate(mine):
-                    d = np.bitwise_count(their ^ rows[0][k]).sum(1, dtype=np.int64)
-                    ok = (comp[other] != comp[i]) & (d * (DEN + NUM) <= (n[i] + n[other]) * (DEN - NUM)) & (DEN * np.minimum(n[i], n[other]) >= NUM * np.maximum(n[i], n[other]))
-                    hit = np.flatnonzero(ok)
-                    if len(hit):
-                        if not every:
-                            hit = hit[[np.argmin(d[hit])]]
-                        found.append(np.stack([np.minimum(ids[i], ids[other[hit]]), np.maximum(ids[i], ids[other[hit]])], 1))
-        ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
-
-    return run
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j in text_slices(batch):
-            rows = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in shingles(Words(rows.column(1), lower=True))], pa.binary())], ["id", "members"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids whose shingle sets link; only their texts are read into sets."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    few = maybe_among(docs.where("doc_id is not null"), ids).where("_maybe")
-    sets = written(few.join(ids, few["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id bigint, members binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    return both.select("a", "b", "ma", "mb").mapInArrow(_verified, "a bigint, b bigint")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document of ``docs`` (doc_id, text).
 
@@ -389,83 +435,76 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     row with a null doc_id keeps its size and has no component. Of other columns none is
     read, whatever its name. No documents give no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     census = written(docs.mapInArrow(_census, _DOC), "census")
     meta = census.where("chunk is null").select("doc_id", "n", "fp1", "fp2", "sketch")
     if meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        discard(census)
         nulls = docs.where("doc_id is null")
-        docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).union(nulls)
-        return near_duplicates(written(docs, "single"))
+        docs = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).union(nulls), "single")
+        out = _near_duplicates(docs)
+        discard(docs)
+        return out
     parts = census.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_sum_counts, "chunk int, counts binary").collect()
     counts = np.zeros(SLOTS, np.int64)
     for p in parts:  # SLOTS counters, however many documents
         counts[p["chunk"] * CHUNK : (p["chunk"] + 1) * CHUNK] = np.frombuffer(p["counts"], np.int64)
-    groups = max(int(counts.sum() * 0.6 / GROUP_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(int(counts.sum() * 0.6 / GROUP_KEYS), least)
     ranks = spark.sparkContext.broadcast(ranks_of(counts))
-
-    # Equal sets: one node, the smallest doc_id.
-    some = meta.where("doc_id is not null and n > 0")
-    nodes = some.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("node"))
-    known = written(some.join(nodes, ["n", "fp1", "fp2"]).select("doc_id", "n", "node", "sketch"), "nodes")
-    whole = known.where("doc_id = node").select("node", "n", "sketch")
-    side = lambda c, k: whole.select(F.col("node").alias(c), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    near = lambda p: p.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint")
     texts = docs.where("doc_id is not null and text is not null")
 
-    # First round.
-    lead = texts.mapInArrow(lambda it: _lead(it, ranks.value), "key bigint, id bigint").join(known.select(F.col("doc_id").alias("id"), "node"), "id")
-    lead = written(lead.select("key", "node").distinct(), "lead")
-    least = lead.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = lead.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    tested = written(near(pairs), "pairs")
-    links = written(verify(tested, docs), "linked")
-    comps = components(links)
+    copies = _copies(meta)
+    split = maybe_among(texts, copies.select(F.col("doc_id").alias("id")))
+    rest = split.where("_maybe").select("doc_id", "text").join(copies, "doc_id", "left_anti")
+    offered = written(split.where("not _maybe").select("doc_id", "text").union(rest).mapInArrow(_offer(ranks, groups), _KEYS), "keys")
+    stars = offered.where("r is not null").select("r", "keys", "ids").groupBy("r").applyInArrow(_match, _STAR)
+    often = offered.where("r is null").select("key", "id")
+    often = often.join(often.groupBy("key").agg(F.min("id").alias("lead")), "key").where("lead < id").select("lead", "id")
+    stars = written(stars.union(often).distinct(), "stars")
+    discard(offered)
+
+    units = written(stars.select(F.col("lead").alias("unit"), "id").union(stars.select("lead", "lead").distinct()), "units")
+    discard(stars)
+    blocks = _dealt(units, F.lit(1), LEAD_PART).join(meta.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
+    tasks = max(least, units.count() // TASK_NODES)
+    near = written(blocks.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_near_blocks, _LINK).distinct(), "near")
+    discard(units)
+
+    family = components(near)
+    family = written(family.join(meta.select(F.col("doc_id").alias("id"), "n"), "id").select(F.col("comp").alias("unit"), "id", "n"), "families")
+    discard(near)
+    blocks = _dealt(family, F.col("n"), FAMILY_PART)
+    some = maybe_among(texts, family.select("id")).where("_maybe").select(F.col("doc_id").alias("id"), "text")
+    sets = some.join(blocks.select("id", "g", "part", "two"), "id").select("text", "id", "g", "part", "two").mapInArrow(_sets, "id bigint, g bigint, part int, two boolean, n bigint, members binary")
+    tasks = max(least, int(family.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES)
+    links = written(sets.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_linked_blocks, _LINK).distinct(), "linked")
+    discard(family)
 
-    # Second round: each node with its component; copies of nodes stay out.
-    placed = known.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").where("doc_id <> node or comp is not null")
-    placed = written(placed.select("doc_id", (F.col("doc_id") == F.col("node")).alias("own"), "comp"), "placed")
-    split = maybe_among(texts, placed.select(F.col("doc_id").alias("id")))
-    rest = split.where("_maybe").join(placed, "doc_id", "left").where("own is null or own").select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
-    offered = split.where("not _maybe").select("doc_id", "text", F.col("doc_id").alias("comp")).union(rest).mapInArrow(_offer(ranks, groups), _KEYS)
-    offered = written(offered, "keys")
-    found = written(offered.where("r is not null").select("r", "keys", "ids", "comps").groupBy("r").applyInArrow(_match, _FOUND), "found")
-    pairs = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(near(pairs), "pairs")
-    links = written(links.union(verify(more, docs)), "linked")
-    tested = written(tested.union(more), "tested")
     comps = components(links)
-
-    members = written(found.where("key is not null").select("key", F.col("id").alias("node")).union(offered.where("r is null").select("key", F.col("id").alias("node"))), "members")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // BLOCK_ROWS)
-    every, rounds = False, 0
-    while True:
-        here = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # Groups of several components; of those with the same members, one.
-        mark = here.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("h2")).where("lo < hi")
-        one = mark.groupBy("m", "h1", "h2").agg(F.min("key").alias("key"))
-        act = here.join(one.select("key", "m"), "key").join(whole, "node")
-        nb = F.ceil(F.col("m") / BLOCK).cast("int")
-        act = act.withColumn("p", F.pmod(F.xxhash64("node"), nb).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), nb - 1)))
-        act = act.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), F.col("node").alias("id"), "comp", "n", "sketch")
-        more = act.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_blocks(every), "a bigint, b bigint").distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        # Nearest pairs as long as they join components; then, once, all that the sketches leave open.
-        new = written(verify(more, docs), "linked") if more.limit(1).count() else None
-        if new is not None:
-            tested = written(tested.union(more), "tested")
-        if new is not None and new.limit(1).count():
-            links = written(links.union(new), "linked")
-            comps = components(links)
-            rounds += 1
-        joined = new is not None and new.limit(1).count() > 0
-        if every:
-            break
-        every = not joined or rounds >= NEAREST_ROUNDS
-
-    out = meta.join(known.select("doc_id", "node"), "doc_id", "left").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
+    out = meta.select("doc_id", "n").join(copies, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    out = out.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left")
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id")), "components")
+    discard(census, copies, links, comps)
+    return out
+
+
+def _copies(meta: DataFrame) -> DataFrame:
+    """(doc_id, node) of the documents whose set an earlier document, the node, has too."""
+    same = ["n", "fp1", "fp2"]
+    some = meta.where("doc_id is not null and n > 0").select("doc_id", *same)
+    many = written(some.groupBy(same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
+    most = max(MANY_COPIES, some.count() // COPY_SHARE)  # so at most COPY_SHARE sets are broadcast
+    tagged = some.join(F.broadcast(many.where(F.col("m") >= most).drop("m")), same, "left")
+    rest = tagged.where("node is null").drop("node").join(many.where(F.col("m") < most).drop("m"), same)
+    out = written(tagged.where("node is not null").select("doc_id", "node").union(rest.select("doc_id", "node")).where("doc_id <> node"), "copies")
+    discard(many)
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -77,7 +77,12 @@ def test_large_group_of_chained_copies_and_frequent_keys(spark, monkeypatch):
         rows.append((i, " ".join(t)))
     want = brute(rows)
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
-    monkeypatch.setattr(J, "BLOCK", 64)
+    monkeypatch.setattr(J, "LEAD_PART", 20)  # blocks of two parts
+    monkeypatch.setattr(J, "FAMILY_PART", 2000)
+    monkeypatch.setattr(J, "PAIR_MEMBERS", 1000)
+    monkeypatch.setattr(J, "MANY_COPIES", 1)
+    rows += [(1000 + i, rows[0][1]) for i in range(5)]
+    want = brute(rows)
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
 
 
@@ -103,3 +108,27 @@ def test_prefixes_are_full(n):
     s = np.unique(np.random.RandomState(n).randint(0, 1 << 62, n).astype(np.uint64) * np.uint64(3))
     for keys, first in J.band_words(s):
         assert len(keys) >= min(first, len(s))
+
+
+def test_rows_joined_through_others_and_across_parts():
+    near = lambda a, b: np.abs(a - b) <= 2
+    block = np.array([0, 0, 0, 0, 1, 1, 2, 2, 2])
+    n = np.array([10, 10, 9, 5, 8, 8, 7, 7, 7])
+    one = np.zeros(9, bool)
+    assert J.joined(block, one.astype(int), n, one, near).tolist() == [0, 0, 0, 3, 4, 4, 6, 6, 6]
+    part = np.array([0, 1, 1, 1, 0, 0, 0, 0, 1])
+    assert J.joined(block, part, n, ~one, near).tolist() == [0, 0, 0, 3, 4, 5, 6, 6, 6]
+
+
+def test_session_option_comes_back_and_tables_go(spark, tmp_path):
+    from tessera.llm.common import shared_dir
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    import glob
+
+    tables = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/tessera-*"))
+    old = tables()
+    J.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id bigint, text string")).collect()
+    assert spark.conf.get(key) == before
+    assert [t.split("tessera-")[-1].split("-")[0] for t in tables() - old] == ["components"]
