@@ -1,9 +1,11 @@
 """Quality rules by weak supervision.
 
 Each rule votes a document good, bad, or abstains. Expectation-maximisation over the
-counts of vote patterns (at most 3 to the power of the rules, whatever the corpus) gives
-each rule's accuracy and the share of good documents, with Beta priors; a document's
-posterior of being good replaces the demand that it pass every rule.
+counts of vote patterns (at most 3 to the power of the rules, whatever the corpus) gives,
+for each rule, how often it votes bad on bad and on good documents, and the share of bad
+documents, with Beta priors; a document's posterior of being good replaces the demand
+that it pass every rule. A rule has two rates, not one accuracy: most rules are silent on
+most bad documents, but hardly ever wrong about good ones.
 """
 
 from __future__ import annotations
@@ -18,19 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import Words, text_slices, written
 
-#: Prior of a rule's accuracy: Beta(8, 2) times this many votes; prior of the good share likewise.
-PRIOR_VOTES = 50.0
-PRIOR_ACCURACY, PRIOR_GOOD = 0.8, 0.85
-#: A document is kept from this posterior on.
+#: Votes that the priors count for; prior rates of bad votes on bad and on good documents, and share of bad documents.
+PRIOR_VOTES = 200.0
+PRIOR_HIT, PRIOR_FALSE, PRIOR_BAD = 0.6, 0.05, 0.15
+#: A document is kept from this posterior of being good on.
 KEEP = 0.5
-ROUNDS = 200
+ROUNDS = 500
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(192, 256)]] = True
 _BLANK = " \t\n\x0b\x0c\r"
-_FEATURES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_letters bigint, n_distinct bigint"
+_FEATURES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_letters bigint, n_distinct bigint, n_symbol_words bigint, n_ended_lines bigint"
+_ENDS = frozenset(".!?\"\u201d\u00bb\u2026\u3002\uff01\uff1f")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,9 +50,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead = (w.data & 0xC0) != 0x80
             per = [np.diff(sums(m)[w.at]) for m in (lead & inside, _SYMBOL[w.data], _LETTER[w.data])]
             h, first = w.hash, w.first
+            symbols = sums(_SYMBOL[w.data])
+            marked = np.diff(sums(symbols[w.end] > symbols[w.start])[first])
             m = np.uint64(0xD6E8FEB86659FD93)
             tri = (h[:-2] * m + h[1:-1]) * m + h[2:] if len(h) > 2 else h[:0]
-            repeat, distinct, dup, lines = [], [], [], []
+            repeat, distinct, dup, lines, ended = [], [], [], [], []
             for k, x in enumerate(rows.column(1)):
                 a, b = first[k], first[k + 1]
                 distinct.append(len(np.unique(h[a:b])))
@@ -65,8 +70,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = [y for y in (x.as_py() or "").split("\n") if y.strip(_BLANK)]
                 lines.append(len(some))
                 dup.append(len(some) - len(set(some)))
+                ended.append(sum(y.rstrip(_BLANK)[-1] in _ENDS for y in some))
             long = lambda x: pa.array(np.asarray(x, np.int64))
-            yield pa.RecordBatch.from_arrays([rows.column(0), long(np.diff(first)), long(per[0]), long(per[1]), long(dup), long(repeat), long(lines), long(per[2]), long(distinct)], names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), long(np.diff(first)), long(per[0]), long(per[1]), long(dup), long(repeat), long(lines), long(per[2]), long(distinct), long(marked), long(ended)], names)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -83,39 +89,51 @@ def _rules() -> dict[str, Column]:
     n, c = F.col("n_words"), F.col
     return {
         "length": _vote(n >= 80, n < 50),
-        "word_length": _vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 10 * n), (c("word_chars") < 2 * n) | (c("word_chars") > 14 * n)),
+        "word_length": _vote((c("word_chars") >= 3 * n) & (c("word_chars") <= 7 * n), (c("word_chars") < 2 * n) | (c("word_chars") > 12 * n)),
         "symbols": _vote(c("n_symbols") * 50 <= n, c("n_symbols") * 8 > n),
+        "symbol_words": _vote(c("n_symbol_words") * 50 <= n, c("n_symbol_words") * 8 > n),
         "duplicate_lines": _vote((c("n_lines") > 1) & (c("n_dup_lines") == 0), c("n_dup_lines") * 3 > c("n_lines")),
         "repetition": _vote(c("n_repeat_words") * 10 <= n, c("n_repeat_words") * 10 > n * 4),
-        "letters": _vote(c("n_letters") * 10 >= c("word_chars") * 7, c("n_letters") * 2 < c("word_chars")),
-        "variety": _vote(c("n_distinct") * 5 >= n, c("n_distinct") * 20 < n),
+        "letters": _vote(c("n_letters") * 100 >= c("word_chars") * 95, c("n_letters") * 10 < c("word_chars") * 9),
+        "variety": _vote(c("n_distinct") * 2 >= n, c("n_distinct") * 20 < n),
+        "sentences": _vote(c("n_ended_lines") == c("n_lines"), c("n_ended_lines") * 10 < c("n_lines") * 9),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, float]:
-    """(accuracy of each rule, share of good documents) from (votes, count) rows, by EM.
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(rate of bad votes of each rule on bad documents, on good ones, share of bad documents) from (votes, count) rows, by EM.
 
-    Accuracies stay between 0.5 and 0.999, so no rule can be read backwards.
+    A rule's rate on good documents is at most that on bad ones, so no rule is read backwards.
     """
     if not patterns:
-        return np.zeros(0), PRIOR_GOOD
+        return np.zeros(0), np.zeros(0), PRIOR_BAD
     votes = np.array([p for p, _ in patterns])
     count = np.array([n for _, n in patterns], float)
-    accuracy, good = np.full(votes.shape[1], PRIOR_ACCURACY), PRIOR_GOOD
+    hit, false, bad = np.full(votes.shape[1], PRIOR_HIT), np.full(votes.shape[1], PRIOR_FALSE), PRIOR_BAD
+    against, any_ = votes == 0, votes >= 0
     for _ in range(ROUNDS):
-        p = posterior(votes, accuracy, good)
-        right = ((votes == 1) * p[:, None] + (votes == 0) * (1 - p)[:, None]) * count[:, None]
-        new = (right.sum(0) + PRIOR_VOTES * PRIOR_ACCURACY) / (((votes >= 0) * count[:, None]).sum(0) + PRIOR_VOTES)
-        new = np.clip(new, 0.5, 0.999)
-        good = float(((p * count).sum() + PRIOR_VOTES * PRIOR_GOOD) / (count.sum() + PRIOR_VOTES))
-        if np.abs(new - accuracy).max() < 1e-9:
+        p = posterior(votes, hit, false, bad)
+        good, ill = (p * count)[:, None], ((1 - p) * count)[:, None]
+        rate = lambda w, prior: ((against * w).sum(0) + PRIOR_VOTES * prior) / ((any_ * w).sum(0) + PRIOR_VOTES)
+        new_hit = np.clip(rate(ill, PRIOR_HIT), 1e-4, 1 - 1e-4)
+        new_false = np.clip(np.minimum(rate(good, PRIOR_FALSE), new_hit), 1e-4, 1 - 1e-4)
+        bad = float((ill.sum() + PRIOR_VOTES * PRIOR_BAD) / (count.sum() + PRIOR_VOTES))
+        moved = max(np.abs(new_hit - hit).max(), np.abs(new_false - false).max())
+        hit, false = new_hit, new_false
+        if moved < 1e-9:
             break
-        accuracy = new
-    return accuracy, good
+    return hit, false, bad
 
 
-def posterior(votes: np.ndarray, accuracy: np.ndarray, good: float) -> np.ndarray:
-    odds = math.log(good / (1 - good)) + ((votes == 1) * 1.0 - (votes == 0)) @ np.log(accuracy / (1 - accuracy))
+def weights(hit: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a bad and a good vote of each rule add to the log odds of a good document."""
+    return np.log(false / hit), np.log((1 - false) / (1 - hit))
+
+
+def posterior(votes: np.ndarray, hit: np.ndarray, false: np.ndarray, bad: float) -> np.ndarray:
+    """The probability that documents with these votes are good."""
+    no, yes = weights(hit, false)
+    odds = math.log((1 - bad) / bad) + (votes == 0) @ no + (votes == 1) @ yes
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
@@ -129,11 +147,10 @@ def score(docs: DataFrame) -> DataFrame:
     names = [f"vote_{k}" for k in rules]
     base = written(features(docs).select("*", *(v.alias(f"vote_{k}") for k, v in rules.items())), "votes")
     seen = base.groupBy(names).count().collect()  # at most 3 ** len(rules) rows
-    accuracy, good = fit([(tuple(r[n] for n in names), r["count"]) for r in sorted(seen, key=lambda r: tuple(r[n] for n in names))])
-    weights = [math.log(a / (1 - a)) for a in accuracy] or [0.0] * len(names)
-    odds = F.lit(math.log(good / (1 - good)))
-    for n, w in zip(names, weights, strict=True):
-        odds = odds + F.when(F.col(n) == 1, w).when(F.col(n) == 0, -w).otherwise(0.0)
+    hit, false, bad = fit([(tuple(r[n] for n in names), r["count"]) for r in sorted(seen, key=lambda r: tuple(r[n] for n in names))])
+    odds = F.lit(math.log((1 - bad) / bad))
+    for n, no, yes in zip(names, *weights(hit, false), strict=False):  # no rules' rates without documents
+        odds = odds + F.when(F.col(n) == 0, float(no)).when(F.col(n) == 1, float(yes)).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = base.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
