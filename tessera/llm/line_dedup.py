@@ -27,38 +27,50 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
     """(host, key, n_pages, n_host_pages): the lines above the ratio, by the hash of the trimmed line.
 
     Counts are summed before they are shuffled, so a host with a third of all pages, or a
-    line on all of them, is a few rows from each task.
+    line on all of them, is a few rows from each task. A host has fewer than 1 / max_ratio
+    times as many such lines as its pages have lines on average.
     """
-    pages = docs.select(F.col(host).alias("_host"), F.col(text).alias("_text")).where("_host is not null")
-    total = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("n_host_pages"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != ""), _key))
-    lines = pages.where("_text is not null").select("_host", F.explode(keys).alias("_key")).groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    return lines.join(total, "_host").where(F.col("n_pages") / F.col("n_host_pages") > max_ratio)
+    pages = docs.select(_named(docs, host).alias("host"), _named(docs, text).alias("text")).where("host is not null")
+    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_host_pages"))
+    keys = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _key))
+    lines = pages.where("text is not null").select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    return lines.join(total, "host").where(F.col("n_pages") / F.col("n_host_pages") > max_ratio)
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
+def _named(docs: DataFrame, column: str) -> Column:
+    return docs["`" + column.replace("`", "``") + "`"]
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, plus, with ``counts``, ``n_lines`` and ``n_dropped``.
 
     ``n_chars``, if there, is counted again. Every row stays: a null text stays null with
     no lines, a text of boilerplate alone becomes empty, a null host's pages stay as they
     are, blank lines stay, repeated rows count as pages each. Lines equal but for
-    outer spaces are one. Columns named ``n_lines`` or ``n_dropped`` are replaced.
+    outer spaces are one. Columns of any name are kept as they are; only with ``counts``
+    do the counts take the place of columns of their names.
     """
-    bad = written(boilerplate(docs, host, text, max_ratio, min_pages).groupBy("_host").agg(F.collect_list("_key").alias("_bad")), "lines")
-    size = bad.agg(F.coalesce(F.sum(F.size("_bad")), F.lit(0)).alias("n")).first()["n"]
-    docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    bad = written(boilerplate(docs, host, text, max_ratio, min_pages).groupBy("host").agg(F.collect_list("key").alias("bad")).select(F.col("host").alias("bad_host"), "bad"), "lines")
+    size = bad.agg(F.coalesce(F.sum(F.size("bad")), F.lit(0)).alias("n")).first()["n"]
+    # Under names of our own, whatever theirs are.
+    mine = docs.select(*(_named(docs, c).alias(f"c{k}") for k, c in enumerate(names)))
+    at, body = f"c{names.index(host)}", F.col(f"c{names.index(text)}")
     if size <= BROADCAST_KEYS:
-        joined = docs.join(F.broadcast(bad), F.col(host) == F.col("_host"), "left")
+        joined = mine.join(F.broadcast(bad), F.col(at) == F.col("bad_host"), "left")
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-        wide = bad.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(wide, (F.col(host) == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
-    split = F.split(F.col(text), "\n")
-    kept = F.when(F.col("_bad").isNull(), split).otherwise(F.filter(split, lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("_bad"), _key(x)))))
-    out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(split))).withColumn("_kept", kept)
-    out = out.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")))
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_kept", "_bad", "_host")
-    return out.withColumn("n_chars", F.length(text).cast("bigint")) if "n_chars" in docs.columns else out
+        # A host's pages are dealt by their place in the input, so equal texts are dealt too.
+        salted = mine.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        wide = bad.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(wide, (F.col(at) == F.col("bad_host")) & (F.col("salt") == F.col("part")), "left")
+    split = F.split(body, "\n")
+    kept = F.when(F.col("bad").isNull(), split).otherwise(F.filter(split, lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("bad"), _key(x)))))
+    out = joined.withColumn("kept", kept).withColumn("n_lines", F.when(body.isNull(), 0).otherwise(F.size(split)))
+    out = out.withColumn("n_dropped", F.when(body.isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")))
+    out = out.withColumn("new", F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(body))
+    new = {text: F.col("new")} | ({"n_chars": F.length("new").cast("bigint")} if "n_chars" in names else {})
+    ours = ["n_lines", "n_dropped"] if counts else []
+    return out.select(*(new.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(names) if c not in ours), *ours)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,28 @@ def test_edge_rows(spark):
     assert L.drop_boilerplate(df.limit(0)).collect() == []
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, "h", f"menu\nbody {i}") for i in range(6)]
+    names = ["_bad", "_kept", "_host", "_salt", "_part", "bad", "kept", "host", "key", "c0", "salt", "n_lines", "n_dropped", "a.b", "a`b"]
+    df = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], ["doc_id", "source", "text", *names])
+    out = L.drop_boilerplate(df, counts=False)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert r["text"] == f"body {r['doc_id']}" and all(r[n] == f"{n}{r['doc_id']}" for n in names)
+    counted = L.drop_boilerplate(df)
+    assert counted.columns == [c for c in df.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert {(r["n_lines"], r["n_dropped"]) for r in counted.collect()} == {(2, 1)}
+
+
+def test_very_long_text_and_the_join_by_host(spark, monkeypatch):
+    rows = [(i, "h", "menu\n" + f"line {i}\n" * 60_000) for i in range(5)] + [(9, "h", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    want = brute(rows)
+    assert run(df) == want
+    monkeypatch.setattr(L, "BROADCAST_KEYS", -1)
+    assert run(df) == want
+
+
 def test_plan_has_no_python(spark, sf_dir):
     plan = L.query(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
