@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, text_slices, written
@@ -64,16 +64,19 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
 
     ``start``: where the piece begins in its bin; ``length``: the bin's. Documents of more
     than the largest length are cut into pieces, all kept. Rows that repeat are packed each,
-    null ids too; rows with a null or no positive size are left out. Equal inputs give
-    equal bins however the rows are partitioned.
+    null ids too, and are dealt to shards like others; rows with a null or no positive size
+    are left out. Equal inputs give equal bins however the rows are partitioned.
     """
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
     rows = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n")).where("n > 0")
-    pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece"))
-    pieces = written(pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("n") - F.col("piece").cast("bigint") * top).alias("n")), "pieces")
+    # Equal rows are counted, then numbered, so that they don't hash to one shard.
+    rows = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("m")).select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"))
+    pieces = rows.select("doc_id", "n", "copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece"))
+    size = F.least(F.lit(top), F.col("n") - F.col("piece").cast("bigint") * top)
+    pieces = written(pieces.select("doc_id", "piece", size.alias("n"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n", "piece", "copy").alias("h")), "pieces")
     shards = max(1, pieces.count() // SHARD)
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(shards)).alias("shard")
+    shard = F.pmod("h", F.lit(shards)).alias("shard")
 
     def run(table: pa.Table) -> pa.Table:
         doc, piece, n = (table.column(c) for c in ("doc_id", "piece", "n"))
@@ -85,7 +88,24 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
             "length": pa.array([size[b] for b in where], pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": n.take(take),
         })
 
-    return pieces.select("*", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, piece int, shard bigint, bin bigint, length bigint, start bigint, n_tokens bigint")
+    return pieces.select("doc_id", "piece", "n", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, piece int, shard bigint, bin bigint, length bigint, start bigint, n_tokens bigint")
+
+
+def sequences(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(shard, bin, length, n_tokens, words): the training sequences that ``packed`` plans for ``docs`` (doc_id, text).
+
+    Each document's words, the whole text's in order, are cut where its pieces are, laid in
+    their bins by ``start``, each document ended by an empty word, as ``token_counts`` counts
+    it. A sequence is at most its length; a row of ``docs`` with a null or repeated doc_id has no sequence.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    once = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("text").alias("text")).where("m = 1")
+    words = F.concat(F.expr("regexp_extract_all(text, '([^\\\\x20\\\\x09-\\\\x0D]+)', 1)"), F.array(F.lit("")))
+    first = F.sum("n_tokens").over(Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = packed.where("doc_id is not null").withColumn("first", F.coalesce(first, F.lit(0)))
+    laid = cuts.join(once, "doc_id").select("shard", "bin", "length", "start", "n_tokens", F.slice(words, (F.col("first") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("words"))
+    bins = laid.groupBy("shard", "bin", "length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "words"))).alias("parts"))
+    return bins.select("shard", "bin", "length", "n_tokens", F.flatten(F.transform("parts", lambda p: p["words"])).alias("words"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -55,3 +55,50 @@ def test_edge_rows(spark):
     texts = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in P.query(texts).collect()} == {1: 1, 2: 1, 3: 3}
     assert P.query(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def plain_pack(sizes, lengths, overhead):
+    """The rule read plainly: every open bin is looked at for each piece."""
+    bins, where = [], []
+    for i, s in enumerate(sizes):
+        left = sum(sizes[i + 1 :])
+        open_ = [(b["free"], k) for k, b in enumerate(bins) if b["free"] >= s]
+        if open_:
+            k = min(open_)[1]
+        else:
+            cost = [((c + overhead) / min(c, s + left), c) for c in lengths if c >= s]
+            bins.append({"free": min(cost)[1], "used": 0})
+            k = len(bins) - 1
+        bins[k]["free"] -= s
+        bins[k]["used"] += s
+        where.append(k)
+    return where, [min(c for c in lengths if c >= b["used"]) for b in bins]
+
+
+def test_query_equals_the_plain_rule(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1) for r in docs.collect()]
+    top = P.LENGTHS[-1]
+    pieces = sorted(((min(top, n - k * top), i, k) for i, n in sizes for k in range((n - 1) // top + 1)), key=lambda x: (-x[0], x[1], x[2]))
+    where, length = plain_pack([n for n, _, _ in pieces], P.LENGTHS, P.OVERHEAD)
+    want = {(i, k): (n, b, length[b]) for (n, i, k), b in zip(pieces, where, strict=True)}
+    got = {(r["doc_id"], r["piece"]): (r["n_tokens"], r["bin"], r["length"]) for r in P.query(docs).collect()}
+    assert got == want
+
+
+def test_sequences_hold_every_word(spark):
+    long = " ".join(f"w{i}" for i in range(20000))
+    docs = spark.createDataFrame([(1, "a b  c"), (2, None), (3, long), (4, "x"), (4, "y"), (None, "z")], "doc_id bigint, text string")
+    packed = P.query(docs)
+    out = P.sequences(docs, packed).collect()
+    assert all(len(r["words"]) == r["n_tokens"] <= r["length"] for r in out)
+    words = [w for r in out for w in r["words"]]
+    assert sorted(words) == sorted(["a", "b", "c", *long.split(), "", "", ""])
+    assert P.pack(P.token_counts(docs)).count() == packed.count() == 5 + 3
+
+
+def test_rows_that_repeat_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 50)
+    sizes = spark.range(1000).selectExpr("cast(null as bigint) doc_id", "5L n_tokens", "1 shard", "'x' bin")
+    out = P.pack(sizes).groupBy("shard").count().collect()
+    assert len(out) == 20 and sum(r["count"] for r in out) == 1000 and max(r["count"] for r in out) < 120
