@@ -3,9 +3,11 @@
 Words, and their first four and five bytes, get log-odds of toxic against clean rows with
 an informative Dirichlet prior, shrunk by their standard error. Along a text, words carry
 the score of their best unit, other words a small negative one; a linear scan finds all
-maximal-scoring segments. Their scores are calibrated as extreme values of clean text
-(lambda and K of the segment score law), so a document's evidence is how far its segments
-exceed what its length explains; a logistic curve makes that a probability.
+maximal-scoring segments. Their scores are calibrated as extreme values: the best segment
+of n clean words exceeds s with a probability of about 1 - exp(-K n exp(-lambda s)), where
+lambda follows from the scores of clean texts' words and K from their best segments. So a
+document's evidence is how far its segments exceed what its length explains; a logistic
+curve makes that a probability.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, docs_table, fold_of, range_hash, text_slices, written
+from .common import Words, discard, docs_table, first_of_each, fold_of, range_hash, text_slices, written
 
 #: Labelled rows a class that the classifier is fitted on; a third calibrates.
 SAMPLE = 4000
 #: Units kept at most, by the lower bound of their log-odds; mass of the prior; score of other words.
 UNITS, PRIOR, DRIFT = 1 << 16, 10.0, -0.4
+#: Width of the steps in which clean words' scores are counted, and their number; larger scores count as the last.
+STEP, STEPS = 0.25, 80
 THRESHOLD = 0.3
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in ".,;:!?\"'()[]{}|*#"]] = True
@@ -92,12 +96,16 @@ class Model:
         self.unit, self.score = unit, score
         self.rate, self.k, self.curve = 1.0, 0.1, np.array([-3.0, 1.0, 0.5])
 
-    def found(self, w: Words) -> list[list[tuple[float, int, int]]]:
+    def scores(self, w: Words) -> np.ndarray:
+        """Each word's score: its best unit's, or DRIFT."""
         if not len(self.unit):
-            return [[] for _ in range(len(w.first) - 1)]
+            return np.full(len(w.start), DRIFT)
         u = units(w)
         i = np.minimum(np.searchsorted(self.unit, u), len(self.unit) - 1)
-        s = np.where(self.unit[i] == u, self.score[i], DRIFT).max(0) if u.shape[1] else np.zeros(0)
+        return np.where(self.unit[i] == u, self.score[i], DRIFT).max(0) if u.shape[1] else np.zeros(0)
+
+    def found(self, w: Words) -> list[list[tuple[float, int, int]]]:
+        s = self.scores(w)
         hot = np.flatnonzero(s > 0)
         cut = np.searchsorted(hot, w.first)
         return [segments(hot[cut[k] : cut[k + 1]] - w.first[k], s[hot[cut[k] : cut[k + 1]]]) for k in range(len(w.first) - 1)]
@@ -118,26 +126,36 @@ def _scan(shared):
             for i, j in text_slices(batch):
                 rows = batch.slice(i, j - i)
                 w = Words(rows.column(0), lower=True)
-                found = m.found(w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(w.first)), pa.array([[s for s, _, _ in x] for x in found], pa.list_(pa.float64())), rows.column(1)], ["n", "found", "toxic"])
+                found, scores = m.found(w), m.scores(w)
+                kinds = [np.bincount(steps(scores[x:y]), minlength=STEPS)[:STEPS].tolist() for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+                long = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(w.first)), pa.array([[s for s, _, _ in x] for x in found], pa.list_(pa.float64())), pa.array(kinds, long), rows.column(1)], ["n", "found", "kinds", "toxic"])
 
     return run
 
 
-def law(clean: list[tuple[int, list[float]]], positive: float) -> tuple[float, float]:
-    """(lambda, K): the segment score law of clean texts (words, segment scores).
+def steps(scores: np.ndarray) -> np.ndarray:
+    """The step of each positive score, rounded to the nearest one."""
+    return np.clip(np.rint(scores[scores > 0] / STEP).astype(np.int64), 1, STEPS - 1)
+
+
+def law(clean: list[tuple[int, list[float], list[int]]]) -> tuple[float, float]:
+    """(lambda, K): the segment score law of clean texts (words, segment scores, words by step of their score).
 
-    lambda solves E exp(lambda s) = 1 for word scores that are ``positive``-sized with the
-    observed share and DRIFT otherwise; K is set by the number of clean segments.
+    lambda solves E exp(lambda s) = 1 over the scores of all clean words; K is the most
+    likely one for each text's best segment, 0 where there is none. One word of the
+    smallest step is added to the counts, so lambda is finite.
     """
-    words = sum(n for n, _ in clean) + 1
-    count = sum(len(x) for _, x in clean)
-    share = (count + 0.5) / (words + 1)
+    words = sum(n for n, _, _ in clean) + 1
+    count = np.sum([k for _, _, k in clean], axis=0).astype(float) if clean else np.zeros(STEPS)
+    count[1] += 1
+    size, rest = np.arange(STEPS) * STEP, max(0.0, words - count.sum())
     lo, hi = 1e-6, 50.0
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if share * math.exp(min(700, mid * positive)) + (1 - share) * math.exp(mid * DRIFT) < 1 else (lo, mid)
-    return lo, max(1e-9, (count + 0.5) / (words * math.exp(-lo * positive)))
+        lo, hi = (mid, hi) if (count * np.exp(np.minimum(700, mid * size))).sum() + rest * math.exp(mid * DRIFT) < words else (lo, mid)
+    best = sum(n * math.exp(-lo * max(s, default=0.0)) for n, s, _ in clean)
+    return lo, max(1e-9, len(clean) / max(1.0, best))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -157,10 +175,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); null labels teach nothing."""
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = written(marks.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).withColumn("part", F.col("k") % 3), "sample")
+    ids = written(first_of_each(marks, "toxic", SAMPLE).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3))), "sample")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = written(texts.join(F.broadcast(ids), "doc_id").select("text", "toxic", "part"), "labelled")  # at most 2 * SAMPLE ids
+    # At most 2 * SAMPLE ids; rows that repeat an id are one, that of the largest text.
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.max("text").alias("text"))
+    rows = written(rows.select("text", "toxic", "part"), "labelled")
     seen = {r["toxic"]: r["n"] for r in rows.where("part <> 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = seen.get(1, 0), seen.get(0, 0)
     counts = rows.where("part <> 0").select("text", "toxic").mapInArrow(_count, "unit bigint, toxic int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
@@ -171,10 +190,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     order = np.argsort(unit)
     unit, odds = unit[order], odds[order]
     model = Model(unit[odds > 1.0], odds[odds > 1.0])
-    scanned = rows.where("part = 0").select("text", "toxic").mapInArrow(_scan(spark.sparkContext.broadcast(model)), "n bigint, found array<double>, toxic int").collect()  # at most SAMPLE rows
-    clean = [(r["n"], list(r["found"])) for r in scanned if r["toxic"] == 0]
+    scanned = rows.where("part = 0").select("text", "toxic").mapInArrow(_scan(spark.sparkContext.broadcast(model)), "n bigint, found array<double>, kinds array<bigint>, toxic int").collect()  # at most 2 * SAMPLE rows
+    discard(ids, rows)
+    clean = [(r["n"], list(r["found"]), list(r["kinds"])) for r in scanned if r["toxic"] == 0]
     if len(model.unit) and clean and any(r["toxic"] for r in scanned):
-        model.rate, model.k = law(clean, float(np.median(model.score)))
+        model.rate, model.k = law(clean)
         x = np.array([[1.0, *model.evidence([(s, 0, 0) for s in r["found"]], r["n"])] for r in scanned])
         model.curve = logistic(x, np.array([r["toxic"] for r in scanned], float))
     return model
