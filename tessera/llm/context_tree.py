@@ -11,7 +11,7 @@ below three bytes are weighted in groups of them; the driver weights the two lev
 which at most 256 + 256^2 contexts have. Texts are scored in chunks: a chunk's distinct
 codes go to the groups that hold their counts, and their log probabilities come back.
 
-The unigram base score needs each word's exact count. Words with at least 1/SHARE of the
+The unigram base score needs each word's exact count. Words with at least 1/HOT_SHARE of the
 tokens are broadcast; the others go to the tasks that hold their counts, packed, and
 come back to their documents.
 """
@@ -36,7 +36,8 @@ SHARE: int | None = None
 TOP, CHUNK_SYMBOLS, GROUP_GRAMS, GROUP_SYMBOLS = 3, 4_000_000, 500_000, 20_000_000
 #: Log weights are summed as integers, so equal runs give equal sums.
 FIXED = float(1 << 26)
-HOT_SHARE = 1 << 17
+#: Words of at least this share of the tokens are broadcast, so at most as many words, in 16 bytes each.
+HOT_SHARE = 1 << 20
 END = 255  # no byte of UTF-8
 #: Grams or words that a task holds before it sends their sums; tail tokens in a packed chunk and in a group.
 HELD, CHUNK_TOKENS, GROUP_TOKENS = 2_000_000, 1_000_000, 250_000
@@ -332,8 +333,10 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     key, *cols = (got.column(i).to_numpy() for i in range(6))
     order = np.argsort(key)
     upper = Upper(key[order], *(c[order].astype(float) for c in cols[:4]), cols[4][order] / FIXED, least)
-    hot = sorted((int(np.int64(r["code"]).view(np.uint64)), r["count"]) for r in words.where(F.col("count") >= max(1.0, total / HOT_SHARE)).collect())  # at most HOT_SHARE rows
-    return Model(upper, least, groups, np.array([x for x, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64), total, distinct), words, gram
+    often = words.where(F.col("count") >= max(1.0, total / HOT_SHARE)).toArrow()  # at most HOT_SHARE rows
+    hot, n = often.column("code").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(hot)
+    return Model(upper, least, groups, hot[order], n[order], total, distinct), words, gram
 
 
 def _weigh(shared):
