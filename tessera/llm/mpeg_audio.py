@@ -3,8 +3,10 @@
 A payload is laid into the ancillary bytes of MPEG-1 Layer III frames (48 kHz, mono,
 with checksum and empty side information), after an ID3v2 tag and a frame with the
 variable-bitrate table. The scan takes any bytes: it resynchronises on frame headers,
-parses tags and the table, verifies checksums, and gives exact durations (in samples)
-and the byte offset of each frame, to seek to.
+parses tags (ID3v1, ID3v2 text frames, APEv2) and the table (Xing, Info with its encoder's
+delay and padding, or VBRI), verifies the checksums of all three layers, frame by frame,
+and gives exact durations (in samples, less delay and padding) and the byte offset of
+each frame, to seek to. Free-format frames are not frames.
 """
 
 from __future__ import annotations
@@ -30,6 +32,13 @@ BITRATES = {
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
+# Layer II: bits of the allocation of each subband, by table; tables by kbit/s a channel are chosen below.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4, "b": (4,) * 11 + (3,) * 12 + (2,) * 7, "c": (4,) * 2 + (3,) * 6, "d": (4,) * 2 + (3,) * 10, "lsf": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+#: Names of ID3v1's fields: start and length in the last 128 bytes.
+V1 = {"title": (3, 30), "artist": (33, 30), "album": (63, 30), "year": (93, 4), "comment": (97, 30)}
+
 SIDE = 17  # bytes of side information of a mono MPEG-1 Layer III frame
 HEAD = 4 + 2 + SIDE
 
@@ -37,7 +46,7 @@ HEAD = 4 + 2 + SIDE
 class Header:
     """One parsed frame header."""
 
-    __slots__ = ("length", "rate", "samples", "kbps", "crc", "side", "layer", "key")
+    __slots__ = ("length", "rate", "samples", "kbps", "crc", "side", "layer", "channels", "bound", "key")
 
 
 _headers: dict[int, Header | None] = {}
@@ -58,6 +67,9 @@ def header(word: int) -> Header | None:
         h.length = (12000 * h.kbps // h.rate + pad) * 4 if layer == 1 else h.samples // 8 * 1000 * h.kbps // h.rate + pad
         h.crc = not word >> 16 & 1
         mono = word >> 6 & 3 == 3
+        h.channels = 1 if mono else 2
+        # Subbands from here on share their allocation (intensity stereo).
+        h.bound = (word >> 4 & 3) * 4 + 4 if word >> 6 & 3 == 1 else 32
         h.side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else 9 if mono else 17
         h.key = (version, layer, rate)
     if len(_headers) < 100_000:
@@ -78,6 +90,56 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _allocation(h: Header) -> tuple[int, ...]:
+    """Layer II's bits a subband, for the frame's rate and kbit/s a channel."""
+    if h.key[0] != 3:
+        return ALLOCATION["lsf"]
+    each = h.kbps // h.channels
+    if each < 56:
+        return ALLOCATION["d" if h.rate == 32000 else "c"]
+    return ALLOCATION["a" if h.rate == 48000 or each <= 80 else "b"]
+
+
+def protected(frame: np.ndarray, h: Header) -> np.ndarray:
+    """The bits that the checksum of a frame with one covers: half the header, then by layer."""
+    bits = np.unpackbits(frame)
+    head, body = bits[16:32], bits[48:]
+    if h.layer == 3:
+        return np.concatenate((head, body[: 8 * h.side]))
+    if h.layer == 1:
+        return np.concatenate((head, body[: 4 * (32 if h.channels == 1 else 32 + h.bound)]))
+    at, chosen = 0, 0
+    for k, n in enumerate(_allocation(h)):
+        shared = k >= h.bound
+        for _ in range(1 if shared else h.channels):
+            chosen += bool(body[at : at + n].any()) * (h.channels if shared else 1)
+            at += n
+    return np.concatenate((head, body[: at + 2 * chosen]))
+
+
+def crc16_bits(bits: np.ndarray) -> int:
+    """The same checksum of any number of bits."""
+    crc = 0xFFFF
+    for b in bits.tolist():
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ b else 0)
+    return crc
+
+
+def bad_checksums(raw: np.ndarray, spots: list[int], heads: list[Header]) -> int:
+    """How many of the frames with a checksum it does not fit."""
+    bad, by_size = 0, {}
+    for i, h in zip(spots, heads, strict=True):
+        if h.crc and h.layer == 3:
+            by_size.setdefault(h.side, []).append(i)
+        elif h.crc:
+            bad += crc16_bits(protected(raw[i : i + h.length], h)) != int(raw[i + 4]) << 8 | int(raw[i + 5])
+    for n, at in by_size.items():
+        at = np.array(at, np.int64)
+        rows = raw[at[:, None] + np.concatenate(([2, 3], 6 + np.arange(n)))]
+        bad += int((crc16(rows) != (raw[at + 4].astype(np.uint32) << 8 | raw[at + 5])).sum())
+    return int(bad)
+
+
 def _frame_head(index: int) -> bytes:
     """Header, checksum and empty side information of a 48 kHz mono frame of that bitrate index."""
     h = bytes([0xFF, 0xFA, index << 4 | 1 << 2, 0xC4])
@@ -132,7 +194,7 @@ def write_audio(payload: bytes) -> bytes:
 
 
 def read_tags(data: bytes) -> tuple[dict[str, str], int]:
-    """The user text frames of a leading ID3v2 tag, and where the audio begins."""
+    """The text frames of a leading ID3v2 tag, user ones by their names, and where the audio begins."""
     tags: dict[str, str] = {}
     if len(data) < 10 or data[:3] != b"ID3":
         return tags, 0
@@ -141,26 +203,85 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int]:
     at = 10
     while at + 10 <= end and data[at : at + 4].strip(b"\0"):
         size = n(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        if data[at : at + 4] == b"TXXX" and data[at + 10 : at + 11] in (b"\x00", b"\x03"):
-            name, _, value = data[at + 11 : min(end, at + 10 + size)].partition(b"\0")
-            tags[name.decode("latin-1")] = value.rstrip(b"\0").decode("utf-8", "replace")
+        kind, body = data[at : at + 4], data[at + 10 : min(end, at + 10 + size)]
+        if kind[:1] == b"T" and body[:1] in (b"\0", b"\1", b"\2", b"\3"):
+            text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0]], "replace")
+            name, _, value = text.partition("\0") if kind == b"TXXX" else (kind.decode("latin-1"), "", text)
+            tags[name] = value.lstrip("\ufeff").rstrip("\0")
         at += 10 + size
     return tags, end
 
 
+def read_end_tags(data: bytes) -> tuple[dict[str, str], int]:
+    """The fields of an ID3v1 and an APEv2 tag after the audio, and where the audio ends."""
+    tags: dict[str, str] = {}
+    end = len(data)
+    if data[end - 128 : end - 125] == b"TAG" and end >= 128:
+        end -= 128
+        for name, (at, n) in V1.items():
+            value = data[end + at : end + at + n].split(b"\0")[0].decode("latin-1").rstrip()
+            if value:
+                tags[name] = value
+    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
+        at, stop = end - size, end - 32
+        whole = size + (32 if flags >> 31 else 0)
+        if size >= 32 and whole <= end:
+            for _ in range(count):
+                if at + 9 > stop:
+                    break
+                n, kind = struct.unpack("<II", data[at : at + 8])
+                cut = data.find(b"\0", at + 8, stop)
+                if cut < 0:
+                    break
+                if kind >> 1 & 3 == 0:  # text
+                    tags[data[at + 8 : cut].decode("latin-1")] = data[cut + 1 : min(stop, cut + 1 + n)].decode("utf-8", "replace")
+                at = cut + 1 + n
+            end -= whole
+    return tags, end
+
+
+def read_table(frame: bytes, h: Header) -> dict | None:
+    """The variable-bitrate table that the first frame holds: frames, bytes, toc, and the encoder's delay and padding in samples."""
+    word = lambda i: int.from_bytes(frame[i : i + 4], "big")
+    half = lambda i: int.from_bytes(frame[i : i + 2], "big")
+    if frame[36:40] == b"VBRI":
+        n, scale, size = half(54), half(56), half(58)
+        entries = [int.from_bytes(frame[62 + k * size : 62 + (k + 1) * size], "big") * scale for k in range(n) if 62 + (k + 1) * size <= len(frame)] if 0 < size <= 4 else []
+        return {"frames": word(50), "bytes": word(46), "toc": np.cumsum(entries).tolist() if entries else [], "delay": half(42), "padding": 0}
+    mark = 4 + 2 * h.crc + h.side
+    if frame[mark : mark + 4] not in (b"Xing", b"Info"):
+        return None
+    flags, p, table = word(mark + 4), mark + 8, {"delay": 0, "padding": 0, "toc": []}
+    for bit, name in ((1, "frames"), (2, "bytes")):
+        if flags & bit:
+            table[name], p = word(p), p + 4
+    if flags & 4:
+        table["toc"], p = list(frame[p : p + 100]), p + 100
+    p += 4 * bool(flags & 8)
+    if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf"):
+        both = int.from_bytes(frame[p + 21 : p + 24], "big")
+        table["delay"], table["padding"] = both >> 12, both & 0xFFF
+    return table
+
+
 def scan_audio(data: bytes) -> dict:
     """Frames, durations, tags, table and payload of a file; any bytes are allowed.
 
-    ``offsets``: where each audio frame begins. ``skipped``: bytes outside tags and
+    ``offsets``: where each audio frame begins. ``samples``: of all frames; ``duration_us``
+    leaves out the encoder's delay and padding. ``skipped``: bytes outside tags and
     frames. A header counts if the frame before ends where it begins, or if another header
     of the same version, layer and rate, or the end of the data, follows its frame. Bytes that hold no frame give no frames.
     """
     tags, at = read_tags(data)
-    end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
+    after_tags, end = read_end_tags(data)
+    at = min(at, end)
     spots, heads, skipped, table, key, synced = [], [], 0, None, None, -1
     word = lambda i: int.from_bytes(data[i : i + 4], "big")
     while at + 4 <= end:
         h = header(word(at))
+        if h is not None and at == synced and end < at + h.length == len(data):
+            after_tags, end = {}, len(data)  # what looks like a tag is the end of a frame
         if h is not None and at + h.length <= end and (key in (None, h.key)):
             after = at + h.length
             follow = header(word(after)) if after + 4 <= end else h
@@ -174,22 +295,12 @@ def scan_audio(data: bytes) -> dict:
         skipped += (nxt if nxt >= 0 else end) - at
         at = nxt if nxt >= 0 else end
     skipped += max(0, end - at)
+    tags = after_tags | tags
     raw = np.frombuffer(data, np.uint8)
-    bad = 0
-    checked = np.array([i for i, h in zip(spots, heads, strict=True) if h.crc and h.layer == 3], np.int64)
-    if len(checked):
-        n = next(h.side for h in heads if h.crc and h.layer == 3)
-        rows = raw[checked[:, None] + np.concatenate(([2, 3], 6 + np.arange(n)))]
-        bad = int((crc16(rows) != (raw[checked + 4].astype(np.uint32) << 8 | raw[checked + 5])).sum())
+    bad = bad_checksums(raw, spots, heads)
     if spots:
-        h = heads[0]
-        mark = spots[0] + 4 + 2 * h.crc + h.side
-        if data[mark : mark + 4] in (b"Xing", b"Info"):
-            flags, p, table = word(mark + 4), mark + 8, {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name], p = word(p), p + 4
-            table["toc"] = list(data[p : p + 100]) if flags & 4 else []
+        table = read_table(data[spots[0] : spots[0] + heads[0].length], heads[0])
+        if table is not None:
             spots, heads = spots[1:], heads[1:]
     parts = []
     for i, h in zip(spots, heads, strict=True):
@@ -200,9 +311,10 @@ def scan_audio(data: bytes) -> dict:
         payload = payload[: int(tags["payload_bytes"])]
     samples = sum(h.samples for h in heads)
     rate = heads[0].rate if heads else 0
+    heard = max(0, samples - table["delay"] - table["padding"]) if table else samples
     return {
         "payload": payload, "tags": tags, "table": table, "offsets": spots, "samples": samples, "rate": rate,
-        "duration_us": samples * 1_000_000 // rate if rate else 0, "frames": len(spots), "crc_bad": bad, "skipped": skipped,
+        "duration_us": heard * 1_000_000 // rate if rate else 0, "frames": len(spots), "crc_bad": bad, "skipped": skipped,
         "kbps": sorted({h.kbps for h in heads}),
     }
 
@@ -244,7 +356,7 @@ def scan_media(files: DataFrame) -> DataFrame:
 
 
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in row ranges of about 4 MB of that column."""
+    """The batch in row ranges of about half a megabyte of that column."""
     from .common import text_slices
 
     for i, j in text_slices(batch, batch.schema.names[column]):
