@@ -198,10 +198,10 @@ def fold_of(fold: int) -> Column:
 def first_of_each(rows: DataFrame, label: str, n: int) -> DataFrame:
     """The distinct (doc_id, label), at most ``n`` of each label, that come first by a hash of doc_id.
 
-    Each label's rows are counted and thinned to about twice ``n`` before they are ranked, so
-    no task gathers a label's rows.
+    Each label's ids are counted (by a sketch, within some per cent) and thinned to about twice
+    ``n`` before they are ranked, so no task gathers a label's rows.
     """
-    total = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_total"))
+    total = rows.groupBy(label).agg(F.greatest(F.lit(1), F.approx_count_distinct("doc_id")).alias("_total"))
     # A hash is below this share of its range for some 2n + 50 rows of each label.
     low = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(float(1 << 63)) * ((2 * n + 50) / F.col("_total"))
     few = rows.join(F.broadcast(total), label).where(low).select("doc_id", label).distinct()

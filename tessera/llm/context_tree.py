@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, column_bytes, fold_of, mix, text_slices, written
+from .common import _LOWER, SLICE_BYTES, Words, column_bytes, fold_of, mix, text_slices, written
 from .ngram_join import _packed, _unpacked
 
 DEPTH = 5
@@ -71,6 +71,21 @@ def grams(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code
 
 
+def _parts(text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, next text, codes, symbols' offsets) of texts in ranges of some SLICE_BYTES: codes take 8 bytes a symbol."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, side="right")) - 1))
+        buf, symbols, first = _framed(text[at[i] : at[j]], at[i : j + 1] - at[i])
+        yield i, j, grams(buf, symbols), first
+        i = j
+
+
+def distinct_codes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sorted codes that occur in a chunk of texts."""
+    return np.unique(np.concatenate([np.unique(codes) for _, _, codes, _ in _parts(text, at)]))
+
+
 class _Sums:
     """Counts by code, merged as they come."""
 
@@ -386,8 +401,7 @@ def _score(shared, groups: int):
                 known, text = np.concatenate(facts, 1), np.concatenate(texts)
                 packed = pa.compress(text.tobytes(), "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([t], pa.int64()), pa.array([packed], pa.binary()), pa.nulls(1, pa.binary()), pa.array([known.tobytes()], pa.binary())], _names(_PARTS))
-                buf, at, _ = _framed(text, np.concatenate(([0], np.cumsum(known[5].astype(np.int64)))))
-                x, r = dealt_codes(np.unique(grams(buf, at)), m.groups)[:2]
+                x, r = dealt_codes(distinct_codes(text, np.concatenate(([0], np.cumsum(known[5].astype(np.int64))))), m.groups)[:2]
                 cut = np.flatnonzero(_starts(r))
                 end = np.append(cut[1:], len(r))
                 for lo in range(0, len(cut), 256):
@@ -465,17 +479,14 @@ def _text_scores(packed: bytes, sizes: np.ndarray, logs: list[tuple[int, bytes]]
     """Each text's log10 probability, from its codes' by group."""
     at = np.concatenate(([0], np.cumsum(sizes)))
     text = np.frombuffer(pa.decompress(packed, int(at[-1]), "zstd", asbytes=True), np.uint8)
-    buf, symbols, first = _framed(text, at)
-    code = grams(buf, symbols)
-    order = np.argsort(code)
-    code = code[order]
-    start = _starts(code)
-    cut = np.flatnonzero(start)
-    found = np.zeros(len(cut))
-    found[dealt_codes(code[cut], groups)[2]] = np.concatenate([_unpacked(x, np.float32) for _, x in sorted(logs)])
-    out = np.empty(len(code))
-    out[order] = np.repeat(found, np.diff(np.append(cut, len(code))))
-    return np.add.reduceat(out, first[:-1])
+    code = distinct_codes(text, at)
+    found = np.zeros(len(code))
+    found[dealt_codes(code, groups)[2]] = np.concatenate([_unpacked(x, np.float32) for _, x in sorted(logs)])
+    out = np.zeros(len(sizes))
+    for i, j, here, first in _parts(text, at):
+        kinds, place = np.unique(here, return_inverse=True)
+        out[i:j] = np.add.reduceat(found[np.searchsorted(code, kinds)][place], first[:-1])
+    return out
 
 
 def _gather(total: int, distinct: int, groups: int):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, first_of_each, fold_of, text_slices, written
+from .common import discard, first_of_each, fold_of, small_batches, text_slices, written
 
 DIMS = 1 << 16
 ORDERS = 3
@@ -114,6 +114,11 @@ def learn(labelled: DataFrame) -> Model:
     Of one learned language alone, every text with a letter is of it, with score 1. The
     sample is the first rows by a hash of doc_id, ties by doc_id, so equal tables give equal models.
     """
+    with small_batches(labelled.sparkSession):
+        return _learn(labelled)
+
+
+def _learn(labelled: DataFrame) -> Model:
     rows = labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = rows.select("text").mapInArrow(_frequencies, "dim bigint, df bigint").groupBy("dim").agg(F.sum("df").alias("df")).collect()  # DIMS + 1 rows
     df = np.zeros(DIMS + 1)
@@ -145,36 +150,36 @@ def learn(labelled: DataFrame) -> Model:
     return Model([r["lang"] for r in out], np.ascontiguousarray(table), out[0]["t"] if out else 1.0)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score`` for every row of ``docs``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if
-    nothing was learned. Only ``text`` is looked at. Equal texts get equal results; of
-    languages that score alike the first by name is taken.
+    nothing was learned. Only ``text`` is looked at, and goes to Python once, kept or not.
+    Equal texts get equal results; of languages that score alike the first by name is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(0)
-            lang, score = [], []
-            for x in texts:
-                t = x.as_py()
-                if not m.langs or not t or not any(map(str.isalpha, t)):
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                h = ngrams(t)
-                s = sum(m.table[h[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(h), 65536)) / len(h)
-                p = softmax(s / m.t)
-                k = int(np.argmax(p))
-                lang.append(m.langs[k])
-                score.append(float(p[k]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            lang, score = zip(*(label(m, x.as_py()) for x in batch.column(at)), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").cast("string").alias("text"), *(F.col(c) for c in keep)).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    extra = [] if text in keep else [F.col(text).cast("string").alias("_words")]
+    return docs.select(*(F.col(c) for c in keep), *extra).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def label(m: Model, t: str | None) -> tuple[str, float]:
+    """The likeliest language of a text, and its probability."""
+    if not m.langs or not t or not any(map(str.isalpha, t)):
+        return UNKNOWN, 0.0
+    h = ngrams(t)
+    s = sum(m.table[h[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(h), 65536)) / len(h)
+    p = softmax(s / m.t)
+    k = int(np.argmax(p))
+    return m.langs[k], float(p[k])
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -185,8 +190,7 @@ def query(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without those that have no language: no letter, or a score below REJECT."""
     names = docs.columns
-    tagged = docs.withColumn("_text", F.col("text"))
     model = learn(docs.where(~fold_of(4)))
-    out = predict(tagged.select("text", "_text", *[F.col(c).alias(f"_c{k}") for k, c in enumerate(names) if c != "text"]), model, ("_text", *(f"_c{k}" for k, c in enumerate(names) if c != "text")))
-    kept = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT))
-    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))
+    held = docs.select(*((F.col(c).cast("string") if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(names)))
+    out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}")
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT)).select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))

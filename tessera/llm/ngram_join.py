@@ -59,6 +59,8 @@ TASK_NODES, TASK_SHINGLES = 20_000, 1_000_000
 PAIR_MEMBERS = 4_000_000
 #: Equal sets of at least this count, and this share of all documents, find their node by a broadcast.
 MANY_COPIES, COPY_SHARE = 1000, 1000
+#: Ids of dropped documents that are broadcast, at most: some 32 bytes each in an executor.
+BROADCAST_IDS = 2_000_000
 #: Bits of the filter that tells which texts a join needs.
 FILTER_BITS = 1 << 25
 
@@ -514,10 +516,13 @@ def query(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose doc_id names it.
 
-    Rows with a null doc_id stay; of rows that repeat a doc_id all stay.
+    Rows with a null doc_id stay; of rows that repeat a doc_id all stay. The ids that go
+    are broadcast up to BROADCAST_IDS of them, else the documents are joined by id.
     """
-    comp = near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_comp")).where("_id <> _comp")
-    return docs.join(comp, docs["doc_id"] == comp["_id"], "left_anti")
+    comp = near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_comp"))
+    gone = written(comp.where("_id <> _comp").select("_id"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 SQL = """

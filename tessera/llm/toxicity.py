@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, docs_table, first_of_each, fold_of, range_hash, text_slices, written
+from .common import Words, discard, docs_table, first_of_each, fold_of, range_hash, small_batches, text_slices, written
 
 #: Labelled rows a class that the classifier is fitted on; a third calibrates.
 SAMPLE = 4000
@@ -173,6 +173,11 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); null labels teach nothing."""
+    with small_batches(docs.sparkSession):
+        return _learn(docs, labels)
+
+
+def _learn(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = written(first_of_each(marks, "toxic", SAMPLE).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3))), "sample")
@@ -200,28 +205,30 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``score``, ``predicted`` and ``passages`` for every row of ``docs``.
 
     ``passages``: (score, first, last) of each significant segment, in words from 0. Null
-    and empty texts have no segment and the score of no evidence.
+    and empty texts have no segment and the score of no evidence. The column ``text`` goes to Python once, kept or not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         kind = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            for i, j in text_slices(batch, "_words"):
+            for i, j in text_slices(batch, batch.schema.names[at]):
                 rows = batch.slice(i, j - i)
-                w = Words(rows.column(0), lower=True)
+                w = Words(rows.column(at), lower=True)
                 found, n = m.found(w), np.diff(w.first)
                 p = [m.probability(*m.evidence(x, int(n[k]))) for k, x in enumerate(found)]
                 some = [[{"score": s, "first": a, "last": b} for s, a, b in x if m.rate * s > math.log(max(m.k * int(n[k]), 1e-9))] for k, x in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array(some, kind)], [*keep, "score", "predicted", "passages"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array(some, kind)], [*keep, "score", "predicted", "passages"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_words"), *(F.col(c) for c in keep)).mapInArrow(run, f"{kinds}, score double, predicted int, passages array<struct<score:double,first:bigint,last:bigint>>")
+    extra = [] if text in keep else [F.col(text).cast("string").alias("_words")]
+    return docs.select(*(F.col(c) for c in keep), *extra).mapInArrow(run, f"{kinds}, score double, predicted int, passages array<struct<score:double,first:bigint,last:bigint>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -234,6 +241,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without those predicted toxic; learned from the labelled rows of ``docs``."""
     names = docs.columns
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold_of(4)))
-    held = docs.select(F.col("text"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(names)))
-    out = predict(held, model, tuple(f"_c{k}" for k in range(len(names))))
+    held = docs.select(*((F.col(c).cast("string") if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(names)))
+    out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}")
     return out.where("predicted = 0").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))

@@ -34,3 +34,54 @@ def test_training_is_sparse_and_separates():
     assert np.mean([np.argmax(x @ w[at]) == y for at, x, y in rows]) > 0.99
     assert (w == 0).mean() > 0.9
     assert L.temperature(np.array([[4.0, 0.0]] * 50 + [[4.0, 0.0]] * 50), np.array([0] * 50 + [1] * 50)) > 5
+
+
+def plain_label(m, t):
+    """The same sums, an n-gram at a time."""
+    if not t or not any(c.isalpha() for c in t):
+        return "und", 0.0
+    c = [ord(x) for x in t.lower()]
+    total, n, mask = [0.0] * len(m.langs), 0, (1 << 64) - 1
+    for size in range(1, L.ORDERS + 1):
+        for i in range(len(c) - size + 1):
+            h = 0
+            for x in c[i : i + size]:
+                h = (h * 0x9E3779B97F4A7C15 + x + 1) & mask
+            dim = ((h * 0xBF58476D1CE4E5B9 & mask) >> 48) & (L.DIMS - 1)
+            total = [a + float(b) for a, b in zip(total, m.table[dim], strict=True)]
+            n += 1
+    e = [np.exp(x / n / m.t) for x in total]
+    k = max(range(len(e)), key=lambda i: e[i])
+    return m.langs[k], e[k] / sum(e)
+
+
+def test_query_equals_a_plain_reading_of_its_model(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1500")
+    m = L.learn(df.where(~fold_of(4)))
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    for r in L.query(df).collect():
+        lang, score = plain_label(m, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-6
+
+
+def test_weights_of_seen_ngrams_are_sparse(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = L.learn(df.where(~fold_of(4)))
+    seen = np.unique(np.concatenate([L.ngrams(r["text"]) for r in df.where(~fold_of(4)).limit(400).collect()]))
+    assert (m.table[seen] == 0).mean() > 0.6
+
+
+def test_ties_and_one_language(spark):
+    same = spark.createDataFrame([(i, "abc abc", "ba"[i % 2]) for i in range(60)], "doc_id bigint, text string, lang string")
+    assert {r["lang_pred"] for r in L.predict(same, L.Model(["a", "b"], np.zeros((L.DIMS, 2), np.float32), 1.0)).collect()} == {"a"}
+    one = L.query(same.withColumn("lang", L.F.lit("a"))).collect()
+    assert {(r["lang_pred"], r["score"]) for r in one} == {("a", 1.0)}
+
+
+def test_sample_is_bounded_in_rows(spark):
+    from tessera.llm.common import first_of_each
+
+    rows = spark.range(5000).selectExpr("case when id < 2000 then 7 else id end doc_id", "if(id % 10 = 0, 'x', 'y') lang")
+    out = first_of_each(rows, "lang", 100).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in out} == {"x": 100, "y": 100}
+    assert first_of_each(rows.where("doc_id = 7"), "lang", 100).count() == 2
