@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .geometry import resize, upto
 from .pixels import CHANNELS, KEY, densify, trunc
 from .rigs import footprint_union
 from .segment import character_alpha
@@ -43,7 +49,7 @@ def patch_state(rigs: DataFrame, patch_meta: DataFrame) -> DataFrame:
 def distance_transform(mask: DataFrame) -> DataFrame:
     """(..., d): each pixel's exact distance to the nearest pixel with m = 0 of its frame; needs a full grid.
 
-    Down the columns by windows, then along the rows as a fold over one array a row. A frame
+    Down the columns by windows, then along the rows, many at a time as arrays. A frame
     without zeros has a very large distance.
     """
     frame = [c for c in ("clip_id", "frame") if c in mask.columns]
@@ -54,10 +60,37 @@ def distance_transform(mask: DataFrame) -> DataFrame:
     far = F.lit(FAR)
     g = F.least(F.coalesce((F.col("y") - above).cast("double"), far), F.coalesce((below - F.col("y")).cast("double"), far))
     rows = mask.select(*frame, "y", "x", "m", (g * g).alias("g")).groupBy(*frame, "y").agg(F.array_sort(F.collect_list(F.struct("x", "m", "g"))).alias("v"))
-    out = rows.select(*frame, "y", F.explode(F.expr("transform(v, p -> struct(p.x as x, p.m as m, sqrt(array_min(transform(v, q -> q.g + (p.x - q.x) * (p.x - q.x)))) as d))")).alias("p"))
+    rows = rows.select(*frame, "y", F.col("v.x").alias("x"), F.col("v.m").alias("m"), F.col("v.g").alias("d"))
+    out = rows.mapInArrow(_row_distances, rows.schema).select(*frame, "y", F.explode(F.arrays_zip("x", "m", "d")).alias("p"))
     return out.select(*frame, "y", "p.x", "p.m", "p.d")
 
 
+def _row_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's squared column distances to distances, a row of pixels a list."""
+    for batch in batches:
+        k = batch.num_columns - 1
+        lists = batch.column(k)
+        at = lists.offsets.to_numpy()
+        flat, size = lists.values.to_numpy(zero_copy_only=False), np.diff(at)
+        out = np.empty(at[-1] - at[0])
+        for n in np.unique(size[size > 0]).tolist():
+            place = (at[:-1][size == n, None] + np.arange(n)) - at[0]
+            out[place] = np.sqrt(nearest_squares(flat[place + at[0]]))
+        made = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(out))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:k], made], batch.schema.names)
+
+
+def nearest_squares(g: np.ndarray) -> np.ndarray:
+    """min over q of g[:, q] + (p - q)^2 for each row and place p, by growing distance until none can gain."""
+    out = g.copy()
+    for s in range(1, g.shape[1]):
+        if s * s >= out.max():
+            break
+        out[:, s:] = np.minimum(out[:, s:], g[:, :-s] + s * s)
+        out[:, :-s] = np.minimum(out[:, :-s], g[:, s:] + s * s)
+    return out
+
+
 def feather_ramp(mask: DataFrame, fade: int) -> DataFrame:
     """(..., m): opaque inside the region, falling to 0 at its edge over ``fade`` pixels."""
     keep = [c for c in KEY if c in mask.columns]
@@ -80,29 +113,33 @@ def fill_region(plate: DataFrame, region: DataFrame, iters: int = 40) -> DataFra
     Pixels next to known ones take their mean, layer by layer; a few rounds of averaging
     smooth them. Only the region changes; a frame without known pixels stays as it is.
     """
-    cut = plate.join(region.select(*KEY, F.lit(True).alias("_in")).distinct(), KEY, "left")
-    known = cut.where("_in is null").select(*KEY, *(F.col(c).cast("double").alias(c) for c in CHANNELS))
-    todo = cut.where("_in").select(*KEY)
+    todo = region.select(*KEY).distinct().join(plate.select(*KEY), KEY, "left_semi").transform(cut)
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx))
 
+    def around(src: DataFrame) -> DataFrame:
+        """Each row at its eight neighbours' places."""
+        rest = [c for c in src.columns if c not in KEY]
+        d = src.select("*", F.explode(steps).alias("s"))
+        return d.select("clip_id", "frame", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), *rest)
+
     def means(src: DataFrame) -> DataFrame:
-        d = src.select(*KEY, *CHANNELS, F.explode(steps).alias("s"))
-        return d.groupBy("clip_id", "frame", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).agg(*(F.avg(c).alias(c) for c in CHANNELS))
+        return around(src).groupBy(*KEY).agg(*(F.avg(c).alias(c) for c in CHANNELS))
 
-    filled = None
-    for _ in range(10_000):
-        ring = means(known).join(todo, KEY, "left_semi").checkpoint()
+    # Only known pixels next to the region matter; of them and then of each ring the next ring takes its means.
+    rim = plate.join(around(todo).distinct(), KEY, "left_semi").join(todo, KEY, "left_anti").select(*KEY, *(F.col(c).cast("double").alias(c) for c in CHANNELS)).transform(cut)
+    filled, ring, left = None, rim, todo
+    while True:
+        ring = means(ring).join(left, KEY, "left_semi").transform(cut)
         if ring.limit(1).count() == 0:
             break
         filled = ring if filled is None else filled.unionByName(ring)
-        known = known.unionByName(ring).checkpoint()
-        todo = todo.join(ring, KEY, "left_anti").checkpoint()
+        left = left.join(ring, KEY, "left_anti").transform(cut)
     if filled is None:
         return plate
-    fixed = cut.where("_in is null").select(*KEY, *(F.col(c).cast("double").alias(c) for c in CHANNELS)).checkpoint()
+    places = filled.select(*KEY).transform(cut)
     for k in range(iters):
-        filled = means(fixed.unionByName(filled)).join(filled.select(*KEY), KEY, "left_semi")
-        filled = filled.checkpoint() if k % 5 == 4 else filled
+        filled = means(rim.unionByName(filled)).join(places, KEY, "left_semi")
+        filled = filled.transform(cut) if k % 5 == 4 else filled
     new = filled.select(*KEY, *(F.floor(F.least(F.lit(255.0), F.col(c) + 0.5)).cast("int").alias(f"_{c}") for c in CHANNELS))
     d = plate.join(new, KEY, "left")
     return d.select(*KEY, *(F.coalesce(f"_{c}", c).alias(c) for c in CHANNELS), F.when(F.col("_b").isNull(), F.col("a")).otherwise(255).alias("a"))
@@ -174,27 +211,57 @@ def background_plate(still: DataFrame, mask: DataFrame, iters: int = 40) -> Data
     return fill_region(still, mask.where("m > 0"), iters)
 
 
-def heal(plate: DataFrame, strokes: DataFrame, fade: int, width: int, height: int, iters: int = 20) -> DataFrame:
-    """The opaque plate (clip_id = plate_id, frame, ...) with painted areas filled and blended over their bands."""
-    plate = plate.checkpoint()
-    painted = stroke_mask(strokes, width, height).withColumnRenamed("plate_id", "clip_id")
-    frames = plate.select("clip_id", "frame").distinct()
-    region = painted.join(frames, "clip_id").select(*KEY)
-    filled = fill_region(plate, region, iters).select(*KEY, *(F.col(c).alias(f"{c}2") for c in CHANNELS))
-    grid = plate.select(*KEY).join(region.withColumn("m", F.lit(255)), KEY, "left").na.fill(0, ["m"])
-    band = correction_band(strokes, fade, width, height).withColumnRenamed("plate_id", "clip_id")
-    d = distance_transform(grid).join(band, "clip_id", "left").withColumn("w", F.when(F.col("m") > 0, F.floor(255 * F.least(F.lit(1.0), (F.col("d") - 1) / F.coalesce("band", F.lit(1)))) / 255.0).otherwise(0.0))
-    out = plate.join(d.select(*KEY, "w"), KEY).join(filled, KEY)
-    return out.select(*KEY, *(trunc(F.col(c) * (1 - F.col("w")) + F.col(f"{c}2") * F.col("w")).alias(c) for c in CHANNELS), F.lit(255).alias("a"))
+def _fitted(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """A mask (clip_id, frame, y, x, m) scaled to another size."""
+    shown = mask.select(*KEY, *(F.col("m").alias(c) for c in (*CHANNELS, "a")))
+    return resize(shown, width, height).select(*KEY, F.col("b").alias("m"))
+
 
+def heal(plate: DataFrame, strokes: DataFrame, fade: int, width: int, height: int, iters: int = 20, plate_size: tuple[int, int] | None = None) -> DataFrame:
+    """The opaque plate (clip_id = plate_id, frame, ...) with painted areas filled and blended over their bands.
 
-def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame, plate: DataFrame, fade: int, iters: int = 20) -> DataFrame:
-    """The patch (clip_id, frame 0, ...): the ground under what the character vacates, feathered."""
-    plate = plate.checkpoint()
-    swept = footprint_union(still, rigs, bones, keyframes, frames).withColumn("frame", F.lit(0)).checkpoint()
+    Strokes are in pixels of the canvas (``width``, ``height``); ``plate_size``: the plates' own
+    width and height, if other. A plate without a painted point fails the job.
+    """
+    return heal_parts(plate, strokes, fade, width, height, iters, plate_size)["plate"]
+
+
+def heal_parts(plate: DataFrame, strokes: DataFrame, fade: int, width: int, height: int, iters: int = 20, plate_size: tuple[int, int] | None = None) -> dict[str, DataFrame]:
+    """What ``heal`` makes of each plate: the healed ``plate``, and, in canvas pixels, the painted ``mask``,
+    the filled ``content``, the ``replaced`` pixels, and (``bbox``) the painted box with its ``band``."""
+    own = plate_size or (width, height)
+    plate = plate.transform(cut)
+    painted = stroke_mask(strokes, width, height).withColumnRenamed("plate_id", "clip_id").transform(cut)
+    frames = plate.select("clip_id", "frame").distinct().join(painted.select("clip_id", F.lit(True).alias("_some")).distinct(), "clip_id", "left")
+    bad = F.raise_error(F.concat(F.lit("no painted point on plate "), F.col("clip_id").cast("string"))).cast("boolean")
+    frames = frames.where(F.coalesce("_some", bad)).drop("_some").transform(cut)
+    grid = frames.select("*", upto(F.lit(height)).alias("y")).select("*", upto(F.lit(width)).alias("x"))
+    mask = grid.join(painted.withColumn("m", F.lit(255)), ["clip_id", "y", "x"], "left").na.fill(0, ["m"]).select(*KEY, "m")
+    band = correction_band(strokes, fade, width, height).withColumnRenamed("plate_id", "clip_id")
+    d = distance_transform(mask).join(band, "clip_id", "left")
+    ramp = d.select(*KEY, F.when(F.col("m") > 0, F.floor(255 * F.least(F.lit(1.0), (F.col("d") - 1) / F.coalesce("band", F.lit(1))))).otherwise(0).cast("int").alias("m"))
+    fit = lambda m: m if own == (width, height) else _fitted(m, *own)
+    filled = fill_region(plate, fit(mask).where("m > 127").select(*KEY), iters).transform(cut)
+    both = plate.join(fit(ramp), KEY).join(filled.select(*KEY, *(F.col(c).alias(f"{c}2") for c in CHANNELS)), KEY).withColumn("w", F.col("m") / 255.0)
+    healed = both.select(*KEY, *(trunc(F.col(c) * (1 - F.col("w")) + F.col(f"{c}2") * F.col("w")).alias(c) for c in CHANNELS), F.lit(255).alias("a"))
+    shown = lambda p: p if own == (width, height) else resize(p, width, height)
+    lit = painted.groupBy("clip_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
+    content = shown(filled.select(*KEY, *CHANNELS, F.lit(255).alias("a")))
+    return {"plate": healed, "mask": mask, "content": content, "replaced": shown(plate), "bbox": lit.join(band, "clip_id")}
+
+
+def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame, plate: DataFrame, fade: int, iters: int = 20, corrections: DataFrame | None = None) -> DataFrame:
+    """The patch (clip_id, frame 0, ...): the ground under what the character vacates, corrected, then feathered.
+
+    ``corrections``: painted pixels (rig_id = clip_id, id, y, x, al, b, g, r), applied over the ground in order of id.
+    """
+    plate = plate.transform(cut)
+    swept = footprint_union(still, rigs, bones, keyframes, frames).withColumn("frame", F.lit(0)).transform(cut)
     ground = fill_region(plate, swept.select(*KEY), iters)
+    if corrections is not None:
+        ground = apply_corrections(ground.select(F.col("clip_id").alias("rig_id"), "y", "x", *CHANNELS), corrections).select(F.col("rig_id").alias("clip_id"), F.lit(0).alias("frame"), "y", "x", *CHANNELS)
     grid = plate.select(*KEY).join(swept.select(*KEY, F.lit(255).alias("m")), KEY, "left").na.fill(0, ["m"])
-    return ground.drop("a").join(feather_ramp(grid, fade).withColumnRenamed("m", "a"), KEY)
+    return ground.select(*KEY, *CHANNELS).join(feather_ramp(grid, fade).withColumnRenamed("m", "a"), KEY)
 
 
 def content_fingerprint(rows: DataFrame, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -209,10 +276,32 @@ def stale_artifacts(wanted: DataFrame, built: DataFrame) -> DataFrame:
     return wanted.join(built.select("rig_id", "fingerprint"), ["rig_id", "fingerprint"], "left_anti")
 
 
-def resolve_layers(stored: DataFrame, still: DataFrame) -> DataFrame:
-    """Stored character masks (clip_id, frame, y, x, m) as they are, and computed ones for the other clips."""
+def _wanted(df: DataFrame, settings: DataFrame | None, flag: str) -> DataFrame:
+    """The clips that ``settings`` (rig_id, split, ``flag``, ...) split and don't remove the layer of; all without settings."""
+    if settings is None:
+        return df
+    return df.join(settings.where(F.col("split") & F.col(flag)).select(F.col("rig_id").alias("clip_id")), "clip_id", "left_semi")
+
+
+def resolve_layers(stored: DataFrame, still: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """Stored character masks (clip_id, frame, y, x, m) as they are, and computed ones for the other clips.
+
+    With ``settings`` (as ``layer_settings`` gives them), clips that aren't split, or whose
+    character is removed, have none.
+    """
     rest = still.join(stored.select("clip_id").distinct(), "clip_id", "left_anti")
-    return stored.select(*KEY, "m").unionByName(character_alpha(rest).select(*KEY, "m"))
+    return _wanted(stored.select(*KEY, "m"), settings, "has_character").unionByName(character_alpha(_wanted(rest, settings, "has_character")).select(*KEY, "m"))
+
+
+def resolve_plates(stored: DataFrame, still: DataFrame, masks: DataFrame, settings: DataFrame | None = None, iters: int = 40) -> DataFrame:
+    """Stored background plates (clip_id, frame, y, x, b, g, r, a) as they are; for other clips the still, filled where its mask is.
+
+    A clip without either has none, nor one that isn't split or whose background is removed.
+    """
+    rest = still.join(stored.select("clip_id").distinct(), "clip_id", "left_anti").join(masks.select("clip_id").distinct(), "clip_id", "left_semi")
+    made = background_plate(_wanted(rest, settings, "has_background").withColumn("a", F.lit(255)), masks, iters)
+    cols = [*KEY, *CHANNELS, "a"]
+    return _wanted(stored.select(*cols), settings, "has_background").unionByName(made.select(*cols))
 
 
 def dense_mask(pixels: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ signals and pixels alike and on many clips at once.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import BGRA, block_match_flow, frame_counts, reindex, remap, upto
-from .pixels import CHANNELS, KEY, blend_column, gray_column
+from .pixels import CHANNELS, KEY, blend_column, gray_column, parse_color_rgba
 
 
 def _index(df: DataFrame, m: Column, src: Column) -> DataFrame:
@@ -146,10 +148,37 @@ def _best(scores: DataFrame, thr: float) -> DataFrame:
 
 
 def _pair_scores(heads: DataFrame, tails: DataFrame) -> DataFrame:
-    """The score of each head frame s with each tail frame e of its clip: both lists are bounded by the scan range."""
-    t = tails.select("clip_id", "y", "x", "e", *(F.col(c).alias(f"{c}2") for c in CHANNELS))
-    mse = F.sum(sum((F.pow(F.col(c) - F.col(f"{c}2"), F.lit(2)) for c in CHANNELS), F.lit(0.0))) / (3 * F.count(F.lit(1)))
-    return heads.join(t, ["clip_id", "y", "x"]).groupBy("clip_id", "s", "e").agg(F.greatest(F.lit(0.0), 100 - mse / 10).alias("score"))
+    """The score of each head frame s with each tail frame e of its clip: both lists are bounded by the scan range.
+
+    A row of pixels of all its clip's frames is one group: squared differences by products of
+    matrices, so pixels aren't multiplied by pairs. Values are bytes, so sums are exact.
+    """
+    cols = ["clip_id", "y", "x", *CHANNELS]
+    both = heads.select(*cols, F.col("s").alias("f"), F.lit(True).alias("head")).unionByName(tails.select(*cols, F.col("e").alias("f"), F.lit(False).alias("head")))
+    kind = heads.schema["clip_id"].dataType.simpleString()
+    parts = both.groupBy("clip_id", "y").applyInArrow(_row_pairs, f"clip_id {kind}, s int, e int, sq double, n bigint")
+    sums = parts.groupBy("clip_id", "s", "e").agg(F.sum("sq").alias("sq"), F.sum("n").alias("n"))
+    return sums.select("clip_id", "s", "e", F.greatest(F.lit(0.0), 100 - F.col("sq") / (3 * F.col("n")) / 10).alias("score"))
+
+
+def _row_pairs(table: pa.Table) -> pa.Table:
+    """(clip_id, s, e, sum of squared differences, pixels in both) for one row of pixels of heads and tails."""
+    head = table.column("head").to_numpy(zero_copy_only=False).astype(bool)
+    f, x = table.column("f").to_numpy(), np.unique(table.column("x").to_numpy(), return_inverse=True)[1]
+    v = np.stack([table.column(c).to_numpy().astype(float) for c in CHANNELS], 1)
+    made = []
+    for side in (head, ~head):
+        frames, row = np.unique(f[side], return_inverse=True)
+        value, here = np.zeros((len(frames), x.max() + 1, 3)), np.zeros((len(frames), x.max() + 1))
+        value[row, x[side]], here[row, x[side]] = v[side], 1
+        made.append((frames, value, here))
+    (s, a, i), (e, b, j) = made
+    # Where a pixel is missing on one side it counts on neither.
+    cross = a.reshape(len(s), -1) @ b.reshape(len(e), -1).T
+    sq, n = (a**2).sum(2) @ j.T + i @ (b**2).sum(2).T - 2 * cross, i @ j.T
+    at, to = np.nonzero(n)
+    clip = table.column("clip_id").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(at), np.int64)))
+    return pa.table([clip, s[at].astype(np.int32), e[to].astype(np.int32), sq[at, to], n[at, to].astype(np.int64)], ["clip_id", "s", "e", "sq", "n"])
 
 
 def best_loop_points(df: DataFrame, scan: int = 100, thr: float = 70) -> DataFrame:
@@ -185,18 +214,34 @@ def morph_loop(df: DataFrame, steps: int = 10, block: int = 4, search: int = 2)
     return df.unionByName(mid.select(*df.columns)) if steps > 0 else df
 
 
-def make_loop(df: DataFrame, method: str = "auto") -> DataFrame:
-    """Each clip by the named method, or by the one that its analysis recommends."""
+def make_loop(
+    df: DataFrame, method: str = "auto", *, fade_color: str | tuple = "transparent", fade_frames: int = 10, fade_type: str = "both", morph_steps: int = 10, cycle: int | None = None, hold: int = 2,
+    blend_mode: str = "add", ramp_factor: float = 1.0, fps: float = 30, until: float | None = None, analyze_only: bool = False,
+) -> DataFrame:
+    """Each clip by the named method, or by the one that its analysis recommends.
+
+    With ``auto`` and ``analyze_only``, the analysis. ``fade_color``: r, g, b, a, or a colour's
+    notation; ``ramp_factor`` 1 leaves a clip as it is. A method of no name here is pingpong.
+    A clip of fewer than 4 frames fails the job.
+    """
+    short = frame_counts(df).where("n < 4").select("clip_id", F.lit(True).alias("_short"))
+    error = F.raise_error(F.concat(F.lit("a loop needs 4 frames; too few in clip "), F.col("clip_id").cast("string"))).cast(df.schema["clip_id"].dataType)
+    df = df.join(short, "clip_id", "left").select(*(F.when(F.col("_short"), error).otherwise(F.col(c)).alias(c) if c == "clip_id" else c for c in df.columns))
+    if method == "auto" and analyze_only:
+        return analyze_loop(df)
+    rgba = fade_color
+    if isinstance(fade_color, str):
+        of = parse_color_rgba(F.lit(fade_color))
+        rgba = tuple(of[k] for k in range(4))
     ways = {
-        "pingpong": pingpong, "reverse": reverse_loop, "hold": hold_loop, "fade": fade_loop, "blend": blend_loop, "morph": morph_loop,
-        "speedramp": lambda d: speedramp(d, 1.0), "periodic": lambda d: periodic_loop(d, frame_diff_signal(d, 120)),
+        "pingpong": lambda d: pingpong(d, fps, until), "reverse": reverse_loop, "hold": lambda d: hold_loop(d, hold), "fade": lambda d: fade_loop(d, rgba, fade_frames, fade_type), "blend": lambda d: blend_loop(d, blend_mode),
+        "morph": lambda d: morph_loop(d, morph_steps), "speedramp": lambda d: speedramp(d, ramp_factor), "periodic": lambda d: periodic_loop(d, frame_diff_signal(d, 120), cycle),
     }
     if method != "auto":
         return ways.get(method, pingpong)(df)
-    picks = analyze_loop(df).select("clip_id", F.when(F.col("recommended") == "cut", "pingpong").otherwise(F.col("recommended")).alias("_way"))
+    picks = analyze_loop(df).select("clip_id", F.col("recommended").alias("_way"))
     d = df.join(picks, "clip_id")
-    out = None
+    out = pingpong(d.where("_way = 'cut'").drop("_way"))  # no loop of that name
     for name in ("periodic", "fade", "pingpong", "hold"):
-        part = ways[name](d.where(F.col("_way") == name).drop("_way"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(ways[name](d.where(F.col("_way") == name).drop("_way")))
     return out

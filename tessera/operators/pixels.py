@@ -189,8 +189,22 @@ def over_columns(fg: str = "", bg: str = "2") -> list[Column]:
     return [*(trunc(mix(c)).alias(c) for c in CHANNELS), trunc(oa * 255).alias("a")]
 
 
-def composite_over(fg: DataFrame, bg: DataFrame) -> DataFrame:
-    """The foreground over the background, both with alpha; a pixel of either alone counts."""
+def same_size(a: DataFrame, b: DataFrame, what: str) -> DataFrame:
+    """``a``; a clip whose size differs between both, by their largest coordinates, fails the job."""
+    other = frame_sizes(b).withColumnsRenamed({"width": "_w", "height": "_h"})
+    odd = frame_sizes(a).join(other, "clip_id").where("width <> _w or height <> _h")
+    odd = odd.select("clip_id", F.format_string("%s differ in size: clip %s is %sx%s and %sx%s", F.lit(what), F.col("clip_id").cast("string"), "width", "height", "_w", "_h").alias("_why"))
+    d = a.join(odd, "clip_id", "left")
+    kinds = dict(a.dtypes)
+    return d.select(*(F.when(F.col("_why").isNull(), F.col(c)).otherwise(F.raise_error(F.col("_why")).cast(kinds[c])).alias(c) if c == "clip_id" else c for c in a.columns))
+
+
+def composite_over(fg: DataFrame, bg: DataFrame, strict: bool = True) -> DataFrame:
+    """The foreground over the background, both with alpha; a pixel of either alone counts.
+
+    Clips of two sizes fail the job, unless not ``strict``.
+    """
+    fg = same_size(fg, bg, "layers") if strict else fg
     under = bg.select(*KEY, *(F.col(c).alias(f"{c}2") for c in [*CHANNELS, "a"]))
     return fg.select(*KEY, *CHANNELS, "a").join(under, KEY, "full").select(*KEY, *over_columns())
 
@@ -213,6 +227,10 @@ def orient(df: DataFrame, orientation: int) -> DataFrame:
     return d.select("clip_id", "frame", ny.cast("int").alias("y"), nx.cast("int").alias("x"), *CHANNELS, "a")
 
 
-def split_layers(df: DataFrame, mask: DataFrame) -> DataFrame:
-    """The character layer: the pixels with the mask as alpha."""
+def split_layers(df: DataFrame, mask: DataFrame, strict: bool = True) -> DataFrame:
+    """The character layer: the pixels with the mask as alpha.
+
+    A mask of another size than its clip fails the job, unless not ``strict``.
+    """
+    df = same_size(df, mask, "still and mask") if strict else df
     return df.join(mask.select(*KEY, "m"), KEY, "left").select(*KEY, *CHANNELS, F.coalesce("m", F.lit(0)).alias("a"))

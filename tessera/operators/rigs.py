@@ -6,9 +6,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .geometry import remap, upto
 from .pixels import CHANNELS, KEY, composite_over
 
@@ -17,57 +20,82 @@ FALLOFFS = ("smooth", "linear", "hard")
 POSE = ["rot", "tx", "ty"]
 
 
-def bone_closure(bones: DataFrame, max_depth: int = 64) -> DataFrame:
+def bone_closure(bones: DataFrame) -> DataFrame:
     """(rig_id, bone_id, ancestor_id, depth): each bone with each of its ancestors, parents at 1.
 
-    The walk takes a join a level, each cut by a checkpoint, and stops when a level finds no new
-    pair; a cycle shows as a bone that is its own ancestor.
+    Each round joins the farthest ancestors so far with all of theirs, so depths double, and
+    is cut by a checkpoint; rounds end when one finds no new pair. A cycle shows as a bone
+    that is its own ancestor.
     """
     known = bones.select("rig_id", F.col("bone_id").alias("ancestor_id")).distinct()
-    up = bones.where("parent_id is not null").select("rig_id", F.col("bone_id").alias("ancestor_id"), F.col("parent_id").alias("_up"))
     step = bones.where("parent_id is not null").select("rig_id", "bone_id", F.col("parent_id").alias("ancestor_id"))
-    out = step = step.join(known, ["rig_id", "ancestor_id"], "left_semi").select("rig_id", "bone_id", "ancestor_id", F.lit(1).alias("depth")).checkpoint()
-    for depth in range(2, max_depth + 1):
-        step = step.join(up, ["rig_id", "ancestor_id"]).select("rig_id", "bone_id", F.col("_up").alias("ancestor_id")).distinct()
-        step = step.join(known, ["rig_id", "ancestor_id"], "left_semi").join(out, ["rig_id", "bone_id", "ancestor_id"], "left_anti")
-        step = step.select("rig_id", "bone_id", "ancestor_id", F.lit(depth).alias("depth")).checkpoint()
-        if step.limit(1).count() == 0:
-            break
-        out = out.unionByName(step)
-    return out
+    out = step.join(known, ["rig_id", "ancestor_id"], "left_semi").select("rig_id", "bone_id", "ancestor_id", F.lit(1).alias("depth")).distinct().transform(cut)
+    reach = 1
+    while True:
+        up = out.select("rig_id", F.col("bone_id").alias("ancestor_id"), F.col("ancestor_id").alias("_up"), F.col("depth").alias("_more"))
+        far = out.where(F.col("depth") == reach).join(up, ["rig_id", "ancestor_id"])
+        new = far.groupBy("rig_id", "bone_id", F.col("_up").alias("ancestor_id")).agg((F.min("_more") + reach).alias("depth"))
+        new = new.join(out, ["rig_id", "bone_id", "ancestor_id"], "left_anti").transform(cut)
+        if new.limit(1).count() == 0:
+            return out
+        out, reach = out.unionByName(new).transform(cut), 2 * reach
 
 
 def cyclic_bones(bones: DataFrame) -> DataFrame:
     return bone_closure(bones).where("bone_id = ancestor_id").select("rig_id", "bone_id").distinct()
 
 
-def audit_rigs(rigs: DataFrame, bones: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """(rig_id, ordinal, rule, n): the first rule that each faulty rig breaks, and how often.
+def audit_rigs(rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, schema: str | None = None) -> DataFrame:
+    """(rig_id, ordinal, rule, n): the first rule that each faulty rig breaks, and how often it breaks that rule.
 
-    ``rigs`` is (rig_id, schema_version, width, height, frames).
+    First is as a reader of the document meets it: the document, its canvas, bone by bone,
+    parents, cycles, keyframe by keyframe, then binding, duration and layers. ``rigs`` is
+    (rig_id, schema_version, width, height, ...); ``schema`` (compared with the argument),
+    power, radius_scale, frames, fps, character, background, fade and color count where
+    the table has them, and there a null is an absent field, which is no fault.
     """
-    out = None
-
-    def rule(ordinal: int, name: str, faults: DataFrame) -> None:
-        nonlocal out
-        d = faults.groupBy("rig_id").agg(F.count(F.lit(1)).alias("n")).select("rig_id", F.lit(ordinal).alias("ordinal"), F.lit(name).alias("rule"), "n")
-        out = d if out is None else out.unionByName(d)
-
-    rule(1, "schema", rigs.where("schema_version is null or schema_version <> 1"))
-    rule(2, "canvas", rigs.where("width is null or height is null or width <= 0 or height <= 0"))
-    rule(3, "no_bones", rigs.join(bones, "rig_id", "left_anti"))
-    rule(4, "bone_id", bones.where("bone_id is null or bone_id = ''").select("rig_id"))
-    rule(5, "duplicate_bone", bones.groupBy("rig_id", "bone_id").count().where("count > 1").select("rig_id"))
-    rule(6, "rest", bones.where("hx is null or hy is null or tx is null or ty is null").select("rig_id"))
-    rule(7, "radius", bones.where("radius <= 0").select("rig_id"))
-    rule(8, "falloff", bones.where(~F.col("falloff").isin(*FALLOFFS)).select("rig_id"))
-    known = bones.select("rig_id", F.col("bone_id").alias("parent_id"))
-    rule(9, "unknown_parent", bones.where("parent_id is not null").join(known, ["rig_id", "parent_id"], "left_anti").select("rig_id"))
-    rule(10, "cycle", cyclic_bones(bones).select("rig_id"))
-    rule(11, "keyframe_frame", keyframes.where("frame is null or frame < 0").select("rig_id"))
-    rule(12, "keyframe_bone", keyframes.join(bones.select("rig_id", "bone_id"), ["rig_id", "bone_id"], "left_anti").select("rig_id"))
-    rule(13, "duration", rigs.where("frames is null or frames <= 0"))
-    return out.groupBy("rig_id").agg(F.min(F.struct("ordinal", "rule", "n")).alias("m")).select("rig_id", "m.ordinal", "m.rule", "m.n")
+    found: list[DataFrame] = []
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+    def rule(phase: int, ordinal: int, name: str, faults: DataFrame, at: Column | None = None) -> None:
+        place = F.lit(0) if at is None else at.cast("int")
+        found.append(faults.groupBy("rig_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).select("rig_id", F.lit(phase).alias("phase"), "at", F.lit(ordinal).alias("ordinal"), F.lit(name).alias("rule"), "n"))
+
+    def field(phase: int, ordinal: int, name: str, wrong: Column) -> None:
+        if name in rigs.columns:
+            rule(phase, ordinal, name, rigs.where(F.col(name).isNotNull() & wrong))
+
+    if schema is not None and "schema" in rigs.columns:
+        rule(1, 1, "schema", rigs.where(~F.col("schema").eqNullSafe(schema)))
+    rule(2, 2, "version", rigs.where("schema_version is null or schema_version <> 1"))
+    rule(3, 3, "canvas", rigs.where("width is null or height is null or width <= 0 or height <= 0"))
+    rule(4, 4, "no_bones", rigs.join(bones, "rig_id", "left_anti"))
+    ord_ = F.col("ord")
+    rule(5, 5, "bone_id", bones.where("bone_id is null or bone_id = ''"), ord_)
+    twice = bones.groupBy("rig_id", "bone_id").agg(F.slice(F.array_sort(F.collect_list("ord")), 2, 2**30).alias("o")).select("rig_id", F.explode("o").alias("ord"))
+    rule(5, 6, "duplicate_bone", twice, ord_)
+    rule(5, 7, "rest", bones.where(~(number("hx") & number("hy") & number("tx") & number("ty"))), ord_)
+    rule(5, 8, "radius", bones.where(F.col("radius").isNotNull() & (~number("radius") | (F.col("radius") <= 0))), ord_)
+    rule(5, 9, "falloff", bones.where(~F.col("falloff").isin(*FALLOFFS)), ord_)
+    known = bones.select("rig_id", F.col("bone_id").alias("parent_id")).distinct()
+    rule(6, 10, "unknown_parent", bones.where("parent_id is not null").join(known, ["rig_id", "parent_id"], "left_anti"), ord_)
+    rule(7, 11, "cycle", cyclic_bones(bones))
+    frame = F.coalesce("frame", F.lit(-1))
+    rule(8, 12, "keyframe_frame", keyframes.where("frame is null or frame < 0"), frame)
+    rule(8, 13, "keyframe_bone", keyframes.join(bones.select("rig_id", "bone_id"), ["rig_id", "bone_id"], "left_anti"), frame)
+    rule(8, 14, "pose", keyframes.where(F.isnan("rot") | F.isnan("tx") | F.isnan("ty")), frame)
+    field(9, 15, "power", ~number("power") | (F.col("power") < 0))
+    field(10, 16, "radius_scale", ~number("radius_scale") | (F.col("radius_scale") <= 0))
+    field(11, 17, "frames", F.col("frames") <= 0)
+    field(12, 18, "fps", ~number("fps") | (F.col("fps") <= 0))
+    field(13, 19, "character", F.col("character") == "")
+    field(14, 20, "background", F.col("background") == "")
+    field(15, 21, "fade", F.col("fade") < 0)
+    field(16, 22, "color", (F.size("color") != 3) | F.exists("color", lambda x: x.isNull() | F.isnan(x.cast("double"))))
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out.groupBy("rig_id").agg(F.min(F.struct("phase", "at", "ordinal", "rule", "n")).alias("m")).select("rig_id", "m.ordinal", "m.rule", "m.n")
 
 
 def delete_bone(bones: DataFrame, keyframes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +114,11 @@ def record_keyframes(keyframes: DataFrame, updates: DataFrame, bones: DataFrame)
     return last.select("rig_id", "frame", "bone_id", *(F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(c) for c in POSE))
 
 
+def delete_keyframes(keyframes: DataFrame, gone: DataFrame) -> DataFrame:
+    """Keyframes without those of ``gone``: (rig_id, frame) whole ones, (rig_id, frame, bone_id) single poses."""
+    return keyframes.join(gone, [c for c in ("rig_id", "frame", "bone_id") if c in gone.columns], "left_anti")
+
+
 def auto_radius(rigs: DataFrame) -> DataFrame:
     return rigs.select("rig_id", F.round(F.greatest(F.lit(16.0), F.greatest("width", "height") / 5.0), 3).alias("radius"))
 
@@ -128,22 +161,26 @@ def _product(p: str, q: str) -> list[Column]:
     ]
 
 
-def bone_world(bones: DataFrame, poses: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(rig_id, frame, bone_id, a..f): each bone's transform times its parent's, a join a level."""
+def bone_world(bones: DataFrame, poses: DataFrame) -> DataFrame:
+    """(rig_id, frame, bone_id, a..f): each bone's transform times its parent's, a join a level.
+
+    Bones on a cycle, and below one, have no root and no transform.
+    """
     local = bone_local(bones, poses)
     known = bones.select("rig_id", F.col("bone_id").alias("parent_id"), F.lit(True).alias("_known"))
     tree = bones.select("rig_id", "bone_id", "parent_id").join(known, ["rig_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id")))
     tree = tree.select("rig_id", "bone_id", "parent_id")
     level = local.join(tree.where("parent_id is null").select("rig_id", "bone_id"), ["rig_id", "bone_id"], "left_semi")
     out, ids = level, tree.where("parent_id is null").select("rig_id", "bone_id")
-    for _ in range(max_depth):
+    for depth in count(1):
         ids = tree.join(ids.select("rig_id", F.col("bone_id").alias("parent_id")), ["rig_id", "parent_id"]).select("rig_id", "bone_id", "parent_id")
         if ids.limit(1).count() == 0:
             break
         parent = level.select("rig_id", "frame", F.col("bone_id").alias("parent_id"), *(F.col(k).alias(f"{k}1") for k in M))
         mine = local.select("rig_id", "frame", "bone_id", *(F.col(k).alias(f"{k}2") for k in M)).join(ids, ["rig_id", "bone_id"])
         level = mine.join(parent, ["rig_id", "frame", "parent_id"]).select("rig_id", "frame", "bone_id", *_product("1", "2"))
-        out, ids = out.unionByName(level), ids.select("rig_id", "bone_id")
+        level = level.transform(cut) if depth % 8 == 0 else level
+        out, ids = out.unionByName(level), ids.select("rig_id", "bone_id").transform(cut)
     return out
 
 
@@ -157,28 +194,39 @@ def skin_matrices(world: DataFrame, bind: DataFrame | None = None) -> DataFrame:
     return w.join(inv, ["rig_id", "bone_id"]).select("rig_id", "frame", "bone_id", *_product("1", "2"))
 
 
-def segment_distance(x: Column, y: Column) -> Column:
-    """Distance of a point from the bone's segment (hx, hy)-(tx, ty)."""
-    vx, vy, wx, wy = F.col("tx") - F.col("hx"), F.col("ty") - F.col("hy"), x - F.col("hx"), y - F.col("hy")
+def segment_distance(x: Column, y: Column, o: Column) -> Column:
+    """Distance of a point from the segment (hx, hy)-(tx, ty) of the bone ``o``."""
+    vx, vy, wx, wy = o["tx"] - o["hx"], o["ty"] - o["hy"], x - o["hx"], y - o["hy"]
     n = vx * vx + vy * vy
     t = F.when(n <= 1e-12, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (wx * vx + wy * vy) / n)))
     return F.sqrt((wx - t * vx) * (wx - t * vx) + (wy - t * vy) * (wy - t * vy))
 
 
+def _with_bones(points: DataFrame, bones: DataFrame, *fields: str) -> DataFrame:
+    """Each point (rig_id, y, x) with its rig's bones as one array, in order."""
+    b = bones.groupBy("rig_id").agg(F.array_sort(F.collect_list(F.struct("ord", "bone_id", *fields))).alias("_bones"))
+    return points.select("rig_id", "y", "x", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).join(b, "rig_id")
+
+
 def bone_weights(points: DataFrame, bones: DataFrame, power: float = 2.0, scale: float = 1.0) -> DataFrame:
     """(rig_id, y, x, bone_id, w) with w > 0, summing to 1 for each point (rig_id, y, x).
 
-    Each rig's bones are joined as one array, so a point is one row until its weights are known;
-    a point outside every radius goes to its nearest bone, the first in order on ties.
+    Each rig's bones are joined as one array, and a point stays one row until its weights
+    are known; a point outside every radius goes to its nearest bone, the first in order on ties.
     """
-    b = bones.groupBy("rig_id").agg(F.array_sort(F.collect_list(F.struct("ord", "bone_id", "hx", "hy", "tx", "ty", "radius", "falloff"))).alias("_bones"))
-    d = points.select("rig_id", "y", "x").join(b, "rig_id").select("rig_id", "y", "x", F.explode("_bones").alias("o")).select("rig_id", "y", "x", "o.*")
-    d = d.withColumn("dist", segment_distance(F.col("x").cast("double"), F.col("y").cast("double")))
-    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("dist") / F.greatest(F.col("radius") * scale, F.lit(1e-6))))
-    w = F.when(F.col("falloff") == "hard", (near > 0).cast("double")).when(F.col("falloff") == "linear", near).otherwise(F.pow(near, F.lit(power)))
-    g = d.withColumn("w", w).groupBy("rig_id", "y", "x").agg(F.sum("w").alias("total"), F.min(F.struct("dist", "ord", "bone_id")).alias("first"), F.collect_list(F.when(F.col("w") > 0, F.struct("bone_id", "w"))).alias("all"))
-    each = F.when(F.col("total") > 0, F.transform("all", lambda o: F.struct(o["bone_id"].alias("bone_id"), (o["w"] / F.col("total")).alias("w")))).otherwise(F.array(F.struct(F.col("first.bone_id").alias("bone_id"), F.lit(1.0).alias("w"))))
-    return g.select("rig_id", "y", "x", F.explode(each).alias("o")).select("rig_id", "y", "x", "o.bone_id", "o.w")
+    d = _with_bones(points, bones, "hx", "hy", "tx", "ty", "radius", "falloff")
+    dist = F.transform("_bones", lambda o: F.struct(segment_distance(F.col("_x"), F.col("_y"), o).alias("dist"), o["ord"].alias("ord"), o["bone_id"].alias("bone_id"), o["radius"].alias("radius"), o["falloff"].alias("falloff")))
+    d = d.select("rig_id", "y", "x", dist.alias("_d"))
+
+    def weight(o: Column) -> Column:
+        near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - o["dist"] / F.greatest(o["radius"] * scale, F.lit(1e-6))))
+        return F.when(o["falloff"] == "hard", (near > 0).cast("double")).when(o["falloff"] == "linear", near).otherwise(F.pow(near, F.lit(power)))
+
+    inside = F.filter(F.transform("_d", lambda o: F.struct(o["bone_id"].alias("bone_id"), weight(o).alias("w"))), lambda o: o["w"] > 0)
+    d = d.select("rig_id", "y", "x", inside.alias("_in"), F.array_min("_d")["bone_id"].alias("_first"))
+    d = d.withColumn("_total", F.aggregate("_in", F.lit(0.0), lambda s, o: s + o["w"]))
+    each = F.when(F.size("_in") > 0, F.transform("_in", lambda o: F.struct(o["bone_id"].alias("bone_id"), (o["w"] / F.col("_total")).alias("w")))).otherwise(F.array(F.struct(F.col("_first").alias("bone_id"), F.lit(1.0).alias("w"))))
+    return d.select("rig_id", "y", "x", F.explode(each).alias("o")).select("rig_id", "y", "x", "o.bone_id", "o.w")
 
 
 def grid_points(rigs: DataFrame) -> DataFrame:
@@ -212,8 +260,10 @@ def skinning_fields(weights: DataFrame, skins: DataFrame) -> DataFrame:
 def backward_map(fields: DataFrame, iters: int = 5) -> DataFrame:
     """(rig_id, frame, y, x, sy, sx): for each output pixel its source, by a fixed-point iteration.
 
-    A step reads the field at the rounded, clamped estimate: one join a step.
+    A step reads the field at the rounded, clamped estimate: one join a step, of a field
+    that is computed once.
     """
+    fields = cut(fields)
     edge = fields.groupBy("rig_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     est = fields.select("rig_id", "frame", "y", "x", F.col("y").cast("double").alias("sy"), F.col("x").cast("double").alias("sx")).join(edge, "rig_id")
     at = fields.withColumnsRenamed({"y": "py", "x": "px"})
@@ -232,7 +282,7 @@ def deform(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataF
     weights = bone_weights(grid_points(rigs), bones)
     skins = skin_matrices(bone_world(bones, interpolate_poses(keyframes, bones, frames)))
     to = backward_map(skinning_fields(weights, skins), iters).withColumnRenamed("rig_id", "clip_id")
-    out = remap(still, to)
+    out = cut(remap(still, to))
     return out if plate is None else composite_over(out, plate.join(out.select("clip_id", "frame").distinct(), "clip_id").select(*KEY, *CHANNELS, "a"))
 
 
@@ -270,14 +320,19 @@ def bone_tree(bones: DataFrame) -> DataFrame:
 
 
 def nearest_bone(points: DataFrame, bones: DataFrame, radius: float) -> DataFrame:
-    """(rig_id, y, x, bone_id, part, dist): the closest head, tail or body within ``radius``, in that order on ties."""
-    b = bones.groupBy("rig_id").agg(F.collect_list(F.struct("ord", "bone_id", "hx", "hy", "tx", "ty")).alias("_b"))
-    d = points.select("rig_id", "y", "x").join(b, "rig_id").select("rig_id", "y", "x", F.explode("_b").alias("o")).select("rig_id", "y", "x", "o.*")
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    to = lambda px, py: F.sqrt((x - F.col(px)) * (x - F.col(px)) + (y - F.col(py)) * (y - F.col(py)))
-    parts = F.array(*(F.struct(dist.alias("dist"), F.col("ord").alias("ord"), F.lit(k).alias("k"), F.lit(name).alias("part"), F.col("bone_id").alias("bone_id")) for k, (name, dist) in enumerate((("head", to("hx", "hy")), ("tail", to("tx", "ty")), ("body", segment_distance(x, y))))))
-    near = d.select("rig_id", "y", "x", F.explode(parts).alias("p")).where(F.col("p.dist") <= radius).groupBy("rig_id", "y", "x").agg(F.min("p").alias("p"))
-    return near.select("rig_id", "y", "x", "p.bone_id", "p.part", "p.dist")
+    """(rig_id, y, x, bone_id, part, dist): the closest head, tail or body within ``radius``, in that order on ties.
+
+    A point stays one row: its rig's bones are one array, of which the closest part is kept.
+    """
+    x, y = F.col("_x"), F.col("_y")
+    to = lambda o, px, py: F.sqrt((x - o[px]) * (x - o[px]) + (y - o[py]) * (y - o[py]))
+
+    def parts(o: Column) -> Column:
+        of = (("head", to(o, "hx", "hy")), ("tail", to(o, "tx", "ty")), ("body", segment_distance(x, y, o)))
+        return F.array_min(F.array(*(F.struct(dist.alias("dist"), o["ord"].alias("ord"), F.lit(k).alias("k"), F.lit(name).alias("part"), o["bone_id"].alias("bone_id")) for k, (name, dist) in enumerate(of))))
+
+    near = _with_bones(points, bones, "hx", "hy", "tx", "ty").select("rig_id", "y", "x", F.array_min(F.transform("_bones", parts)).alias("p"))
+    return near.where(F.col("p.dist") <= radius).select("rig_id", "y", "x", "p.bone_id", "p.part", "p.dist")
 
 
 def scale_rigs(bones: DataFrame, factor: float) -> DataFrame:

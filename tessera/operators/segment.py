@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .color import border_color, color_ranges
 from .pixels import CHANNELS, KEY, clips_of, densify, densify_mask, gray_column, hsv_columns, mask_or, over_columns
 
@@ -164,16 +165,16 @@ def connected_regions(mask: DataFrame) -> DataFrame:
     """
     on = mask.where("m > 0").select(*KEY)
     num = F.col("y").cast("bigint") * (1 << 31) + F.col("x")
-    labels = on.withColumn("label", num).checkpoint()
+    labels = on.withColumn("label", num).transform(cut)
     steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     while True:
         spread = labels.select("clip_id", "frame", "label", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("p"))
         near = spread.groupBy("clip_id", "frame", F.col("p.y").alias("y"), F.col("p.x").alias("x")).agg(F.min("label").alias("m"))
         new = labels.join(near, KEY).withColumnRenamed("label", "old")
         hook = new.groupBy("clip_id", "frame", F.col("old").alias("num")).agg(F.min("m").alias("m")).select("clip_id", "frame", "num", F.lit(None).cast("bigint").alias("old"), "m")
-        new = new.select("clip_id", "frame", num.alias("num"), "old", "m").union(hook).groupBy("clip_id", "frame", "num").agg(F.max("old").alias("old"), F.min("m").alias("m")).checkpoint()
+        new = new.select("clip_id", "frame", num.alias("num"), "old", "m").union(hook).groupBy("clip_id", "frame", "num").agg(F.max("old").alias("old"), F.min("m").alias("m")).transform(cut)
         far = new.select("clip_id", "frame", F.col("num").alias("m"), F.col("m").alias("far"))
-        new = new.join(far, ["clip_id", "frame", "m"]).join(on.select(*KEY, num.alias("num")), ["clip_id", "frame", "num"]).select(*KEY, F.col("far").alias("label"), "old").checkpoint()
+        new = new.join(far, ["clip_id", "frame", "m"]).join(on.select(*KEY, num.alias("num")), ["clip_id", "frame", "num"]).select(*KEY, F.col("far").alias("label"), "old").transform(cut)
         labels = new.select(*KEY, "label")
         if new.where("label <> old").limit(1).count() == 0:
             return labels

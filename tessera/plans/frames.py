@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import color as C
@@ -39,6 +41,31 @@ def box_sql(source: str, k: int, of: str) -> str:
     return f"select p.clip_id, p.frame, p.y, p.x, {of}(q.m)::int m from {source} p join {source} q on q.clip_id = p.clip_id and q.frame = p.frame and q.y between p.y - {k} and p.y + {k} and q.x between p.x - {k} and p.x + {k} group by all"
 
 
+CORNERS = """, picks as (select clip_id, w, h, k, f from clips, lateral (select * from (values (0, 0), (1, 1), (2, n - 1)) v(k, f) where f < n)), cs as (select p.clip_id, k * 4 + c ord, cast(floor(avg(b)) as int) b, cast(floor(avg(g)) as int) g, cast(floor(avg(r)) as int) r from pixels p join picks q on q.clip_id = p.clip_id and q.f = p.frame, (values (0), (1), (2), (3)) cc(c)
+  where case when c < 2 then y < 3 else y >= h - 3 end and case when c % 2 = 0 then x < 3 else x >= w - 3 end group by 1, 2)"""
+CENTRE = ", ".join(f"cast(floor(c.s{c} / c.n) as int) {c}" for c in "bgr")
+
+
+def clusters_sql(tol: float) -> str:
+    """Greedy clusters of the corners, sample by sample: ``final`` has each clip's list."""
+    one = "{'b': s.b::bigint, 'g': s.g::bigint, 'r': s.r::bigint, 'sb': s.b::bigint, 'sg': s.g::bigint, 'sr': s.r::bigint, 'n': 1::bigint}"
+    near = f"list_position(list_transform(t.acc, lambda c: sqrt((c.b - s.b) ** 2 + (c.g - s.g) ** 2 + (c.r - s.r) ** 2) <= {float(tol)}), true)"
+    grown = "list_transform(range(1, len(acc) + 1), lambda i: case when i = hit then {'b': acc[i].b, 'g': acc[i].g, 'r': acc[i].r, 'sb': acc[i].sb + b, 'sg': acc[i].sg + g, 'sr': acc[i].sr + r, 'n': acc[i].n + 1} else acc[i] end)"
+    return f""", sq as (select *, row_number() over (partition by clip_id order by ord) k, count(*) over (partition by clip_id) m from cs),
+rec as (select clip_id, k, m, [{one}] acc from sq s where k = 1 union all select clip_id, k, m, case when hit > 0 then {grown} else list_append(acc, one) end from (select s.clip_id, s.k, s.m, s.b, s.g, s.r, t.acc, {one} one, coalesce({near}, 0) hit from rec t join sq s on s.clip_id = t.clip_id and s.k = t.k + 1)),
+final as (select clip_id, acc from rec where k = m)"""
+
+
+def blur_sql(columns: str) -> str:
+    """A Gaussian of five taps with mirrored borders over ``dense``: the table ``blur``."""
+    raw = [math.exp(-((i - 2) ** 2) / (2 * 1.1 * 1.1)) for i in range(5)]
+    taps = ", ".join(f"({i - 2}, {w / sum(raw)!r}::double)" for i, w in enumerate(raw))
+    at = lambda c, n: f"(({n} - 1) - abs(({n} - 1) - abs({c} + o) % (2 * ({n} - 1))))"
+    sums = ", ".join(f"sum(q.{c} * k) {c}" for c in columns)
+    return f""", taps as (select * from (values {taps}) v(o, k)), hb as (select p.clip_id, p.frame, p.y, p.x, {sums} from dense p join clips using (clip_id), taps join dense q on q.clip_id = p.clip_id and q.frame = p.frame and q.y = p.y and q.x = {at('p.x', 'w')} group by 1, 2, 3, 4),
+blur as (select p.clip_id, p.frame, p.y, p.x, {", ".join(f"cast(floor(sum(q.{c} * k) + 0.5) as int) {c}" for c in columns)} from hb p join clips using (clip_id), taps join hb q on q.clip_id = p.clip_id and q.frame = p.frame and q.x = p.x and q.y = {at('p.y', 'h')} group by 1, 2, 3, 4)"""
+
+
 def stats(df):
     """Per frame: rows, and sums weighted by place, so that a moved or changed pixel shows."""
     cols = [c for c in df.columns if c not in P.KEY]
@@ -138,8 +165,8 @@ QUERIES = {
     "c1_color_ranges": (px(lambda p: C.color_ranges(C.border_color(p), 8, 25)), oracle(CLIPS + ranges_sql(25, 8) + " select clip_id, ord, b, g, r, t tolerance from ranges", "pixels")),
     "c2_corner_samples": (px(lambda p: C.corner_samples(p, 3)), oracle(CLIPS + """, picks as (select clip_id, w, h, k, f from clips, lateral (select * from (values (0, 0), (1, 1), (2, n - 1)) v(k, f) where f < n)), cs as (select p.clip_id, k * 4 + c ord, b, g, r from pixels p join picks q on q.clip_id = p.clip_id and q.f = p.frame, (values (0), (1), (2), (3)) cc(c)
   where case when c < 2 then y < 3 else y >= h - 3 end and case when c % 2 = 0 then x < 3 else x >= w - 3 end) select clip_id, ord, cast(floor(avg(b)) as int) b, cast(floor(avg(g)) as int) g, cast(floor(avg(r)) as int) r from cs group by 1, 2""", "pixels")),
-    "c3_cluster_colors": (px(lambda p: C.cluster_colors(C.corner_samples(p, 3), 12)), None),
-    "c4_background_color": (px(lambda p: C.background_color(p, 3)), None),
+    "c3_cluster_colors": (px(lambda p: C.cluster_colors(C.corner_samples(p, 3), 12)), oracle(CLIPS + CORNERS + clusters_sql(12) + " select clip_id, (i - 1)::int ord, " + CENTRE + " from (select clip_id, unnest(acc) c, unnest(range(1, len(acc) + 1)) i from final)", "pixels")),
+    "c4_background_color": (px(lambda p: C.background_color(p, 3)), oracle(CLIPS + CORNERS + clusters_sql(30) + " select clip_id, " + CENTRE + " from (select clip_id, acc[1] c from final)", "pixels")),
     "c5_border_color": (px(lambda p: C.border_color(p)), oracle(CLIPS + ", " + border_sql("clip_id") + " select * from bd", "pixels")),
     "c6_dominant_color": (mo(C.dominant_color), oracle(", p as (select * from mosaic where frame = 0 and a > 0) select clip_id, printf('#%02x%02x%02x', floor(median(r))::int, floor(median(g))::int, floor(median(b))::int) hex from p group by 1", "mosaic")),
     "c7_frame_stats": (mo(lambda p: C.frame_stats(p).select("clip_id", "frame", *(F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in "bgr"), "min_v", "max_v", "fg", "bbox_x", "bbox_y", "bbox_width", "bbox_height")), oracle("""select clip_id, frame, round(avg(b), 6) mean_b, round(avg(g), 6) mean_g, round(avg(r), 6) mean_r, min(least(b, g, r)) min_v, max(greatest(b, g, r)) max_v, count(*) filter (a > 0) fg,
@@ -156,14 +183,14 @@ QUERIES = {
     "d8_soft_edges": (lambda s, d: stats(S.soft_edges(mmask(s, d), 1)), oracle(DENSE + ", dl as (" + box_sql("dense", 1, "max") + ")" + stats_sql("select clip_id, frame, y, x, cast(floor(255 * (dense.m / 255.0::double + (dl.m / 255.0::double - dense.m / 255.0::double) * 0.5::double)) as int) m from dense join dl using (clip_id, frame, y, x)", "m"), "mosaic")),
     "d9_dilate": (lambda s, d: stats(S.dilate(mmask(s, d), 4)), oracle(DENSE + stats_sql(box_sql("dense", 2, "max"), "m"), "mosaic")),
     "d10_erode": (lambda s, d: stats(S.erode(mmask(s, d), 3, 2)), oracle(DENSE + stats_sql(box_sql("dense", 2, "min"), "m"), "mosaic")),
-    "d11_gaussian_blur": (mo(lambda p: stats(S.gaussian_blur(P.densify(p), 5))), None),
+    "d11_gaussian_blur": (mo(lambda p: stats(S.gaussian_blur(P.densify(p), 5))), oracle(DENSE + blur_sql("bgra") + stats_sql("select * from blur", *"bgra"), "mosaic")),
     "d14_missed_pixels": (lambda s, d: S.missed_pixels(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), 15).groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("n")), oracle(CLIPS + ranges_sql(25, 3) + PM + f" select clip_id, frame, count(*) n from pixels p join pm using (clip_id, frame, y, x) where m > 0 and {hit(tol='15')} group by 1, 2", "pixels")),
     "d15_missed_blocks": (lambda s, d: S.missed_blocks(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), None, 4), oracle(CLIPS + ranges_sql(25, 3) + PM + f""" select clip_id, frame, "by", bx, fg, bg from (select clip_id, frame, y // 4 "by", x // 4 bx, count(*) filter (m > 0) fg, count(*) filter (m > 0 and {hit()}) bg from pixels p join pm using (clip_id, frame, y, x) group by 1, 2, 3, 4) where fg > 0 and bg > 0.5 * fg""", "pixels")),
     "d16_connected_regions": (lambda s, d: S.connected_regions(pmask(s, d, 150)).groupBy("clip_id", "frame", "label").agg(F.count(F.lit(1)).alias("area")), None),
     "d17_missed_regions": (lambda s, d: S.missed_regions(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), None, 20).groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("n")), None),
     "d18_refine": (lambda s, d: stats(S.refine(X.pixels(s, d), pmask(s, d), C.border_color(X.pixels(s, d)))), None),
     "d20_character_alpha": (px(lambda p: stats(S.character_alpha(p.where("frame = 0")))), oracle(", p0 as (select * from pixels where frame = 0)" + CLIPS.replace("from pixels", "from p0") + ranges_sql().replace("from pixels p", "from p0 p") + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from p0 p", "m"), "pixels")),
-    "e2_glow": (mo(lambda p: stats(S.glow(p, (10, 200, 250), 2, 1.5))), None),
+    "e2_glow": (mo(lambda p: stats(S.glow(p, (10, 200, 250), 2, 1.5))), oracle(DENSE + blur_sql("a") + ", halo as (select clip_id, frame, y, x, 10 b2, 200 g2, 250 r2, cast(floor(least(255.0, a * 1.5::double)) as int) a2 from blur)" + stats_sql(OVER_SQL.format(cols=OVER_COLS, fg="dense", bg="halo"), *"bgra"), "mosaic")),
 }
 
 

@@ -11,7 +11,7 @@ from ..operators.geometry import upto
 from ..operators.pixels import KEY
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle
-from .frames import DENSE, mmask, mo, px, stats, stats_sql
+from .frames import CLIPS, DENSE, hit, mmask, mo, px, ranges_sql, stats, stats_sql
 
 SIZE, FRAMES, FPS = 64, 48, 24.0
 
@@ -21,29 +21,29 @@ def rigs_of(spark, d):
     return spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("bigint").alias("rig_id"), F.lit(1).alias("schema_version"), F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height"), F.lit(FRAMES).alias("frames"), F.lit(FPS).alias("fps"))
 
 
-def frames_of(spark, d, step=1):
-    return rigs_of(spark, d).select("rig_id", upto(F.col("frames")).alias("frame")).where(F.col("frame") % step == 0)
-
-
-def upper(spark, d):
-    """Bones of the two upper levels: their number doesn't follow the suppliers."""
-    return X.bones(spark, d).where("ord < 100")
+def frames_of(spark, d):
+    return rigs_of(spark, d).select("rig_id", upto(F.col("frames")).alias("frame"))
 
 
 def rb(fn):
     return lambda s, d: fn(X.bones(s, d), X.keyframes(s, d))
 
 
-def posed(s, d, step=5):
-    return R.interpolate_poses(X.keyframes(s, d), X.bones(s, d), frames_of(s, d, step))
+def posed(s, d):
+    return R.interpolate_poses(X.keyframes(s, d), X.bones(s, d), frames_of(s, d))
+
+
+def rest(s, d):
+    """Each rig's pose at the frame that its skin is bound at."""
+    return R.interpolate_poses(X.keyframes(s, d), X.bones(s, d), rigs_of(s, d).select("rig_id", F.lit(0).alias("frame")))
 
 
 def rounded(df, *cols, digits=6):
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if c in cols else c for c in df.columns))
 
 
-def points(s, d, step=8):
-    return R.grid_points(rigs_of(s, d)).where(f"y % {step} = 3 and x % {step} = 3")
+def points(s, d):
+    return R.grid_points(rigs_of(s, d))
 
 
 def faulty(s, d):
@@ -55,13 +55,15 @@ def faulty(s, d):
 
 
 RIGS = ", rigs as (select cast(r_regionkey as bigint) rig_id, 64 width, 64 height, 48 frames, 24.0::double fps from region)"
+FAULTY = """, fb as (select rig_id, bone_id, ord, case when rig_id = 1 and ord = 2 then 'nowhere' when bone_id = 'R2' then 'N2' else parent_id end parent_id, case when rig_id = 0 and ord = 1 then 0.0 else radius end radius, case when rig_id = 3 then 'steep' else falloff end falloff from bones),
+fc as (select rig_id, bone_id, parent_id ancestor_id from fb where parent_id is not null union select c.rig_id, c.bone_id, b.parent_id from fc c join fb b on b.rig_id = c.rig_id and b.bone_id = c.ancestor_id where b.parent_id is not null)"""
 CLOSURE = ", cl as (select rig_id, bone_id, parent_id ancestor_id, 1 depth from bones where parent_id is not null union all select c.rig_id, c.bone_id, b.parent_id, depth + 1 from cl c join bones b on b.rig_id = c.rig_id and b.bone_id = c.ancestor_id where b.parent_id is not null)"
 
 
-def posed_sql(step: int) -> str:
-    """Poses at every ``step``-th frame; keyframes are at 0, 12, 24 and 36."""
+def posed_sql() -> str:
+    """Poses at every frame; keyframes are at 0, 12, 24 and 36."""
     get = lambda t, c: f"coalesce({t}.{c}, 0)"
-    return f""", fr as (select rig_id, f::int frame, (least(f, 36) // 12 * 12)::int lo, least(36, f // 12 * 12 + 12) hi from rigs, (select unnest(range(0, 48, {step})) f)),
+    return f""", fr as (select rig_id, f::int frame, (least(f, 36) // 12 * 12)::int lo, least(36, f // 12 * 12 + 12) hi from rigs, (select unnest(range(0, 48)) f)),
 po as (select fr.rig_id, fr.frame, b.bone_id, {", ".join(f"{get('p', c)} + ({get('q', c)} - {get('p', c)}) * case when hi > lo then (least(fr.frame, 36) - lo) / (hi - lo)::double else 0 end {c}" for c in ("rot", "tx", "ty"))}
 from fr join bones b using (rig_id) left join keyframes p on p.rig_id = fr.rig_id and p.frame = fr.lo and p.bone_id = b.bone_id left join keyframes q on q.rig_id = fr.rig_id and q.frame = fr.hi and q.bone_id = b.bone_id)"""
 
@@ -71,7 +73,7 @@ PRODUCT = "p.a * q.a + p.b * q.d a, p.a * q.b + p.b * q.e b, p.a * q.c + p.b * q
 WORLD = LOCAL + f", wo as (select rig_id, frame, bone_id, a, b, c, d, e, f from lo where parent_id is null union all select q.rig_id, q.frame, q.bone_id, {PRODUCT} from wo p join lo q on q.rig_id = p.rig_id and q.frame = p.frame and q.parent_id = p.bone_id)"
 ABC = ", ".join(f"round({k}, 6) + 0 {k}" for k in "abcdef")
 SEG = "case when n <= 1e-12 then sqrt(wx * wx + wy * wy) else sqrt((wx - t * vx) ** 2 + (wy - t * vy) ** 2) end"
-DIST = f""", pt as (select rig_id, y::int y, x::int x from rigs, (select unnest(range(3, 64, 8)) y), (select unnest(range(3, 64, 8)) x)),
+DIST = f""", pt as (select rig_id, y::int y, x::int x from rigs, (select unnest(range(0, 64)) y), (select unnest(range(0, 64)) x)),
 ds as (select *, {SEG} dist from (select *, least(1.0, greatest(0.0, (wx * vx + wy * vy) / case when n <= 1e-12 then 1 else n end)) t from (select p.rig_id, p.y, p.x, b.bone_id, b.ord, b.hx, b.hy, b.tx, b.ty, b.radius, b.falloff, b.tx - b.hx vx, b.ty - b.hy vy, p.x - b.hx wx, p.y - b.hy wy, (b.tx - b.hx) ** 2 + (b.ty - b.hy) ** 2 n from pt p join bones b using (rig_id))))"""
 WEIGHTS = DIST + """, ws as (select *, sum(w) over (partition by rig_id, y, x) total, row_number() over (partition by rig_id, y, x order by dist, ord) rn from (select *, case falloff when 'hard' then (near > 0)::int::double when 'linear' then near else near ** 2 end w from (select *, least(1.0, greatest(0.0, 1 - dist / greatest(radius, 1e-6))) near from ds))),
 wt as (select rig_id, y, x, bone_id, case when total > 0 then w / total else 1.0 end w from ws where (total > 0 and w > 0) or (total <= 0 and rn = 1))"""
@@ -138,7 +140,8 @@ def _small(s, d):
 
 
 def _little(s, d):
-    b = upper(s, d)
+    """The bones on the small canvas."""
+    b = X.bones(s, d)
     return b.withColumns({c: F.col(c) / 4 for c in ("hx", "hy", "tx", "ty", "radius")})
 
 
@@ -147,42 +150,84 @@ def _plate(s, d):
 
 
 def _strokes(s, d):
-    """Strokes on the first few small plates."""
-    return X.strokes(s, d).where("plate_id < 5").select("plate_id", "stroke", (F.col("x") % 16).alias("x"), (F.col("y") % 16).alias("y"), F.lit(2).alias("radius"))
+    """Strokes on small plates."""
+    return X.strokes(s, d).select("plate_id", "stroke", (F.col("x") % 16).alias("x"), (F.col("y") % 16).alias("y"), F.lit(2).alias("radius"))
+
+
+def _plates(s, d, size=16):
+    """A coloured plate for each plate that was painted on."""
+    g = X.strokes(s, d).select(F.col("plate_id").alias("clip_id")).distinct().select("clip_id", F.lit(0).alias("frame"), upto(F.lit(size)).alias("y")).select("*", upto(F.lit(size)).alias("x"))
+    return g.select(*KEY, (F.col("y") * 240 / size).cast("int").alias("b"), (F.col("x") * 240 / size).cast("int").alias("g"), (F.col("clip_id") % 256).cast("int").alias("r"), F.lit(255).alias("a"))
 
 
 def _heal(s, d):
-    plate = _plate(s, d)
-    return stats(Y.heal(plate, _strokes(s, d).where("stroke % 17 = 0"), 2, 16, 16, 5))
+    return stats(Y.heal(_plates(s, d), _strokes(s, d), 2, 16, 16, 5))
+
+
+def _heal_larger(s, d):
+    """Plates of twice the canvas, and what was painted, shown at the canvas's size."""
+    return stats(Y.heal_parts(_plates(s, d, 32), _strokes(s, d), 2, 16, 16, 3, (32, 32))["content"])
+
+
+def _heal_box(s, d):
+    return Y.heal_parts(_plates(s, d), _strokes(s, d), 2, 16, 16, 1)["bbox"].select("clip_id", "x", "y", "width", "height")
+
+
+def _patch(s, d):
+    """The patch under corrections of each rig's middle."""
+    painted = R.grid_points(_small(s, d)).where("y between 4 and 11 and x between 4 and 11").select("rig_id", F.lit(1).alias("id"), "y", "x", (F.col("x") * 16).alias("al"), F.lit(1).alias("b"), F.lit(2).alias("g"), F.lit(3).alias("r"))
+    return stats(Y.build_patch(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d), _plate(s, d), 2, 5, painted))
+
+
+def _stored(p):
+    """Masks that are at hand, of every other clip."""
+    return p.where("clip_id % 2 = 0").select(*KEY, F.lit(7).alias("m"))
+
+
+def _layered(p):
+    """Clips whose character, background or split is given up."""
+    k = F.col("clip_id")
+    return p.select("clip_id").distinct().select(k.alias("rig_id"), (k % 5 < 4).alias("split"), (k % 7 < 6).alias("has_character"), (k % 3 < 2).alias("has_background"))
+
+
+def _resolved_plates(p):
+    kept = p.where("clip_id % 4 = 1")
+    masks = p.select(*KEY, F.when(F.expr("y between 2 and 5 and x between 3 and 5"), 255).otherwise(0).alias("m"))
+    return stats(Y.resolve_plates(kept, p, masks, _layered(p), 5))
 
 
 def _deform(s, d):
-    return stats(R.deform(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d, 16), _plate(s, d).drop("frame"), 3))
+    return stats(R.deform(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d), _plate(s, d).drop("frame"), 3))
 
 
 M6 = ("a", "b", "c", "d", "e", "f")
 
 QUERIES = {
-    "h1_audit_rigs": (lambda s, d: R.audit_rigs(rigs_of(s, d), faulty(s, d), X.keyframes(s, d)), oracle("""select v.* from (values (0::bigint, 7, 'radius', 1::bigint), (1, 9, 'unknown_parent', 1)) v(rig_id, ordinal, rule, n)
-        union all select 2, 10, 'cycle', count(*) from (select 1 where exists (select 1 from bones where bone_id = 'N2' and rig_id = 2)) t, (values (1), (2)) having count(*) > 0 union all select 3, 8, 'falloff', count(*) from bones where rig_id = 3""", "bones")),
+    "h1_audit_rigs": (lambda s, d: R.audit_rigs(rigs_of(s, d), faulty(s, d), X.keyframes(s, d)), oracle(FAULTY + """, f as (
+        select rig_id, 5 phase, ord place, 8 ordinal, 'radius' rule from fb where radius <= 0 union all select rig_id, 5, ord, 9, 'falloff' from fb where falloff not in ('smooth', 'linear', 'hard') union all select rig_id, 5, ord, 5, 'bone_id' from fb where bone_id is null or bone_id = ''
+        union all select b.rig_id, 6, b.ord, 10, 'unknown_parent' from fb b where parent_id is not null and not exists (select 1 from fb p where p.rig_id = b.rig_id and p.bone_id = b.parent_id) union all select distinct rig_id, 7, 0, 11, 'cycle' from (select distinct rig_id, bone_id from fc where bone_id = ancestor_id)
+        union all select k.rig_id, 8, k.frame, 13, 'keyframe_bone' from keyframes k where not exists (select 1 from fb p where p.rig_id = k.rig_id and p.bone_id = k.bone_id)),
+        g as (select rig_id, phase, ordinal, rule, min(place) place, count(*) n from f group by 1, 2, 3, 4) select rig_id, ordinal, rule, case when rule = 'cycle' then (select count(distinct bone_id) from fc where fc.rig_id = z.rig_id and bone_id = ancestor_id) else n end n
+        from (select *, row_number() over (partition by rig_id order by phase, place, ordinal) rn from g) z where rn = 1""", "bones", "keyframes")),
     "h2_bone_closure": (rb(lambda b, k: R.bone_closure(b)), oracle(CLOSURE + " select rig_id, bone_id, ancestor_id, depth from cl", "bones")),
-    "h2_cyclic_bones": (lambda s, d: R.cyclic_bones(faulty(s, d)), oracle("select rig_id, bone_id from bones where rig_id = 2 and bone_id in ('R2', 'N2')", "bones")),
+    "h2_cyclic_bones": (lambda s, d: R.cyclic_bones(faulty(s, d)), oracle(FAULTY + " select distinct rig_id, bone_id from fc where bone_id = ancestor_id", "bones")),
     "h3_delete_bone": (lambda s, d: R.delete_bone(X.bones(s, d), X.keyframes(s, d), X.bones(s, d).where("ord between 1 and 9").select("rig_id", "bone_id"))[0].select("rig_id", "bone_id", "parent_id"), oracle("select b.rig_id, b.bone_id, case when p.ord between 1 and 9 then p.parent_id else b.parent_id end parent_id from bones b left join bones p on p.rig_id = b.rig_id and p.bone_id = b.parent_id where b.ord not between 1 and 9", "bones")),
     "h3_delete_bone_keyframes": (lambda s, d: R.delete_bone(X.bones(s, d), X.keyframes(s, d), X.bones(s, d).where("ord between 1 and 9").select("rig_id", "bone_id"))[1], oracle("select * from keyframes where (rig_id, bone_id) not in (select (rig_id, bone_id) from bones where ord between 1 and 9)", "bones", "keyframes")),
     "h4_record_keyframes": (lambda s, d: R.record_keyframes(X.keyframes(s, d), X.keyframes(s, d).where("frame = 12").select("rig_id", "frame", F.when(F.col("tx") < 0, "ghost").otherwise(F.col("bone_id")).alias("bone_id"), F.lit(9.0).alias("rot"), F.lit(None).cast("double").alias("tx"), "ty"), X.bones(s, d)), oracle("select rig_id, frame, bone_id, case when frame = 12 and tx >= 0 then 9.0 else rot end::double rot, case when frame = 12 and tx >= 0 then 0.0 else tx end::double tx, ty from keyframes", "keyframes")),
+    "h4_delete_keyframes": (lambda s, d: R.delete_keyframes(R.delete_keyframes(X.keyframes(s, d), X.keyframes(s, d).where("frame = 24 and rig_id > 1").select("rig_id", "frame").distinct()), X.keyframes(s, d).where("frame = 36").select("rig_id", "frame", F.lit("N3").alias("bone_id"))), oracle("select * from keyframes where not (frame = 24 and rig_id > 1) and not (frame = 36 and bone_id = 'N3')", "keyframes")),
     "h5_auto_radius": (lambda s, d: R.auto_radius(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("rig_id"), (F.col("s_suppkey") * 37 % 900).alias("width"), (F.col("s_suppkey") * 53 % 700).alias("height"))), "select s_suppkey rig_id, round(greatest(16.0::double, greatest(s_suppkey * 37 % 900, s_suppkey * 53 % 700) / 5.0::double), 3) radius from supplier"),
-    "h6_interpolate_poses": (lambda s, d: rounded(posed(s, d), "rot", "tx", "ty"), oracle(RIGS + posed_sql(5) + " select rig_id, frame, bone_id, round(rot, 6) rot, round(tx, 6) tx, round(ty, 6) ty from po", "bones", "keyframes")),
-    "h7_bone_local": (lambda s, d: rounded(R.bone_local(X.bones(s, d), posed(s, d)), *M6), oracle(RIGS + posed_sql(5) + LOCAL + f" select rig_id, frame, bone_id, {ABC} from lo", "bones", "keyframes")),
-    "h8_bone_world": (lambda s, d: rounded(R.bone_world(X.bones(s, d), posed(s, d)), *M6), oracle(RIGS + posed_sql(5) + WORLD + f" select rig_id, frame, bone_id, {ABC} from wo", "bones", "keyframes")),
-    "h9_skin_matrices": (lambda s, d: rounded(R.skin_matrices(R.bone_world(X.bones(s, d), posed(s, d)), R.bone_world(X.bones(s, d), posed(s, d, 48)).drop("frame")), *M6), oracle(RIGS + posed_sql(5) + WORLD + ", bi as (select rig_id, bone_id, e / k a, -b / k b, (b * f - c * e) / k c, -d / k d, a / k e, (c * d - a * f) / k f from (select *, a * e - b * d k from wo where frame = 0)), sk as (select p.rig_id, p.frame, p.bone_id, " + PRODUCT + f" from wo p join bi q using (rig_id, bone_id)) select rig_id, frame, bone_id, {ABC} from sk", "bones", "keyframes")),
+    "h6_interpolate_poses": (lambda s, d: rounded(posed(s, d), "rot", "tx", "ty"), oracle(RIGS + posed_sql() + " select rig_id, frame, bone_id, round(rot, 6) + 0 rot, round(tx, 6) + 0 tx, round(ty, 6) + 0 ty from po", "bones", "keyframes")),
+    "h7_bone_local": (lambda s, d: rounded(R.bone_local(X.bones(s, d), posed(s, d)), *M6), oracle(RIGS + posed_sql() + LOCAL + f" select rig_id, frame, bone_id, {ABC} from lo", "bones", "keyframes")),
+    "h8_bone_world": (lambda s, d: rounded(R.bone_world(X.bones(s, d), posed(s, d)), *M6), oracle(RIGS + posed_sql() + WORLD + f" select rig_id, frame, bone_id, {ABC} from wo", "bones", "keyframes")),
+    "h9_skin_matrices": (lambda s, d: rounded(R.skin_matrices(R.bone_world(X.bones(s, d), posed(s, d)), R.bone_world(X.bones(s, d), rest(s, d)).drop("frame")), *M6), oracle(RIGS + posed_sql() + WORLD + ", bi as (select rig_id, bone_id, e / k a, -b / k b, (b * f - c * e) / k c, -d / k d, a / k e, (c * d - a * f) / k f from (select *, a * e - b * d k from wo where frame = 0)), sk as (select p.rig_id, p.frame, p.bone_id, " + PRODUCT + f" from wo p join bi q using (rig_id, bone_id)) select rig_id, frame, bone_id, {ABC} from sk", "bones", "keyframes")),
     "h10_bone_weights": (lambda s, d: rounded(R.bone_weights(points(s, d), X.bones(s, d)), "w"), oracle(RIGS + WEIGHTS + " select rig_id, y, x, bone_id, round(w, 6) w from wt", "bones")),
     "h11_grid_mesh_vertices": (lambda s, d: rounded(R.grid_mesh(rigs_of(s, d), 10)[0], "x", "y"), oracle(RIGS + " select rig_id, (i * 8 + j)::int v, round(j * 63 / 7.0::double, 6) x, round(i * 63 / 7.0::double, 6) y from rigs, (select unnest(range(0, 8)) i), (select unnest(range(0, 8)) j)", "bones")),
     "h11_grid_mesh_triangles": (lambda s, d: R.grid_mesh(rigs_of(s, d), 10)[1], oracle(RIGS + ", q as (select rig_id, i, j, i * 8 + j p from rigs, (select unnest(range(0, 7)) i), (select unnest(range(0, 7)) j)) select rig_id, ((i * 7 + j) * 2)::int t, p::int v0, (p + 1)::int v1, (p + 9)::int v2 from q union all select rig_id, ((i * 7 + j) * 2 + 1)::int, p::int, (p + 9)::int, (p + 8)::int from q", "bones")),
-    "h12_backward_map": (lambda s, d: rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(_small(s, d)), _little(s, d)), R.bone_world(_little(s, d), R.interpolate_poses(X.keyframes(s, d), _little(s, d), frames_of(s, d, 16)))), 3), "sy", "sx", digits=4), None),
+    "h12_backward_map": (lambda s, d: rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(_small(s, d)), _little(s, d)), R.bone_world(_little(s, d), R.interpolate_poses(X.keyframes(s, d), _little(s, d), frames_of(s, d)))), 3), "sy", "sx", digits=4), None),
     "h14_deform": (_deform, None),
-    "h15_footprint_union": (lambda s, d: R.footprint_union(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d, 12)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), None),
-    "h16_skin_points": (lambda s, d: rounded(R.skin_points(points(s, d), R.bone_weights(points(s, d), X.bones(s, d)), R.bone_world(X.bones(s, d), posed(s, d, 12))), "nx", "ny", digits=5), oracle(RIGS + posed_sql(12) + WORLD + WEIGHTS + " select rig_id, frame, y, x, round(sum(w * (a * x + b * y + c)), 5) nx, round(sum(w * (d * x + e * y + f)), 5) ny from wt join wo using (rig_id, bone_id) group by 1, 2, 3, 4", "bones", "keyframes")),
-    "h17_pose_curves": (lambda s, d: rounded(R.pose_curves(rigs_of(s, d), upper(s, d), X.keyframes(s, d)), "value", "velocity", "normalised", "x", digits=5), oracle(RIGS + posed_sql(1) + ", cu as (select rig_id, bone_id, frame, rot v, lead(rot) over (partition by rig_id, bone_id order by frame) nx, min(rot) over (partition by rig_id, bone_id) lo, max(rot) over (partition by rig_id, bone_id) hi from po where bone_id not like 'S%') select rig_id, bone_id, frame, round(v, 5) + 0 as value, round((nx - v) * 24, 5) + 0 velocity, round(case when hi - lo < 1e-9 then 50 else 100 - (v - lo) / (hi - lo) * 100 end, 5) normalised, round(frame / 47.0::double * 1000, 5) x from cu", "bones", "keyframes")),
+    "h15_footprint_union": (lambda s, d: R.footprint_union(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), None),
+    "h16_skin_points": (lambda s, d: rounded(R.skin_points(points(s, d), R.bone_weights(points(s, d), X.bones(s, d)), R.bone_world(X.bones(s, d), posed(s, d))), "nx", "ny", digits=5), oracle(RIGS + posed_sql() + WORLD + WEIGHTS + " select rig_id, frame, y, x, round(sum(w * (a * x + b * y + c)), 5) nx, round(sum(w * (d * x + e * y + f)), 5) ny from wt join wo using (rig_id, bone_id) group by 1, 2, 3, 4", "bones", "keyframes")),
+    "h17_pose_curves": (lambda s, d: rounded(R.pose_curves(rigs_of(s, d), X.bones(s, d), X.keyframes(s, d)), "value", "velocity", "normalised", "x", digits=5), oracle(RIGS + posed_sql() + ", cu as (select rig_id, bone_id, frame, rot v, lead(rot) over (partition by rig_id, bone_id order by frame) nx, min(rot) over (partition by rig_id, bone_id) lo, max(rot) over (partition by rig_id, bone_id) hi from po) select rig_id, bone_id, frame, round(v, 5) + 0 as value, round((nx - v) * 24, 5) + 0 velocity, round(case when hi - lo < 1e-9 then 50 else 100 - (v - lo) / (hi - lo) * 100 end, 5) normalised, round(frame / 47.0::double * 1000, 5) x from cu", "bones", "keyframes")),
     "h18_bone_tree": (rb(lambda b, k: R.bone_tree(b)), oracle(", tr as (select rig_id, bone_id, 0 depth, [ord] path from bones where parent_id is null union all select b.rig_id, b.bone_id, depth + 1, list_append(path, b.ord) from tr join bones b on b.rig_id = tr.rig_id and b.parent_id = tr.bone_id) select rig_id, bone_id, depth, row_number() over (partition by rig_id order by path)::int position from tr", "bones")),
     "h19_nearest_bone": (lambda s, d: rounded(R.nearest_bone(points(s, d), X.bones(s, d), 6.0), "dist"), oracle(RIGS + DIST + ", pa as (select rig_id, y, x, bone_id, ord, unnest([0, 1, 2]) k, unnest(['head', 'tail', 'body']) part, unnest([sqrt((x - hx) ** 2 + (y - hy) ** 2), sqrt((x - tx) ** 2 + (y - ty) ** 2), dist]) dist from ds) select rig_id, y, x, bone_id, part, round(dist, 6) dist from (select *, row_number() over (partition by rig_id, y, x order by dist, ord, k) rn from pa where dist <= 6.0) where rn = 1", "bones")),
     "h20_scale_rigs": (rb(lambda b, k: R.scale_rigs(b, 1.5)), oracle("select rig_id, bone_id, ord, parent_id, hx * 1.5 hx, hy * 1.5 hy, tx * 1.5 tx, ty * 1.5 ty, radius * 1.5 radius, falloff from bones", "bones")),
@@ -191,18 +236,22 @@ QUERIES = {
     "i3_distance_transform": (lambda s, d: Y.distance_transform(mmask(s, d)).groupBy("clip_id", "frame").agg(F.round(F.sum(F.col("d") * (F.col("y") * 67 + F.col("x") + 1)), 3).alias("total")), oracle(DENSE + INSIDE + " select clip_id, frame, round(sum(d * (y * 67 + x + 1)), 3) total from dt group by 1, 2", "mosaic")),
     "i4_feather_ramp": (lambda s, d: stats(Y.feather_ramp(mmask(s, d), 3)), oracle(DENSE + INSIDE + stats_sql("select clip_id, frame, y, x, case when m > 0 then cast(floor(255 * least(1.0::double, greatest(0.0::double, (d - 1) / 3))) as int) else 0 end w from dt", "w").replace("s_w", "s_m"), "mosaic")),
     "i4_region_radius": (lambda s, d: rounded(Y.region_radius(mmask(s, d)), "radius"), oracle(DENSE + INSIDE + " select clip_id, frame, round(coalesce(max(d) filter (m > 0), 0), 6) radius from dt group by 1, 2", "mosaic")),
-    "i5_fill_region": (px(lambda p: stats(Y.fill_region(p.where("frame < 3"), p.where("frame < 3 and y between 2 and 5 and x between 3 and 5"), 5))), None),
+    "i5_fill_region": (px(lambda p: stats(Y.fill_region(p, p.where("y between 2 and 5 and x between 3 and 5"), 5))), None),
     "i6_stroke_mask": (lambda s, d: Y.stroke_mask(X.strokes(s, d), SIZE, SIZE).groupBy("plate_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("bigint") * 64 + F.col("x")).alias("places")), oracle(DISCS + " select plate_id, count(*) n, sum(y * 64 + x)::bigint places from (select distinct plate_id, y, x from sp) group by 1", "strokes")),
     "i7_correction_band": (lambda s, d: Y.correction_band(X.strokes(s, d), 4, SIZE, SIZE), oracle(DISCS + """, bx as (select plate_id, stroke, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from sp group by 1, 2), gr as (select plate_id, stroke, gy.y, gx.x from bx, lateral (select unnest(range(y0, y1 + 1)) y) gy, lateral (select unnest(range(x0, x1 + 1)) x) gx),
         ho as (select g.* from gr g anti join sp using (plate_id, stroke, y, x)), dd as (select sp.plate_id, sp.stroke, sp.y, sp.x, min(sqrt(((sp.y - ho.y) ** 2 + (sp.x - ho.x) ** 2)::double)) d from sp left join ho using (plate_id, stroke) group by 1, 2, 3, 4), rr as (select plate_id, min(r) r from (select plate_id, stroke, max(coalesce(d, 1e6)) r from dd group by 1, 2) group by 1)
         select plate_id, greatest(1, least(4, greatest(1, floor(r)::int - 1)))::int band from rr""", "strokes")),
     "a7_load_corrections": (lambda s, d: Y.load_corrections(X.corrections(s, d), SIZE, SIZE), oracle(LOADED + " select * from lc", "corrections")),
     "i8_heal": (_heal, None),
-    "i9_apply_corrections": (_corrected, None),
-    "i10_build_patch": (lambda s, d: stats(Y.build_patch(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d, 16), _plate(s, d), 2, 5)), None),
+    "i8_heal_other_size": (_heal_larger, None),
+    "i8_heal_box": (_heal_box, oracle(", sp as (select distinct plate_id, (y % 16 + dy)::int y, (x % 16 + dx)::int x from strokes, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4) select plate_id clip_id, min(x) x, min(y) y, max(x) - min(x) + 1 width, max(y) - min(y) + 1 height from sp where y between 0 and 15 and x between 0 and 15 group by 1", "strokes")),
+    "i9_apply_corrections": (_corrected, oracle(LOADED + """, pc as (select rig_id, id, y, x, floor(255 * least(1.0::double, (least(x - x0 + 1, x1 - x, y - y0 + 1, y1 - y) - 1) / band::double))::int al from (select lc.*, gy.y, gx.x from lc, lateral (select unnest(range(y0, y1)) y) gy, lateral (select unnest(range(x0, x1)) x) gx)),
+        nm as (select *, row_number() over (partition by rig_id, y, x order by id) k, count(*) over (partition by rig_id, y, x) n from pc), st as (select rig_id, y, x, 0 k, 200 b, 100 g, 50 r from nm where k = 1 union all select st.rig_id, st.y, st.x, st.k + 1, """ + ", ".join(f"floor(st.{c} * (1 - al / 255.0::double) + (nm.id * {v} % 256) * (al / 255.0::double))::int" for c, v in zip("bgr", (3, 5, 7), strict=True)) + " from st join nm on nm.rig_id = st.rig_id and nm.y = st.y and nm.x = st.x and nm.k = st.k + 1) select rig_id, count(*) n, " + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgr") + " from (select st.* from st join (select rig_id, y, x, max(n) n from nm group by 1, 2, 3) m on m.rig_id = st.rig_id and m.y = st.y and m.x = st.x and m.n = st.k) group by 1", "corrections")),
+    "i10_build_patch": (_patch, None),
     "i11_content_fingerprint": (rb(lambda b, k: Y.content_fingerprint(b, ["rig_id"], ["ord"], ["bone_id", "parent_id", "falloff"])), oracle("select rig_id, sha1(string_agg(bone_id || ',' || coalesce(parent_id, '~') || ',' || falloff, ';' order by ord)) fingerprint from bones group by 1", "bones")),
     "i12_stale_artifacts": (lambda s, d: Y.stale_artifacts(_prints(s, d, 0), _prints(s, d, 3)), "select s_suppkey rig_id, (s_suppkey % 4)::varchar fingerprint from supplier where s_suppkey % 3 = 0 or s_suppkey % 4 <> s_suppkey % 2"),
-    "i13_resolve_layers": (px(lambda p: stats(Y.resolve_layers(p.where("clip_id < 4 and frame = 0").select(*KEY, F.lit(7).alias("m")), p.where("frame = 0")))), None),
+    "i13_resolve_layers": (px(lambda p: stats(Y.resolve_layers(_stored(p), p, _layered(p)))), oracle(", whole as (select * from pixels), rest as (select * from pixels where clip_id % 2 = 1 and clip_id % 5 < 4 and clip_id % 7 < 6)" + CLIPS.replace("from pixels", "from rest") + ranges_sql().replace("from pixels p", "from rest p") + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from rest p union all select clip_id, frame, y, x, 7 from whole where clip_id % 2 = 0 and clip_id % 5 < 4 and clip_id % 7 < 6", "m"), "pixels")),
+    "i13_resolve_plates": (px(_resolved_plates), None),
     "i14_patch_state": (lambda s, d: Y.patch_state(_flags(s, d), _meta(s, d)), SETTINGS + " select rig_id, case when not split then 'unsplit' when n_bones = 0 then 'no_skeleton' when fade is null then 'off' when not has_background then 'no_plate' when not has_character then 'no_character' when k % 4 = 3 then 'pending' when k % 5 > 0 and k % 6 = fade then 'ready' else 'stale' end state from f"),
     "j1_frame_diff_report": (mo(lambda p: rounded(J.frame_diff_report(p, p.withColumn("b", F.least(F.lit(255), F.col("b") + F.col("x") % 3 * 9))), "mean_abs", "outliers")), oracle("select clip_id, frame, round(avg(dv) / 4, 6) mean_abs, round(avg((dv > 16)::int), 6) outliers, avg(dv) / 4 <= 2.0 and avg((dv > 16)::int) <= 0.02 passed from (select *, least(255, b + x % 3 * 9) - b dv from mosaic) group by 1, 2", "mosaic")),
     "j2_job_progress": (lambda s, d: J.job_progress(J.chunk_status(X.chunk_events(s, d))), oracle(COUNTED + " select job_id, total, completed, failed, round((completed + failed) / total::double * 100, 1) progress from jp", "chunk_events")),

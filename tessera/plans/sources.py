@@ -12,6 +12,7 @@ from ..operators import pixels as P
 from ..sources import fixtures as X
 from ..sources import io as O
 from ..sources.fixtures import oracle
+from ..sources.shared import shared_dir
 from ..streaming import streams as K
 from .frames import CLIPS, hit, mo, px, ranges_sql, stats, stats_sql
 from .rigs import COUNTED
@@ -26,7 +27,7 @@ def _meta(s, d):
 
 def _written(s, d):
     """Frames written by clip and chunk, and one clip's range read back."""
-    path = f"{K.shared_dir(s)}/frames-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/frames-{uuid.uuid4().hex}"
     O.write_pixels(X.pixels(s, d), path, 20)
     return stats(O.read_pixels(s, path, [2, 3]).where("frame between 10 and 30"))
 
@@ -43,19 +44,56 @@ def _summary(s, d):
     b = X.bones(s, d).groupBy("rig_id").agg(F.count(F.lit(1)).alias("n_bones"))
     k = X.keyframes(s, d).groupBy("rig_id").agg(F.countDistinct("frame").alias("n_keyframes"))
     rigs = b.join(k, "rig_id", "left").select(F.col("rig_id").cast("string").alias("rig_id"), F.when(F.col("rig_id") % 2 == 0, F.concat(F.lit("rig "), "rig_id")).alias("name"), "n_bones", "n_keyframes", (F.col("rig_id") * 3 % 5).alias("modified"))
-    files = X.bones(s, d).where("ord < 100").select(F.col("rig_id").cast("string").alias("rig_id"), F.when(F.col("ord") % 2 == 0, "source").when(F.col("ord") > 20, "result").otherwise("other").alias("kind"))
+    files = X.bones(s, d).select(F.col("rig_id").cast("string").alias("rig_id"), F.when(F.col("ord") % 2 == 0, "source").when(F.col("ord") > 20, "result").otherwise("other").alias("kind"))
     return O.project_summary(rigs, files)
 
 
+def _headers(s, d):
+    """First bytes of pictures, one for each supplier, in four formats and none."""
+    k = F.col("s_suppkey")
+    w, h = k * 7 % 5000 + 1, k * 11 % 3000 + 1
+    big = lambda v: F.lpad(F.hex(v), 8, "0")
+    flip = lambda v, n: F.concat(*(F.substring(F.lpad(F.hex(v), 2 * n, "0"), 2 * i + 1, 2) for i in reversed(range(n))))
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w), big(h), F.lit("0806"))).when(k % 5 == 1, F.concat(F.lit("474946383961"), flip(w, 2), flip(h, 2)))
+        .when(k % 5 == 2, F.concat(F.lit("424D" + "00" * 16), flip(w, 4), flip(h, 4))).when(k % 5 == 3, F.concat(F.lit("524946460000000057454250565038" + "58" + "00" * 8), flip(w - 1, 3), flip(h - 1, 3)))
+        .otherwise(F.lit("68656C6C6F"))
+    )
+    files = s.read.parquet(f"{d}/supplier.parquet").select(k.cast("string").alias("path"), F.unhex(text).alias("content"))
+    return O.image_headers(files)
+
+
+def _documents(s, d):
+    """Rigs written as a JSON document each and read again: their bones."""
+    path = f"{shared_dir(s)}/rigs-{uuid.uuid4().hex}"
+    bone = F.struct("ord", F.col("bone_id").alias("id"), F.col("parent_id").alias("parent"), F.struct(F.array("hx", "hy").alias("head"), F.array("tx", "ty").alias("tail")).alias("rest"), "radius", "falloff")
+    keys = X.keyframes(s, d).groupBy("rig_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("bone_id", F.struct("rot", "tx", "ty")))).alias("pose"))
+    keys = keys.groupBy("rig_id").agg(F.collect_list(F.struct("frame", "pose")).alias("keyframes"))
+    rigs = X.bones(s, d).groupBy("rig_id").agg(F.array_sort(F.collect_list(bone)).alias("bones")).join(keys, "rig_id", "left")
+    doc = F.to_json(F.struct(F.col("rig_id").cast("string").alias("id"), F.lit(1).alias("schema_version"), F.struct(F.lit(64).alias("width"), F.lit(64).alias("height")).alias("canvas"), "bones", "keyframes"))
+    rigs.select("rig_id", doc.alias("value")).repartition("rig_id").write.partitionBy("rig_id").text(path)
+    return O.read_rigs(s, f"{path}/*")
+
+
+def _strokes_read(s, d):
+    """Strokes written as a JSON file a plate and read again."""
+    path = f"{shared_dir(s)}/strokes-{uuid.uuid4().hex}"
+    one = F.struct("stroke", F.array(F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("points"), F.col("radius").cast("double").alias("radius"))
+    docs = X.strokes(s, d).groupBy("plate_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("strokes"))).alias("value"))
+    docs.repartition("plate_id").write.partitionBy("plate_id").text(path)
+    strokes, errors = O.read_strokes(s, f"{path}/*")
+    return strokes.select(F.regexp_extract("file", "plate_id=(\\d+)", 1).cast("bigint").alias("plate_id"), "stroke", "pt", "x", "y", "radius")
+
+
 def _event_stream(s, d):
     """The ledger as a stream of files, with attempts numbered as the table of events orders them."""
-    path = f"{K.shared_dir(s)}/ledger-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/ledger-{uuid.uuid4().hex}"
     X.chunk_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
     return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
 
 
 def _pixel_stream(s, df):
-    path = f"{K.shared_dir(s)}/pixels-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/pixels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return s.readStream.schema(df.schema).parquet(path)
 
@@ -82,25 +120,29 @@ def _progress_stream(s, d):
 def _corpus_stream(s, d):
     """Corrections appended as they come, then counted by fade."""
     c = X.corrections(s, d).withColumns({k: F.col("id").cast("string").cast("binary") for k in ("content", "mask", "replaced")}).withColumn("fade", F.when(F.col("fade") > 0, F.col("fade")))
-    root = f"{K.shared_dir(s)}/corpus-{uuid.uuid4().hex}"
+    root = f"{shared_dir(s)}/corpus-{uuid.uuid4().hex}"
     K.stream_corpus(_pixel_stream(s, c), f"{root}/table", f"{root}/state").awaitTermination()
     return s.read.parquet(f"{root}/table").groupBy("fade", "brush_radius", "content_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _motion_stream(s, d):
-    g = P.bgr_to_gray(X.pixels(s, d).where("clip_id < 3 and frame < 12")).withColumnRenamed("gray", "v").withColumn("clip_id", F.col("clip_id").cast("int"))
+    g = P.bgr_to_gray(X.pixels(s, d)).withColumnRenamed("gray", "v").withColumn("clip_id", F.col("clip_id").cast("int"))
     return K.run_available(K.stream_motion(_pixel_stream(s, g), 40)).drop("batch")
 
 
-MOVED = ", gr as (select clip_id, frame, y, x, cast(floor(0.299::double * r + 0.587::double * g + 0.114::double * b + 0.5::double) as int) v from pixels where clip_id < 3 and frame < 12), df as (select *, abs(v - lag(v) over (partition by clip_id, y, x order by frame)) d from gr) select clip_id::int clip_id, y, x, min(frame) frame from df where d > 40 group by 1, 2, 3"
+MOVED = ", gr as (select clip_id, frame, y, x, cast(floor(0.299::double * r + 0.587::double * g + 0.114::double * b + 0.5::double) as int) v from pixels), df as (select *, abs(v - lag(v) over (partition by clip_id, y, x order by frame)) d from gr) select clip_id::int clip_id, y, x, min(frame) frame from df where d > 40 group by 1, 2, 3"
 
 QUERIES = {
+    "a4_image_headers": (_headers, "select s_suppkey::varchar as path, case s_suppkey % 5 when 0 then 'png' when 1 then 'gif' when 2 then 'bmp' when 3 then 'webp' end format, case when s_suppkey % 5 < 4 then s_suppkey * 7 % 5000 + 1 end::bigint width, case when s_suppkey % 5 < 4 then s_suppkey * 11 % 3000 + 1 end::bigint height from supplier"),
+    "a5_read_rigs_bones": (lambda s, d: _documents(s, d)[1].select("rig_id", "bone_id", "parent_id", "hx", "hy", "tx", "ty", "radius", "falloff", F.col("ord").alias("place")), oracle("select rig_id::varchar rig_id, bone_id, parent_id, hx, hy, tx, ty, radius, falloff, (row_number() over (partition by rig_id order by ord) - 1)::int place from bones", "bones")),
+    "a5_read_rigs_keyframes": (lambda s, d: _documents(s, d)[2], oracle("select rig_id::varchar rig_id, frame, bone_id, rot, tx, ty from keyframes", "keyframes")),
+    "a6_read_strokes": (_strokes_read, oracle("select plate_id, (row_number() over (partition by plate_id order by stroke) - 1)::int stroke, 0 pt, x::double x, y::double y, radius from strokes", "strokes")),
     "a3_write_read_pixels": (_written, oracle(stats_sql("select * from pixels where clip_id in (2, 3) and frame between 10 and 30", *"bgra"), "pixels")),
     "a9_probe": (lambda s, d: O.probe(X.pixels(s, d), _meta(s, d)).select("clip_id", "width", "height", F.round("fps", 6).alias("fps"), "total_frames", F.round("duration_s", 6).alias("duration_s"), "has_alpha"), oracle(""", p as (select clip_id, max(x) + 1 width, max(y) + 1 height, count(distinct frame) n, bool_or(a < 255) has_alpha from pixels group by 1),
         q as (select *, case when clip_id % 3 = 0 then 30000 / 1001.0::double when clip_id % 4 < 3 then 25.0 else 0.0 end::double fps from p), t as (select *, case when clip_id % 2 = 0 and clip_id > 0 then clip_id * 7 when clip_id % 5 < 3 and fps > 0 then round_even(2.5 * fps, 0) else n end::int total_frames from q)
         select clip_id, width, height, round(fps, 6) fps, total_frames, case when fps > 0 then round(total_frames / fps, 6) end duration_s, has_alpha from t""", "pixels")),
     "a10_has_alpha": (mo(O.has_alpha), oracle("select clip_id, bool_or(a < 255) has_alpha from mosaic group by 1", "mosaic")),
-    "a11_project_summary": (_summary, oracle("select b.rig_id::varchar rig_id, case when b.rig_id % 2 = 0 then 'rig ' || b.rig_id else b.rig_id::varchar end \"name\", b.n n_bones, k.n n_keyframes, has_source, has_result, b.rig_id * 3 % 5 modified from (select rig_id, count(*) n, bool_or(ord < 100 and ord % 2 = 0) has_source, bool_or(ord < 100 and ord % 2 = 1 and ord > 20) has_result from bones group by 1) b left join (select rig_id, count(distinct frame) n from keyframes group by 1) k using (rig_id)", "bones", "keyframes")),
+    "a11_project_summary": (_summary, oracle("select b.rig_id::varchar rig_id, case when b.rig_id % 2 = 0 then 'rig ' || b.rig_id else b.rig_id::varchar end \"name\", b.n n_bones, k.n n_keyframes, has_source, has_result, b.rig_id * 3 % 5 modified from (select rig_id, count(*) n, bool_or(ord % 2 = 0) has_source, bool_or(ord % 2 = 1 and ord > 20) has_result from bones group by 1) b left join (select rig_id, count(distinct frame) n from keyframes group by 1) k using (rig_id)", "bones", "keyframes")),
     "a12_output_format": (_formats, "select p_partkey, case when p_partkey % 5 = 2 then 'gif' else case p_partkey % 6 when 0 then 'webm' when 1 then 'gif' when 2 then 'mp4' else 'mov' end end format from part"),
     "a13_export_variants": (mo(lambda p: O.export_variants(p, "all", 24, 12, 0)[1]), oracle("select clip_id, f format, case when bool_or(a < 255) and f = 'mp4' then 'mp4 has no alpha' end error from mosaic, (select unnest(['mov', 'webm', 'gif', 'mp4']) f) group by 1, 2", "mosaic")),
     "l2_registry_run": (px(lambda p: stats(registry.run(p, [("recolor", {"target": (120, 130, 110), "new": (1, 2, 3)}), ("reverse_loop", {})]))), oracle(", rc as (select clip_id, frame, y, x, case when k then 1 else b end b, case when k then 2 else g end g, case when k then 3 else r end r, a, max(frame) over (partition by clip_id) + 1 n from (select *, b between 90 and 150 and g between 100 and 160 and r between 80 and 140 k from pixels)) " + stats_sql("select clip_id, frame, y, x, b, g, r, a from rc union all select clip_id, (2 * n - 1 - frame)::int, y, x, b, g, r, a from rc", *"bgra"), "pixels")),

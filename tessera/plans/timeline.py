@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators import loops as L
+from ..operators.pixels import KEY
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle
 from .frames import BLEND_SQL, px, stats, stats_sql
@@ -117,11 +118,16 @@ QUERIES = {
         ms as (select c.clip_id, unnest([[case when cycle < n * 0.8 then '90' end, 'periodic'], [case when am < 20 then '80' end, 'fade'], [case when am >= 20 and fl < 30 then '85' end, 'cut'], ['70', 'pingpong'], [case when am > 50 then '65' end, 'morph']]) m from c join gp using (clip_id) join am using (clip_id) join cy using (clip_id)),
         ls as (select clip_id, list(m[2] order by m[1]::int desc) l from ms where m[1] is not null group by 1)
         select clip_id, l[1] recommended, array_to_string(l[2:4], ',') alternatives, n::int frame_count, round(fl, 6) first_last_diff, round(am, 6) avg_motion, cycle detected_cycle from ls join c using (clip_id) join gp using (clip_id) join am using (clip_id) join cy using (clip_id)""", "pixels")),
+    "h13_remap": (px(lambda p: stats(G.remap(p, p.select(*KEY, (7 - F.col("y") + 0.25).alias("sy"), (F.col("x") - 0.5).alias("sx"))))), oracle(", nb as (select clip_id, frame, 7 - (y + j) y, x - i + 1 x, b, g, r, a, (case j when 0 then 0.75 else 0.25 end * 0.5)::double w from pixels, (select unnest([0, -1]) j), (select unnest([0, 1]) i)) select clip_id, frame, count(*) n, "
+        + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgra") + " from (select p.clip_id, p.frame, p.y, p.x, " + ", ".join(f"round_even(round(coalesce(sum(nb.{c} * nb.w), 0), 6), 0)::int {c}" for c in "bgra") + " from pixels p left join nb using (clip_id, frame, y, x) group by 1, 2, 3, 4) group by 1, 2", "pixels")),
     "g12_frame_similarity": (px(_sim), oracle(f"select p.clip_id, p.frame, round({MSE}, 6) score from pixels p join pixels q on q.clip_id = p.clip_id and q.frame = p.frame + 1 and q.y = p.y and q.x = p.x group by 1, 2", "pixels")),
     "g13_flow_similarity": (px(lambda p: L.frame_similarity(p.where("frame = 0"), p.where("frame = 1"), ("clip_id",), "flow")), None),
     "g14_best_loop_points": (px(lambda p: L.best_loop_points(p, 10, 40).withColumn("score", F.round("score", 6))), oracle(PAIR + BEST.format(t=40), "pixels")),
-    "g15_best_match_point": (px(lambda p: L.best_match_point(p.where("frame < 5"), p.where("frame between 20 and 25"), 30).withColumn("score", F.round("score", 6))), oracle(f", sc as (select p.clip_id, p.frame s, q.frame e, {MSE} score from pixels p join pixels q on p.clip_id = q.clip_id and p.y = q.y and p.x = q.x where p.frame < 5 and q.frame between 20 and 25 group by 1, 2, 3)" + BEST.format(t=30), "pixels")),
+    "g15_best_match_point": (px(lambda p: L.best_match_point(p, p.withColumn("clip_id", (F.col("clip_id") + 1) % 10), 30).withColumn("score", F.round("score", 6))), oracle(f", sc as (select p.clip_id, p.frame s, q.frame e, {MSE} score from pixels p join pixels q on p.clip_id = (q.clip_id + 1) % 10 and p.y = q.y and p.x = q.x group by 1, 2, 3)" + BEST.format(t=30), "pixels")),
     "g16_make_loop": (px(lambda p: stats(L.make_loop(p, "reverse"))), oracle(PCOUNTS + ", ix as (select clip_id, i::int frame, (case when i < n then i else 2 * n - 1 - i end)::int s from c, lateral (select unnest(range(0, 2 * n)) i)) " + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels t on t.clip_id = ix.clip_id and t.frame = ix.s", *"bgra"), "pixels")),
+    "g16_make_loop_speedramp": (px(lambda p: stats(L.make_loop(p, "speedramp", ramp_factor=1.5))), oracle(PCOUNTS + ", ix as (select clip_id, i::int frame, (case when i = m - 1 then n - 1 else floor(i * ((n - 1)::double / (m - 1))) end)::int s from (select clip_id, n, floor(n * 1.5::double)::bigint m from c), lateral (select unnest(range(0, m)) i)) " + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels t on t.clip_id = ix.clip_id and t.frame = ix.s", *"bgra"), "pixels")),
+    "g16_make_loop_hold": (px(lambda p: stats(L.make_loop(p, "hold", hold=7))), oracle(PCOUNTS + ", ix as (select clip_id, i::int frame, least(i, n - 1)::int s from c, lateral (select unnest(range(0, n + 7)) i)) " + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels t on t.clip_id = ix.clip_id and t.frame = ix.s", *"bgra"), "pixels")),
+    "g16_make_loop_fade": (px(lambda p: stats(L.make_loop(p, "fade", fade_color="#1ec80a", fade_frames=5))), oracle(PCOUNTS + FADE + stats_sql("select clip_id, frame, y, x, " + ", ".join(_fade(c, v) for c, v in zip("bgra", (30, 200, 10, 255), strict=True)) + " from o", *"bgra"), "pixels")),
     "g16_make_loop_auto": (px(lambda p: stats(L.make_loop(p))), None),
 }
 

@@ -110,8 +110,13 @@ def _orientation(tiff: bytes) -> int | None:
 
 
 def scan_image_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, width, height) of image files by their first bytes; unknown ones have nulls."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    """``image_headers`` of the files under ``path``."""
+    return image_headers(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def image_headers(files: DataFrame) -> DataFrame:
+    """(path, format, width, height) of images (path, content) by their first bytes; unknown ones have nulls."""
+    d = files.select("path", "content")
     sign = lambda at, h: F.hex(F.substring("content", at + 1, len(h) // 2)) == h
     c = F.col("content")
     riff = sign(0, "52494646") & sign(8, "57454250")

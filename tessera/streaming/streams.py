@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -18,20 +18,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.ledger import CHUNK_FAILURES, JOB_ERRORS
 from ..operators.segment import boxed
 from ..sources.io import append_corrections
+from ..sources.shared import shared_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="spark-tessera-")
-    return where
-
-
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """The result of the stream over all that is available, as a table in the shared folder.
 
