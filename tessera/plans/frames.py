@@ -56,6 +56,12 @@ rec as (select clip_id, k, m, [{one}] acc from sq s where k = 1 union all select
 final as (select clip_id, acc from rec where k = m)"""
 
 
+def regions_sql(on: str) -> str:
+    """``labels``: 8-connected pixels of ``on``, by all pairs of a pixel and one that it reaches."""
+    return f""", spots as (select clip_id, frame, y, x from ({on})), pairs as (select *, y::bigint * 2147483648 + x root from spots union select o.clip_id, o.frame, o.y, o.x, r.root from pairs r join spots o on o.clip_id = r.clip_id and o.frame = r.frame and abs(o.y - r.y) <= 1 and abs(o.x - r.x) <= 1),
+labels as (select clip_id, frame, y, x, min(root) as label from pairs group by 1, 2, 3, 4)"""
+
+
 def blur_sql(columns: str) -> str:
     """A Gaussian of five taps with mirrored borders over ``dense``: the table ``blur``."""
     raw = [math.exp(-((i - 2) ** 2) / (2 * 1.1 * 1.1)) for i in range(5)]
@@ -186,8 +192,10 @@ QUERIES = {
     "d11_gaussian_blur": (mo(lambda p: stats(S.gaussian_blur(P.densify(p), 5))), oracle(DENSE + blur_sql("bgra") + stats_sql("select * from blur", *"bgra"), "mosaic")),
     "d14_missed_pixels": (lambda s, d: S.missed_pixels(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), 15).groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("n")), oracle(CLIPS + ranges_sql(25, 3) + PM + f" select clip_id, frame, count(*) n from pixels p join pm using (clip_id, frame, y, x) where m > 0 and {hit(tol='15')} group by 1, 2", "pixels")),
     "d15_missed_blocks": (lambda s, d: S.missed_blocks(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), None, 4), oracle(CLIPS + ranges_sql(25, 3) + PM + f""" select clip_id, frame, "by", bx, fg, bg from (select clip_id, frame, y // 4 "by", x // 4 bx, count(*) filter (m > 0) fg, count(*) filter (m > 0 and {hit()}) bg from pixels p join pm using (clip_id, frame, y, x) group by 1, 2, 3, 4) where fg > 0 and bg > 0.5 * fg""", "pixels")),
-    "d16_connected_regions": (lambda s, d: S.connected_regions(pmask(s, d, 150)).groupBy("clip_id", "frame", "label").agg(F.count(F.lit(1)).alias("area")), None),
-    "d17_missed_regions": (lambda s, d: S.missed_regions(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), None, 20).groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("n")), None),
+    "d16_connected_regions": (lambda s, d: S.connected_regions(pmask(s, d, 150)).groupBy("clip_id", "frame", "label").agg(F.count(F.lit(1)).alias("area")), oracle(regions_sql("select * from pixels where b > 150") + " select clip_id, frame, label, count(*) area from labels group by 1, 2, 3", "pixels")),
+    "d17_missed_regions": (lambda s, d: S.missed_regions(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), None, 20).groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("n")), oracle(
+        CLIPS + ranges_sql(25, 3) + PM + ", dl as (" + box_sql("pm", 2, "max") + ")" + regions_sql("select * from dl where m > 0") + f""", ar as (select clip_id, frame, label, count(*) n, count(*) filter ({hit()}) bg from labels join pixels p using (clip_id, frame, y, x) group by 1, 2, 3)
+        select clip_id, frame, sum(n)::bigint n from ar where n >= 20 and bg > 0.4 * n group by 1, 2""", "pixels")),
     "d18_refine": (lambda s, d: stats(S.refine(X.pixels(s, d), pmask(s, d), C.border_color(X.pixels(s, d)))), None),
     "d20_character_alpha": (px(lambda p: stats(S.character_alpha(p.where("frame = 0")))), oracle(", p0 as (select * from pixels where frame = 0)" + CLIPS.replace("from pixels", "from p0") + ranges_sql().replace("from pixels p", "from p0 p") + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from p0 p", "m"), "pixels")),
     "e2_glow": (mo(lambda p: stats(S.glow(p, (10, 200, 250), 2, 1.5))), oracle(DENSE + blur_sql("a") + ", halo as (select clip_id, frame, y, x, 10 b2, 200 g2, 250 r2, cast(floor(least(255.0, a * 1.5::double)) as int) a2 from blur)" + stats_sql(OVER_SQL.format(cols=OVER_COLS, fg="dense", bg="halo"), *"bgra"), "mosaic")),

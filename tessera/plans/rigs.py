@@ -87,6 +87,17 @@ cs as (select job_id, chunk_id, case when bool_or(result = 'ok') then 'completed
 jp as (select job_id, count(*) total, count(*) filter (status = 'completed') completed, count(*) filter (status = 'failed') failed from cs group by 1)"""
 
 
+def fill_sql(iters: int) -> str:
+    """The box of the fill's query: two rings of means, then ``iters`` averagings; f<k> is the fill after k."""
+    cols = ", ".join(f"avg(q.{c}::double) {c}" for c in "bgr")
+    near = lambda source, todo: f"select t.clip_id, t.frame, t.y, t.x, {cols} from {todo} t join {source} q on q.clip_id = t.clip_id and q.frame = t.frame and abs(q.y - t.y) <= 1 and abs(q.x - t.x) <= 1 and (q.y, q.x) <> (t.y, t.x) group by 1, 2, 3, 4"
+    inside = "y between 2 and 5 and x between 3 and 5"
+    out = f", todo as (select clip_id, frame, y, x from pixels where {inside}), rest as (select clip_id, frame, y, x, b::double b, g::double g, r::double r from pixels where not ({inside})), r1 as ({near('rest', 'todo')}), left1 as (select * from todo anti join r1 using (clip_id, frame, y, x)), f0 as (select * from r1 union all {near('r1', 'left1')})"
+    for k in range(1, iters + 1):
+        out += f", a{k} as (select * from rest union all select * from f{k - 1}), f{k} as ({near(f'a{k}', 'todo')})"
+    return out + " "
+
+
 def _settings(s, d):
     """A rig's recorded layer settings, one for each supplier."""
     k = F.col("s_suppkey")
@@ -236,7 +247,7 @@ QUERIES = {
     "i3_distance_transform": (lambda s, d: Y.distance_transform(mmask(s, d)).groupBy("clip_id", "frame").agg(F.round(F.sum(F.col("d") * (F.col("y") * 67 + F.col("x") + 1)), 3).alias("total")), oracle(DENSE + INSIDE + " select clip_id, frame, round(sum(d * (y * 67 + x + 1)), 3) total from dt group by 1, 2", "mosaic")),
     "i4_feather_ramp": (lambda s, d: stats(Y.feather_ramp(mmask(s, d), 3)), oracle(DENSE + INSIDE + stats_sql("select clip_id, frame, y, x, case when m > 0 then cast(floor(255 * least(1.0::double, greatest(0.0::double, (d - 1) / 3))) as int) else 0 end w from dt", "w").replace("s_w", "s_m"), "mosaic")),
     "i4_region_radius": (lambda s, d: rounded(Y.region_radius(mmask(s, d)), "radius"), oracle(DENSE + INSIDE + " select clip_id, frame, round(coalesce(max(d) filter (m > 0), 0), 6) radius from dt group by 1, 2", "mosaic")),
-    "i5_fill_region": (px(lambda p: stats(Y.fill_region(p, p.where("y between 2 and 5 and x between 3 and 5"), 5))), None),
+    "i5_fill_region": (px(lambda p: stats(Y.fill_region(p, p.where("y between 2 and 5 and x between 3 and 5"), 5))), oracle(fill_sql(5) + stats_sql("select p.clip_id, p.frame, p.y, p.x, " + ", ".join(f"case when f5.b is null then p.{c} else cast(floor(least(255.0, f5.{c} + 0.5)) as int) end {c}" for c in "bgr") + ", case when f5.b is null then p.a else 255 end a from pixels p left join f5 using (clip_id, frame, y, x)", *"bgra"), "pixels")),
     "i6_stroke_mask": (lambda s, d: Y.stroke_mask(X.strokes(s, d), SIZE, SIZE).groupBy("plate_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("bigint") * 64 + F.col("x")).alias("places")), oracle(DISCS + " select plate_id, count(*) n, sum(y * 64 + x)::bigint places from (select distinct plate_id, y, x from sp) group by 1", "strokes")),
     "i7_correction_band": (lambda s, d: Y.correction_band(X.strokes(s, d), 4, SIZE, SIZE), oracle(DISCS + """, bx as (select plate_id, stroke, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from sp group by 1, 2), gr as (select plate_id, stroke, gy.y, gx.x from bx, lateral (select unnest(range(y0, y1 + 1)) y) gy, lateral (select unnest(range(x0, x1 + 1)) x) gx),
         ho as (select g.* from gr g anti join sp using (plate_id, stroke, y, x)), dd as (select sp.plate_id, sp.stroke, sp.y, sp.x, min(sqrt(((sp.y - ho.y) ** 2 + (sp.x - ho.x) ** 2)::double)) d from sp left join ho using (plate_id, stroke) group by 1, 2, 3, 4), rr as (select plate_id, min(r) r from (select plate_id, stroke, max(coalesce(d, 1e6)) r from dd group by 1, 2) group by 1)

@@ -34,6 +34,9 @@ def resize_sql(w: str, h: str) -> str:
 
 
 GRAY = "cast(floor(0.299::double * r + 0.587::double * g + 0.114::double * b + 0.5::double) as int)"
+FLOW = f", a as (select clip_id, y, x, {GRAY} v from pixels where frame = 0), b as (select clip_id, y, x, {GRAY} v from pixels where frame = 1), mv as (select dy, dx from (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx))" + """,
+sad as (select a.clip_id, a.y // 4 "by", a.x // 4 bx, dy, dx, sum(abs(a.v - coalesce(b.v, 0))) s from a cross join mv left join b on b.clip_id = a.clip_id and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3, 4, 5),
+flow as (select * from (select *, row_number() over (partition by clip_id, "by", bx order by s, abs(dy) + abs(dx), dy, dx) rn from sad) where rn = 1)"""
 DIFF = ", df as (select clip_id, frame, avg(abs(b - pb) + abs(g - pg) + abs(r - pr)) / 3 v from (select *, lag(b) over w pb, lag(g) over w pg, lag(r) over w pr from pixels where frame < 120 window w as (partition by clip_id, y, x order by frame)) where frame > 0 group by 1, 2)"
 
 
@@ -94,8 +97,7 @@ QUERIES = {
     "f5_retime_repeat": (sig(lambda p: G.retime_repeat(p, 12, 30)), index_sql("round_even(n * (30::double / 12), 0)", "least(n - 1, round_even(i * (12::double / 30), 0))")),
     "f6_retime_interpolate": (lambda s, d: G.retime_interpolate(X.signal(s, d).withColumn("value", F.col("value").cast("double")), 12, 30, ("value",)).select("clip_id", "frame", F.round("value", 6).alias("value")), oracle(
         COUNTS + ", ix as (select clip_id, n, i::int frame, least(n - 1.0, i * (12::double / 30)) s from c, lateral (select unnest(range(0, round_even(n * (30::double / 12), 0)::bigint)) i)) select ix.clip_id, ix.frame, round(lo.value::double * (1 - (s - floor(s))) + hi.value::double * (s - floor(s)), 6) as value from ix join signal lo on lo.clip_id = ix.clip_id and lo.frame = floor(s) join signal hi on hi.clip_id = ix.clip_id and hi.frame = least(n - 1, floor(s) + 1)", "signal")),
-    "f7_block_match_flow": (px(_flow), oracle(f", a as (select clip_id, y, x, {GRAY} v from pixels where frame = 0), b as (select clip_id, y, x, {GRAY} v from pixels where frame = 1), mv as (select dy, dx from (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx))" + """,
-        sad as (select a.clip_id, a.y // 4 "by", a.x // 4 bx, dy, dx, sum(abs(a.v - coalesce(b.v, 0))) s from a cross join mv left join b on b.clip_id = a.clip_id and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3, 4, 5) select clip_id, "by", bx, dy::int dy, dx::int dx from (select *, row_number() over (partition by clip_id, "by", bx order by s, abs(dy) + abs(dx), dy, dx) rn from sad) where rn = 1""", "pixels")),
+    "f7_block_match_flow": (px(_flow), oracle(FLOW + ' select clip_id, "by", bx, dy::int dy, dx::int dx from flow', "pixels")),
     "f8_concat_clips": (_concat, oracle("select clip_id, frame, value from signal", "signal")),
     "f9_frame_chunks": (lambda s, d: G.frame_chunks(G.frame_counts(X.signal(s, d)).withColumnRenamed("n", "total_frames"), None, 1), oracle(COUNTS + ", z as (select clip_id, n, greatest(10, n // 4) s from c) select clip_id, k::int chunk, (k * s)::int start_frame, (least(k * s + s, n) - 1)::int end_frame from z, lateral (select unnest(range(0, (n + s - 1) // s)) k)", "signal")),
     "f10_pipeline": (sig(lambda p: G.pipeline(p, [(G.trim, {"fps": 10.0, "start": 1.0, "end": 3.0}), (L.reverse_loop, {})])), oracle(", t as (select clip_id, frame - 10 frame, value from signal where frame between 10 and 29), c as (select clip_id, max(frame) + 1 n from t group by 1), ix as (select clip_id, i::int frame, (case when i < n then i else 2 * n - 1 - i end)::int s from c, lateral (select unnest(range(0, 2 * n)) i)) select ix.clip_id, ix.frame, t.value from ix join t on t.clip_id = ix.clip_id and t.frame = ix.s", "signal")),
@@ -121,7 +123,7 @@ QUERIES = {
     "h13_remap": (px(lambda p: stats(G.remap(p, p.select(*KEY, (7 - F.col("y") + 0.25).alias("sy"), (F.col("x") - 0.5).alias("sx"))))), oracle(", nb as (select clip_id, frame, 7 - (y + j) y, x - i + 1 x, b, g, r, a, (case j when 0 then 0.75 else 0.25 end * 0.5)::double w from pixels, (select unnest([0, -1]) j), (select unnest([0, 1]) i)) select clip_id, frame, count(*) n, "
         + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgra") + " from (select p.clip_id, p.frame, p.y, p.x, " + ", ".join(f"round_even(round(coalesce(sum(nb.{c} * nb.w), 0), 6), 0)::int {c}" for c in "bgra") + " from pixels p left join nb using (clip_id, frame, y, x) group by 1, 2, 3, 4) group by 1, 2", "pixels")),
     "g12_frame_similarity": (px(_sim), oracle(f"select p.clip_id, p.frame, round({MSE}, 6) score from pixels p join pixels q on q.clip_id = p.clip_id and q.frame = p.frame + 1 and q.y = p.y and q.x = p.x group by 1, 2", "pixels")),
-    "g13_flow_similarity": (px(lambda p: L.frame_similarity(p.where("frame = 0"), p.where("frame = 1"), ("clip_id",), "flow")), None),
+    "g13_flow_similarity": (px(lambda p: L.frame_similarity(p.where("frame = 0"), p.where("frame = 1"), ("clip_id",), "flow").select("clip_id", F.round("score", 6).alias("score"))), oracle(FLOW + " select clip_id, round(greatest(0.0, 100 - 5 * avg(sqrt((dy * dy + dx * dx)::double))), 6) score from flow group by 1", "pixels")),
     "g14_best_loop_points": (px(lambda p: L.best_loop_points(p, 10, 40).withColumn("score", F.round("score", 6))), oracle(PAIR + BEST.format(t=40), "pixels")),
     "g15_best_match_point": (px(lambda p: L.best_match_point(p, p.withColumn("clip_id", (F.col("clip_id") + 1) % 10), 30).withColumn("score", F.round("score", 6))), oracle(f", sc as (select p.clip_id, p.frame s, q.frame e, {MSE} score from pixels p join pixels q on p.clip_id = (q.clip_id + 1) % 10 and p.y = q.y and p.x = q.x group by 1, 2, 3)" + BEST.format(t=30), "pixels")),
     "g16_make_loop": (px(lambda p: stats(L.make_loop(p, "reverse"))), oracle(PCOUNTS + ", ix as (select clip_id, i::int frame, (case when i < n then i else 2 * n - 1 - i end)::int s from c, lateral (select unnest(range(0, 2 * n)) i)) " + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels t on t.clip_id = ix.clip_id and t.frame = ix.s", *"bgra"), "pixels")),
