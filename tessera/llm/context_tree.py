@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, SLICE_BYTES, Words, column_bytes, fold_of, mix, text_slices, written
+from .common import _LOWER, SLICE_BYTES, Words, column_bytes, fold_of, mix, small_batches, text_slices, written
 from .ngram_join import _packed, _unpacked
 
 DEPTH = 5
@@ -81,9 +81,16 @@ def _parts(text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         i = j
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``x`` in order, and where each begins when ``x`` is sorted."""
+    x = np.sort(x)
+    first = np.flatnonzero(_starts(x))
+    return x[first], first
+
+
 def distinct_codes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The sorted codes that occur in a chunk of texts."""
-    return np.unique(np.concatenate([np.unique(codes) for _, _, codes, _ in _parts(text, at)]))
+    return _runs(np.concatenate([_runs(codes)[0] for _, _, codes, _ in _parts(text, at)]))[0]
 
 
 class _Sums:
@@ -93,9 +100,9 @@ class _Sums:
         self.kind, self.codes, self.counts, self.size = kind, [], [], 0
 
     def add(self, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, n = np.unique(codes, return_counts=True)
+        x, first = _runs(codes)
         self.codes.append(x)
-        self.counts.append(n)
+        self.counts.append(np.diff(np.append(first, len(codes))))
         self.size += len(x)
         if self.size > HELD:
             self.merge()
@@ -363,7 +370,7 @@ def _weigh(shared):
         if not lists:
             return pa.table({"t": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "logs": pa.array([], pa.binary())})
         have, n = _sorted_counts(gram)
-        code = np.unique(np.concatenate([have, *lists]))
+        code = _runs(np.concatenate([have, *lists]))[0]
         count = np.zeros(len(code))
         count[np.searchsorted(code, have)] = n
         logs = code_logs(code, count, m.upper, m.least).astype(np.float32)
@@ -484,8 +491,15 @@ def _text_scores(packed: bytes, sizes: np.ndarray, logs: list[tuple[int, bytes]]
     found[dealt_codes(code, groups)[2]] = np.concatenate([_unpacked(x, np.float32) for _, x in sorted(logs)])
     out = np.zeros(len(sizes))
     for i, j, here, first in _parts(text, at):
-        kinds, place = np.unique(here, return_inverse=True)
-        out[i:j] = np.add.reduceat(found[np.searchsorted(code, kinds)][place], first[:-1])
+        logs = np.empty(len(here))
+        # 48 bits of code and 16 of place: one sort puts equal codes together.
+        for k in range(0, len(here), 1 << 16):
+            x = here[k : k + (1 << 16)] << _U(16) | np.arange(min(1 << 16, len(here) - k), dtype=np.uint64)
+            x.sort()
+            kind, place = x >> _U(16), (x & _U(0xFFFF)).astype(np.int64)
+            new = np.flatnonzero(_starts(kind))
+            logs[k + place] = np.repeat(found[np.searchsorted(code, kind[new])], np.diff(np.append(new, len(x))))
+        out[i:j] = np.add.reduceat(logs, first[:-1])
     return out
 
 
@@ -520,6 +534,11 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     alone. Repeated rows are scored each; rows with a null doc_id too. Without training
     texts every symbol has probability 1/256.
     """
+    with small_batches(docs.sparkSession):
+        return _score_all(docs, train)
+
+
+def _score_all(docs: DataFrame, train: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     m, words, gram = learn(train)
     shared = spark.sparkContext.broadcast(m)

@@ -188,9 +188,11 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that have no language: no letter, or a score below REJECT."""
+    """``docs`` without those that have no language: no letter, or a score below REJECT; a written table."""
     names = docs.columns
     model = learn(docs.where(~fold_of(4)))
     held = docs.select(*((F.col(c).cast("string") if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(names)))
-    out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}")
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT)).select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))
+    out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT))
+    with small_batches(spark):
+        out = written(out.select(*held.columns), "language_id")
+    return out.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))

@@ -238,9 +238,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those predicted toxic; learned from the labelled rows of ``docs``."""
+    """``docs`` without those predicted toxic, as a written table; learned from the labelled rows of ``docs``."""
     names = docs.columns
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold_of(4)))
     held = docs.select(*((F.col(c).cast("string") if c == "text" else F.col(c)).alias(f"_c{k}") for k, c in enumerate(names)))
-    out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}")
-    return out.where("predicted = 0").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))
+    out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}").where("predicted = 0")
+    with small_batches(spark):
+        out = written(out.select(*held.columns), "toxicity")
+    return out.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))

@@ -132,3 +132,20 @@ def test_session_option_comes_back_and_tables_go(spark, tmp_path):
     J.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id bigint, text string")).collect()
     assert spark.conf.get(key) == before
     assert [t.split("tessera-")[-1].split("-")[0] for t in tables() - old] == ["components"]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    near = [w if k % 50 else f"x{k}" for k, w in enumerate(words)]
+    far = [w if k % 9 else f"y{k}" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "w " * 50_000), (5, "w " * 70_000)]
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
+def test_one_of_each_by_join_and_by_broadcast(spark, monkeypatch):
+    rows = [(1, "a b c d e f", 5), (2, "a b c d e f", 6), (None, "a b c d e f", 7), (3, "z", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _id int")
+    want = sorted(map(str, [rows[0], rows[2], rows[3]]))
+    assert sorted(str(tuple(r)) for r in J.one_of_each(df).collect()) == want
+    monkeypatch.setattr(J, "BROADCAST_IDS", -1)
+    assert sorted(str(tuple(r)) for r in J.one_of_each(df).collect()) == want

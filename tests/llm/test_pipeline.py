@@ -34,8 +34,37 @@ def test_registered(spark, sf_dir):
 
 
 def test_clashing_columns(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).selectExpr("*", "1 as _maybe", "2 as score", "3 as _id", "4 as n_lines", "5 as _c0")
-    for name, stage in CP.STAGES[:-1]:
-        if name != "line_dedup":  # it gives n_lines itself
-            assert stage(spark, docs, sf_dir).columns == docs.columns
-    assert CP.STAGES[2][1](spark, docs.drop("n_lines"), sf_dir).columns == docs.drop("n_lines").columns
+    names = ["_maybe", "score", "_id", "n_lines", "n_dropped", "_c0", "c0", "_bad", "_kept", "_host", "salt", "lang_pred", "predicted", "comp", "n"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).selectExpr("*", *(f"concat('{c}', doc_id) `{c}`" for c in names))
+    for _, stage in CP.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"`{c}` <> concat('{c}', doc_id)" for c in names)).count() == 0
+    assert CP.STAGES[-1][1](spark, docs, sf_dir).count() >= 40
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def table(spark, path, rows, marks):
+    spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_null_repeated_and_very_long_rows(spark, tmp_path):
+    kind = ["the cat and the dog of the house went to the garden number %d", "le chat et le chien de la maison vont dans le jardin numero %d"]
+    rows = [(i, kind[i % 2] % (i * 7919) + "\n" + " ".join(f"{'en' if i % 2 == 0 else 'fr'}{i}x{k}" for k in range(30)), "enfr"[i % 2 * 2 : i % 2 * 2 + 2], f"h{i % 3}") for i in range(80)]
+    rows += [(200, None, "en", "h1"), (201, "", None, None), (202, "12 34 ...", "en", "h1"), (None, kind[0] % 5, "en", "h1"), (203, kind[0] % 9 + " the dog" * 60_000, None, "h2"), (204, rows[0][1], "en", "h0"), (205, rows[0][1], "en", "h0"), (7, rows[7][1], "fr", "h1")]
+    marks = [(i, 1, 0) for i in range(80)] + [(7, 1, 0), (None, 1, 1), (3, None, None)]
+    where = table(spark, tmp_path / "t", rows, marks)
+    out = CP.run(spark, where).collect()
+    ids = [r["doc_id"] for r in out]
+    assert {r["doc_id"] for r in out} == {None, 203, *range(80)}  # no letter: 200 to 202; copies of 0: 204, 205
+    assert ids.count(7) == 2 and sum(r["n_tokens"] for r in out if r["doc_id"] == 203) == 2 * 60_000 + 14 + 1
+
+
+def test_empty_tables_and_no_labels(spark, tmp_path):
+    assert CP.run(spark, table(spark, tmp_path / "a", [], [])).collect() == []
+    rows = [(i, f"the cat and dog of house {i} " + " ".join(f"w{i}x{k}" for k in range(20)), "en", "h") for i in range(12)]
+    assert {r["doc_id"] for r in CP.run(spark, table(spark, tmp_path / "b", rows, [])).collect()} == set(range(12))
