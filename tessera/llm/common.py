@@ -48,11 +48,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made, once nothing that is still to run reads them."""
+    """Delete tables that ``written`` made, once nothing that is still to run reads them; others stay."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        where = table.__dict__.get("_written_to")
+        if where:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def renamed(table: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of a table that ``written`` made, to be discarded as it is."""
+    out = table.select(*columns)
+    out._written_to = table._written_to
+    return out
 
 
 @contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, renamed, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,4 @@ def components(links: DataFrame) -> DataFrame:
         labels = written(step.join(jump, "m").select("id", F.least("m", "far").alias("comp"), (F.least("m", "far") < F.col("comp")).alias("moved")), "labels")
         discard(old, step)
     discard(both)
-    out = labels.select("id", "comp")
-    out._written_to = labels._written_to
-    return out
+    return renamed(labels, F.col("id"), F.col("comp"))

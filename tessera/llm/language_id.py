@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, first_of_each, fold_of, small_batches, text_slices, written
+from .common import discard, first_of_each, fold_of, renamed, small_batches, text_slices, written
 
 DIMS = 1 << 16
 ORDERS = 3
@@ -195,4 +195,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT))
     with small_batches(spark):
         out = written(out.select(*held.columns), "language_id")
-    return out.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))
+    return renamed(out, *(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))

@@ -478,9 +478,9 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     near = written(blocks.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_near_blocks, _LINK).distinct(), "near")
     discard(units)
 
-    family = components(near)
-    family = written(family.join(meta.select(F.col("doc_id").alias("id"), "n"), "id").select(F.col("comp").alias("unit"), "id", "n"), "families")
-    discard(near)
+    joined_ = components(near)
+    family = written(joined_.join(meta.select(F.col("doc_id").alias("id"), "n"), "id").select(F.col("comp").alias("unit"), "id", "n"), "families")
+    discard(near, joined_)
     blocks = _dealt(family, F.col("n"), FAMILY_PART)
     some = maybe_among(texts, family.select("id")).where("_maybe").select(F.col("doc_id").alias("id"), "text")
     sets = some.join(blocks.select("id", "g", "part", "two"), "id").select("text", "id", "g", "part", "two").mapInArrow(_sets, "id bigint, g bigint, part int, two boolean, n bigint, members binary")

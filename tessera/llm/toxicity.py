@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, docs_table, first_of_each, fold_of, range_hash, small_batches, text_slices, written
+from .common import Words, discard, docs_table, first_of_each, fold_of, range_hash, renamed, small_batches, text_slices, written
 
 #: Labelled rows a class that the classifier is fitted on; a third calibrates.
 SAMPLE = 4000
@@ -245,4 +245,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = predict(held, model, tuple(held.columns), f"_c{names.index('text')}").where("predicted = 0")
     with small_batches(spark):
         out = written(out.select(*held.columns), "toxicity")
-    return out.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))
+    return renamed(out, *(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))
