@@ -41,9 +41,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    made = []
+    before = docs
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-        discard(*made)  # the stage before is read no more
-        made = [docs]
+        out = stage(spark, docs, sf_dir)
+        docs = written(out, name)
+        discard(before, out)  # read no more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
