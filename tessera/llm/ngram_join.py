@@ -177,8 +177,11 @@ def ordered(keys: np.ndarray, rank: np.ndarray, first: int) -> np.ndarray:
 _KEYS = "r bigint, keys binary, ids binary, key bigint, id bigint"
 
 
-def _offer(ranks, groups: int):
-    """The prefix keys of the rows (doc_id, text): packed by group, and singly where a key is frequent."""
+def _offer(ranks, groups: int, left_out=None):
+    """The prefix keys of the rows (doc_id, text): packed by group, and singly where a key is frequent.
+
+    Rows whose doc_id may be in the filter ``left_out`` offer none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, held, total = ranks.value, [], 0
@@ -206,6 +209,8 @@ def _offer(ranks, groups: int):
         for batch in batches:
             for i, j in text_slices(batch):
                 rows = batch.slice(i, j - i)
+                if left_out is not None:
+                    rows = rows.filter(pa.array(~_maybe(left_out.value, rows.column(0))))
                 for doc, s in zip(rows.column(0).to_pylist(), shingles(Words(rows.column(1), lower=True)), strict=True):
                     for keys, first in band_words(s) if len(s) else ():
                         keys = ordered(keys, rank, first)
@@ -404,29 +409,36 @@ def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in made.values()], pa.binary())], ["chunk", "bits"])
 
 
-def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``_maybe``: false only where doc_id is surely not among ``ids`` (id).
-
-    A filter of FILTER_BITS bits, whatever the number of ids; it spares most other texts a
-    shuffle, and at worst spares none.
-    """
+def id_filter(ids: DataFrame):
+    """The filter of ``ids`` (id), broadcast: FILTER_BITS bits, whatever their number, or None without ids."""
     parts = ids.select(F.col("id").cast("bigint")).mapInArrow(_filter_parts, "chunk int, bits binary").repartition("chunk").mapInArrow(_merge_parts, "chunk int, bits binary").collect()
     bits = np.zeros((FILTER_BITS // 8 // CHUNK, CHUNK), np.uint8)
     for p in parts:
         bits[p["chunk"]] = np.frombuffer(p["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel() if len(parts) else None)
+    return ids.sparkSession.sparkContext.broadcast(bits.ravel() if len(parts) else None)
+
+
+def _maybe(bits: np.ndarray | None, ids: pa.Array) -> np.ndarray:
+    """False only where an id is surely not in the filter."""
+    if bits is None or not len(ids):
+        return np.zeros(len(ids), bool)
+    at = _bits(ids.fill_null(0))
+    hit = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+    return hit[: len(ids)] & hit[len(ids) :]
+
+
+def maybe_among(docs: DataFrame, shared) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that may be in the filter, as a written table.
+
+    The filter spares most other texts a shuffle, and at worst spares none. Written, so that
+    one task holds one Python worker.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if shared.value is None:
-                hit = np.zeros(len(batch), bool)
-            else:
-                at = _bits(batch.column(0).fill_null(0))
-                set_ = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-                hit = set_[: len(batch)] & set_[len(batch) :]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "_maybe"])
+            yield batch.filter(pa.array(_maybe(shared.value, batch.column(0))))
 
-    return docs.mapInArrow(look, "doc_id bigint, text string, _maybe boolean")
+    return written(docs.mapInArrow(look, "doc_id bigint, text string"), "maybe")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -462,9 +474,11 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null")
 
     copies = _copies(meta)
-    split = maybe_among(texts, copies.select(F.col("doc_id").alias("id")))
-    rest = split.where("_maybe").select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    offered = written(split.where("not _maybe").select("doc_id", "text").union(rest).mapInArrow(_offer(ranks, groups), _KEYS), "keys")
+    left_out = id_filter(copies.select(F.col("doc_id").alias("id")))
+    some = maybe_among(texts, left_out)
+    rest = some.join(copies, "doc_id", "left_anti")
+    offered = written(texts.mapInArrow(_offer(ranks, groups, left_out), _KEYS).union(rest.mapInArrow(_offer(ranks, groups), _KEYS)), "keys")
+    discard(some)
     stars = offered.where("r is not null").select("r", "keys", "ids").groupBy("r").applyInArrow(_match, _STAR)
     often = offered.where("r is null").select("key", "id")
     often = often.join(often.groupBy("key").agg(F.min("id").alias("lead")), "key").where("lead < id").select("lead", "id")
@@ -482,11 +496,12 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     family = written(joined_.join(meta.select(F.col("doc_id").alias("id"), "n"), "id").select(F.col("comp").alias("unit"), "id", "n"), "families")
     discard(near, joined_)
     blocks = _dealt(family, F.col("n"), FAMILY_PART)
-    some = maybe_among(texts, family.select("id")).where("_maybe").select(F.col("doc_id").alias("id"), "text")
-    sets = some.join(blocks.select("id", "g", "part", "two"), "id").select("text", "id", "g", "part", "two").mapInArrow(_sets, "id bigint, g bigint, part int, two boolean, n bigint, members binary")
+    some = maybe_among(texts, id_filter(family.select("id")))
+    near_texts = some.select(F.col("doc_id").alias("id"), "text").join(blocks.select("id", "g", "part", "two"), "id")
+    sets = near_texts.select("text", "id", "g", "part", "two").mapInArrow(_sets, "id bigint, g bigint, part int, two boolean, n bigint, members binary")
     tasks = max(least, int(family.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES)
     links = written(sets.groupBy(F.pmod("g", F.lit(tasks))).applyInArrow(_linked_blocks, _LINK).distinct(), "linked")
-    discard(family)
+    discard(family, some)
 
     comps = components(links)
     out = meta.select("doc_id", "n").join(copies, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
