@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, language_id, line_dedup, mpeg_audio, ngram_join, packing, piece_encoding, quality_rules, token_trees, toxicity
+from . import context_tree, language_id, line_dedup, merkle_manifest, mpeg_audio, ngram_join, packing, piece_encoding, quality_rules, token_trees, toxicity, trie_encoding, whitening
 from .common import docs_table
 
 
@@ -26,8 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": _over_documents(language_id.query),
         "op9_toxicity": toxicity.query,
         "op10_line_dedup": _over_documents(line_dedup.query),
+        "op11_merkle_manifest": _over_documents(merkle_manifest.query),
+        "op12_trie_encoding": _over_documents(trie_encoding.query),
+        "op13_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL, "op11_merkle_manifest": merkle_manifest.SQL}
