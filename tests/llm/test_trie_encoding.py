@@ -39,7 +39,7 @@ def test_long_words():
 def test_shared_prefixes_are_encoded_once(monkeypatch):
     m = T.TrieModel(T.default_path())
     calls = []
-    monkeypatch.setattr(m, "last_token", lambda path, depth, last, f=m.last_token: calls.append(bytes(path[:depth])) or f(path, depth, last))
+    monkeypatch.setattr(m, "last_token", lambda path, *rest, f=m.last_token: calls.append(path) or f(path, *rest))
     words = [" nation", " national", " nations", " nationality", " native"]
     out = m.spread(words)
     assert sorted(calls) == sorted({w.encode()[:k] for w in words for k in range(1, len(w) + 1)})
@@ -48,6 +48,14 @@ def test_shared_prefixes_are_encoded_once(monkeypatch):
         assert out[w] == (b"".join(b",%d" % i for i in ids), len(ids), w.encode())
 
 
+def test_compatible_tokens_are_what_merging_leaves():
+    rng = random.Random(5)
+    ids = sorted(M.id.values())
+    for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(20_000)):
+        assert M.compatible(a, b) == (M.merged(M.token[a] + M.token[b]) == [M.token[a], M.token[b]])
+    assert len(M.id) == 50_256
+
+
 def test_a_full_table_is_emptied(monkeypatch):
     monkeypatch.setattr(T, "KEPT", 5)
     monkeypatch.setattr(T, "TRIE_WORDS", 2)
