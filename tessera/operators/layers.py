@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import by_size, cut, ranked
 from .geometry import resize, upto
 from .pixels import CHANNELS, KEY, densify, trunc
 from .rigs import footprint_union
@@ -17,6 +17,8 @@ from .segment import character_alpha
 
 FAR = 1e9
 DEFAULT_RADIUS, MIN_BAND = 12, 3
+#: Rows of a leaf of a fingerprint, and digests of one above.
+CHUNK = 4096
 
 
 def layer_settings(rigs: DataFrame) -> DataFrame:
@@ -107,12 +109,94 @@ def region_radius(mask: DataFrame) -> DataFrame:
     return distance_transform(mask).groupBy(*frame).agg(F.coalesce(F.max(F.when(F.col("m") > 0, F.col("d"))), F.lit(0.0)).alias("radius"))
 
 
+def neighbours(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(8, n) places in the list of each place's eight neighbours, -1 where the list lacks one."""
+    wide = int(x.max()) + 3
+    number = (y + 1) * wide + x + 1
+    order = np.argsort(number, kind="stable")
+    sorted_ = number[order]
+    out = np.empty((8, len(number)), np.int32)
+    for k, step in enumerate(dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx):
+        at = np.minimum(np.searchsorted(sorted_, number + step), len(order) - 1)
+        out[k] = np.where(sorted_[at] == number + step, order[at], -1)
+    return out
+
+
+def filled(y: np.ndarray, x: np.ndarray, todo: np.ndarray, color: np.ndarray, iters: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the ``todo`` places were filled, the colours (n, 3)): rings of means, then ``iters`` averagings of all filled places."""
+    edge = np.flatnonzero(todo)
+    near_all = neighbours(y, x)
+    part = np.unique(np.concatenate([edge, near_all[:, edge][near_all[:, edge] >= 0]]))  # the region and its rim
+    back = np.full(len(y) + 1, -1, np.int32)
+    back[part] = np.arange(len(part))
+    near = back[near_all[:, part]]
+    value, inside = color[part].astype(float), todo[part]
+    layer = np.where(inside, -1, 0)
+
+    def means(rows: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """The means of ``value`` over those of the rows' neighbours that ``use`` marks; each has one."""
+        total, n = np.zeros((len(rows), value.shape[1])), np.zeros(len(rows))
+        for k in range(8):
+            other = near[k, rows]
+            some = (other >= 0) & use[other]
+            total[some] += value[other[some]]
+            n += some
+        return total / n[:, None]
+
+    ring, depth = np.flatnonzero(layer == 0), 0
+    while len(ring):
+        around = np.unique(near[:, ring])
+        around = around[around >= 0]
+        new = around[layer[around] < 0]
+        if not len(new):
+            break
+        value[new] = means(new, layer == depth)
+        depth += 1
+        layer[new] = depth
+        ring = new
+    got = np.flatnonzero(layer > 0)
+    for _ in range(iters if len(got) else 0):
+        value[got] = means(got, layer >= 0)
+    which, out = np.zeros(len(y), bool), color.astype(float)
+    which[part[got]] = True
+    out[part[got]] = value[got]
+    return which, out
+
+
 def fill_region(plate: DataFrame, region: DataFrame, iters: int = 40) -> DataFrame:
     """The plate (clip_id, frame, y, x, ...) with ``region`` (same key) filled from around it, opaque.
 
     Pixels next to known ones take their mean, layer by layer; a few rounds of averaging
-    smooth them. Only the region changes; a frame without known pixels stays as it is.
+    smooth them. Only the region changes; a frame without known pixels stays as it is. A frame
+    is filled whole in one task, in one pass whatever the region's depth; frames too large
+    for that are filled by joins, a ring a round.
     """
+    cols = [*KEY, *CHANNELS, "a"]
+    kinds = dict(plate.dtypes)
+    marked = plate.select(*cols).join(region.select(*KEY).distinct().withColumn("_todo", F.lit(True)), KEY, "left").withColumn("_todo", F.coalesce("_todo", F.lit(False))).transform(cut)
+    whole, large = by_size(marked, ["clip_id", "frame"])
+
+    def run(table: pa.Table) -> pa.Table:
+        todo = table.column("_todo").to_numpy(zero_copy_only=False)
+        table = table.drop_columns(["_todo"])
+        if not todo.any():
+            return table
+        y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        which, value = filled(y, x, todo, np.column_stack([table.column(c).to_numpy() for c in CHANNELS]), iters)
+        for k, c in enumerate(CHANNELS):
+            old = table.column(c).to_numpy()
+            new = np.where(which, np.floor(np.minimum(255.0, value[:, k] + 0.5)), old).astype(old.dtype)
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(new))
+        alpha = table.column("a").to_numpy()
+        return table.set_column(table.schema.get_field_index("a"), "a", pa.array(np.where(which, 255, alpha).astype(alpha.dtype)))
+
+    out = whole.groupBy("clip_id", "frame").applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    if large is not None:
+        out = out.unionByName(_fill_by_joins(large.drop("_todo"), large.where("_todo").select(*KEY), iters))
+    return out
+
+
+def _fill_by_joins(plate: DataFrame, region: DataFrame, iters: int) -> DataFrame:
     todo = region.select(*KEY).distinct().join(plate.select(*KEY), KEY, "left_semi").transform(cut)
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx))
 
@@ -180,9 +264,33 @@ def correction_band(strokes: DataFrame, fade: int, width: int, height: int) -> D
     return r.select("plate_id", F.greatest(F.lit(1), F.least(F.lit(fade if fade > 0 else MIN_BAND), limit)).alias("band"))
 
 
-def load_corrections(corrections: DataFrame, width: int, height: int) -> DataFrame:
-    """(id, rig_id, x0, y0, x1, y1, band): the corrections of this canvas, clipped to it; empty ones go."""
-    d = corrections.where((F.col("canvas_width") == width) & (F.col("canvas_height") == height))
+#: What a correction needs; bounds and the canvas are never guessed.
+NEEDED = ("id", "rig_id", "bbox_x", "bbox_y", "bbox_width", "bbox_height", "canvas_width", "canvas_height")
+
+
+def _fault() -> Column:
+    """Why a correction can't be read, or null."""
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in NEEDED)))
+    size = F.when((F.col("canvas_width") <= 0) | (F.col("canvas_height") <= 0), "the canvas has no size").when((F.col("bbox_width") < 0) | (F.col("bbox_height") < 0), "the box has a negative size")
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))).otherwise(size)
+
+
+def correction_errors(corrections: DataFrame) -> DataFrame:
+    """(id, rig_id, reason) of the corrections that can't be read, whatever their canvas."""
+    return corrections.select("id", "rig_id", _fault().alias("reason")).where("reason is not null")
+
+
+def load_corrections(corrections: DataFrame, width: int, height: int, strict: bool = True) -> DataFrame:
+    """(id, rig_id, x0, y0, x1, y1, band): the corrections of this canvas, clipped to it; empty ones go.
+
+    One that can't be read fails the job, or, if not ``strict``, is left to ``correction_errors``.
+    """
+    fault = _fault()
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("correction "), F.coalesce(F.col("id").cast("string"), F.lit("without id")), F.lit(": "), fault)).cast("boolean")
+        d = corrections.where(F.when(fault.isNotNull(), bad).otherwise((F.col("canvas_width") == width) & (F.col("canvas_height") == height)))
+    else:
+        d = corrections.where(fault.isNull() & (F.col("canvas_width") == width) & (F.col("canvas_height") == height))
     d = d.select("id", "rig_id", F.greatest(F.lit(0), "bbox_x").alias("x0"), F.greatest(F.lit(0), "bbox_y").alias("y0"), F.least(F.lit(width), F.col("bbox_x") + F.col("bbox_width")).alias("x1"), F.least(F.lit(height), F.col("bbox_y") + F.col("bbox_height")).alias("y1"), F.greatest(F.lit(1), F.coalesce("fade", F.lit(0))).alias("band"))
     return d.where("x1 > x0 and y1 > y0")
 
@@ -264,11 +372,25 @@ def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes:
     return ground.select(*KEY, *CHANNELS).join(feather_ramp(grid, fade).withColumnRenamed("m", "a"), KEY)
 
 
-def content_fingerprint(rows: DataFrame, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """(*by, fingerprint): SHA-1 over the ordered rows' fields; no rows, no fingerprint."""
+def content_fingerprint(rows: DataFrame, by: list[str], order: list[str], fields: list[str], chunk: int = CHUNK) -> DataFrame:
+    """(*by, fingerprint): SHA-1 over the ordered rows' fields; no rows, no fingerprint.
+
+    A leaf is the digest of ``chunk`` consecutive rows; a group of more is the digest of its
+    leaves' digests in order, and so on up to one. Rows are numbered across partitions, so no
+    task or row holds a whole group, and the result depends on the rows and ``chunk`` alone.
+    """
     line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields))
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_l")))).alias("_a"))
-    return g.select(*by, F.sha1(F.concat_ws(";", F.transform("_a", lambda s: s["_l"]))).alias("fingerprint"))
+    nodes = ranked(rows.select(*by, *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), line.alias("_l")), by, [*(f"_o{k}" for k in range(len(order))), "_l"])
+    out = None
+    while True:
+        own = F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_p"), "_l"))), lambda s: s["_l"])
+        nodes = nodes.groupBy(*by, F.floor(F.col("pos") / chunk).alias("pos")).agg(F.sha1(F.concat_ws(";", own)).alias("_l")).transform(cut)
+        more = nodes.where("pos > 0").select(*by).distinct()
+        done = nodes.join(more, by, "left_anti").select(*by, F.col("_l").alias("fingerprint"))
+        out = done if out is None else out.unionByName(done)
+        nodes = nodes.join(more, by, "left_semi")
+        if more.limit(1).count() == 0:
+            return out
 
 
 def stale_artifacts(wanted: DataFrame, built: DataFrame) -> DataFrame:

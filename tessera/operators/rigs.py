@@ -6,18 +6,21 @@
 
 from __future__ import annotations
 
-from itertools import count
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import by_size, cut
 from .geometry import remap, upto
 from .pixels import CHANNELS, KEY, composite_over
 
 M = ["a", "b", "c", "d", "e", "f"]
 FALLOFFS = ("smooth", "linear", "hard")
 POSE = ["rot", "tx", "ty"]
+#: Sides in pixels of the cells that points and bones meet in; digits that an estimated place is rounded to.
+CELL, COARSE = 16, 256
+DIGITS = 6
 
 
 def bone_closure(bones: DataFrame) -> DataFrame:
@@ -162,26 +165,28 @@ def _product(p: str, q: str) -> list[Column]:
 
 
 def bone_world(bones: DataFrame, poses: DataFrame) -> DataFrame:
-    """(rig_id, frame, bone_id, a..f): each bone's transform times its parent's, a join a level.
+    """(rig_id, frame, bone_id, a..f): the product of each bone's transform and its ancestors'.
 
-    Bones on a cycle, and below one, have no root and no transform.
+    A bone holds the product from below its pointer, first its parent, down to itself; a round
+    puts the pointer's own product before it and takes the pointer's pointer, so a chain of n
+    bones takes log2(n) joins. Bones on a cycle, and below one, have no root and no transform.
     """
-    local = bone_local(bones, poses)
-    known = bones.select("rig_id", F.col("bone_id").alias("parent_id"), F.lit(True).alias("_known"))
-    tree = bones.select("rig_id", "bone_id", "parent_id").join(known, ["rig_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id")))
-    tree = tree.select("rig_id", "bone_id", "parent_id")
-    level = local.join(tree.where("parent_id is null").select("rig_id", "bone_id"), ["rig_id", "bone_id"], "left_semi")
-    out, ids = level, tree.where("parent_id is null").select("rig_id", "bone_id")
-    for depth in count(1):
-        ids = tree.join(ids.select("rig_id", F.col("bone_id").alias("parent_id")), ["rig_id", "parent_id"]).select("rig_id", "bone_id", "parent_id")
-        if ids.limit(1).count() == 0:
+    known = bones.select("rig_id", F.col("bone_id").alias("up"), F.lit(True).alias("_known"))
+    tree = bones.select("rig_id", "bone_id", F.col("parent_id").alias("up")).join(known, ["rig_id", "up"], "left")
+    tree = tree.select("rig_id", "bone_id", F.when(F.col("_known"), F.col("up")).alias("up")).transform(cut)
+    out = bone_local(bones, poses).join(tree, ["rig_id", "bone_id"]).transform(cut)
+    left = tree.where("up is not null").count()
+    while left:
+        above = out.select("rig_id", "frame", F.col("bone_id").alias("up"), F.col("up").alias("_up"), *(F.col(k).alias(f"{k}1") for k in M))
+        mine = out.withColumnsRenamed({k: f"{k}2" for k in M}).join(above, ["rig_id", "frame", "up"], "left")
+        out = mine.select("rig_id", "frame", "bone_id", F.col("_up").alias("up"), *(F.when(F.col("up").isNull(), F.col(f"{k}2")).otherwise(c).alias(k) for k, c in zip(M, _product("1", "2"), strict=True))).transform(cut)
+        over = tree.select("rig_id", F.col("bone_id").alias("up"), F.col("up").alias("_up"))
+        tree = tree.join(over, ["rig_id", "up"], "left").select("rig_id", "bone_id", F.col("_up").alias("up")).transform(cut)
+        # As long as a bone without a cycle above it is left, some of them end in each round.
+        before, left = left, tree.where("up is not null").count()
+        if left == before:
             break
-        parent = level.select("rig_id", "frame", F.col("bone_id").alias("parent_id"), *(F.col(k).alias(f"{k}1") for k in M))
-        mine = local.select("rig_id", "frame", "bone_id", *(F.col(k).alias(f"{k}2") for k in M)).join(ids, ["rig_id", "bone_id"])
-        level = mine.join(parent, ["rig_id", "frame", "parent_id"]).select("rig_id", "frame", "bone_id", *_product("1", "2"))
-        level = level.transform(cut) if depth % 8 == 0 else level
-        out, ids = out.unionByName(level), ids.select("rig_id", "bone_id").transform(cut)
-    return out
+    return out.where("up is null").select("rig_id", "frame", "bone_id", *M)
 
 
 def skin_matrices(world: DataFrame, bind: DataFrame | None = None) -> DataFrame:
@@ -194,43 +199,66 @@ def skin_matrices(world: DataFrame, bind: DataFrame | None = None) -> DataFrame:
     return w.join(inv, ["rig_id", "bone_id"]).select("rig_id", "frame", "bone_id", *_product("1", "2"))
 
 
-def segment_distance(x: Column, y: Column, o: Column) -> Column:
-    """Distance of a point from the segment (hx, hy)-(tx, ty) of the bone ``o``."""
-    vx, vy, wx, wy = o["tx"] - o["hx"], o["ty"] - o["hy"], x - o["hx"], y - o["hy"]
+def segment_distance(x: Column, y: Column, o: Column | None = None) -> Column:
+    """Distance of a point from the segment (hx, hy)-(tx, ty) of the bone ``o``, or of the row's own."""
+    of = F.col if o is None else (lambda k: o[k])
+    vx, vy, wx, wy = of("tx") - of("hx"), of("ty") - of("hy"), x - of("hx"), y - of("hy")
     n = vx * vx + vy * vy
     t = F.when(n <= 1e-12, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (wx * vx + wy * vy) / n)))
     return F.sqrt((wx - t * vx) * (wx - t * vx) + (wy - t * vy) * (wy - t * vy))
 
 
-def _with_bones(points: DataFrame, bones: DataFrame, *fields: str) -> DataFrame:
-    """Each point (rig_id, y, x) with its rig's bones as one array, in order."""
-    b = bones.groupBy("rig_id").agg(F.array_sort(F.collect_list(F.struct("ord", "bone_id", *fields))).alias("_bones"))
-    return points.select("rig_id", "y", "x", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).join(b, "rig_id")
+def _narrowed(cells: DataFrame, size: int) -> DataFrame:
+    """Cells (rig_id, cy, cx, bones) of that size, each with those of its bones that matter to a point in it.
+
+    These are the bones whose reach touches the cell, and those that may be a point's nearest:
+    no farther from the cell's centre than the nearest one and the cell's diagonal.
+    """
+    centre = lambda c: (F.col(c) + 0.5) * size
+    half = size * 0.5**0.5 + 1e-6
+    d = cells.withColumn("_d", F.transform("bones", lambda o: segment_distance(centre("cx"), centre("cy"), o)))
+    near = F.filter(F.arrays_zip("bones", "_d"), lambda z: (z["_d"] <= F.array_min("_d") + 2 * half) | (z["_d"] <= z["bones"]["reach"] + half))
+    return d.select("rig_id", "cy", "cx", F.transform(near, lambda z: z["bones"]).alias("bones"))
 
 
-def bone_weights(points: DataFrame, bones: DataFrame, power: float = 2.0, scale: float = 1.0) -> DataFrame:
-    """(rig_id, y, x, bone_id, w) with w > 0, summing to 1 for each point (rig_id, y, x).
+def near_bones(points: DataFrame, bones: DataFrame, reach: Column) -> DataFrame:
+    """A row for each point (rig_id, y, x) and bone of its rig that may be its nearest or within ``reach`` of it.
 
-    Each rig's bones are joined as one array, and a point stays one row until its weights
-    are known; a point outside every radius goes to its nearest bone, the first in order on ties.
+    A rig's bones are narrowed to cells of 256 pixels and then of 16, of those that have points,
+    and points join their cell. So the pairs follow what the bones reach, not points times bones.
     """
-    d = _with_bones(points, bones, "hx", "hy", "tx", "ty", "radius", "falloff")
-    dist = F.transform("_bones", lambda o: F.struct(segment_distance(F.col("_x"), F.col("_y"), o).alias("dist"), o["ord"].alias("ord"), o["bone_id"].alias("bone_id"), o["radius"].alias("radius"), o["falloff"].alias("falloff")))
-    d = d.select("rig_id", "y", "x", dist.alias("_d"))
+    fields = ["ord", "bone_id", "hx", "hy", "tx", "ty", "radius", "falloff"]
+    at = lambda c, size: F.floor(F.col(c) / size)
+    placed = points.select("rig_id", "y", "x", at("y", CELL).alias("cy"), at("x", CELL).alias("cx"))
+    cells = placed.select("rig_id", "cy", "cx").distinct()
+    ratio = COARSE // CELL
+    own = bones.withColumn("reach", reach).groupBy("rig_id").agg(F.array_sort(F.collect_list(F.struct(*fields, "reach"))).alias("bones"))
+    coarse = cells.select("rig_id", at("cy", ratio).alias("cy"), at("cx", ratio).alias("cx")).distinct().join(own, "rig_id").transform(_narrowed, COARSE)
+    coarse = coarse.withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
+    fine = cells.withColumns({"_cy": at("cy", ratio), "_cx": at("cx", ratio)}).join(coarse, ["rig_id", "_cy", "_cx"]).transform(_narrowed, CELL)
+    pairs = placed.join(fine, ["rig_id", "cy", "cx"]).select("rig_id", "y", "x", F.explode("bones").alias("o"))
+    return pairs.select("rig_id", "y", "x", *(F.col(f"o.{c}").alias(c) for c in fields), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
 
-    def weight(o: Column) -> Column:
-        near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - o["dist"] / F.greatest(o["radius"] * scale, F.lit(1e-6))))
-        return F.when(o["falloff"] == "hard", (near > 0).cast("double")).when(o["falloff"] == "linear", near).otherwise(F.pow(near, F.lit(power)))
 
-    inside = F.filter(F.transform("_d", lambda o: F.struct(o["bone_id"].alias("bone_id"), weight(o).alias("w"))), lambda o: o["w"] > 0)
-    d = d.select("rig_id", "y", "x", inside.alias("_in"), F.array_min("_d")["bone_id"].alias("_first"))
-    d = d.withColumn("_total", F.aggregate("_in", F.lit(0.0), lambda s, o: s + o["w"]))
+def bone_weights(points: DataFrame, bones: DataFrame, power: float = 2.0, scale: float = 1.0) -> DataFrame:
+    """(rig_id, y, x, bone_id, w) with w > 0, summing to 1 for each distinct point (rig_id, y, x).
+
+    A point outside every radius goes to its nearest bone, the first in order on ties.
+    """
+    reach = F.greatest(F.col("radius") * scale, F.lit(1e-6))
+    d = near_bones(points, bones, reach).withColumn("dist", segment_distance(F.col("_x"), F.col("_y")))
+    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("dist") / reach))
+    d = d.withColumn("_near", near).withColumn("w", F.when(F.col("falloff") == "hard", (F.col("_near") > 0).cast("double")).when(F.col("falloff") == "linear", F.col("_near")).otherwise(F.pow("_near", F.lit(power))))
+    g = d.groupBy("rig_id", "y", "x").agg(F.array_sort(F.collect_set(F.when(F.col("w") > 0, F.struct("ord", "bone_id", "w")))).alias("_in"), F.min(F.struct("dist", "ord", "bone_id"))["bone_id"].alias("_first"))
+    g = g.withColumn("_total", F.aggregate("_in", F.lit(0.0), lambda s, o: s + o["w"]))
     each = F.when(F.size("_in") > 0, F.transform("_in", lambda o: F.struct(o["bone_id"].alias("bone_id"), (o["w"] / F.col("_total")).alias("w")))).otherwise(F.array(F.struct(F.col("_first").alias("bone_id"), F.lit(1.0).alias("w"))))
-    return d.select("rig_id", "y", "x", F.explode(each).alias("o")).select("rig_id", "y", "x", "o.bone_id", "o.w")
+    return g.select("rig_id", "y", "x", F.explode(each).alias("o")).select("rig_id", "y", "x", "o.bone_id", "o.w")
 
 
 def grid_points(rigs: DataFrame) -> DataFrame:
+    """(rig_id, y, x) of each rig's canvas; its rows are dealt over the session's shuffle partitions."""
     d = rigs.select("rig_id", "width", upto(F.col("height")).alias("y"))
+    d = d.repartition(int(rigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rig_id", "y")
     return d.select("rig_id", "y", upto(F.col("width")).alias("x"))
 
 
@@ -257,18 +285,56 @@ def skinning_fields(weights: DataFrame, skins: DataFrame) -> DataFrame:
     return weights.join(skins, ["rig_id", "bone_id"]).groupBy("rig_id", "frame", "y", "x").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in M))
 
 
+def _step(x: np.ndarray, y: np.ndarray, m: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sources (sx, sy) of the places by the matrices ``m``, a to f."""
+    a, b, c, d, e, f = m
+    det = a * e - b * d
+    det = np.where(np.abs(det) < 1e-8, 1e-8, det)
+    return (e * (x - c) - b * (y - f)) / det, (a * (y - f) - d * (x - c)) / det
+
+
+def _iterated(table: pa.Table, iters: int) -> pa.Table:
+    """The map of one frame's whole field (rig_id, frame, y, x, a..f)."""
+    y, x, *m = (table.column(c).to_numpy().astype(float) for c in ("y", "x", *M))
+    # Places are found by their numbers in rows of the frame's width.
+    width = x.max() + 1
+    number = y * width + x
+    order = np.argsort(number, kind="stable")
+    sx, sy, live = x, y, np.arange(len(x))
+    for _ in range(max(1, iters)):
+        near = lambda v, top: np.minimum(top, np.maximum(0, np.rint(np.round(v, DIGITS))))
+        want = near(sy, y.max()) * width + near(sx, x.max())
+        at = np.minimum(np.searchsorted(number, want, sorter=order), len(order) - 1)
+        hit = order[at]
+        some = number[hit] == want
+        live, hit = live[some], hit[some]
+        sx, sy = _step(x[live], y[live], [k[hit] for k in m])
+    rows = table.select(["rig_id", "frame", "y", "x"]).take(pa.array(live))
+    return rows.append_column("sy", pa.array(sy)).append_column("sx", pa.array(sx))
+
+
 def backward_map(fields: DataFrame, iters: int = 5) -> DataFrame:
     """(rig_id, frame, y, x, sy, sx): for each output pixel its source, by a fixed-point iteration.
 
-    A step reads the field at the rounded, clamped estimate: one join a step, of a field
-    that is computed once.
+    A step reads the field at the nearest place to the estimate, clamped to the frame; an
+    estimate is rounded to 6 digits first, so that the noise of sums doesn't choose between two
+    places. A frame's field is kept together and iterated in one task, without a shuffle a step;
+    of frames too large for that, each step is a join. A place that the field lacks has no source.
     """
     fields = cut(fields)
-    edge = fields.groupBy("rig_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    est = fields.select("rig_id", "frame", "y", "x", F.col("y").cast("double").alias("sy"), F.col("x").cast("double").alias("sx")).join(edge, "rig_id")
+    whole, large = by_size(fields, ["rig_id", "frame"])
+    kinds = dict(fields.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("rig_id", "frame", "y", "x")) + ", sy double, sx double"
+    out = whole.select("rig_id", "frame", "y", "x", *M).groupBy("rig_id", "frame").applyInArrow(lambda t: _iterated(t, iters), schema)
+    return out if large is None else out.unionByName(_joined_map(large, iters))
+
+
+def _joined_map(fields: DataFrame, iters: int) -> DataFrame:
+    edge = fields.groupBy("rig_id", "frame").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    est = fields.select("rig_id", "frame", "y", "x", F.col("y").cast("double").alias("sy"), F.col("x").cast("double").alias("sx")).join(edge, ["rig_id", "frame"])
     at = fields.withColumnsRenamed({"y": "py", "x": "px"})
     for _ in range(max(1, iters)):
-        clamp = lambda c, m: F.least(F.col(m), F.greatest(F.lit(0), F.rint(c).cast("int")))
+        clamp = lambda c, m: F.least(F.col(m), F.greatest(F.lit(0), F.rint(F.round(c, DIGITS)).cast("int")))
         d = est.withColumn("py", clamp("sy", "my")).withColumn("px", clamp("sx", "mx")).join(at, ["rig_id", "frame", "py", "px"])
         det = F.col("a") * F.col("e") - F.col("b") * F.col("d")
         det = F.when(F.abs(det) < 1e-8, 1e-8).otherwise(det)
@@ -322,16 +388,14 @@ def bone_tree(bones: DataFrame) -> DataFrame:
 def nearest_bone(points: DataFrame, bones: DataFrame, radius: float) -> DataFrame:
     """(rig_id, y, x, bone_id, part, dist): the closest head, tail or body within ``radius``, in that order on ties.
 
-    A point stays one row: its rig's bones are one array, of which the closest part is kept.
+    Head and tail are ends of the body, so the bones that may be a point's nearest by their body are enough.
     """
+    d = near_bones(points, bones, F.lit(0.0))
     x, y = F.col("_x"), F.col("_y")
-    to = lambda o, px, py: F.sqrt((x - o[px]) * (x - o[px]) + (y - o[py]) * (y - o[py]))
-
-    def parts(o: Column) -> Column:
-        of = (("head", to(o, "hx", "hy")), ("tail", to(o, "tx", "ty")), ("body", segment_distance(x, y, o)))
-        return F.array_min(F.array(*(F.struct(dist.alias("dist"), o["ord"].alias("ord"), F.lit(k).alias("k"), F.lit(name).alias("part"), o["bone_id"].alias("bone_id")) for k, (name, dist) in enumerate(of))))
-
-    near = _with_bones(points, bones, "hx", "hy", "tx", "ty").select("rig_id", "y", "x", F.array_min(F.transform("_bones", parts)).alias("p"))
+    to = lambda px, py: F.sqrt((x - F.col(px)) * (x - F.col(px)) + (y - F.col(py)) * (y - F.col(py)))
+    of = (("head", to("hx", "hy")), ("tail", to("tx", "ty")), ("body", segment_distance(x, y)))
+    part = F.least(*(F.struct(dist.alias("dist"), F.col("ord"), F.lit(k).alias("k"), F.lit(name).alias("part"), F.col("bone_id")) for k, (name, dist) in enumerate(of)))
+    near = d.groupBy("rig_id", "y", "x").agg(F.min(part).alias("p"))
     return near.where(F.col("p.dist") <= radius).select("rig_id", "y", "x", "p.bone_id", "p.part", "p.dist")
 
 

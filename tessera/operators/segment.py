@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..sources.shared import cut
 from .color import border_color, color_ranges
 from .pixels import CHANNELS, KEY, clips_of, densify, densify_mask, gray_column, hsv_columns, mask_or, over_columns
 
+#: Rows of a strip whose regions one task finds; strips of a group whose borders one task joins.
+STRIP, STRIPS = 64, 64
+
 
 def _ranges_by(ranges: DataFrame, by: list[str]) -> DataFrame:
     """A row for each clip (or frame) with its boxes in one array, so pixels join it once and never multiply."""
@@ -157,27 +162,97 @@ def missed_blocks(pixels: DataFrame, alpha: DataFrame, ranges: DataFrame, tol: i
     return g.where("fg > 0 and bg > 0.5 * fg")
 
 
-def connected_regions(mask: DataFrame) -> DataFrame:
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the least node linked with it by the links (a, b): roots hook to smaller ones, then paths halve."""
+    up = np.arange(n)
+    while True:
+        x, y = up[a], up[b]
+        open_ = x != y
+        if not open_.any():
+            return up
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (far := up[up] != up).any():
+            up[far] = up[up[far]]
+
+
+def touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, y2: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of runs (y, x0, x1) and sorted, disjoint runs (y2, a0, a1) of the same row that touch, corners too."""
+    wide = int(max(x1.max(initial=0), a1.max(initial=0))) + 4
+    first = np.searchsorted(y2 * wide + a1, y * wide + x0 - 1, side="left")
+    last = np.searchsorted(y2 * wide + a0, y * wide + x1 + 1, side="right")
+    # The row before ends, and the row after begins, beyond what a run of this row can reach.
+    n = np.maximum(0, last - first)
+    i = np.repeat(np.arange(len(y)), n)
+    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _strip_runs(table: pa.Table) -> pa.Table:
+    """The runs (y, x0, x1) of a strip's pixels with the label of their region in the strip."""
+    y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+    low, left = y.min(), x.min()
+    wide = int(x.max() - left) + 4
+    place = np.unique((y - low) * wide + (x - left) + 1)
+    starts = np.flatnonzero(np.diff(place, prepend=-9) != 1)
+    ends = np.append(starts[1:], len(place)) - 1
+    row, x0, x1 = place[starts] // wide, place[starts] % wide - 1, place[ends] % wide - 1
+    label = least_labels(len(row), *touching(row - 1, x0, x1, row, x0, x1))
+    n = len(row)
+    return pa.table({
+        **{c: table.column(c).take(pa.array(np.zeros(n, np.int64))) for c in ("clip_id", "frame", "strip")},
+        "y": pa.array((row + low).astype(np.int32)), "x0": pa.array((x0 + left).astype(np.int32)), "x1": pa.array((x1 + left).astype(np.int32)),
+        "label": pa.array((row + low)[label] * (1 << 31) + (x0 + left)[label]),
+    })
+
+
+def _border_links(table: pa.Table) -> pa.Table:
+    """(label, least): regions of neighbouring strips that touch at the borders of one group of strips."""
+    y, x0, x1, label = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "label"))
+    lower = table.column("lower").to_numpy(zero_copy_only=False)
+    order = np.lexsort((x0, y))
+    y, x0, x1, label, lower = y[order], x0[order], x1[order], label[order], lower[order]
+    up, down = ~lower, lower
+    i, j = touching(y[up] + 1, x0[up], x1[up], y[down], x0[down], x1[down])
+    names, at = np.unique(label, return_inverse=True)
+    least = least_labels(len(names), at[up][i], at[down][j])
+    moved = least != np.arange(len(names))
+    k = int(moved.sum())
+    return pa.table({**{c: table.column(c).take(pa.array(np.zeros(k, np.int64))) for c in ("clip_id", "frame")}, "label": pa.array(names[moved]), "least": pa.array(names[least[moved]])})
+
+
+def connected_regions(mask: DataFrame, strip: int = STRIP, group: int = STRIPS) -> DataFrame:
     """(clip_id, frame, y, x, label): 8-connected regions of m > 0, labelled by their least pixel number.
 
-    Labels spread to neighbours, take the least that any of their members sees and jump to
-    their labels' labels, in rounds cut by a checkpoint, until none moves. A region's area is its pixel count.
+    A strip of rows becomes runs, whose regions one task finds; then the borders between the
+    strips of a group are joined, then those between groups, and so on. So a frame of one strip
+    takes one shuffle of pixels, however its regions wind, and larger ones one more for each
+    level of the strips' tree, of the runs at borders alone. A region's area is its pixel count.
     """
-    on = mask.where("m > 0").select(*KEY)
-    num = F.col("y").cast("bigint") * (1 << 31) + F.col("x")
-    labels = on.withColumn("label", num).transform(cut)
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    while True:
-        spread = labels.select("clip_id", "frame", "label", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("p"))
-        near = spread.groupBy("clip_id", "frame", F.col("p.y").alias("y"), F.col("p.x").alias("x")).agg(F.min("label").alias("m"))
-        new = labels.join(near, KEY).withColumnRenamed("label", "old")
-        hook = new.groupBy("clip_id", "frame", F.col("old").alias("num")).agg(F.min("m").alias("m")).select("clip_id", "frame", "num", F.lit(None).cast("bigint").alias("old"), "m")
-        new = new.select("clip_id", "frame", num.alias("num"), "old", "m").union(hook).groupBy("clip_id", "frame", "num").agg(F.max("old").alias("old"), F.min("m").alias("m")).transform(cut)
-        far = new.select("clip_id", "frame", F.col("num").alias("m"), F.col("m").alias("far"))
-        new = new.join(far, ["clip_id", "frame", "m"]).join(on.select(*KEY, num.alias("num")), ["clip_id", "frame", "num"]).select(*KEY, F.col("far").alias("label"), "old").transform(cut)
-        labels = new.select(*KEY, "label")
-        if new.where("label <> old").limit(1).count() == 0:
-            return labels
+    if strip < 2:
+        raise ValueError("a strip has at least two rows")
+    kinds = dict(mask.dtypes)
+    on = mask.where("m > 0").select(*KEY, F.floor(F.col("y") / strip).cast("int").alias("strip"))
+    runs = on.groupBy("clip_id", "frame", "strip").applyInArrow(_strip_runs, f"clip_id {kinds['clip_id']}, frame {kinds['frame']}, strip int, y int, x0 int, x1 int, label bigint").transform(cut)
+    ends = runs.agg(F.min("strip"), F.max("strip")).collect()[0]
+    size, maps = 1, []
+    while ends[0] is not None and ends[0] // size != ends[1] // size:
+        # Borders between the last level's groups that are inside one of this level's.
+        d = runs.where((F.pmod("y", F.lit(strip * size)) == 0) | (F.pmod("y", F.lit(strip * size)) == strip * size - 1))
+        for m in maps:
+            d = _relabelled(d, m)
+        lower = F.pmod("y", F.lit(strip * size)) == 0
+        line = F.floor(F.col("y") / (strip * size)) + F.when(lower, 0).otherwise(1)
+        d = d.select("clip_id", "frame", "y", "x0", "x1", "label", lower.alias("lower"), line.alias("line")).where(F.pmod("line", F.lit(group)) != 0)
+        links = d.groupBy("clip_id", "frame", F.floor(F.col("line") / group).alias("_group")).applyInArrow(_border_links, f"clip_id {kinds['clip_id']}, frame {kinds['frame']}, label bigint, least bigint")
+        maps.append(links.transform(cut))
+        size *= group
+    for m in maps:
+        runs = _relabelled(runs, m)
+    return runs.select("clip_id", "frame", F.col("y").cast(kinds["y"]).alias("y"), F.explode(F.sequence(F.col("x0").cast(kinds["x"]), F.col("x1").cast(kinds["x"]))).alias("x"), "label")
+
+
+def _relabelled(runs: DataFrame, links: DataFrame) -> DataFrame:
+    return runs.join(links, ["clip_id", "frame", "label"], "left").withColumn("label", F.coalesce("least", "label")).drop("least")
 
 
 def missed_regions(pixels: DataFrame, alpha: DataFrame, ranges: DataFrame, tol: int | None = None, area: int = 50) -> DataFrame:
@@ -224,12 +299,20 @@ def ellipse(t: int) -> list[tuple[int, int]]:
 
 
 def outline(pixels: DataFrame, color: tuple[int, int, int], thickness: int = 5) -> DataFrame:
-    """A line of ``color`` (b, g, r) around what is opaque, under it; needs alpha."""
+    """A line of ``color`` (b, g, r) around what is opaque, under it; needs alpha.
+
+    The ellipse is a running maximum along the row for each of its half widths, and then,
+    down the column, the row of the right width at each distance: two sorts, whatever the thickness.
+    """
     dense = densify(pixels)
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ellipse(thickness)))
-    grown = dense.where("a > 0").select("clip_id", "frame", "y", "x", "a", F.explode(steps).alias("s"))
-    grown = grown.groupBy("clip_id", "frame", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).agg(F.max("a").alias("d"))
-    d = dense.join(grown, KEY, "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    reach: dict[int, int] = {}
+    for dy, dx in ellipse(thickness):
+        reach[dy] = max(reach.get(dy, 0), dx)
+    along = Window.partitionBy("clip_id", "frame", "y").orderBy("x")
+    rows = dense.select("*", *(F.max("a").over(along.rowsBetween(-w, w)).alias(f"_w{w}") for w in sorted(set(reach.values()))))
+    down = Window.partitionBy("clip_id", "frame", "x").orderBy("y")
+    at = lambda dy, w: F.col(f"_w{w}") if dy == 0 else F.lag(f"_w{w}", dy).over(down) if dy > 0 else F.lead(f"_w{w}", -dy).over(down)
+    d = rows.withColumn("d", F.greatest(F.lit(0), *(at(dy, w) for dy, w in reach.items())))
     fa, ba = F.col("a") / F.lit(255.0), F.col("d") / F.lit(255.0)
     oa = fa + ba * (1 - fa)
     mix = lambda c, v: F.floor(F.least(F.lit(255.0), (F.col(c) * fa + v * ba * (1 - fa)) / (oa + 1e-6))).cast("int").alias(c)

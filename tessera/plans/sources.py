@@ -86,10 +86,14 @@ def _strokes_read(s, d):
 
 
 def _event_stream(s, d):
-    """The ledger as a stream of files, with attempts numbered as the table of events orders them."""
+    """The ledger as a stream of files in no order of time, and a last row that carries time beyond them all."""
     path = f"{shared_dir(s)}/ledger-{uuid.uuid4().hex}"
-    X.chunk_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
-    return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+    events = X.chunk_events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    kinds = dict(events.dtypes)
+    end = events.agg(F.max("ts").alias("ts")).select(*((F.col("ts") + F.expr("interval 800 days") if c == "ts" else F.lit("tick") if c == "result" else F.lit(-1) if c in ("job_id", "chunk_id", "event_id") else F.lit(None)).cast(kinds[c]).alias(c) for c in events.columns))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def _pixel_stream(s, df):
@@ -148,8 +152,9 @@ QUERIES = {
     "l2_registry_run": (px(lambda p: stats(registry.run(p, [("recolor", {"target": (120, 130, 110), "new": (1, 2, 3)}), ("reverse_loop", {})]))), oracle(", rc as (select clip_id, frame, y, x, case when k then 1 else b end b, case when k then 2 else g end g, case when k then 3 else r end r, a, max(frame) over (partition by clip_id) + 1 n from (select *, b between 90 and 150 and g between 100 and 160 and r between 80 and 140 k from pixels)) " + stats_sql("select clip_id, frame, y, x, b, g, r, a from rc union all select clip_id, (2 * n - 1 - frame)::int, y, x, b, g, r, a from rc", *"bgra"), "pixels")),
     "k1_stream_frames": (_frames_stream, oracle(CLIPS + ranges_sql() + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from pixels p", "m"), "pixels")),
     "k2_stream_progress": (_progress_stream, oracle("select job_id, count(distinct chunk_id) completed from chunk_events where result = 'ok' group by 1", "chunk_events")),
-    "k3_stream_attempts": (_with_rocks(lambda s, d: K.run_available(K.stream_attempts(_event_stream(s, d))).drop("batch")), oracle(COUNTED + " select job_id, chunk_id, event_id, case when result = 'ok' then 'completed' when att = 3 then 'failed' else 'job_failed' end outcome from ev where result = 'ok' or att = 3 or fin", "chunk_events")),
+    "k3_stream_attempts": (_with_rocks(lambda s, d: K.run_available(K.stream_attempts(_event_stream(s, d), "400 days")).drop("batch")), oracle(COUNTED + " select job_id, chunk_id, event_id, case when result = 'ok' then 'completed' when att = 3 then 'failed' else 'job_failed' end outcome from ev where result = 'ok' or att = 3 or fin", "chunk_events")),
     "k4_stream_motion": (_with_rocks(_motion_stream), oracle(MOVED, "pixels")),
-    "k5_stream_stall": (lambda s, d: K.run_available(K.stream_stall(_event_stream(s, d))).groupBy("job_id").agg(F.count(F.lit(1)).alias("sessions")), None),
+    "k5_stream_stall": (_with_rocks(lambda s, d: K.run_available(K.stream_stall(_event_stream(s, d), "1 day", "400 days")).select("job_id", F.unix_micros("silent_from").alias("silent_us"), "n")), oracle(""", p as (select job_id, ts, event_id, coalesce(ts - lag(ts) over w >= interval 1 day, true) as opens, coalesce(lead(ts) over w - ts >= interval 1 day, true) as silent from chunk_events window w as (partition by job_id order by ts, event_id)),
+        q as (select *, sum(opens::int) over (partition by job_id order by ts, event_id) k from p) select job_id, epoch_us(max(ts)) silent_us, count(*) n from q group by job_id, k""", "chunk_events")),
     "k6_stream_corpus": (_corpus_stream, oracle("select case when fade > 0 then fade else 12 end::bigint fade, 12 brush_radius, 'image/png' content_type, count(*) n from corrections group by 1", "corrections")),
 }

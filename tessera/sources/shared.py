@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Rows of a group, such as a frame's pixels, that one task takes whole: a frame of 1920 x 1080 is one.
+WHOLE = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +32,24 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder: its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def by_size(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of at most WHOLE rows, and those of larger ones, or None if there are none; counts ``df`` once."""
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WHOLE).select(*by).transform(cut)
+    if large.limit(1).count() == 0:
+        return df, None
+    return df.join(large, by, "left_anti"), df.join(large, by, "left_semi")
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, each row's place from 0 within its group ``by`` in that order.
+
+    Partitions are ranges, so a large group is spread; a row's place is its partition's offset and its place there.
+    """
+    d = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()).transform(cut)
+    d = d.withColumn("_part", F.shiftright("_at", 33))
+    parts = d.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*by, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return d.join(parts, [*by, "_part"]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("pos"))

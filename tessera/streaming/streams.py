@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ..operators.segment import boxed
 from ..sources.io import append_corrections
 from ..sources.shared import shared_dir
 
+#: Side in pixels of the tiles that motion is kept by.
+TILE = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -51,79 +54,193 @@ def stream_progress(events: DataFrame, late: str = "30 days") -> DataFrame:
     return d.groupBy("job_id").agg(F.count(F.lit(1)).alias("completed"))
 
 
-class _Attempts(StatefulProcessor):
-    """A job's failures by chunk, its errors, and what has ended."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key held back until the watermark has passed them, and then taken in order of (us, event_id).
+
+    A subclass has ``fields``, what it keeps of a row beside ``us`` and ``event_id``, ``states``
+    to open its own, and ``taken`` for the rows that are final up to the watermark. A timer
+    brings the key back when its first waiting row is due.
+    """
+
+    fields = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", "errors int, failed boolean")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint" + self.fields)
+        self.states(handle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for batch in rows for r in self.kept(batch)]
+        yield self._drain(key, timerValues.getCurrentWatermarkInMs(), new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._drain(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _drain(self, key, mark: int, new: list[tuple]) -> pd.DataFrame:
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = sorted(held + new)
+        ready = sum(r[0] <= mark * 1000 for r in rows)
+        if ready or new:
+            if rows[ready:]:
+                self.waiting.put(rows[ready:])
+                self.handle.registerTimer(rows[ready][0] // 1000 + 1)
+            elif held:
+                self.waiting.clear()
+        return self.taken(key, mark, rows[:ready], rows[ready:])
+
+    def close(self) -> None:
+        pass
+
+
+class _Attempts(_InOrder):
+    """A job's failures by chunk, its errors, and what has ended; forgotten ``keep`` after its last attempt."""
+
+    fields = ", chunk_id int, ok boolean"
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def states(self, handle: StatefulProcessorHandle) -> None:
+        self.job = handle.getValueState("job", "errors int, failed boolean, last bigint")
         self.chunks = handle.getMapState("chunks", "chunk_id int", "fails int, done boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        errors, failed = self.job.get() if self.job.exists() else (0, False)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            k = (int(r.chunk_id),)
-            fails, done = self.chunks.getValue(k) if self.chunks.containsKey(k) else (0, False)
+    def kept(self, batch: pd.DataFrame) -> list[tuple]:
+        real = batch[batch["result"].isin(["ok", "failed"])]
+        return list(zip(real["us"].tolist(), real["event_id"].tolist(), real["chunk_id"].tolist(), (real["result"] == "ok").tolist(), strict=True))
+
+    def taken(self, key, mark: int, rows: list[tuple], left: list[tuple]) -> pd.DataFrame:
+        errors, failed, last = self.job.get() if self.job.exists() else (0, False, 0)
+        out, touched = [], {}
+        for us, event, chunk, ok in rows:
+            last = max(last, us)
+            if chunk not in touched:
+                touched[chunk] = self.chunks.getValue((chunk,)) if self.chunks.containsKey((chunk,)) else (0, False)
+            fails, done = touched[chunk]
             if failed or done or fails >= CHUNK_FAILURES:
                 continue
-            if r.result == "ok":
+            if ok:
                 done = True
-                out.append((key[0], k[0], int(r.event_id), "completed"))
+                out.append((key[0], chunk, event, "completed"))
             else:
                 fails, errors = fails + 1, errors + 1
                 if fails == CHUNK_FAILURES:
-                    out.append((key[0], k[0], int(r.event_id), "failed"))
+                    out.append((key[0], chunk, event, "failed"))
                 elif errors >= JOB_ERRORS:
                     failed = True
-                    out.append((key[0], k[0], int(r.event_id), "job_failed"))
-            self.chunks.updateValue(k, (fails, done))
-        self.job.update((errors, failed))
-        yield pd.DataFrame(out, columns=["job_id", "chunk_id", "event_id", "outcome"])
-
-    def close(self) -> None:
-        pass
+                    out.append((key[0], chunk, event, "job_failed"))
+            touched[chunk] = (fails, done)
+        if rows:
+            for chunk, state in touched.items():
+                self.chunks.updateValue((chunk,), state)
+            self.job.update((errors, failed, last))
+            self.handle.registerTimer(last // 1000 + self.keep)
+        elif not left and self.job.exists() and mark >= last // 1000 + self.keep:
+            self.job.clear()
+            self.chunks.clear()
+        return pd.DataFrame(out, columns=["job_id", "chunk_id", "event_id", "outcome"])
+
+
+def stream_attempts(events: DataFrame, late: str = "1 day", keep: str = "30 days") -> DataFrame:
+    """(job_id, chunk_id, event_id, outcome) as chunks and jobs end; needs the RocksDB state store.
+
+    Attempts count in order of (ts, event_id), in whatever order they arrive within ``late``:
+    each waits until the watermark has passed it. A job's state is dropped ``keep`` after its
+    last attempt. Rows whose result is neither ok nor failed only carry time forward.
+    """
+    d = events.select("job_id", F.col("chunk_id").cast("int").alias("chunk_id"), "event_id", "ts", F.unix_micros("ts").alias("us"), "result").withWatermark("ts", late)
+    return d.groupBy("job_id").transformWithStateInPandas(_Attempts(_ms(keep)), "job_id bigint, chunk_id int, event_id bigint, outcome string", "append", "EventTime")
 
 
-def stream_attempts(events: DataFrame) -> DataFrame:
-    """(job_id, chunk_id, event_id, outcome) as chunks and jobs end; needs the RocksDB state store."""
-    d = events.select("job_id", F.col("chunk_id").cast("int").alias("chunk_id"), "event_id", "ts", "result")
-    return d.groupBy("job_id").transformWithStateInPandas(_Attempts(), "job_id bigint, chunk_id int, event_id bigint, outcome string", "append", "none")
+def _ms(span: str) -> int:
+    """A span such as "10 minutes" in milliseconds."""
+    return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
 class _Motion(StatefulProcessor):
-    """The last grey of each pixel of a tile, and where it has moved."""
+    """The last grey of each pixel of a tile and where it has moved, as two packed arrays, and numpy over a batch's rows."""
 
     def __init__(self, thr: int):
         self.thr = thr
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "y int, x int", "v int, moved boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["frame", "y", "x"]).itertuples():
-            k = (int(r.y), int(r.x))
-            old = self.last.getValue(k) if self.last.containsKey(k) else None
-            moved = bool(old and (old[1] or abs(int(r.v) - old[0]) > self.thr))
-            if moved and not old[1]:
-                out.append((key[0], k[0], k[1], int(r.frame)))
-            self.last.updateValue(k, (int(r.v), moved))
-        yield pd.DataFrame(out, columns=["clip_id", "y", "x", "frame"])
+        self.tile = handle.getValueState("tile", "last binary, moved binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        d = pd.concat(list(rows))
+        y, x, frame, v = (d[c].to_numpy() for c in ("y", "x", "frame", "v"))
+        if self.tile.exists():
+            last, moved = (np.frombuffer(b, t).copy() for b, t in zip(self.tile.get(), (np.int16, np.bool_), strict=True))
+        else:  # a place without a pixel so far is -1
+            last, moved = np.full(TILE * TILE, -1, np.int16), np.zeros(TILE * TILE, bool)
+        at = (y % TILE) * TILE + x % TILE
+        order = np.lexsort((frame, at))
+        at, v, frame = at[order], v[order].astype(np.int16), frame[order]
+        first = np.diff(at, prepend=-1) != 0
+        before = np.where(first, last[at], np.roll(v, 1))
+        hit = np.flatnonzero((before >= 0) & (np.abs(v - before) > self.thr) & ~moved[at])
+        places, k = np.unique(at[hit], return_index=True)
+        end = np.append(np.flatnonzero(first)[1:], len(at)) - 1
+        last[at[end]] = v[end]
+        moved[places] = True
+        self.tile.update((last.tobytes(), moved.tobytes()))
+        own = order[hit[k]]
+        yield pd.DataFrame({"clip_id": np.full(len(own), key[0], np.int32), "y": y[own].astype(np.int32), "x": x[own].astype(np.int32), "frame": frame[hit[k]].astype(np.int32)})
 
     def close(self) -> None:
         pass
 
 
 def stream_motion(gray: DataFrame, thr: int = 15) -> DataFrame:
-    """(clip_id, y, x, frame): pixels of gray frames (clip_id, frame, y, x, v) when they first move; keyed by 16x16 tiles."""
-    d = gray.withColumn("tile", F.concat_ws("/", F.floor(F.col("y") / 16), F.floor(F.col("x") / 16)))
+    """(clip_id, y, x, frame): pixels of gray frames (clip_id, frame, y, x, v) when they first move; keyed by tiles.
+
+    Frames of a tile arrive in order; within a batch they may be in any.
+    """
+    d = gray.withColumn("tile", F.concat_ws("/", F.floor(F.col("y") / TILE), F.floor(F.col("x") / TILE)))
     return d.groupBy("clip_id", "tile").transformWithStateInPandas(_Motion(thr), "clip_id int, y int, x int, frame int", "append", "none")
 
 
+class _Silence(_InOrder):
+    """A job's running session; a timer tells of its silence while it lasts."""
+
+    def __init__(self, gap: int):
+        self.gap = gap * 1000
+
+    def states(self, handle: StatefulProcessorHandle) -> None:
+        self.session = handle.getValueState("session", "n bigint, last bigint")
+
+    def kept(self, batch: pd.DataFrame) -> list[tuple]:
+        real = batch[batch["result"].isin(["ok", "failed"])]
+        return list(zip(real["us"].tolist(), real["event_id"].tolist(), strict=True))
+
+    def taken(self, key, mark: int, rows: list[tuple], left: list[tuple]) -> pd.DataFrame:
+        n, last = self.session.get() if self.session.exists() else (0, 0)
+        out = []
+        for us, _ in rows:
+            if n and us - last >= self.gap:
+                out.append((key[0], last, n))
+                n = 0
+            n, last = n + 1, us
+        if n and mark * 1000 >= last + self.gap:
+            out.append((key[0], last, n))
+            n = 0
+        if n:
+            self.session.update((n, last))
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        elif self.session.exists():
+            self.session.clear()
+        return pd.DataFrame(out, columns=["job_id", "us", "n"])
+
+
 def stream_stall(events: DataFrame, gap: str = "10 minutes", late: str = "1 day") -> DataFrame:
-    """(job_id, silent_from): ends of sessions, after which a job was silent for longer than ``gap``; append mode."""
-    s = events.withWatermark("ts", late).groupBy("job_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("silent_from"))
-    return s.select("job_id", "silent_from", "n")
+    """(job_id, silent_from, n): a job's last event, after ``n`` without a longer pause, as soon as time is ``gap`` beyond it.
+
+    A timer flags a silence that still lasts, when the watermark (``late`` behind the newest
+    event of any job) has passed its end; needs the RocksDB state store. Rows whose result is
+    neither ok nor failed only carry time forward.
+    """
+    d = events.select("job_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "result").withWatermark("ts", late)
+    s = d.groupBy("job_id").transformWithStateInPandas(_Silence(_ms(gap)), "job_id bigint, us bigint, n bigint", "append", "EventTime")
+    return s.select("job_id", F.timestamp_micros("us").alias("silent_from"), "n")
 
 
 def stream_corpus(corrections: DataFrame, path: str, checkpoint: str):
