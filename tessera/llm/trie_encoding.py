@@ -10,6 +10,7 @@ share are encoded once. Words met before are kept in a bounded table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -59,7 +60,8 @@ class TrieModel:
         raw = lambda s: bytes(back[c] for c in s)
         self.special = {t["content"]: t["id"] for t in special}
         self.token = {i: raw(t) for t, i in model["vocab"].items() if t not in self.special} | {i: t.encode() for t, i in self.special.items()}
-        self.shown = {i: b",%d" % i for i in self.token}
+        self.shown, self.length = {i: b",%d" % i for i in self.token}, {i: len(t) for i, t in self.token.items()}
+        self.one = [bytes([b]) for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         ids = {t: i for i, t in self.token.items() if i not in self.special.values()}
@@ -119,71 +121,80 @@ class TrieModel:
             self.fits[key] = got
         return got
 
-    def last_token(self, path: bytes, last: list[int], sizes: list[int]) -> int:
-        """The last token of the encoding of ``path``; ``last`` has those of its shorter prefixes, ``sizes`` their lengths.
+    def last_token(self, word: bytes, depth: int, last: list[int], sizes: list[int]) -> int:
+        """The last token of the encoding of ``word[:depth]``; ``last`` has those of its shorter prefixes, ``sizes`` their lengths.
 
         Exactly one token fits, so the likeliest lengths come first: one more byte than the
         last token had, and fewer.
         """
-        depth, ids, fits = len(path), self.id, self.fits
-        most = min(depth, self.longest)
-        likely = min(most, sizes[-1] + 1)
-        for k in (*range(likely, 0, -1), *range(likely + 1, most + 1)):
-            t = ids.get(path[depth - k :])
-            if t is not None:
-                if k == depth:
-                    return t
-                a = last[depth - k]
-                if fits.get(a << 32 | t) or self.compatible(a, t):
-                    return t
-        raise ValueError(f"the vocabulary lacks the byte {path[-1]}")
+        ids, fits = self.id, self.fits
+        most = depth if depth < self.longest else self.longest
+        likely = sizes[-1] + 1 if sizes[-1] < most else most
+        for some in (range(likely, 0, -1), range(likely + 1, most + 1)):
+            for k in some:
+                t = ids.get(word[depth - k : depth])
+                if t is not None:
+                    if k == depth:
+                        return t
+                    a = last[depth - k]
+                    fit = fits.get(a << 32 | t)
+                    if fit or fit is None and self.compatible(a, t):
+                        return t
+        raise ValueError(f"the vocabulary lacks the byte {word[depth - 1]}")
 
     def spread(self, words: Iterable[str]) -> dict[str, Part]:
-        """The parts of distinct words, by one depth-first pass over their trie."""
+        """The parts of distinct words, by one depth-first pass over their trie.
+
+        A node has what follows it by byte, and at -1 the word that ends there. The decoded
+        bytes of a prefix are its tokens' own, one after the other: the path itself.
+        """
+        collecting = gc.isenabled()
+        gc.disable()  # a trie is many small objects, none of them in a cycle
+        try:
+            return self._spread(words)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _spread(self, words: Iterable[str]) -> dict[str, Part]:
         root: dict = {}
         for w in words:
             node = root
             for b in w.encode():
-                below = node.get(b)
-                if below is None:
-                    below = node[b] = {}
-                node = below
+                if b in node:
+                    node = node[b]
+                else:
+                    node[b] = node = {}
             node[-1] = w
         out: dict[str, Part] = {}
-        last, sizes, states = [-1], [0], [(b"", 0, b"")]
-        token, shown, last_token = self.token, self.shown, self.last_token
-        todo = [(b"%c" % b, node) for b, node in root.items()]
+        last, sizes, ids, counts = [-1], [0], [b""], [0]
+        length, shown, last_token, one = self.length, self.shown, self.last_token, self.one
+        todo = [(one[b], node) for b, node in root.items()]
         while todo:
             path, node = todo.pop()
             depth = len(path)
-            del last[depth:], sizes[depth:], states[depth:]
-            t = last_token(path, last, sizes)
-            text = token[t]
-            before = states[depth - len(text)]
-            state = (before[0] + shown[t], before[1] + 1, before[2] + text)
-            last.append(t)
-            sizes.append(len(text))
-            states.append(state)
-            for c, below in node.items():
-                if c == -1:
-                    out[below] = state
-                else:
-                    todo.append((path + b"%c" % c, below))
+            if len(last) > depth:
+                del last[depth:], sizes[depth:], ids[depth:], counts[depth:]
+            t = last_token(path, depth, last, sizes)
+            k = length[t]
+            text, n = ids[depth - k] + shown[t], counts[depth - k] + 1
+            if -1 in node:
+                out[node.pop(-1)] = (text, n, path)
+            if node:
+                last.append(t)
+                sizes.append(k)
+                ids.append(text)
+                counts.append(n)
+                todo += [(path + one[b], below) for b, below in node.items()]
         return out
 
     def long_word(self, word: bytes) -> Part:
         """The part of a word of any length: the same states along one path, its tokens found backwards."""
-        last, sizes, ids, longest = [-1], [0], self.id, self.longest
+        last, sizes = [-1], [0]
         for depth in range(1, len(word) + 1):
-            likely = min(depth, longest, sizes[-1] + 1)
-            for k in (*range(likely, 0, -1), *range(likely + 1, min(depth, longest) + 1)):
-                t = ids.get(word[depth - k : depth])
-                if t is not None and (k == depth or self.compatible(last[depth - k], t)):
-                    last.append(t)
-                    sizes.append(k)
-                    break
-            else:
-                raise ValueError(f"the vocabulary lacks the byte {word[depth - 1]}")
+            t = self.last_token(word, depth, last, sizes)
+            last.append(t)
+            sizes.append(self.length[t])
         tokens, p = [], len(word)
         while p:
             tokens.append(last[p])
