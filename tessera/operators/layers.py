@@ -17,6 +17,8 @@ from .segment import character_alpha
 
 FAR = 1e9
 DEFAULT_RADIUS, MIN_BAND = 12, 3
+#: Digits that a fill's means are rounded to, so that the order of their sums doesn't show.
+DIGITS = 9
 #: Rows of a leaf of a fingerprint, and digests of one above.
 CHUNK = 4096
 
@@ -185,7 +187,7 @@ def fill_region(plate: DataFrame, region: DataFrame, iters: int = 40) -> DataFra
         which, value = filled(y, x, todo, np.column_stack([table.column(c).to_numpy() for c in CHANNELS]), iters)
         for k, c in enumerate(CHANNELS):
             old = table.column(c).to_numpy()
-            new = np.where(which, np.floor(np.minimum(255.0, value[:, k] + 0.5)), old).astype(old.dtype)
+            new = np.where(which, np.floor(np.minimum(255.0, np.round(value[:, k], DIGITS) + 0.5)), old).astype(old.dtype)
             table = table.set_column(table.schema.get_field_index(c), c, pa.array(new))
         alpha = table.column("a").to_numpy()
         return table.set_column(table.schema.get_field_index("a"), "a", pa.array(np.where(which, 255, alpha).astype(alpha.dtype)))
@@ -224,7 +226,7 @@ def _fill_by_joins(plate: DataFrame, region: DataFrame, iters: int) -> DataFrame
     for k in range(iters):
         filled = means(rim.unionByName(filled)).join(places, KEY, "left_semi")
         filled = filled.transform(cut) if k % 5 == 4 else filled
-    new = filled.select(*KEY, *(F.floor(F.least(F.lit(255.0), F.col(c) + 0.5)).cast("int").alias(f"_{c}") for c in CHANNELS))
+    new = filled.select(*KEY, *(F.floor(F.least(F.lit(255.0), F.round(c, DIGITS) + 0.5)).cast("int").alias(f"_{c}") for c in CHANNELS))
     d = plate.join(new, KEY, "left")
     return d.select(*KEY, *(F.coalesce(f"_{c}", c).alias(c) for c in CHANNELS), F.when(F.col("_b").isNull(), F.col("a")).otherwise(255).alias("a"))
 

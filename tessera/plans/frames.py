@@ -196,7 +196,10 @@ QUERIES = {
     "d17_missed_regions": (lambda s, d: S.missed_regions(X.pixels(s, d), pmask(s, d), C.color_ranges(C.border_color(X.pixels(s, d)), 3), None, 20).groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("n")), oracle(
         CLIPS + ranges_sql(25, 3) + PM + ", dl as (" + box_sql("pm", 2, "max") + ")" + regions_sql("select * from dl where m > 0") + f""", ar as (select clip_id, frame, label, count(*) n, count(*) filter ({hit()}) bg from labels join pixels p using (clip_id, frame, y, x) group by 1, 2, 3)
         select clip_id, frame, sum(n)::bigint n from ar where n >= 20 and bg > 0.4 * n group by 1, 2""", "pixels")),
-    "d18_refine": (lambda s, d: stats(S.refine(X.pixels(s, d), pmask(s, d), C.border_color(X.pixels(s, d)))), None),
+    "d18_refine": (lambda s, d: stats(S.refine(X.pixels(s, d), pmask(s, d), C.border_color(X.pixels(s, d)))), oracle(
+        CLIPS + ranges_sql(25, 3) + PM + ", dl as (" + box_sql("pm", 2, "max") + ")" + regions_sql("select * from dl where m > 0") + f""", ar as (select clip_id, frame, label, count(*) n, count(*) filter ({hit(tol='45')}) bg from labels join pixels p using (clip_id, frame, y, x) group by 1, 2, 3),
+        gone as (select clip_id, frame, y, x from pixels p join pm using (clip_id, frame, y, x) where m > 0 and {hit(tol='45')} union select clip_id, frame, y, x from labels join ar using (clip_id, frame, label) where n >= 50 and bg > 0.4 * n)"""
+        + stats_sql("select clip_id, frame, y, x, case when g.clip_id is null then m else 0 end m from pm left join (select *, 1 k from gone) g using (clip_id, frame, y, x)".replace("case when g.clip_id is null then m", "case when k is null then m"), "m"), "pixels")),
     "d20_character_alpha": (px(lambda p: stats(S.character_alpha(p.where("frame = 0")))), oracle(", p0 as (select * from pixels where frame = 0)" + CLIPS.replace("from pixels", "from p0") + ranges_sql().replace("from pixels p", "from p0 p") + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from p0 p", "m"), "pixels")),
     "e2_glow": (mo(lambda p: stats(S.glow(p, (10, 200, 250), 2, 1.5))), oracle(DENSE + blur_sql("a") + ", halo as (select clip_id, frame, y, x, 10 b2, 200 g2, 250 r2, cast(floor(least(255.0, a * 1.5::double)) as int) a2 from blur)" + stats_sql(OVER_SQL.format(cols=OVER_COLS, fg="dense", bg="halo"), *"bgra"), "mosaic")),
 }

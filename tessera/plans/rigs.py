@@ -11,7 +11,7 @@ from ..operators.geometry import upto
 from ..operators.pixels import KEY
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle
-from .frames import CLIPS, DENSE, hit, mmask, mo, px, ranges_sql, stats, stats_sql
+from .frames import CLIPS, DENSE, OVER_COLS, OVER_SQL, hit, mmask, mo, px, ranges_sql, stats, stats_sql
 
 SIZE, FRAMES, FPS = 64, 48, 24.0
 
@@ -98,6 +98,52 @@ def fill_sql(iters: int) -> str:
     return out + " "
 
 
+def filled_sql(plate: str, todo: str, iters: int, rings: int) -> str:
+    """``filled``: the places of ``todo`` that rings of means reach from the rest of ``plate``, after ``iters`` averagings."""
+    key = "clip_id, frame, y, x"
+    means = ", ".join(f"avg(q.{c}::double) {c}" for c in "bgr")
+    near = lambda source, want: f"select t.clip_id, t.frame, t.y, t.x, {means} from {want} t join {source} q on q.clip_id = t.clip_id and q.frame = t.frame and abs(q.y - t.y) <= 1 and abs(q.x - t.x) <= 1 and (q.y, q.x) <> (t.y, t.x) group by 1, 2, 3, 4"
+    out = f", left0 as materialized (select {key} from {plate} semi join {todo} using ({key})), rest as materialized (select {key}, b::double b, g::double g, r::double r from {plate} anti join left0 using ({key})), ring0 as (select * from rest)"
+    for k in range(1, rings + 1):
+        out += f", ring{k} as materialized ({near(f'ring{k - 1}', f'left{k - 1}')}), left{k} as materialized (select * from left{k - 1} anti join ring{k} using ({key}))"
+    out += ", fl0 as materialized (" + " union all ".join(f"select * from ring{k}" for k in range(1, rings + 1)) + ")"
+    for k in range(1, iters + 1):
+        out += f", al{k} as (select * from rest union all select * from fl{k - 1}), fl{k} as materialized ({near(f'al{k}', 'fl0')})"
+    return out + f", filled as (select {key}, " + ", ".join(f"cast(floor(least(255.0, round({c}, 9) + 0.5)) as int) {c}" for c in "bgr") + f" from fl{iters})"
+
+
+def little_sql(iters: int) -> str:
+    """``mp``: the backward map of the 16x16 canvases, and ``shown``, the still at its places."""
+    out = RIGS + posed_sql() + WORLD + WEIGHTS.replace("range(0, 64)", "range(0, 16)")
+    out += ", fi as materialized (select rig_id, frame, y, x, " + ", ".join(f"sum(w * {k}) {k}" for k in "abcdef") + " from wt join wo using (rig_id, bone_id) group by 1, 2, 3, 4), e0 as (select rig_id, frame, y, x, y::double sy, x::double sx from fi)"
+    near = lambda c: f"least(15, greatest(0, round_even(round(e.{c}, 6), 0)))::int"
+    for k in range(iters):
+        out += f""", e{k + 1} as materialized (select rig_id, frame, y, x, (a * (y - f) - d * (x - c)) / k sy, (e * (x - c) - b * (y - f)) / k sx from (select e.rig_id, e.frame, e.y, e.x, a, b, c, d, f.e e, f.f f, case when abs(a * f.e - b * d) < 1e-8 then 1e-8 else a * f.e - b * d end k
+from e{k} e join fi f on f.rig_id = e.rig_id and f.frame = e.frame and f.y = {near('sy')} and f.x = {near('sx')}))"""
+    cols = ", ".join(f"cast(round_even(round(coalesce(sum({c} * k), 0), 6), 0) as int) {c}" for c in "bgra")
+    return out + f""", mp as (select * from e{iters}), st as (select rig_id clip_id, y::int y, x::int x, y * 10 b, x * 10 g, y + x r, case when y between 5 and 10 and x between 5 and 10 then 255 else 0 end a from rigs, (select unnest(range(0, 16)) y), (select unnest(range(0, 16)) x)),
+shown as materialized (select q.rig_id clip_id, q.frame, q.y, q.x, {cols} from (select *, floor(sy)::int + j py, floor(sx)::int + h px, (case j when 0 then 1 - (sy - floor(sy)) else sy - floor(sy) end) * (case h when 0 then 1 - (sx - floor(sx)) else sx - floor(sx) end) k from mp, (select unnest([0, 1]) j), (select unnest([0, 1]) h)) q
+left join st s on s.clip_id = q.rig_id and s.y = q.py and s.x = q.px group by 1, 2, 3, 4)"""
+
+
+def small_oracle(body: str) -> str:
+    """``body`` over the rigs whose bones are scaled to the small canvas."""
+    scaled = ", ".join(f"{c} / 4 {c}" for c in ("hx", "hy", "tx", "ty", "radius"))
+    return f"with recursive whole as ({X.SQL['bones']}), bones as (select rig_id, bone_id, ord, parent_id, {scaled}, falloff from whole), keyframes as ({X.SQL['keyframes']})" + body
+
+
+#: ``swept``: where the moved still is and the resting one isn't.
+SWEPT = ", swept as materialized (select distinct clip_id, y, x from shown where a > 127 except select clip_id, y, x from st where a > 127)"
+#: Of small plates: what is painted, each plate's band, and the ramp of the painted places.
+HEALED = """, sk as (select plate_id, stroke, x % 16 x, y % 16 y from strokes), sp as (select distinct plate_id, stroke, (y + dy)::int y, (x + dx)::int x from sk, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4 and y + dy between 0 and 15 and x + dx between 0 and 15),
+bx as (select plate_id, stroke, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from sp group by 1, 2), gr as (select plate_id, stroke, gy.y, gx.x from bx, lateral (select unnest(range(y0, y1 + 1)) y) gy, lateral (select unnest(range(x0, x1 + 1)) x) gx),
+ho as (select g.* from gr g anti join sp using (plate_id, stroke, y, x)), dd as (select sp.plate_id, sp.stroke, sp.y, sp.x, min(sqrt(((sp.y - ho.y) ** 2 + (sp.x - ho.x) ** 2)::double)) d from sp left join ho using (plate_id, stroke) group by 1, 2, 3, 4),
+bn as (select plate_id clip_id, greatest(1, least(2, greatest(1, floor(min(r))::int - 1)))::int band from (select plate_id, stroke, max(coalesce(d, 1e6)) r from dd group by 1, 2) group by 1),
+pt as materialized (select distinct plate_id clip_id, 0 frame, y, x from sp), pl as materialized (select clip_id, 0 frame, y::int y, x::int x, (y * 15)::int b, (x * 15)::int g, (clip_id % 256)::int r, 255 a from (select distinct plate_id clip_id from strokes), (select unnest(range(0, 16)) y), (select unnest(range(0, 16)) x)),
+bare as materialized (select clip_id, y, x from pl anti join pt using (clip_id, y, x)), ds as (select p.clip_id, p.y, p.x, min(sqrt(((p.y - q.y) ** 2 + (p.x - q.x) ** 2)::double)) d from pt p left join bare q using (clip_id) group by 1, 2, 3),
+rm as (select ds.clip_id, y, x, floor(255 * least(1.0::double, (coalesce(d, 1e9) - 1) / band))::int / 255.0::double w from ds join bn using (clip_id))"""
+
+
 def _settings(s, d):
     """A rig's recorded layer settings, one for each supplier."""
     k = F.col("s_suppkey")
@@ -234,9 +280,9 @@ QUERIES = {
     "h10_bone_weights": (lambda s, d: rounded(R.bone_weights(points(s, d), X.bones(s, d)), "w"), oracle(RIGS + WEIGHTS + " select rig_id, y, x, bone_id, round(w, 6) w from wt", "bones")),
     "h11_grid_mesh_vertices": (lambda s, d: rounded(R.grid_mesh(rigs_of(s, d), 10)[0], "x", "y"), oracle(RIGS + " select rig_id, (i * 8 + j)::int v, round(j * 63 / 7.0::double, 6) x, round(i * 63 / 7.0::double, 6) y from rigs, (select unnest(range(0, 8)) i), (select unnest(range(0, 8)) j)", "bones")),
     "h11_grid_mesh_triangles": (lambda s, d: R.grid_mesh(rigs_of(s, d), 10)[1], oracle(RIGS + ", q as (select rig_id, i, j, i * 8 + j p from rigs, (select unnest(range(0, 7)) i), (select unnest(range(0, 7)) j)) select rig_id, ((i * 7 + j) * 2)::int t, p::int v0, (p + 1)::int v1, (p + 9)::int v2 from q union all select rig_id, ((i * 7 + j) * 2 + 1)::int, p::int, (p + 9)::int, (p + 8)::int from q", "bones")),
-    "h12_backward_map": (lambda s, d: rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(_small(s, d)), _little(s, d)), R.bone_world(_little(s, d), R.interpolate_poses(X.keyframes(s, d), _little(s, d), frames_of(s, d)))), 3), "sy", "sx", digits=4), None),
-    "h14_deform": (_deform, None),
-    "h15_footprint_union": (lambda s, d: R.footprint_union(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), None),
+    "h12_backward_map": (lambda s, d: rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(_small(s, d)), _little(s, d)), R.bone_world(_little(s, d), R.interpolate_poses(X.keyframes(s, d), _little(s, d), frames_of(s, d)))), 3), "sy", "sx", digits=4), small_oracle(little_sql(3) + " select rig_id, frame, y, x, round(sy, 4) + 0 sy, round(sx, 4) + 0 sx from mp")),
+    "h14_deform": (_deform, small_oracle(little_sql(3) + ", pl as (select clip_id, frame, y, x, 90 b2, x * 5 g2, 30 r2, 255 a2 from shown)" + stats_sql(OVER_SQL.format(cols=OVER_COLS, fg="shown", bg="pl"), *"bgra"))),
+    "h15_footprint_union": (lambda s, d: R.footprint_union(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), small_oracle(little_sql(5) + SWEPT + " select clip_id, count(*) n from swept group by 1")),
     "h16_skin_points": (lambda s, d: rounded(R.skin_points(points(s, d), R.bone_weights(points(s, d), X.bones(s, d)), R.bone_world(X.bones(s, d), posed(s, d))), "nx", "ny", digits=5), oracle(RIGS + posed_sql() + WORLD + WEIGHTS + " select rig_id, frame, y, x, round(sum(w * (a * x + b * y + c)), 5) nx, round(sum(w * (d * x + e * y + f)), 5) ny from wt join wo using (rig_id, bone_id) group by 1, 2, 3, 4", "bones", "keyframes")),
     "h17_pose_curves": (lambda s, d: rounded(R.pose_curves(rigs_of(s, d), X.bones(s, d), X.keyframes(s, d)), "value", "velocity", "normalised", "x", digits=5), oracle(RIGS + posed_sql() + ", cu as (select rig_id, bone_id, frame, rot v, lead(rot) over (partition by rig_id, bone_id order by frame) nx, min(rot) over (partition by rig_id, bone_id) lo, max(rot) over (partition by rig_id, bone_id) hi from po) select rig_id, bone_id, frame, round(v, 5) + 0 as value, round((nx - v) * 24, 5) + 0 velocity, round(case when hi - lo < 1e-9 then 50 else 100 - (v - lo) / (hi - lo) * 100 end, 5) normalised, round(frame / 47.0::double * 1000, 5) x from cu", "bones", "keyframes")),
     "h18_bone_tree": (rb(lambda b, k: R.bone_tree(b)), oracle(", tr as (select rig_id, bone_id, 0 depth, [ord] path from bones where parent_id is null union all select b.rig_id, b.bone_id, depth + 1, list_append(path, b.ord) from tr join bones b on b.rig_id = tr.rig_id and b.parent_id = tr.bone_id) select rig_id, bone_id, depth, row_number() over (partition by rig_id order by path)::int position from tr", "bones")),
@@ -253,16 +299,18 @@ QUERIES = {
         ho as (select g.* from gr g anti join sp using (plate_id, stroke, y, x)), dd as (select sp.plate_id, sp.stroke, sp.y, sp.x, min(sqrt(((sp.y - ho.y) ** 2 + (sp.x - ho.x) ** 2)::double)) d from sp left join ho using (plate_id, stroke) group by 1, 2, 3, 4), rr as (select plate_id, min(r) r from (select plate_id, stroke, max(coalesce(d, 1e6)) r from dd group by 1, 2) group by 1)
         select plate_id, greatest(1, least(4, greatest(1, floor(r)::int - 1)))::int band from rr""", "strokes")),
     "a7_load_corrections": (lambda s, d: Y.load_corrections(X.corrections(s, d), SIZE, SIZE), oracle(LOADED + " select * from lc", "corrections")),
-    "i8_heal": (_heal, None),
+    "i8_heal": (_heal, oracle(HEALED + filled_sql("pl", "pt", 5, 12) + " " + stats_sql("select pl.clip_id, pl.frame, pl.y, pl.x, " + ", ".join(f"cast(floor(pl.{c} * (1 - coalesce(w, 0)) + coalesce(f.{c}, pl.{c}) * coalesce(w, 0)) as int) {c}" for c in "bgr") + ", 255 a from pl left join filled f using (clip_id, frame, y, x) left join rm on rm.clip_id = pl.clip_id and rm.y = pl.y and rm.x = pl.x", *"bgra"), "strokes")),
     "i8_heal_other_size": (_heal_larger, None),
     "i8_heal_box": (_heal_box, oracle(", sp as (select distinct plate_id, (y % 16 + dy)::int y, (x % 16 + dx)::int x from strokes, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4) select plate_id clip_id, min(x) x, min(y) y, max(x) - min(x) + 1 width, max(y) - min(y) + 1 height from sp where y between 0 and 15 and x between 0 and 15 group by 1", "strokes")),
     "i9_apply_corrections": (_corrected, oracle(LOADED + """, pc as (select rig_id, id, y, x, floor(255 * least(1.0::double, (least(x - x0 + 1, x1 - x, y - y0 + 1, y1 - y) - 1) / band::double))::int al from (select lc.*, gy.y, gx.x from lc, lateral (select unnest(range(y0, y1)) y) gy, lateral (select unnest(range(x0, x1)) x) gx)),
         nm as (select *, row_number() over (partition by rig_id, y, x order by id) k, count(*) over (partition by rig_id, y, x) n from pc), st as (select rig_id, y, x, 0 k, 200 b, 100 g, 50 r from nm where k = 1 union all select st.rig_id, st.y, st.x, st.k + 1, """ + ", ".join(f"floor(st.{c} * (1 - al / 255.0::double) + (nm.id * {v} % 256) * (al / 255.0::double))::int" for c, v in zip("bgr", (3, 5, 7), strict=True)) + " from st join nm on nm.rig_id = st.rig_id and nm.y = st.y and nm.x = st.x and nm.k = st.k + 1) select rig_id, count(*) n, " + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgr") + " from (select st.* from st join (select rig_id, y, x, max(n) n from nm group by 1, 2, 3) m on m.rig_id = st.rig_id and m.y = st.y and m.x = st.x and m.n = st.k) group by 1", "corrections")),
-    "i10_build_patch": (_patch, None),
+    "i10_build_patch": (_patch, small_oracle(little_sql(5) + SWEPT + ", pl as materialized (select clip_id, 0 frame, y, x, 90 b, x * 5 g, 30 r, 255 a from st), todo as materialized (select clip_id, 0 frame, y, x from swept)" + filled_sql("pl", "todo", 5, 12) + """, bare as (select clip_id, y, x from pl anti join todo using (clip_id, y, x)), far as (select p.clip_id, p.y, p.x, min(sqrt(((p.y - q.y) ** 2 + (p.x - q.x) ** 2)::double)) d from todo p left join bare q using (clip_id) group by 1, 2, 3),
+        gd as (select pl.clip_id, pl.y, pl.x, """ + ", ".join(f"coalesce(f.{c}, pl.{c}) {c}" for c in "bgr") + ", case when pl.y between 4 and 11 and pl.x between 4 and 11 then pl.x * 16 / 255.0::double else 0 end w from pl left join filled f using (clip_id, frame, y, x)) " + stats_sql("select gd.clip_id, 0 frame, gd.y, gd.x, " + ", ".join(f"cast(floor({c} * (1 - w) + {v} * w) as int) {c}" for c, v in zip("bgr", (1, 2, 3), strict=True)) + ", case when d is null then 0 else floor(255 * least(1.0::double, greatest(0.0::double, (d - 1) / 2.0::double))) end::int a from gd left join (select clip_id, y, x, coalesce(d, 1e9) d from far) using (clip_id, y, x)", *"bgra"))),
     "i11_content_fingerprint": (rb(lambda b, k: Y.content_fingerprint(b, ["rig_id"], ["ord"], ["bone_id", "parent_id", "falloff"])), oracle("select rig_id, sha1(string_agg(bone_id || ',' || coalesce(parent_id, '~') || ',' || falloff, ';' order by ord)) fingerprint from bones group by 1", "bones")),
+    "i11_layer_fingerprint": (px(lambda p: Y.content_fingerprint(p, ["clip_id"], ["frame", "y", "x"], ["b", "g", "r", "a"], 256)), oracle(", ln as (select clip_id, row_number() over (partition by clip_id order by frame, y, x) - 1 p, concat_ws(',', b, g, r, a) l from pixels), l0 as (select clip_id, p // 256 p, sha1(string_agg(l, ';' order by p)) l from ln group by 1, p // 256)" + "".join(f", l{k + 1} as (select clip_id, p // 256 p, case when max(n) = 1 then min(l) else sha1(string_agg(l, ';' order by p)) end l from (select *, count(*) over (partition by clip_id) n from l{k}) group by clip_id, p // 256)" for k in range(3)) + " select clip_id, l fingerprint from l3", "pixels")),
     "i12_stale_artifacts": (lambda s, d: Y.stale_artifacts(_prints(s, d, 0), _prints(s, d, 3)), "select s_suppkey rig_id, (s_suppkey % 4)::varchar fingerprint from supplier where s_suppkey % 3 = 0 or s_suppkey % 4 <> s_suppkey % 2"),
     "i13_resolve_layers": (px(lambda p: stats(Y.resolve_layers(_stored(p), p, _layered(p)))), oracle(", whole as (select * from pixels), rest as (select * from pixels where clip_id % 2 = 1 and clip_id % 5 < 4 and clip_id % 7 < 6)" + CLIPS.replace("from pixels", "from rest") + ranges_sql().replace("from pixels p", "from rest p") + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from rest p union all select clip_id, frame, y, x, 7 from whole where clip_id % 2 = 0 and clip_id % 5 < 4 and clip_id % 7 < 6", "m"), "pixels")),
-    "i13_resolve_plates": (px(_resolved_plates), None),
+    "i13_resolve_plates": (px(_resolved_plates), oracle(fill_sql(5) + stats_sql("select p.clip_id, p.frame, p.y, p.x, " + ", ".join(f"case when p.clip_id % 4 = 1 or f5.b is null then p.{c} else cast(floor(least(255.0, f5.{c} + 0.5)) as int) end {c}" for c in "bgr") + ", case when p.clip_id % 4 = 1 then p.a else 255 end a from pixels p left join f5 using (clip_id, frame, y, x) where p.clip_id % 5 < 4 and p.clip_id % 3 < 2", *"bgra"), "pixels")),
     "i14_patch_state": (lambda s, d: Y.patch_state(_flags(s, d), _meta(s, d)), SETTINGS + " select rig_id, case when not split then 'unsplit' when n_bones = 0 then 'no_skeleton' when fade is null then 'off' when not has_background then 'no_plate' when not has_character then 'no_character' when k % 4 = 3 then 'pending' when k % 5 > 0 and k % 6 = fade then 'ready' else 'stale' end state from f"),
     "j1_frame_diff_report": (mo(lambda p: rounded(J.frame_diff_report(p, p.withColumn("b", F.least(F.lit(255), F.col("b") + F.col("x") % 3 * 9))), "mean_abs", "outliers")), oracle("select clip_id, frame, round(avg(dv) / 4, 6) mean_abs, round(avg((dv > 16)::int), 6) outliers, avg(dv) / 4 <= 2.0 and avg((dv > 16)::int) <= 0.02 passed from (select *, least(255, b + x % 3 * 9) - b dv from mosaic) group by 1, 2", "mosaic")),
     "j2_job_progress": (lambda s, d: J.job_progress(J.chunk_status(X.chunk_events(s, d))), oracle(COUNTED + " select job_id, total, completed, failed, round((completed + failed) / total::double * 100, 1) progress from jp", "chunk_events")),

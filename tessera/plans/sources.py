@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..operators import color as C
+from ..operators import layers as Y
 from ..operators import pixels as P
 from ..sources import fixtures as X
 from ..sources import io as O
@@ -15,7 +16,7 @@ from ..sources.fixtures import oracle
 from ..sources.shared import shared_dir
 from ..streaming import streams as K
 from .frames import CLIPS, hit, mo, px, ranges_sql, stats, stats_sql
-from .rigs import COUNTED
+from .rigs import COUNTED, LOADED, SIZE
 
 
 def _meta(s, d):
@@ -75,6 +76,36 @@ def _documents(s, d):
     return O.read_rigs(s, f"{path}/*")
 
 
+def _damaged(s, d):
+    """A document for each supplier, a line each: some cut short, some with a radius or frame that is text, some without id."""
+    path = f"{shared_dir(s)}/damaged-{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    rest = F.struct(F.array(F.lit(1.0), F.lit(2.0)).alias("head"), F.array(F.lit(3.0), F.lit(4.0)).alias("tail"))
+    bones = F.array(*(F.struct(F.concat(F.lit(n), k.cast("string")).alias("id"), rest.alias("rest"), F.lit(r).alias("radius")) for n, r in (("a", 4.0), ("b", 5.0))))
+    doc = lambda id_: F.to_json(F.struct(id_.alias("id"), F.lit(1).alias("schema_version"), bones.alias("bones"), F.array(F.struct((k % 40).alias("frame"))).alias("keyframes")))
+    whole = doc(k.cast("string"))
+    text = F.when(k % 6 == 0, F.substring(whole, 1, 30)).when(k % 6 == 1, F.regexp_replace(whole, '"radius":5.0', '"radius":"wide"')).when(k % 6 == 2, doc(F.lit(None).cast("string"))).when(k % 6 == 3, F.regexp_replace(whole, '"frame":', '"frame":"late ')).otherwise(whole)
+    text = F.when(k % 6 == 3, F.regexp_replace(text, "late ([0-9]+)", 'late $1"')).otherwise(text)
+    s.read.parquet(f"{d}/supplier.parquet").select(text.alias("value")).write.text(path)
+    return O.read_rigs(s, path, lines=True)
+
+
+def _damaged_kept(s, d):
+    rigs, bones, _, _ = _damaged(s, d)
+    return rigs.join(bones, "rig_id").groupBy("rig_id", "frames").agg(F.count(F.lit(1)).alias("n_bones"), F.sum("radius").alias("radius"))
+
+
+def _damaged_rows(s, d):
+    return _damaged(s, d)[3].groupBy("id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _faulty_corrections(s, d):
+    """Corrections of which some lack a bound or their canvas, or have one without size."""
+    e = F.col("id")
+    c = X.corrections(s, d)
+    return c.withColumn("bbox_x", F.when(e % 7 != 0, F.col("bbox_x"))).withColumn("bbox_height", F.when(e % 21 != 0, F.col("bbox_height"))).withColumn("canvas_width", F.when(e % 11 != 0, F.col("canvas_width"))).withColumn("canvas_height", F.when(e % 13 == 0, 0).otherwise(F.col("canvas_height")))
+
+
 def _strokes_read(s, d):
     """Strokes written as a JSON file a plate and read again."""
     path = f"{shared_dir(s)}/strokes-{uuid.uuid4().hex}"
@@ -139,6 +170,10 @@ MOVED = ", gr as (select clip_id, frame, y, x, cast(floor(0.299::double * r + 0.
 QUERIES = {
     "a4_image_headers": (_headers, "select s_suppkey::varchar as path, case s_suppkey % 5 when 0 then 'png' when 1 then 'gif' when 2 then 'bmp' when 3 then 'webp' end format, case when s_suppkey % 5 < 4 then s_suppkey * 7 % 5000 + 1 end::bigint width, case when s_suppkey % 5 < 4 then s_suppkey * 11 % 3000 + 1 end::bigint height from supplier"),
     "a5_read_rigs_bones": (lambda s, d: _documents(s, d)[1].select("rig_id", "bone_id", "parent_id", "hx", "hy", "tx", "ty", "radius", "falloff", F.col("ord").alias("place")), oracle("select rig_id::varchar rig_id, bone_id, parent_id, hx, hy, tx, ty, radius, falloff, (row_number() over (partition by rig_id order by ord) - 1)::int place from bones", "bones")),
+    "a5_read_rigs_errors": (_damaged_rows, """select case when s_suppkey % 6 in (1, 3) then s_suppkey::varchar end id, ['not JSON', 'a field has a wrong type', 'no id', 'a field has a wrong type'][s_suppkey % 6 + 1] reason, count(*) n from supplier where s_suppkey % 6 < 4 group by 1, 2"""),
+    "a5_read_rigs_kept": (_damaged_kept, "select s_suppkey::varchar rig_id, 0 frames, 2 n_bones, 9.0::double radius from supplier where s_suppkey % 6 > 3"),
+    "a7_correction_errors": (lambda s, d: Y.correction_errors(_faulty_corrections(s, d)), oracle("""select id, rig_id, case when len(m) > 0 then 'missing: ' || array_to_string(m, ', ') else 'the canvas has no size' end reason from (select id, rig_id, list_filter([case when id % 7 = 0 then 'bbox_x' end, case when id % 21 = 0 then 'bbox_height' end, case when id % 11 = 0 then 'canvas_width' end], lambda x: x is not null) m from corrections) where len(m) > 0 or id % 13 = 0""", "corrections")),
+    "a7_corrections_kept": (lambda s, d: Y.load_corrections(_faulty_corrections(s, d), SIZE, SIZE, strict=False), oracle(LOADED + " select * from lc where id % 7 > 0 and id % 11 > 0 and id % 13 > 0", "corrections")),
     "a5_read_rigs_keyframes": (lambda s, d: _documents(s, d)[2], oracle("select rig_id::varchar rig_id, frame, bone_id, rot, tx, ty from keyframes", "keyframes")),
     "a6_read_strokes": (_strokes_read, oracle("select plate_id, (row_number() over (partition by plate_id order by stroke) - 1)::int stroke, 0 pt, x::double x, y::double y, radius from strokes", "strokes")),
     "a3_write_read_pixels": (_written, oracle(stats_sql("select * from pixels where clip_id in (2, 3) and frame between 10 and 30", *"bgra"), "pixels")),

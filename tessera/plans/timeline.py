@@ -53,6 +53,30 @@ BEST = " select clip_id, case when score >= {t} then s end start_frame, case whe
 FADE = """, d as (select p.*, n, least(5, n // 4) f from pixels p join c using (clip_id)), o as (select *, case when n >= 10 and frame >= n - 2 * f then least(1.0, (frame - (n - 2 * f)) / f::double) end ao, case when n >= 10 and frame < 2 * f then greatest(0.0, 1 - frame / f::double) end ai from d)"""
 
 
+#: ``ls``: each clip's methods, the best first.
+ANALYSIS = """,
+        gp as (select p.clip_id, avg(abs(p.b - q.b) + abs(p.g - q.g) + abs(p.r - q.r)) / 3 fl from pixels p join c using (clip_id) join pixels q on q.clip_id = p.clip_id and q.y = p.y and q.x = p.x and q.frame = 0 where p.frame = n - 1 group by 1), am as (select clip_id, avg(v) am from df where frame < 30 group by 1),
+        ms as (select c.clip_id, unnest([[case when cycle < n * 0.8 then '90' end, 'periodic'], [case when am < 20 then '80' end, 'fade'], [case when am >= 20 and fl < 30 then '85' end, 'cut'], ['70', 'pingpong'], [case when am > 50 then '65' end, 'morph']]) m from c join gp using (clip_id) join am using (clip_id) join cy using (clip_id)),
+        ls as (select clip_id, list(m[2] order by m[1]::int desc) l from ms where m[1] is not null group by 1)"""
+
+
+def _lerp_sql(name: str, source: str, shift: str) -> str:
+    """``name``: ``source`` (clip_id, y, x, ...) read at the places of ``gr`` less ``shift`` times its flow, by bilinear weights; beyond the edge is 0."""
+    at = f"select gr.*, gr.y - gr.dy * ({shift}) sy, gr.x - gr.dx * ({shift}) sx from gr"
+    cols = ", ".join(f"cast(round_even(round(coalesce(sum({c} * k), 0), 6), 0) as int) {c}" for c in "bgra")
+    return f""", {name} as (select q.clip_id, q.i, q.y, q.x, {cols} from (select *, floor(sy)::int + j py, floor(sx)::int + h px, (case j when 0 then 1 - (sy - floor(sy)) else sy - floor(sy) end) * (case h when 0 then 1 - (sx - floor(sx)) else sx - floor(sx) end) k
+from ({at}), (select unnest([0, 1]) j), (select unnest([0, 1]) h)) q left join {source} s on s.clip_id = q.clip_id and s.y = q.py and s.x = q.px group by 1, 2, 3, 4)"""
+
+
+MORPH = oracle(
+    PCOUNTS + FLOW.replace("from pixels where frame = 0", "from pixels join c using (clip_id) where frame = n - 1 and n >= 10").replace("from pixels where frame = 1", "from pixels join c using (clip_id) where frame = 0 and n >= 10")
+    + """, f0 as (select p.* from pixels p join c using (clip_id) where frame = 0 and n >= 10), f1 as (select p.*, n from pixels p join c using (clip_id) where frame = n - 1 and n >= 10), gr as (select p.clip_id, n, p.y, p.x, fl.dy, fl.dx, i, (i + 1) / 5.0::double t from f1 p join flow fl on fl.clip_id = p.clip_id and fl."by" = p.y // 4 and fl.bx = p.x // 4, (select unnest(range(0, 4)) i))"""
+    + _lerp_sql("m1", "f1", "t") + _lerp_sql("m0", "f0", "t - 1")
+    + stats_sql("select clip_id, frame, y, x, b, g, r, a from pixels union all select clip_id, (n + i)::int, y, x, " + ", ".join(f"cast(round_even(m1.{c} * (1 - t) + m0.{c} * t, 0) as int)" for c in "bgra") + " from gr join m1 using (clip_id, i, y, x) join m0 using (clip_id, i, y, x)", *"bgra"),
+    "pixels",
+)
+
+
 def _fade(c: str, v: int) -> str:
     one = lambda e, a: f"case when {a} is null then {e} else cast(round_even(round({e} * (1 - {a}) + {v} * {a}, 6), 0) as int) end"
     return one(f"({one(c, 'ao')})", "ai") + f" {c}"
@@ -111,14 +135,11 @@ QUERIES = {
     **{f"g5_blend_loop_{m}": (px(lambda p, m=m: stats(L.blend_loop(p, m))), oracle(PCOUNTS + ", o as (select p.clip_id, p.frame, p.y, p.x, p.b, p.g, p.r, p.a from pixels p join c using (clip_id) where frame < n - 5 union all select p.clip_id, (p.frame - 5 + n)::int, p.y, p.x, p.b, p.g, p.r, p.a from pixels p join c using (clip_id) where frame >= 5 union all select p.clip_id, (n - 5 + q.frame)::int, p.y, p.x, " + ", ".join("cast(floor(least(255.0, greatest(0.0, " + BLEND_SQL[m].replace("case", "CASE").replace("x", f"p.{c}::double").replace("y", f"q.{c}::double") + "))) as int)" for c in "bgra") + " from pixels p join c using (clip_id) join pixels q on q.clip_id = p.clip_id and q.y = p.y and q.x = p.x and q.frame < 5 and p.frame = n - 1 - q.frame) " + stats_sql("select * from o", *"bgra"), "pixels")) for m in ("add", "screen")},
     "g6_speedramp_fast": (sig(lambda p: L.speedramp(p, 0.6)), _ramp(0.6)),
     "g6_speedramp_slow": (sig(lambda p: L.speedramp(p, 1.7)), _ramp(1.7)),
-    "g7_morph_loop": (px(lambda p: stats(L.morph_loop(p, 4))), None),
+    "g7_morph_loop": (px(lambda p: stats(L.morph_loop(p, 4))), MORPH),
     "g8_periodic_loop": (lambda s, d: L.periodic_loop(X.signal(s, d), X.signal(s, d).where("frame > 0").withColumn("value", F.col("value").cast("double"))).select("clip_id", "frame", "value"), oracle(COUNTS + SIGDIFF + cycle_sql("sd") + " select clip_id, frame, value from signal join c using (clip_id) left join cy using (clip_id) where frame < case when n < 10 then n else greatest(1, least(case when cycle is null or cycle >= n then n // 2 else cycle end, n - 1)) end", "signal")),
     "g9_frame_diff_signal": (px(lambda p: L.frame_diff_signal(p, 120).select("clip_id", "frame", F.round("value", 6).alias("value"))), oracle(DIFF + " select clip_id, frame, round(v, 6) as value from df", "pixels")),
     "g10_detect_cycle": (lambda s, d: L.detect_cycle(X.signal(s, d).where("frame > 0").withColumn("value", F.col("value").cast("double"))), oracle(SIGDIFF + cycle_sql("sd") + " select clip_id, cycle from cy", "signal")),
-    "g11_analyze_loop": (px(lambda p: L.analyze_loop(p).select("clip_id", "recommended", "alternatives", "frame_count", F.round("first_last_diff", 6).alias("first_last_diff"), F.round("avg_motion", 6).alias("avg_motion"), "detected_cycle")), oracle(PCOUNTS + DIFF + cycle_sql("df") + """,
-        gp as (select p.clip_id, avg(abs(p.b - q.b) + abs(p.g - q.g) + abs(p.r - q.r)) / 3 fl from pixels p join c using (clip_id) join pixels q on q.clip_id = p.clip_id and q.y = p.y and q.x = p.x and q.frame = 0 where p.frame = n - 1 group by 1), am as (select clip_id, avg(v) am from df where frame < 30 group by 1),
-        ms as (select c.clip_id, unnest([[case when cycle < n * 0.8 then '90' end, 'periodic'], [case when am < 20 then '80' end, 'fade'], [case when am >= 20 and fl < 30 then '85' end, 'cut'], ['70', 'pingpong'], [case when am > 50 then '65' end, 'morph']]) m from c join gp using (clip_id) join am using (clip_id) join cy using (clip_id)),
-        ls as (select clip_id, list(m[2] order by m[1]::int desc) l from ms where m[1] is not null group by 1)
+    "g11_analyze_loop": (px(lambda p: L.analyze_loop(p).select("clip_id", "recommended", "alternatives", "frame_count", F.round("first_last_diff", 6).alias("first_last_diff"), F.round("avg_motion", 6).alias("avg_motion"), "detected_cycle")), oracle(PCOUNTS + DIFF + cycle_sql("df") + ANALYSIS + """
         select clip_id, l[1] recommended, array_to_string(l[2:4], ',') alternatives, n::int frame_count, round(fl, 6) first_last_diff, round(am, 6) avg_motion, cycle detected_cycle from ls join c using (clip_id) join gp using (clip_id) join am using (clip_id) join cy using (clip_id)""", "pixels")),
     "h13_remap": (px(lambda p: stats(G.remap(p, p.select(*KEY, (7 - F.col("y") + 0.25).alias("sy"), (F.col("x") - 0.5).alias("sx"))))), oracle(", nb as (select clip_id, frame, 7 - (y + j) y, x - i + 1 x, b, g, r, a, (case j when 0 then 0.75 else 0.25 end * 0.5)::double w from pixels, (select unnest([0, -1]) j), (select unnest([0, 1]) i)) select clip_id, frame, count(*) n, "
         + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgra") + " from (select p.clip_id, p.frame, p.y, p.x, " + ", ".join(f"round_even(round(coalesce(sum(nb.{c} * nb.w), 0), 6), 0)::int {c}" for c in "bgra") + " from pixels p left join nb using (clip_id, frame, y, x) group by 1, 2, 3, 4) group by 1, 2", "pixels")),
@@ -130,7 +151,10 @@ QUERIES = {
     "g16_make_loop_speedramp": (px(lambda p: stats(L.make_loop(p, "speedramp", ramp_factor=1.5))), oracle(PCOUNTS + ", ix as (select clip_id, i::int frame, (case when i = m - 1 then n - 1 else floor(i * ((n - 1)::double / (m - 1))) end)::int s from (select clip_id, n, floor(n * 1.5::double)::bigint m from c), lateral (select unnest(range(0, m)) i)) " + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels t on t.clip_id = ix.clip_id and t.frame = ix.s", *"bgra"), "pixels")),
     "g16_make_loop_hold": (px(lambda p: stats(L.make_loop(p, "hold", hold=7))), oracle(PCOUNTS + ", ix as (select clip_id, i::int frame, least(i, n - 1)::int s from c, lateral (select unnest(range(0, n + 7)) i)) " + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels t on t.clip_id = ix.clip_id and t.frame = ix.s", *"bgra"), "pixels")),
     "g16_make_loop_fade": (px(lambda p: stats(L.make_loop(p, "fade", fade_color="#1ec80a", fade_frames=5))), oracle(PCOUNTS + FADE + stats_sql("select clip_id, frame, y, x, " + ", ".join(_fade(c, v) for c, v in zip("bgra", (30, 200, 10, 255), strict=True)) + " from o", *"bgra"), "pixels")),
-    "g16_make_loop_auto": (px(lambda p: stats(L.make_loop(p))), None),
+    "g16_make_loop_auto": (px(lambda p: stats(L.make_loop(p))), oracle(PCOUNTS + DIFF + cycle_sql("df") + ANALYSIS + FADE.replace("least(5, n // 4)", "least(10, n // 4)").replace("n >= 10", "n >= 20") + """, way as (select c.clip_id, n, coalesce(l[1], 'hold') way, cycle from c left join ls using (clip_id) left join cy using (clip_id)),
+        ix as (select clip_id, i::int frame, case when i < n then i else 2 * n - 2 - i end s from way, lateral (select unnest(range(0, case when way in ('pingpong', 'cut') then 2 * n - 1 when way = 'periodic' then greatest(1, least(case when cycle is null or cycle >= n then n // 2 else cycle end, n - 1)) else 0 end)) i)
+        union all select clip_id, i::int, least(i, n - 1) from way, lateral (select unnest(range(0, case when way = 'hold' then n + 2 else 0 end)) i))"""
+        + stats_sql("select ix.clip_id, ix.frame, y, x, b, g, r, a from ix join pixels p on p.clip_id = ix.clip_id and p.frame = ix.s union all select clip_id, frame, y, x, " + ", ".join(_fade(c, 0) for c in "bgra") + " from o join way using (clip_id) where way = 'fade'", *"bgra"), "pixels")),
 }
 
 

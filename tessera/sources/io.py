@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.geometry import resize, retime_drop, retime_repeat
 from ..operators.pixels import CHANNELS, clips_of
+from .shared import cut
 
 PIXELS = "clip_id bigint, frame int, y int, x int, b int, g int, r int, a int"
 RIG = (
@@ -44,16 +45,23 @@ def write_pixels(df: DataFrame, path: str, chunk_frames: int = 100) -> None:
     out.write.partitionBy("clip_id", "chunk").parquet(path)
 
 
-def read_rigs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rigs, bones, keyframes, errors) of the JSON documents under ``path``; malformed ones are errors."""
-    d = spark.read.schema(RIG).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.input_file_name())
-    good = d.where("_corrupt is null")
+def read_rigs(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rigs, bones, keyframes, errors) of the JSON documents under ``path``: a file each, or a line each if ``lines``.
+
+    Documents are parsed once, with every field, and the tables are taken from that: one with a
+    field of a wrong type, text that isn't JSON, or no id is in ``errors`` (file, id, reason,
+    document) and in no other table.
+    """
+    d = spark.read.schema(RIG).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.input_file_name()).transform(cut)
+    why = F.when(F.col("_corrupt").isNotNull(), F.when(F.try_parse_json("_corrupt").isNull(), "not JSON").otherwise("a field has a wrong type")).when(F.col("id").isNull(), "no id")
+    d = d.withColumn("reason", why)
+    good = d.where("reason is null")
     rigs = good.select(F.col("id").alias("rig_id"), F.coalesce("name", "id").alias("name"), "schema_version", "canvas.width", "canvas.height", F.coalesce("bind.power", F.lit(2.0)).alias("power"), F.coalesce("bind.radius_scale", F.lit(1.0)).alias("radius_scale"), F.coalesce("duration.fps", F.lit(24.0)).alias("fps"), F.coalesce("duration.frames", F.lit(0)).alias("frames"), "layers")
     b = good.select(F.col("id").alias("rig_id"), F.posexplode("bones").alias("ord", "v"))
     bones = b.select("rig_id", F.col("v.id").alias("bone_id"), "ord", F.col("v.parent").alias("parent_id"), *(F.col(f"v.rest.{e}")[k].alias(n) for e, k, n in (("head", 0, "hx"), ("head", 1, "hy"), ("tail", 0, "tx"), ("tail", 1, "ty"))), F.coalesce("v.radius", F.lit(10.0)).alias("radius"), F.coalesce("v.falloff", F.lit("smooth")).alias("falloff"))
     k = good.select(F.col("id").alias("rig_id"), F.explode("keyframes").alias("k")).select("rig_id", F.col("k.frame").alias("frame"), F.explode("k.pose").alias("bone_id", "p"))
     keyframes = k.select("rig_id", "frame", "bone_id", *(F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(c) for c in ("rot", "tx", "ty")))
-    return rigs, bones, keyframes, d.where("_corrupt is not null and id is null").select("file", "id", "_corrupt")
+    return rigs, bones, keyframes, d.where("reason is not null").select("file", "id", "reason", F.col("_corrupt").alias("document"))
 
 
 def read_strokes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
