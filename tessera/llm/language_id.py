@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import discard, first_of_each, fold_of, renamed, small_batches, text_slices, written
 
@@ -166,9 +167,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             lang, score = zip(*(label(m, x.as_py()) for x in batch.column(at)), strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    made = StructType.fromDDL("lang_pred string, score double")
     extra = [] if text in keep else [F.col(text).cast("string").alias("_words")]
-    return docs.select(*(F.col(c) for c in keep), *extra).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*(F.col(c) for c in keep), *extra).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *made]))
 
 
 def label(m: Model, t: str | None) -> tuple[str, float]:

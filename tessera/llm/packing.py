@@ -1,54 +1,88 @@
-"""Best-fit packing with several permitted sequence lengths.
+"""Best-fit packing with several permitted sequence lengths, chosen jointly.
 
 Documents, cut into pieces of at most the largest length, are dealt to shards by hash;
-each shard is packed in decreasing size. A piece goes to the open bin that it fills best;
-if none holds it, a bin of the length with the least cost per token opens, where a bin costs
-its length and a fixed overhead, and is expected to fill up to what smaller pieces the
-shard still has. In the end each bin shrinks to the shortest length that holds its contents.
+each shard is packed in decreasing size. A sequence costs its padded length, a fixed overhead
+and the square of its length, as attention does: so long ones are dear, and short ones hold
+no long piece and more overhead. A piece goes to the open bin that it fills best; if none
+holds it, a bin of the length opens that costs least for each token that it will hold, which
+is what the shard's remaining pieces, as a histogram of sizes, would still fill. In the end
+each bin shrinks to the shortest length that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, text_slices, written
+from .common import Words, small_batches, text_slices, written
 
-#: Permitted lengths in tokens, the cost of a bin besides its length, and pieces a shard on average.
-LENGTHS, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 16, 20_000
+#: Permitted lengths in tokens; a bin's fixed cost, and the length at which its square costs as much as itself; pieces a shard on average.
+LENGTHS, OVERHEAD, ATTENTION, SHARD = (512, 1024, 2048, 4096, 8192), 64, 32_768, 20_000
+
+
+def _words(text: str | None) -> list[bytes]:
+    """A text's words, and an empty one for its end; bytes are split at the six ASCII spaces alone."""
+    return [*(text or "").encode().split(), b""]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): ``key`` tells rows of one doc_id with different texts apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): words and one end token; a null or empty text has its end alone."""
+    """(doc_id, key, n_tokens): words and one end token; a null or empty text has its end alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch):
                 rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(Words(rows.column(1), lower=False).first) + 1)], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(Words(rows.column(2), lower=False).first) + 1)], ["doc_id", "key", "n_tokens"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, key bigint, n_tokens bigint")
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
+def bin_cost(length: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    """What a sequence of that padded length costs, in tokens."""
+    return length + length * length / attention + overhead
 
-def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+
+def expected_fill(room: int, sizes: list[int], left: list[int]) -> int:
+    """How much of ``room`` the remaining pieces fill, the largest that fit first: ``left[k]`` of each of the rising ``sizes``."""
+    free, k = room, bisect_right(sizes, room)
+    while k and free:
+        k = min(k, bisect_right(sizes, free))
+        if not k:
+            break
+        k -= 1
+        free -= sizes[k] * min(left[k], free // sizes[k])
+    return room - free
+
+
+def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[list[int], list[int], list[int]]:
     """(bin of each size, its offset there, final length of each bin) for ``sizes`` in decreasing order."""
-    left = sum(sizes)
+    kinds = sorted(set(sizes))
+    place = {s: k for k, s in enumerate(kinds)}
+    left = [0] * len(kinds)
+    for s in sizes:
+        left[place[s]] += 1
+    cost = {c: bin_cost(c, overhead, attention) for c in lengths}
     room: list[tuple[int, int]] = []  # (free, bin), sorted
     content: list[int] = []
     where, offset = [], []
     for s in sizes:
-        left -= s
+        left[place[s]] -= 1
         k = bisect_left(room, (s, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            fits = [c for c in lengths if c >= s]
-            c = min(fits, key=lambda c: ((c + overhead) / min(c, s + left), c))
+            c = min((c for c in lengths if c >= s), key=lambda c: (cost[c] / (s + expected_fill(c - s, kinds, left)), c))
             free, b = c, len(content)
             content.append(0)
         where.append(b)
@@ -60,7 +94,7 @@ def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: i
 
 
 def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """(doc_id, piece, shard, bin, length, start, n_tokens) for ``sizes`` (doc_id, n_tokens).
+    """(doc_id, piece, shard, bin, length, start, n_tokens, key) for ``sizes`` (doc_id, n_tokens[, key]).
 
     ``start``: where the piece begins in its bin; ``length``: the bin's. Documents of more
     than the largest length are cut into pieces, all kept. Rows that repeat are packed each,
@@ -69,44 +103,75 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
-    rows = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n")).where("n > 0")
+    key = F.col("key") if "key" in sizes.columns else F.lit(0)
+    rows = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.cast("bigint").alias("key"), F.col("n_tokens").cast("bigint").alias("n")).where("n > 0")
     # Equal rows are counted, then numbered, so that they don't hash to one shard.
-    rows = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("m")).select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"))
-    pieces = rows.select("doc_id", "n", "copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece"))
+    rows = rows.groupBy("doc_id", "key", "n").agg(F.count(F.lit(1)).alias("m")).select("doc_id", "key", "n", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"))
+    pieces = rows.select("doc_id", "key", "n", "copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece"))
     size = F.least(F.lit(top), F.col("n") - F.col("piece").cast("bigint") * top)
-    pieces = written(pieces.select("doc_id", "piece", size.alias("n"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n", "piece", "copy").alias("h")), "pieces")
+    pieces = written(pieces.select("doc_id", "key", "piece", size.alias("n"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "key", "n", "piece", "copy").alias("h")), "pieces")
     shards = max(1, pieces.count() // SHARD)
     shard = F.pmod("h", F.lit(shards)).alias("shard")
 
     def run(table: pa.Table) -> pa.Table:
-        doc, piece, n = (table.column(c) for c in ("doc_id", "piece", "n"))
-        order = np.lexsort((piece.to_numpy(), doc.fill_null(-(1 << 63)).to_numpy(), -n.to_numpy()))
+        doc, key, piece, n = (table.column(c) for c in ("doc_id", "key", "piece", "n"))
+        order = np.lexsort((key.fill_null(0).to_numpy(), piece.to_numpy(), doc.fill_null(-(1 << 63)).to_numpy(), -n.to_numpy()))
         where, start, size = pack_sizes(n.to_numpy()[order].tolist(), lengths)
         take = pa.array(order)
         return pa.table({
             "doc_id": doc.take(take), "piece": piece.take(take), "shard": table.column("shard").take(take), "bin": pa.array(where, pa.int64()),
-            "length": pa.array([size[b] for b in where], pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": n.take(take),
+            "length": pa.array([size[b] for b in where], pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": n.take(take), "key": key.take(take),
         })
 
-    return pieces.select("doc_id", "piece", "n", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, piece int, shard bigint, bin bigint, length bigint, start bigint, n_tokens bigint")
+    return pieces.select("doc_id", "key", "piece", "n", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, piece int, shard bigint, bin bigint, length bigint, start bigint, n_tokens bigint, key bigint")
 
 
-def sequences(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(shard, bin, length, n_tokens, words): the training sequences that ``packed`` plans for ``docs`` (doc_id, text).
+def _parts(docs: DataFrame, top: int) -> DataFrame:
+    """(doc_id, key, piece, part): the words of each piece of a document, joined by spaces; of equal rows one."""
 
-    Each document's words, the whole text's in order, are cut where its pieces are, laid in
-    their bins by ``start``, each document ended by an empty word, as ``token_counts`` counts
-    it. A sequence is at most its length; a row of ``docs`` with a null or repeated doc_id has no sequence.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch):
+                rows = batch.slice(i, j - i)
+                at, piece, part = [], [], []
+                for k, text in enumerate(rows.column(2).to_pylist()):
+                    words = _words(text)
+                    for p in range(0, len(words), top):
+                        at.append(k)
+                        piece.append(p // top)
+                        part.append(b" ".join(words[p : p + top]))
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(piece, pa.int32()), pa.array(part, pa.binary()).cast(pa.string())], ["doc_id", "key", "piece", "part"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, key bigint, piece int, part string").groupBy("doc_id", "key", "piece").agg(F.first("part").alias("part"))
+
+
+def sequence_texts(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """(shard, bin, length, n_tokens, text): the training sequences that ``packed`` plans for ``docs`` (doc_id, text).
+
+    A sequence is its pieces' words in order of ``start``, joined by single spaces, where each
+    document is ended by an empty word. Every row of ``docs`` is in a sequence, those with null
+    or repeated ids and repeated rows too. A piece is at most the largest length and a sequence
+    too, so no row is large, and texts are shuffled twice: to their places and to their bins.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    once = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("text").alias("text")).where("m = 1")
-    words = F.concat(F.expr("regexp_extract_all(text, '([^\\\\x20\\\\x09-\\\\x0D]+)', 1)"), F.array(F.lit("")))
-    first = F.sum("n_tokens").over(Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = packed.where("doc_id is not null").withColumn("first", F.coalesce(first, F.lit(0)))
-    laid = cuts.join(once, "doc_id").select("shard", "bin", "length", "start", "n_tokens", F.slice(words, (F.col("first") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("words"))
-    bins = laid.groupBy("shard", "bin", "length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "words"))).alias("parts"))
-    return bins.select("shard", "bin", "length", "n_tokens", F.flatten(F.transform("parts", lambda p: p["words"])).alias("words"))
+    same = lambda d: d.withColumns({"_d": F.coalesce("doc_id", F.lit(-1)), "_null": F.col("doc_id").isNull(), "_k": F.coalesce("key", F.lit(0))})
+    parts = same(_parts(docs, max(lengths))).select("_d", "_null", "_k", "piece", "part")
+    laid = same(packed).join(parts, ["_d", "_null", "_k", "piece"]).select("shard", "bin", "length", "start", "n_tokens", "part")
+    bins = laid.groupBy("shard", "bin", "length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "part"))).alias("_p"))
+    return bins.select("shard", "bin", "length", "n_tokens", F.concat_ws(" ", F.transform("_p", lambda p: p["part"])).alias("text"))
+
+
+def sequences(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """(shard, bin, length, n_tokens, words) of ``sequence_texts``, the words as arrays of at most the length."""
+    return sequence_texts(docs, packed, lengths).select("shard", "bin", "length", "n_tokens", F.split("text", " ").alias("words"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return pack(token_counts(docs))
+    """(doc_id, piece, shard, bin, length, start, n_tokens, sequence_sha256) of each document's pieces.
+
+    The last is the digest of the whole sequence that the piece is in, as ``sequence_texts`` lays it out.
+    """
+    packed = written(pack(token_counts(docs)), "packed")
+    with small_batches(docs.sparkSession):
+        made = written(sequence_texts(docs, packed).select("shard", "bin", F.sha2("text", 256).alias("sequence_sha256")), "sequences")
+    return packed.drop("key").join(made, ["shard", "bin"]).select("doc_id", "piece", "shard", "bin", "length", "start", "n_tokens", "sequence_sha256")

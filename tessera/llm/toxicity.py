@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Words, discard, docs_table, first_of_each, fold_of, range_hash, renamed, small_batches, text_slices, written
 
@@ -26,7 +27,8 @@ from .common import Words, discard, docs_table, first_of_each, fold_of, range_ha
 SAMPLE = 4000
 #: Units kept at most, by the lower bound of their log-odds; mass of the prior; score of other words.
 UNITS, PRIOR, DRIFT = 1 << 16, 10.0, -0.4
-#: Width of the steps in which clean words' scores are counted, and their number; larger scores count as the last.
+#: Width of the steps in which clean words' scores are counted for lambda, and their number; a score above 19.75
+#: counts as that there, and there alone: segments and texts have their whole scores.
 STEP, STEPS = 0.25, 80
 THRESHOLD = 0.3
 _PUNCT = np.zeros(256, bool)
@@ -60,11 +62,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(at: np.ndarray, scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first, last word), in one pass.
+    """All maximal-scoring segments (score, first, last word), in one pass of linear time.
 
     ``at``: the words with positive ``scores``, in order; words between score DRIFT each.
+    Each open segment knows the nearest one before it whose left sum is lower, so a search
+    passes over a segment once; where there is none, all before are final and leave the list.
     """
-    found: list[tuple[float, float, int, int]] = []  # (sum before, sum after, first, last)
+    final: list[tuple[float, float, int, int, int]] = []  # (sum before, sum after, first, last, the nearest lower one)
+    found: list[tuple[float, float, int, int, int]] = []
     total, before = 0.0, -1
     for i, s in zip(at.tolist(), scores.tolist(), strict=True):
         total += DRIFT * (i - before - 1)
@@ -73,13 +78,17 @@ def segments(at: np.ndarray, scores: np.ndarray) -> list[tuple[float, int, int]]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
-            if j < 0 or found[j][1] >= right:
+                j = found[j][4]
+            if j < 0:
+                final += found
+                found = []
+                break
+            if found[j][1] >= right:
                 break
             left, first = found[j][0], found[j][2]
             del found[j:]
-        found.append((left, right, first, i))
-    return [(r - a, f, b) for a, r, f, b in found]
+        found.append((left, right, first, i, j))
+    return [(r - a, f, b) for a, r, f, b, _ in final + found]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
@@ -226,9 +235,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 some = [[{"score": s, "first": a, "last": b} for s, a, b in x if m.rate * s > math.log(max(m.k * int(n[k]), 1e-9))] for k, x in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array(some, kind)], [*keep, "score", "predicted", "passages"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    made = StructType.fromDDL("score double, predicted int, passages array<struct<score:double,first:bigint,last:bigint>>")
     extra = [] if text in keep else [F.col(text).cast("string").alias("_words")]
-    return docs.select(*(F.col(c) for c in keep), *extra).mapInArrow(run, f"{kinds}, score double, predicted int, passages array<struct<score:double,first:bigint,last:bigint>>")
+    return docs.select(*(F.col(c) for c in keep), *extra).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *made]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import hashlib
 import itertools
+import random
 import re
 
 from hypothesis import given, settings
@@ -36,13 +38,13 @@ def test_whole_table(spark, sf_dir):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 8), min_size=1, max_size=6))
 def test_close_to_the_best_packing(sizes):
-    lengths, over = (4, 8), 1
+    lengths, of = (4, 8), lambda c: P.bin_cost(c, 1, 16)
     sizes.sort(reverse=True)
-    where, start, final = P.pack_sizes(sizes, lengths, over)
-    cost = sum(c + over for c in final)
+    where, start, final = P.pack_sizes(sizes, lengths, 1, 16)
+    cost = sum(map(of, final))
 
     def total(groups):
-        return sum(min((c for c in lengths if c >= g), default=1000) + over for g in groups)
+        return sum(of(min((c for c in lengths if c >= g), default=1000)) for g in groups)
 
     best = min(total([sum(s for s, k in zip(sizes, at, strict=True) if k == b) for b in set(at)]) for at in itertools.product(range(len(sizes)), repeat=len(sizes)) if all(k <= i for i, k in enumerate(at)))
     assert best <= cost <= best * 1.7
@@ -57,17 +59,22 @@ def test_edge_rows(spark):
     assert P.query(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
-def plain_pack(sizes, lengths, overhead):
-    """The rule read plainly: every open bin is looked at for each piece."""
+def plain_pack(sizes, lengths, cost):
+    """The rule read plainly: every open bin is looked at for each piece, and every later piece for each length."""
     bins, where = [], []
     for i, s in enumerate(sizes):
-        left = sum(sizes[i + 1 :])
         open_ = [(b["free"], k) for k, b in enumerate(bins) if b["free"] >= s]
         if open_:
             k = min(open_)[1]
         else:
-            cost = [((c + overhead) / min(c, s + left), c) for c in lengths if c >= s]
-            bins.append({"free": min(cost)[1], "used": 0})
+
+            def fill(c, s=s, i=i):
+                free = c - s
+                for x in sizes[i + 1 :]:  # falling
+                    free -= x if x <= free else 0
+                return c - free
+
+            bins.append({"free": min((cost(c) / fill(c), c) for c in lengths if c >= s)[1], "used": 0})
             k = len(bins) - 1
         bins[k]["free"] -= s
         bins[k]["used"] += s
@@ -75,12 +82,34 @@ def plain_pack(sizes, lengths, overhead):
     return where, [min(c for c in lengths if c >= b["used"]) for b in bins]
 
 
+def test_several_lengths_cost_less_than_one():
+    rng = random.Random(8)
+    for sizes in ([min(8192, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(3000)], [rng.randint(1, 8192) for _ in range(800)], [300] * 700 + [5000] * 40, [1025] * 500, [513, 1023] * 300):
+        sizes.sort(reverse=True)
+        lengths = P.pack_sizes(sizes)[2]
+        total = sum(map(P.bin_cost, lengths))
+        for one in P.LENGTHS:
+            if one >= sizes[0]:
+                assert total < sum(map(P.bin_cost, [one] * len(P.pack_sizes(sizes, (one,))[2])))
+        # opening the largest length always, and downsizing, is the plainer rule
+        assert total <= sum(P.bin_cost(min(c for c in P.LENGTHS if c >= n)) for n in contents(sizes, 8192))
+    assert len(set(P.pack_sizes(sorted((min(8192, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(3000)), reverse=True))[2])) == len(P.LENGTHS)
+
+
+def contents(sizes, one):
+    where = P.pack_sizes(sizes, (one,))[0]
+    out = {}
+    for b, n in zip(where, sizes, strict=True):
+        out[b] = out.get(b, 0) + n
+    return out.values()
+
+
 def test_query_equals_the_plain_rule(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1) for r in docs.collect()]
     top = P.LENGTHS[-1]
     pieces = sorted(((min(top, n - k * top), i, k) for i, n in sizes for k in range((n - 1) // top + 1)), key=lambda x: (-x[0], x[1], x[2]))
-    where, length = plain_pack([n for n, _, _ in pieces], P.LENGTHS, P.OVERHEAD)
+    where, length = plain_pack([n for n, _, _ in pieces], P.LENGTHS, P.bin_cost)
     want = {(i, k): (n, b, length[b]) for (n, i, k), b in zip(pieces, where, strict=True)}
     got = {(r["doc_id"], r["piece"]): (r["n_tokens"], r["bin"], r["length"]) for r in P.query(docs).collect()}
     assert got == want
@@ -88,13 +117,22 @@ def test_query_equals_the_plain_rule(spark, sf_dir):
 
 def test_sequences_hold_every_word(spark):
     long = " ".join(f"w{i}" for i in range(20000))
-    docs = spark.createDataFrame([(1, "a b  c"), (2, None), (3, long), (4, "x"), (4, "y"), (None, "z")], "doc_id bigint, text string")
-    packed = P.query(docs)
+    rows = [(1, "a b  c"), (2, None), (3, long), (4, "x"), (4, "y"), (4, "y"), (None, "z\u2003z"), (None, None), (5, "\x0b q\n")]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id bigint, text string, key string, piece int")
+    packed = P.pack(P.token_counts(docs)).transform(lambda d: P.written(d, "packed"))
     out = P.sequences(docs, packed).collect()
     assert all(len(r["words"]) == r["n_tokens"] <= r["length"] for r in out)
     words = [w for r in out for w in r["words"]]
-    assert sorted(words) == sorted(["a", "b", "c", *long.split(), "", "", ""])
-    assert P.pack(P.token_counts(docs)).count() == packed.count() == 5 + 3
+    assert sorted(words) == sorted(["a", "b", "c", *long.split(), "x", "y", "y", "z\u2003z", "q", *[""] * 9])
+    by = {(r["shard"], r["bin"]): r["words"] for r in out}
+    texts = {i: t for i, t in rows if i in (1, 3, 5)}
+    for r in P.query(docs).collect():
+        text = " ".join(by[r["shard"], r["bin"]])
+        assert r["sequence_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        if r["doc_id"] in texts:
+            whole = [*texts[r["doc_id"]].split(), ""][r["piece"] * 8192 : r["piece"] * 8192 + r["n_tokens"]]
+            assert by[r["shard"], r["bin"]][r["start"] : r["start"] + r["n_tokens"]] == whole
+    assert P.pack(P.token_counts(docs)).count() == P.query(docs).count() == len(rows) + 2
 
 
 def test_rows_that_repeat_are_dealt(spark, monkeypatch):

@@ -26,6 +26,25 @@ def test_linear_scan_equals_the_definition():
         assert got == brute_segments(scores)
 
 
+def test_many_hits_in_one_text_take_linear_time():
+    import time
+
+    n = 100_000
+    rng = np.random.RandomState(2)
+    for gap, scores in ((10, np.full(n, 1.0)), (2, np.full(n, 0.5)), (1, rng.uniform(0.1, 3, n)), (4, np.linspace(3, 0.1, n)), (4, np.linspace(0.1, 3, n))):
+        began = time.process_time()
+        found = T.segments(np.arange(n) * gap, scores)
+        assert time.process_time() - began < 3 and found and all(a <= b for _, a, b in found)
+
+
+def test_nested_columns_of_any_name_stay(spark):
+    schema = "doc_id bigint, text string, extra struct<`a b`: int, c: array<struct<`d.e`: string>>>"
+    df = spark.createDataFrame([(k, "you are a vile toad" if k % 2 else "a kind friend", (k, [("x",)])) for k in range(30)], schema)
+    m = T.learn(df, spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, toxic int"))
+    out = T.predict(df, m, ("doc_id", "text", "extra")).collect()
+    assert len(out) == 30 and all(r["extra"]["a b"] == r["doc_id"] and r["extra"]["c"][0]["d.e"] == "x" for r in out)
+
+
 def test_held_out_labels(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.01")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
