@@ -112,6 +112,9 @@ class _Attempts(_InOrder):
         errors, failed, last = self.job.get() if self.job.exists() else (0, False, 0)
         out, touched = [], {}
         for us, event, chunk, ok in rows:
+            if last and us > last + self.keep * 1000:
+                self.chunks.clear()
+                errors, failed, touched = 0, False, {}
             last = max(last, us)
             if chunk not in touched:
                 touched[chunk] = self.chunks.getValue((chunk,)) if self.chunks.containsKey((chunk,)) else (0, False)
@@ -134,7 +137,7 @@ class _Attempts(_InOrder):
                 self.chunks.updateValue((chunk,), state)
             self.job.update((errors, failed, last))
             self.handle.registerTimer(last // 1000 + self.keep)
-        elif not left and self.job.exists() and mark >= last // 1000 + self.keep:
+        elif self.job.exists() and mark >= last // 1000 + self.keep and (not left or left[0][0] > last + self.keep * 1000):
             self.job.clear()
             self.chunks.clear()
         return pd.DataFrame(out, columns=["job_id", "chunk_id", "event_id", "outcome"])
@@ -144,8 +147,8 @@ def stream_attempts(events: DataFrame, late: str = "1 day", keep: str = "30 days
     """(job_id, chunk_id, event_id, outcome) as chunks and jobs end; needs the RocksDB state store.
 
     Attempts count in order of (ts, event_id), in whatever order they arrive within ``late``:
-    each waits until the watermark has passed it. A job's state is dropped ``keep`` after its
-    last attempt. Rows whose result is neither ok nor failed only carry time forward.
+    each waits until the watermark has passed it. A job is forgotten ``keep`` after its last
+    attempt: its state is dropped, and a later attempt begins anew. Rows whose result is neither ok nor failed only carry time forward.
     """
     d = events.select("job_id", F.col("chunk_id").cast("int").alias("chunk_id"), "event_id", "ts", F.unix_micros("ts").alias("us"), "result").withWatermark("ts", late)
     return d.groupBy("job_id").transformWithStateInPandas(_Attempts(_ms(keep)), "job_id bigint, chunk_id int, event_id bigint, outcome string", "append", "EventTime")
@@ -235,10 +238,11 @@ def stream_stall(events: DataFrame, gap: str = "10 minutes", late: str = "1 day"
     """(job_id, silent_from, n): a job's last event, after ``n`` without a longer pause, as soon as time is ``gap`` beyond it.
 
     A timer flags a silence that still lasts, when the watermark (``late`` behind the newest
-    event of any job) has passed its end; needs the RocksDB state store. Rows whose result is
-    neither ok nor failed only carry time forward.
+    event of any job) has passed its end; needs the RocksDB state store. Rows with a result
+    that is neither ok nor failed only carry time forward.
     """
-    d = events.select("job_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "result").withWatermark("ts", late)
+    given = {"event_id": F.lit(0).cast("bigint"), "result": F.lit("ok")} | {c: F.col(c) for c in events.columns}
+    d = events.select("job_id", given["event_id"].alias("event_id"), "ts", F.unix_micros("ts").alias("us"), given["result"].alias("result")).withWatermark("ts", late)
     s = d.groupBy("job_id").transformWithStateInPandas(_Silence(_ms(gap)), "job_id bigint, us bigint, n bigint", "append", "EventTime")
     return s.select("job_id", F.timestamp_micros("us").alias("silent_from"), "n")
 
