@@ -127,7 +127,7 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
 
 
 def _parts(docs: DataFrame, top: int) -> DataFrame:
-    """(doc_id, key, piece, part): the words of each piece of a document, joined by spaces; of equal rows one."""
+    """(*SAME, part): the words of each piece of a document, joined by spaces; of equal rows one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +143,15 @@ def _parts(docs: DataFrame, top: int) -> DataFrame:
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(piece, pa.int32()), pa.array(part, pa.binary()).cast(pa.string())], ["doc_id", "key", "piece", "part"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, key bigint, piece int, part string").groupBy("doc_id", "key", "piece").agg(F.first("part").alias("part"))
+    return _same(_keyed(docs).mapInArrow(run, "doc_id bigint, key bigint, piece int, part string")).groupBy(*SAME).agg(F.first("part").alias("part"))
+
+
+#: Of equal rows: doc_id, whether it is null, key, and the piece, none of them null, so that texts are dealt once for both their distinct rows and their join.
+SAME = ["_d", "_null", "_k", "piece"]
+
+
+def _same(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_d": F.coalesce("doc_id", F.lit(-1)), "_null": F.col("doc_id").isNull(), "_k": F.coalesce("key", F.lit(0))})
 
 
 def sequence_texts(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -154,9 +162,7 @@ def sequence_texts(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...]
     or repeated ids and repeated rows too. A piece is at most the largest length and a sequence
     too, so no row is large, and texts are shuffled twice: to their places and to their bins.
     """
-    same = lambda d: d.withColumns({"_d": F.coalesce("doc_id", F.lit(-1)), "_null": F.col("doc_id").isNull(), "_k": F.coalesce("key", F.lit(0))})
-    parts = same(_parts(docs, max(lengths))).select("_d", "_null", "_k", "piece", "part")
-    laid = same(packed).join(parts, ["_d", "_null", "_k", "piece"]).select("shard", "bin", "length", "start", "n_tokens", "part")
+    laid = _same(packed).join(_parts(docs, max(lengths)), SAME).select("shard", "bin", "length", "start", "n_tokens", "part")
     bins = laid.groupBy("shard", "bin", "length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "part"))).alias("_p"))
     return bins.select("shard", "bin", "length", "n_tokens", F.concat_ws(" ", F.transform("_p", lambda p: p["part"])).alias("text"))
 
