@@ -11,6 +11,7 @@ each bin shrinks to the shortest length that holds its contents.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from .common import Words, small_batches, text_slices, written
 
 #: Permitted lengths in tokens; a bin's fixed cost, and the length at which its square costs as much as itself; pieces a shard on average.
 LENGTHS, OVERHEAD, ATTENTION, SHARD = (512, 1024, 2048, 4096, 8192), 64, 32_768, 20_000
+#: Partitions that shards are dealt over at most.
+MOST = 10_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -55,13 +58,11 @@ def bin_cost(length: int, overhead: int = OVERHEAD, attention: int = ATTENTION)
 
 def expected_fill(room: int, sizes: list[int], left: list[int]) -> int:
     """How much of ``room`` the remaining pieces fill, the largest that fit first: ``left[k]`` of each of the rising ``sizes``."""
-    free, k = room, bisect_right(sizes, room)
-    while k and free:
-        k = min(k, bisect_right(sizes, free))
-        if not k:
-            break
+    free, k = room, len(sizes)
+    while free and (k := bisect_right(sizes, free, 0, k)):
         k -= 1
-        free -= sizes[k] * min(left[k], free // sizes[k])
+        if left[k]:
+            free -= sizes[k] * min(left[k], free // sizes[k])
     return room - free
 
 
@@ -73,6 +74,7 @@ def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: i
     for s in sizes:
         left[place[s]] += 1
     cost = {c: bin_cost(c, overhead, attention) for c in lengths}
+    by_rate = sorted(lengths, key=lambda c: cost[c] / c)  # the least that a length can cost for each token, if filled
     room: list[tuple[int, int]] = []  # (free, bin), sorted
     content: list[int] = []
     where, offset = [], []
@@ -82,8 +84,13 @@ def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: i
         if k < len(room):
             free, b = room.pop(k)
         else:
-            c = min((c for c in lengths if c >= s), key=lambda c: (cost[c] / (s + expected_fill(c - s, kinds, left)), c))
-            free, b = c, len(content)
+            best = (math.inf, 0)
+            for c in by_rate:
+                if c >= s:
+                    if cost[c] / c > best[0]:
+                        break
+                    best = min(best, (cost[c] / (s + expected_fill(c - s, kinds, left)), c))
+            free, b = best[1], len(content)
             content.append(0)
         where.append(b)
         offset.append(content[b])
@@ -123,7 +130,9 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
             "length": pa.array([size[b] for b in where], pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": n.take(take), "key": key.take(take),
         })
 
-    return pieces.select("doc_id", "key", "piece", "n", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, piece int, shard bigint, bin bigint, length bigint, start bigint, n_tokens bigint, key bigint")
+    # So many partitions as shards: they are small in bytes, not in work, and would be joined to a few.
+    dealt = pieces.select("doc_id", "key", "piece", "n", shard).repartition(min(shards, MOST), "shard")
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id bigint, piece int, shard bigint, bin bigint, length bigint, start bigint, n_tokens bigint, key bigint")
 
 
 def _parts(docs: DataFrame, top: int) -> DataFrame:
