@@ -190,9 +190,14 @@ def over_columns(fg: str = "", bg: str = "2") -> list[Column]:
 
 
 def same_size(a: DataFrame, b: DataFrame, what: str) -> DataFrame:
-    """``a``; a clip whose size differs between both, by their largest coordinates, fails the job."""
-    other = frame_sizes(b).withColumnsRenamed({"width": "_w", "height": "_h"})
-    odd = frame_sizes(a).join(other, "clip_id").where("width <> _w or height <> _h")
+    """``a``; a clip whose size differs between both, by their largest coordinates, fails the job.
+
+    Both sizes come from one aggregation, whose few rows for differing clips are all that ``a`` is joined with.
+    """
+    of = lambda d, side: d.select("clip_id", "y", "x", F.lit(side).alias("_side"))
+    most = lambda c, side: (F.max(F.when(F.col("_side") == side, F.col(c))) + 1).cast("int")
+    sizes = of(a, 0).unionByName(of(b, 1)).groupBy("clip_id").agg(most("x", 0).alias("width"), most("y", 0).alias("height"), most("x", 1).alias("_w"), most("y", 1).alias("_h"))
+    odd = sizes.where("width <> _w or height <> _h")
     odd = odd.select("clip_id", F.format_string("%s differ in size: clip %s is %sx%s and %sx%s", F.lit(what), F.col("clip_id").cast("string"), "width", "height", "_w", "_h").alias("_why"))
     d = a.join(odd, "clip_id", "left")
     kinds = dict(a.dtypes)
