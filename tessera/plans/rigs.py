@@ -112,6 +112,13 @@ def filled_sql(plate: str, todo: str, iters: int, rings: int) -> str:
     return out + f", filled as (select {key}, " + ", ".join(f"cast(floor(least(255.0, round({c}, 9) + 0.5)) as int) {c}" for c in "bgr") + f" from fl{iters})"
 
 
+def resized_sql(name: str, source: str, n: int, to: int, columns: str) -> str:
+    """``name``: the n x n frames of ``source`` (clip_id, y, x, ...) bilinearly scaled to ``to`` x ``to``."""
+    cols = ", ".join(f"cast(round_even(round(sum(s.{c} * ay.k * ax.k), 6), 0) as int) {c}" for c in columns)
+    return f""", {name}_ax as (select t, unnest([lo, least(lo + 1, {n - 1})]) p, unnest([1 - f, f]) k from (select t, floor(s)::int lo, s - floor(s) f from (select t, least(greatest((t + 0.5::double) * {n} / {to} - 0.5::double, 0.0), {n - 1}.0) s from (select unnest(range(0, {to})) t)))),
+{name} as materialized (select s.clip_id, 0 frame, ay.t::int y, ax.t::int x, {cols} from {source} s join {name}_ax ax on ax.p = s.x join {name}_ax ay on ay.p = s.y group by 1, 2, 3, 4)"""
+
+
 def little_sql(iters: int) -> str:
     """``mp``: the backward map of the 16x16 canvases, and ``shown``, the still at its places."""
     out = RIGS + posed_sql() + WORLD + WEIGHTS.replace("range(0, 64)", "range(0, 16)")
@@ -300,7 +307,9 @@ QUERIES = {
         select plate_id, greatest(1, least(4, greatest(1, floor(r)::int - 1)))::int band from rr""", "strokes")),
     "a7_load_corrections": (lambda s, d: Y.load_corrections(X.corrections(s, d), SIZE, SIZE), oracle(LOADED + " select * from lc", "corrections")),
     "i8_heal": (_heal, oracle(HEALED + filled_sql("pl", "pt", 5, 12) + " " + stats_sql("select pl.clip_id, pl.frame, pl.y, pl.x, " + ", ".join(f"cast(floor(pl.{c} * (1 - coalesce(w, 0)) + coalesce(f.{c}, pl.{c}) * coalesce(w, 0)) as int) {c}" for c in "bgr") + ", 255 a from pl left join filled f using (clip_id, frame, y, x) left join rm on rm.clip_id = pl.clip_id and rm.y = pl.y and rm.x = pl.x", *"bgra"), "strokes")),
-    "i8_heal_other_size": (_heal_larger, None),
+    "i8_heal_other_size": (_heal_larger, oracle(""", sk as (select plate_id, x % 16 x, y % 16 y from strokes), pt as (select distinct plate_id clip_id, (y + dy)::int y, (x + dx)::int x from sk, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4 and y + dy between 0 and 15 and x + dx between 0 and 15),
+        mk as (select clip_id, y::int y, x::int x, case when k is null then 0 else 255 end m from (select clip_id, y, x from (select distinct plate_id clip_id from strokes), (select unnest(range(0, 16)) y), (select unnest(range(0, 16)) x)) left join (select *, 1 k from pt) using (clip_id, y, x))""" + resized_sql("fit", "mk", 16, 32, "m") + """, todo as materialized (select clip_id, 0 frame, y, x from fit where m > 127),
+        pl as materialized (select clip_id, 0 frame, y::int y, x::int x, floor(y * 7.5)::int b, floor(x * 7.5)::int g, (clip_id % 256)::int r from (select distinct plate_id clip_id from strokes), (select unnest(range(0, 32)) y), (select unnest(range(0, 32)) x))""" + filled_sql("pl", "todo", 3, 20) + ", whole as (select pl.clip_id, pl.y, pl.x, " + ", ".join(f"coalesce(f.{c}, pl.{c}) {c}" for c in "bgr") + ", 255 a from pl left join filled f using (clip_id, frame, y, x))" + resized_sql("shown", "whole", 32, 16, "bgra") + " " + stats_sql("select * from shown", *"bgra"), "strokes")),
     "i8_heal_box": (_heal_box, oracle(", sp as (select distinct plate_id, (y % 16 + dy)::int y, (x % 16 + dx)::int x from strokes, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4) select plate_id clip_id, min(x) x, min(y) y, max(x) - min(x) + 1 width, max(y) - min(y) + 1 height from sp where y between 0 and 15 and x between 0 and 15 group by 1", "strokes")),
     "i9_apply_corrections": (_corrected, oracle(LOADED + """, pc as (select rig_id, id, y, x, floor(255 * least(1.0::double, (least(x - x0 + 1, x1 - x, y - y0 + 1, y1 - y) - 1) / band::double))::int al from (select lc.*, gy.y, gx.x from lc, lateral (select unnest(range(y0, y1)) y) gy, lateral (select unnest(range(x0, x1)) x) gx)),
         nm as (select *, row_number() over (partition by rig_id, y, x order by id) k, count(*) over (partition by rig_id, y, x) n from pc), st as (select rig_id, y, x, 0 k, 200 b, 100 g, 50 r from nm where k = 1 union all select st.rig_id, st.y, st.x, st.k + 1, """ + ", ".join(f"floor(st.{c} * (1 - al / 255.0::double) + (nm.id * {v} % 256) * (al / 255.0::double))::int" for c, v in zip("bgr", (3, 5, 7), strict=True)) + " from st join nm on nm.rig_id = st.rig_id and nm.y = st.y and nm.x = st.x and nm.k = st.k + 1) select rig_id, count(*) n, " + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgr") + " from (select st.* from st join (select rig_id, y, x, max(n) n from nm group by 1, 2, 3) m on m.rig_id = st.rig_id and m.y = st.y and m.x = st.x and m.n = st.k) group by 1", "corrections")),
