@@ -1,9 +1,15 @@
+import hashlib
 import os
 
+import pyarrow as pa
+from test_line_dedup import brute as plain_lines
+from test_ngram_join import brute as plain_components
+from test_packing import plain_pack
+
 import __spark_entry__ as E
 import corpus_pipeline as CP
 from tessera.llm import language_id, ngram_join, packing, toxicity
-from tessera.llm.common import written
+from tessera.llm.common import Words, written
 
 
 def test_stages_in_order(spark, sf_dir):
@@ -29,10 +35,44 @@ def test_stages_in_order(spark, sf_dir):
 def test_registered(spark, sf_dir):
     names = set(E.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert os.path.exists(f"{sf_dir}/documents.parquet")
 
 
+def test_the_whole_pipeline_equals_a_plain_reading(spark, sf_dir):
+    """Every stage again without Spark, but for the fits of the two models, each on its own input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = language_id.learn(docs.where(~language_id.fold_of(4)))
+    found = {i: language_id.label(model, r["text"]) for i, r in rows.items()}
+    left = {i for i, (lang, p) in found.items() if lang != language_id.UNKNOWN and p >= language_id.REJECT}
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~language_id.fold_of(4))
+    model = toxicity.learn(docs.where(docs["doc_id"].isin(sorted(left))), labels)
+
+    def toxic(text):
+        w = Words(pa.array([text]), lower=True)
+        return model.probability(*model.evidence(model.found(w)[0], len(w.start))) >= toxicity.THRESHOLD
+
+    left = {i for i in left if not toxic(rows[i]["text"])}
+    texts = dict(plain_lines([(i, rows[i]["source"], rows[i]["text"]) for i in left]))
+    texts = {i: texts[str(i)] for i in left}
+    comp = plain_components(sorted(texts.items()))
+    left = {i for i in left if comp[i][1] == i}
+    words = {i: [*(texts[i] or "").encode().split(), b""] for i in left}
+    top = packing.LENGTHS[-1]
+    pieces = sorted(((min(top, len(w) - k * top), i, k) for i, w in words.items() for k in range((len(w) - 1) // top + 1)), key=lambda x: (-x[0], x[1], x[2]))
+    where, length = plain_pack([n for n, _, _ in pieces], packing.LENGTHS, packing.bin_cost)
+    bins, start = {}, {}
+    for (n, i, k), b in zip(pieces, where, strict=True):
+        start[i, k] = len(bins.setdefault(b, []))
+        bins[b] += words[i][k * top : k * top + n]
+    digest = {b: hashlib.sha256(b" ".join(w)).hexdigest() for b, w in bins.items()}
+    want = {(i, k, 0, b, length[b], start[i, k], n, digest[b]) for (n, i, k), b in zip(pieces, where, strict=True)}
+    got = CP.run(spark, sf_dir).select("doc_id", "piece", "shard", "bin", "length", "start", "n_tokens", "sequence_sha256").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+
+
 def test_clashing_columns(spark, sf_dir):
     names = ["_maybe", "score", "_id", "n_lines", "n_dropped", "_c0", "c0", "_bad", "_kept", "_host", "salt", "lang_pred", "predicted", "comp", "n"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).selectExpr("*", *(f"concat('{c}', doc_id) `{c}`" for c in names))
