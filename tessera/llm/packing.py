@@ -11,12 +11,15 @@ each bin shrinks to the shortest length that holds its contents.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,9 +139,10 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
 
 
 def _parts(docs: DataFrame, top: int) -> DataFrame:
-    """(*SAME, part): the words of each piece of a document, joined by spaces; of equal rows one."""
+    """(*SAME, part): the words of each piece of a document, joined by spaces and compressed; of equal rows one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor().compress
         for batch in batches:
             for i, j in text_slices(batch):
                 rows = batch.slice(i, j - i)
@@ -148,11 +152,11 @@ def _parts(docs: DataFrame, top: int) -> DataFrame:
                     for p in range(0, len(words), top):
                         at.append(k)
                         piece.append(p // top)
-                        part.append(b" ".join(words[p : p + top]))
+                        part.append(squeeze(b" ".join(words[p : p + top])))
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(piece, pa.int32()), pa.array(part, pa.binary()).cast(pa.string())], ["doc_id", "key", "piece", "part"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(piece, pa.int32()), pa.array(part, pa.binary())], ["doc_id", "key", "piece", "part"])
 
-    return _same(_keyed(docs).mapInArrow(run, "doc_id bigint, key bigint, piece int, part string")).groupBy(*SAME).agg(F.first("part").alias("part"))
+    return _same(_keyed(docs).mapInArrow(run, "doc_id bigint, key bigint, piece int, part binary")).groupBy(*SAME).agg(F.first("part").alias("part"))
 
 
 #: Of equal rows: doc_id, whether it is null, key, and the piece, none of them null, so that texts are dealt once for both their distinct rows and their join.
@@ -163,6 +167,35 @@ def _same(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_d": F.coalesce("doc_id", F.lit(-1)), "_null": F.col("doc_id").isNull(), "_k": F.coalesce("key", F.lit(0))})
 
 
+def _laid_out(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...], made: Callable[[bytes], object], kind: str) -> DataFrame:
+    """(shard, bin, length, n_tokens, made) of each bin: ``made`` of its pieces' words in order of ``start``.
+
+    Pieces meet their places and then their bins, whose rows follow each other in a sorted
+    partition, so a task holds one bin at a time.
+    """
+    laid = _same(packed).join(_parts(docs, max(lengths)), SAME).select("shard", "bin", "length", "n_tokens", "start", "part")
+    laid = laid.repartition("shard", "bin").sortWithinPartitions("shard", "bin", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor().decompress
+        own, tokens, parts = None, 0, []
+        for batch in itertools.chain(batches, [None]):
+            out = []
+            rows = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True) if batch is not None else [(None, None, None, 0, None)]
+            for shard, bin_, length, n, part in rows:
+                if (shard, bin_, length) != own:
+                    if parts:
+                        out.append((*own, tokens, made(b" ".join(parts))))
+                    own, tokens, parts = (shard, bin_, length), 0, []
+                tokens += n
+                if part is not None:
+                    parts.append(whole(part))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["shard", "bin", "length", "n_tokens", kind])
+
+    return laid.mapInArrow(run, f"shard bigint, bin bigint, length bigint, n_tokens bigint, {kind} string")
+
+
 def sequence_texts(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """(shard, bin, length, n_tokens, text): the training sequences that ``packed`` plans for ``docs`` (doc_id, text).
 
@@ -171,9 +204,7 @@ def sequence_texts(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...]
     or repeated ids and repeated rows too. A piece is at most the largest length and a sequence
     too, so no row is large, and texts are shuffled twice: to their places and to their bins.
     """
-    laid = _same(packed).join(_parts(docs, max(lengths)), SAME).select("shard", "bin", "length", "start", "n_tokens", "part")
-    bins = laid.groupBy("shard", "bin", "length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "part"))).alias("_p"))
-    return bins.select("shard", "bin", "length", "n_tokens", F.concat_ws(" ", F.transform("_p", lambda p: p["part"])).alias("text"))
+    return _laid_out(docs, packed, lengths, lambda text: text, "text")
 
 
 def sequences(docs: DataFrame, packed: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -188,5 +219,5 @@ def query(docs: DataFrame) -> DataFrame:
     """
     packed = written(pack(token_counts(docs)), "packed")
     with small_batches(docs.sparkSession):
-        made = written(sequence_texts(docs, packed).select("shard", "bin", F.sha2("text", 256).alias("sequence_sha256")), "sequences")
+        made = written(_laid_out(docs, packed, LENGTHS, lambda text: hashlib.sha256(text).hexdigest(), "sequence_sha256").select("shard", "bin", "sequence_sha256"), "sequences")
     return packed.drop("key").join(made, ["shard", "bin"]).select("doc_id", "piece", "shard", "bin", "length", "start", "n_tokens", "sequence_sha256")
