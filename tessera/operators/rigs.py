@@ -18,8 +18,9 @@ from .pixels import CHANNELS, KEY, composite_over
 M = ["a", "b", "c", "d", "e", "f"]
 FALLOFFS = ("smooth", "linear", "hard")
 POSE = ["rot", "tx", "ty"]
-#: Sides in pixels of the cells that points and bones meet in; digits that an estimated place is rounded to.
-CELL, COARSE = 16, 256
+#: Sides in pixels of the cells that bones are narrowed to, the last one of those that points meet them in.
+CELLS = (2048, 256, 32, 4)
+#: Digits that an estimated place is rounded to.
 DIGITS = 6
 
 
@@ -209,35 +210,39 @@ def segment_distance(x: Column, y: Column, o: Column | None = None) -> Column:
 
 
 def _narrowed(cells: DataFrame, size: int) -> DataFrame:
-    """Cells (rig_id, cy, cx, bones) of that size, each with those of its bones that matter to a point in it.
+    """Rows (rig_id, cy, cx, bone...) of cells of that size, those whose bone matters to a point in its cell.
 
     These are the bones whose reach touches the cell, and those that may be a point's nearest:
     no farther from the cell's centre than the nearest one and the cell's diagonal.
     """
-    centre = lambda c: (F.col(c) + 0.5) * size
     half = size * 0.5**0.5 + 1e-6
-    d = cells.withColumn("_d", F.transform("bones", lambda o: segment_distance(centre("cx"), centre("cy"), o)))
-    near = F.filter(F.arrays_zip("bones", "_d"), lambda z: (z["_d"] <= F.array_min("_d") + 2 * half) | (z["_d"] <= z["bones"]["reach"] + half))
-    return d.select("rig_id", "cy", "cx", F.transform(near, lambda z: z["bones"]).alias("bones"))
+    d = cells.withColumn("_d", segment_distance((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size))
+    least = F.min("_d").over(Window.partitionBy("rig_id", "cy", "cx"))
+    d = d.withColumn("_least", least).where((F.col("_d") <= F.col("_least") + 2 * half) | (F.col("_d") <= F.col("reach") + half))
+    return d.drop("_d", "_least")
 
 
 def near_bones(points: DataFrame, bones: DataFrame, reach: Column) -> DataFrame:
-    """A row for each point (rig_id, y, x) and bone of its rig that may be its nearest or within ``reach`` of it.
+    """A row for each distinct point (rig_id, y, x) and bone of its rig that may be its nearest or within ``reach`` of it.
 
-    A rig's bones are narrowed to cells of 256 pixels and then of 16, of those that have points,
-    and points join their cell. So the pairs follow what the bones reach, not points times bones.
+    A rig's bones are narrowed to ever smaller cells of those that have points, and points join
+    their cell. So the pairs follow what the bones reach, not points times bones. Points are
+    dealt once, by their cell (cy, cx); a point's pairs stay in one partition.
     """
     fields = ["ord", "bone_id", "hx", "hy", "tx", "ty", "radius", "falloff"]
     at = lambda c, size: F.floor(F.col(c) / size)
-    placed = points.select("rig_id", "y", "x", at("y", CELL).alias("cy"), at("x", CELL).alias("cx"))
-    cells = placed.select("rig_id", "cy", "cx").distinct()
-    ratio = COARSE // CELL
-    own = bones.withColumn("reach", reach).groupBy("rig_id").agg(F.array_sort(F.collect_list(F.struct(*fields, "reach"))).alias("bones"))
-    coarse = cells.select("rig_id", at("cy", ratio).alias("cy"), at("cx", ratio).alias("cx")).distinct().join(own, "rig_id").transform(_narrowed, COARSE)
-    coarse = coarse.withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
-    fine = cells.withColumns({"_cy": at("cy", ratio), "_cx": at("cx", ratio)}).join(coarse, ["rig_id", "_cy", "_cx"]).transform(_narrowed, CELL)
-    pairs = placed.join(fine, ["rig_id", "cy", "cx"]).select("rig_id", "y", "x", F.explode("bones").alias("o"))
-    return pairs.select("rig_id", "y", "x", *(F.col(f"o.{c}").alias(c) for c in fields), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = points.select("rig_id", "y", "x", at("y", CELLS[-1]).alias("cy"), at("x", CELLS[-1]).alias("cx")).repartition(parts, "rig_id", "cy", "cx").distinct()
+    cells = placed.select("rig_id", "cy", "cx").distinct().transform(cut)
+    found, above = bones.select("rig_id", *fields, reach.alias("reach")), []
+    for larger, size in zip((0, *CELLS), CELLS, strict=False):
+        own = cells.select("rig_id", at("cy", size // CELLS[-1]).alias("cy"), at("cx", size // CELLS[-1]).alias("cx")).distinct()
+        if larger:
+            own = own.withColumns({"_cy": at("cy", larger // size), "_cx": at("cx", larger // size)})
+            above = ["_cy", "_cx"]
+        found = own.join(found.withColumnsRenamed({"cy": "_cy", "cx": "_cx"}), ["rig_id", *above]).drop("_cy", "_cx").transform(_narrowed, size)
+    d = placed.join(found.drop("reach"), ["rig_id", "cy", "cx"])
+    return d.withColumns({"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
 
 
 def bone_weights(points: DataFrame, bones: DataFrame, power: float = 2.0, scale: float = 1.0) -> DataFrame:
@@ -249,10 +254,10 @@ def bone_weights(points: DataFrame, bones: DataFrame, power: float = 2.0, scale:
     d = near_bones(points, bones, reach).withColumn("dist", segment_distance(F.col("_x"), F.col("_y")))
     near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("dist") / reach))
     d = d.withColumn("_near", near).withColumn("w", F.when(F.col("falloff") == "hard", (F.col("_near") > 0).cast("double")).when(F.col("falloff") == "linear", F.col("_near")).otherwise(F.pow("_near", F.lit(power))))
-    g = d.groupBy("rig_id", "y", "x").agg(F.array_sort(F.collect_set(F.when(F.col("w") > 0, F.struct("ord", "bone_id", "w")))).alias("_in"), F.min(F.struct("dist", "ord", "bone_id"))["bone_id"].alias("_first"))
-    g = g.withColumn("_total", F.aggregate("_in", F.lit(0.0), lambda s, o: s + o["w"]))
-    each = F.when(F.size("_in") > 0, F.transform("_in", lambda o: F.struct(o["bone_id"].alias("bone_id"), (o["w"] / F.col("_total")).alias("w")))).otherwise(F.array(F.struct(F.col("_first").alias("bone_id"), F.lit(1.0).alias("w"))))
-    return g.select("rig_id", "y", "x", F.explode(each).alias("o")).select("rig_id", "y", "x", "o.bone_id", "o.w")
+    point = Window.partitionBy("rig_id", "cy", "cx", "y", "x")
+    d = d.withColumns({"_total": F.sum("w").over(point), "_first": F.min(F.struct("dist", "ord")).over(point)})
+    orphan = (F.col("_total") <= 0) & (F.col("dist") == F.col("_first.dist")) & (F.col("ord") == F.col("_first.ord"))
+    return d.where((F.col("w") > 0) | orphan).select("rig_id", "y", "x", "bone_id", F.when(F.col("_total") > 0, F.col("w") / F.col("_total")).otherwise(1.0).alias("w"))
 
 
 def grid_points(rigs: DataFrame) -> DataFrame:
@@ -395,7 +400,7 @@ def nearest_bone(points: DataFrame, bones: DataFrame, radius: float) -> DataFram
     to = lambda px, py: F.sqrt((x - F.col(px)) * (x - F.col(px)) + (y - F.col(py)) * (y - F.col(py)))
     of = (("head", to("hx", "hy")), ("tail", to("tx", "ty")), ("body", segment_distance(x, y)))
     part = F.least(*(F.struct(dist.alias("dist"), F.col("ord"), F.lit(k).alias("k"), F.lit(name).alias("part"), F.col("bone_id")) for k, (name, dist) in enumerate(of)))
-    near = d.groupBy("rig_id", "y", "x").agg(F.min(part).alias("p"))
+    near = d.groupBy("rig_id", "cy", "cx", "y", "x").agg(F.min(part).alias("p"))
     return near.where(F.col("p.dist") <= radius).select("rig_id", "y", "x", "p.bone_id", "p.part", "p.dist")
 
 
