@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts of characters that both expressions class alike; it runs three times as fast.
 PLAIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Words that a worker keeps; words of a trie; bytes of the longest word that goes into one.
-KEPT, TRIE_WORDS, TRIE_BYTES = 400_000, 50_000, 256
+KEPT, TRIE_WORDS, TRIE_BYTES = 1_000_000, 50_000, 256
 
 #: (ids as ",1,2", their number, decoded bytes) of a word.
 Part = tuple[bytes, int, bytes]
