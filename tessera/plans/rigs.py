@@ -14,6 +14,8 @@ from ..sources.fixtures import oracle
 from .frames import CLIPS, DENSE, OVER_COLS, OVER_SQL, hit, mmask, mo, px, ranges_sql, stats, stats_sql
 
 SIZE, FRAMES, FPS = 64, 48, 24.0
+#: Frames of the suppliers' rigs.
+CREW_FRAMES = 13
 
 
 def rigs_of(spark, d):
@@ -60,11 +62,11 @@ fc as (select rig_id, bone_id, parent_id ancestor_id from fb where parent_id is
 CLOSURE = ", cl as (select rig_id, bone_id, parent_id ancestor_id, 1 depth from bones where parent_id is not null union all select c.rig_id, c.bone_id, b.parent_id, depth + 1 from cl c join bones b on b.rig_id = c.rig_id and b.bone_id = c.ancestor_id where b.parent_id is not null)"
 
 
-def posed_sql() -> str:
-    """Poses at every frame; keyframes are at 0, 12, 24 and 36."""
+def posed_sql(frames: int = FRAMES, last: int = 36) -> str:
+    """Poses at every frame; keyframes are at 0, 12 and so on up to ``last``."""
     get = lambda t, c: f"coalesce({t}.{c}, 0)"
-    return f""", fr as (select rig_id, f::int frame, (least(f, 36) // 12 * 12)::int lo, least(36, f // 12 * 12 + 12) hi from rigs, (select unnest(range(0, 48)) f)),
-po as (select fr.rig_id, fr.frame, b.bone_id, {", ".join(f"{get('p', c)} + ({get('q', c)} - {get('p', c)}) * case when hi > lo then (least(fr.frame, 36) - lo) / (hi - lo)::double else 0 end {c}" for c in ("rot", "tx", "ty"))}
+    return f""", fr as (select rig_id, f::int frame, (least(f, {last}) // 12 * 12)::int lo, least({last}, f // 12 * 12 + 12) hi from rigs, (select unnest(range(0, {frames})) f)),
+po as (select fr.rig_id, fr.frame, b.bone_id, {", ".join(f"{get('p', c)} + ({get('q', c)} - {get('p', c)}) * case when hi > lo then (least(fr.frame, {last}) - lo) / (hi - lo)::double else 0 end {c}" for c in ("rot", "tx", "ty"))}
 from fr join bones b using (rig_id) left join keyframes p on p.rig_id = fr.rig_id and p.frame = fr.lo and p.bone_id = b.bone_id left join keyframes q on q.rig_id = fr.rig_id and q.frame = fr.hi and q.bone_id = b.bone_id)"""
 
 
@@ -119,9 +121,9 @@ def resized_sql(name: str, source: str, n: int, to: int, columns: str) -> str:
 {name} as materialized (select s.clip_id, 0 frame, ay.t::int y, ax.t::int x, {cols} from {source} s join {name}_ax ax on ax.p = s.x join {name}_ax ay on ay.p = s.y group by 1, 2, 3, 4)"""
 
 
-def little_sql(iters: int) -> str:
+def little_sql(iters: int, rigs: str = RIGS, frames: int = FRAMES, last: int = 36) -> str:
     """``mp``: the backward map of the 16x16 canvases, and ``shown``, the still at its places."""
-    out = RIGS + posed_sql() + WORLD + WEIGHTS.replace("range(0, 64)", "range(0, 16)")
+    out = rigs + posed_sql(frames, last) + WORLD + WEIGHTS.replace("range(0, 64)", "range(0, 16)")
     out += ", fi as materialized (select rig_id, frame, y, x, " + ", ".join(f"sum(w * {k}) {k}" for k in "abcdef") + " from wt join wo using (rig_id, bone_id) group by 1, 2, 3, 4), e0 as (select rig_id, frame, y, x, y::double sy, x::double sx from fi)"
     near = lambda c: f"least(15, greatest(0, round_even(round(e.{c}, 6), 0)))::int"
     for k in range(iters):
@@ -139,8 +141,25 @@ def small_oracle(body: str) -> str:
     return f"with recursive whole as ({X.SQL['bones']}), bones as (select rig_id, bone_id, ord, parent_id, {scaled}, falloff from whole), keyframes as ({X.SQL['keyframes']})" + body
 
 
+def crew_oracle(iters: int, body: str) -> str:
+    """``body`` over the backward map of the rigs of ``crew``."""
+    tables = """with recursive bones as (select s_suppkey::bigint rig_id, 'body' bone_id, 0 ord, cast(null as varchar) parent_id, 8.0::double hx, 14.0::double hy, 8.0::double tx, 9.0::double ty, 5.5::double + s_suppkey % 4 radius, 'smooth' falloff from supplier
+union all select s_suppkey, 'arm', 1, 'body', 8.0, 9.0, 3.0::double + s_suppkey % 10, 2.0::double + s_suppkey % 5, 3.3::double + s_suppkey % 3, case s_suppkey % 3 when 0 then 'smooth' when 1 then 'linear' else 'hard' end from supplier),
+keyframes as (select s_suppkey::bigint rig_id, f frame, bone_id, ((s_suppkey * 13 + f * 5) % 21 - 10) / 20.0::double rot, ((s_suppkey + f) % 3 - 1)::double tx, ((s_suppkey + 2 * f + 1) % 3 - 1)::double ty from supplier, (select unnest([0, 12]) f), (select unnest(['arm', 'body']) bone_id) where bone_id = 'arm' or s_suppkey % 2 = 0)"""
+    return tables + little_sql(iters, ", rigs as (select s_suppkey::bigint rig_id from supplier)", CREW_FRAMES, 12) + body
+
+
 #: ``swept``: where the moved still is and the resting one isn't.
 SWEPT = ", swept as materialized (select distinct clip_id, y, x from shown where a > 127 except select clip_id, y, x from st where a > 127)"
+SHEETS_SQL = """with m as (select s_suppkey::bigint rig_id, greatest(2, ceil((40 + s_suppkey * 37 % 160) / 10.0)::int + 1) c, greatest(2, ceil((30 + s_suppkey * 53 % 90) / 10.0)::int + 1) r from supplier),
+q as (select rig_id, c, i * c + j p, (i * (c - 1) + j) * 2 t from m, lateral (select unnest(range(0, r - 1)) i), lateral (select unnest(range(0, c - 1)) j)),
+tr as (select rig_id, t, p v0, p + 1 v1, p + c + 1 v2 from q union all select rig_id, t + 1, p, p + c + 1, p + c from q)
+select rig_id, count(*) n, sum(t * (v0 + v1 * 3 + v2 * 7))::bigint places from tr group by 1"""
+MAP_SQL = " select rig_id, frame, y, x, round(sy, 4) + 0 sy, round(sx, 4) + 0 sx from mp"
+DEFORM_SQL = ", pl as (select clip_id, frame, y, x, 90 b2, x * 5 g2, 30 r2, 255 a2 from shown)" + stats_sql(OVER_SQL.format(cols=OVER_COLS, fg="shown", bg="pl"), *"bgra")
+FOOTPRINT_SQL = SWEPT + " select clip_id, count(*) n from swept group by 1"
+PATCH_SQL = SWEPT + ", pl as materialized (select clip_id, 0 frame, y, x, 90 b, x * 5 g, 30 r, 255 a from st), todo as materialized (select clip_id, 0 frame, y, x from swept)" + filled_sql("pl", "todo", 5, 12) + """, bare as (select clip_id, y, x from pl anti join todo using (clip_id, y, x)), far as (select p.clip_id, p.y, p.x, min(sqrt(((p.y - q.y) ** 2 + (p.x - q.x) ** 2)::double)) d from todo p left join bare q using (clip_id) group by 1, 2, 3),
+gd as (select pl.clip_id, pl.y, pl.x, """ + ", ".join(f"coalesce(f.{c}, pl.{c}) {c}" for c in "bgr") + ", case when pl.y between 4 and 11 and pl.x between 4 and 11 then pl.x * 16 / 255.0::double else 0 end w from pl left join filled f using (clip_id, frame, y, x)) " + stats_sql("select gd.clip_id, 0 frame, gd.y, gd.x, " + ", ".join(f"cast(floor({c} * (1 - w) + {v} * w) as int) {c}" for c, v in zip("bgr", (1, 2, 3), strict=True)) + ", case when d is null then 0 else floor(255 * least(1.0::double, greatest(0.0::double, (d - 1) / 2.0::double))) end::int a from gd left join (select clip_id, y, x, coalesce(d, 1e9) d from far) using (clip_id, y, x)", *"bgra")
 #: Of small plates: what is painted, each plate's band, and the ramp of the painted places.
 HEALED = """, sk as (select plate_id, stroke, x % 16 x, y % 16 y from strokes), sp as (select distinct plate_id, stroke, (y + dy)::int y, (x + dx)::int x from sk, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4 and y + dy between 0 and 15 and x + dx between 0 and 15),
 bx as (select plate_id, stroke, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from sp group by 1, 2), gr as (select plate_id, stroke, gy.y, gx.x from bx, lateral (select unnest(range(y0, y1 + 1)) y) gy, lateral (select unnest(range(x0, x1 + 1)) x) gx),
@@ -192,11 +211,14 @@ def _chunks(s, d):
     return e.select("job_id", "chunk_id", (k * 10 + F.when(k % 5 == 3, 2).otherwise(0)).alias("start_frame"), (k * 10 + 9 + F.when(k % 7 == 2, 4).otherwise(0)).alias("end_frame"))
 
 
-def still(s, d):
+def figure(rigs):
     """A resting figure a rig: 16x16, opaque in the middle."""
-    g = R.grid_points(_small(s, d))
     inner = "y between 5 and 10 and x between 5 and 10"
-    return g.select(F.col("rig_id").alias("clip_id"), "y", "x", (F.col("y") * 10).alias("b"), (F.col("x") * 10).alias("g"), (F.col("y") + F.col("x")).alias("r"), F.expr(f"case when {inner} then 255 else 0 end").alias("a"))
+    return R.grid_points(rigs).select(F.col("rig_id").alias("clip_id"), "y", "x", (F.col("y") * 10).alias("b"), (F.col("x") * 10).alias("g"), (F.col("y") + F.col("x")).alias("r"), F.expr(f"case when {inner} then 255 else 0 end").alias("a"))
+
+
+def still(s, d):
+    return figure(_small(s, d))
 
 
 def _small(s, d):
@@ -209,8 +231,12 @@ def _little(s, d):
     return b.withColumns({c: F.col(c) / 4 for c in ("hx", "hy", "tx", "ty", "radius")})
 
 
+def _ground(still):
+    return still.select("clip_id", F.lit(0).alias("frame"), "y", "x", F.lit(90).alias("b"), (F.col("x") * 5).alias("g"), F.lit(30).alias("r"), F.lit(255).alias("a"))
+
+
 def _plate(s, d):
-    return still(s, d).select("clip_id", F.lit(0).alias("frame"), "y", "x", F.lit(90).alias("b"), (F.col("x") * 5).alias("g"), F.lit(30).alias("r"), F.lit(255).alias("a"))
+    return _ground(still(s, d))
 
 
 def _strokes(s, d):
@@ -237,10 +263,54 @@ def _heal_box(s, d):
     return Y.heal_parts(_plates(s, d), _strokes(s, d), 2, 16, 16, 1)["bbox"].select("clip_id", "x", "y", "width", "height")
 
 
+def _middle(rigs):
+    """Corrections of each rig's middle."""
+    return R.grid_points(rigs).where("y between 4 and 11 and x between 4 and 11").select("rig_id", F.lit(1).alias("id"), "y", "x", (F.col("x") * 16).alias("al"), F.lit(1).alias("b"), F.lit(2).alias("g"), F.lit(3).alias("r"))
+
+
 def _patch(s, d):
     """The patch under corrections of each rig's middle."""
-    painted = R.grid_points(_small(s, d)).where("y between 4 and 11 and x between 4 and 11").select("rig_id", F.lit(1).alias("id"), "y", "x", (F.col("x") * 16).alias("al"), F.lit(1).alias("b"), F.lit(2).alias("g"), F.lit(3).alias("r"))
-    return stats(Y.build_patch(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d), _plate(s, d), 2, 5, painted))
+    return stats(Y.build_patch(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d), _plate(s, d), 2, 5, _middle(_small(s, d))))
+
+
+def crew(s, d):
+    """(rigs, bones, keyframes, frames) of a rig a supplier: an arm on a body, 16x16, thirteen frames."""
+    t = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("rig_id"))
+    rigs = t.select("rig_id", F.lit(1).alias("schema_version"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.lit(CREW_FRAMES).alias("frames"), F.lit(FPS).alias("fps"))
+    body = "struct('body' bone_id, 0 ord, cast(null as string) parent_id, 8.0D hx, 14.0D hy, 8.0D tx, 9.0D ty, 5.5D + rig_id % 4 radius, 'smooth' falloff)"
+    arm = "struct('arm' bone_id, 1 ord, 'body' parent_id, 8.0D hx, 9.0D hy, 3.0D + rig_id % 10 tx, 2.0D + rig_id % 5 ty, 3.3D + rig_id % 3 radius, case rig_id % 3 when 0 then 'smooth' when 1 then 'linear' else 'hard' end falloff)"
+    k = t.select("rig_id", F.explode(F.array(*map(F.lit, (0, 12)))).alias("frame")).select("*", F.explode(F.array(F.lit("arm"), F.lit("body"))).alias("bone_id")).where("bone_id = 'arm' or rig_id % 2 = 0")
+    keyframes = k.select("rig_id", "frame", "bone_id", F.expr("((rig_id * 13 + frame * 5) % 21 - 10) / 20.0D").alias("rot"), F.expr("cast((rig_id + frame) % 3 - 1 as double)").alias("tx"), F.expr("cast((rig_id + 2 * frame + 1) % 3 - 1 as double)").alias("ty"))
+    return rigs, t.selectExpr("rig_id", f"inline(array({body}, {arm}))"), keyframes, rigs.select("rig_id", upto(F.col("frames")).alias("frame"))
+
+
+def _crew_map(s, d):
+    rigs, bones, keyframes, frames = crew(s, d)
+    world = R.bone_world(bones, R.interpolate_poses(keyframes, bones, frames))
+    return rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(rigs), bones), world), 3), "sy", "sx", digits=4)
+
+
+def _crew_deform(s, d):
+    rigs, bones, keyframes, frames = crew(s, d)
+    resting = figure(rigs)
+    return stats(R.deform(resting, rigs, bones, keyframes, frames, _ground(resting).drop("frame"), 3))
+
+
+def _crew_footprints(s, d):
+    rigs, bones, keyframes, frames = crew(s, d)
+    return R.footprint_union(figure(rigs), rigs, bones, keyframes, frames).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _crew_patch(s, d):
+    rigs, bones, keyframes, frames = crew(s, d)
+    resting = figure(rigs)
+    return stats(Y.build_patch(resting, rigs, bones, keyframes, frames, _ground(resting), 2, 5, _middle(rigs)))
+
+
+def _sheets(s, d):
+    """A canvas a supplier, each of its own size."""
+    k = F.col("s_suppkey")
+    return s.read.parquet(f"{d}/supplier.parquet").select(k.cast("bigint").alias("rig_id"), (40 + k * 37 % 160).cast("int").alias("width"), (30 + k * 53 % 90).cast("int").alias("height"))
 
 
 def _stored(p):
@@ -287,9 +357,14 @@ QUERIES = {
     "h10_bone_weights": (lambda s, d: rounded(R.bone_weights(points(s, d), X.bones(s, d)), "w"), oracle(RIGS + WEIGHTS + " select rig_id, y, x, bone_id, round(w, 6) w from wt", "bones")),
     "h11_grid_mesh_vertices": (lambda s, d: rounded(R.grid_mesh(rigs_of(s, d), 10)[0], "x", "y"), oracle(RIGS + " select rig_id, (i * 8 + j)::int v, round(j * 63 / 7.0::double, 6) x, round(i * 63 / 7.0::double, 6) y from rigs, (select unnest(range(0, 8)) i), (select unnest(range(0, 8)) j)", "bones")),
     "h11_grid_mesh_triangles": (lambda s, d: R.grid_mesh(rigs_of(s, d), 10)[1], oracle(RIGS + ", q as (select rig_id, i, j, i * 8 + j p from rigs, (select unnest(range(0, 7)) i), (select unnest(range(0, 7)) j)) select rig_id, ((i * 7 + j) * 2)::int t, p::int v0, (p + 1)::int v1, (p + 9)::int v2 from q union all select rig_id, ((i * 7 + j) * 2 + 1)::int, p::int, (p + 9)::int, (p + 8)::int from q", "bones")),
-    "h12_backward_map": (lambda s, d: rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(_small(s, d)), _little(s, d)), R.bone_world(_little(s, d), R.interpolate_poses(X.keyframes(s, d), _little(s, d), frames_of(s, d)))), 3), "sy", "sx", digits=4), small_oracle(little_sql(3) + " select rig_id, frame, y, x, round(sy, 4) + 0 sy, round(sx, 4) + 0 sx from mp")),
-    "h14_deform": (_deform, small_oracle(little_sql(3) + ", pl as (select clip_id, frame, y, x, 90 b2, x * 5 g2, 30 r2, 255 a2 from shown)" + stats_sql(OVER_SQL.format(cols=OVER_COLS, fg="shown", bg="pl"), *"bgra"))),
-    "h15_footprint_union": (lambda s, d: R.footprint_union(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), small_oracle(little_sql(5) + SWEPT + " select clip_id, count(*) n from swept group by 1")),
+    "h12_backward_map": (lambda s, d: rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(_small(s, d)), _little(s, d)), R.bone_world(_little(s, d), R.interpolate_poses(X.keyframes(s, d), _little(s, d), frames_of(s, d)))), 3), "sy", "sx", digits=4), small_oracle(little_sql(3) + MAP_SQL)),
+    "h14_deform": (_deform, small_oracle(little_sql(3) + DEFORM_SQL)),
+    "h15_footprint_union": (lambda s, d: R.footprint_union(still(s, d), _small(s, d), _little(s, d), X.keyframes(s, d), frames_of(s, d)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), small_oracle(little_sql(5) + FOOTPRINT_SQL)),
+    "h11_supplier_mesh": (lambda s, d: R.grid_mesh(_sheets(s, d), 10)[1].groupBy("rig_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast("bigint") * (F.col("v0") + F.col("v1") * 3 + F.col("v2") * 7)).alias("places")), SHEETS_SQL),
+    "h12_supplier_map": (_crew_map, crew_oracle(3, MAP_SQL)),
+    "h14_supplier_deform": (_crew_deform, crew_oracle(3, DEFORM_SQL)),
+    "h15_supplier_footprints": (_crew_footprints, crew_oracle(5, FOOTPRINT_SQL)),
+    "i10_supplier_patch": (_crew_patch, crew_oracle(5, PATCH_SQL)),
     "h16_skin_points": (lambda s, d: rounded(R.skin_points(points(s, d), R.bone_weights(points(s, d), X.bones(s, d)), R.bone_world(X.bones(s, d), posed(s, d))), "nx", "ny", digits=5), oracle(RIGS + posed_sql() + WORLD + WEIGHTS + " select rig_id, frame, y, x, round(sum(w * (a * x + b * y + c)), 5) nx, round(sum(w * (d * x + e * y + f)), 5) ny from wt join wo using (rig_id, bone_id) group by 1, 2, 3, 4", "bones", "keyframes")),
     "h17_pose_curves": (lambda s, d: rounded(R.pose_curves(rigs_of(s, d), X.bones(s, d), X.keyframes(s, d)), "value", "velocity", "normalised", "x", digits=5), oracle(RIGS + posed_sql() + ", cu as (select rig_id, bone_id, frame, rot v, lead(rot) over (partition by rig_id, bone_id order by frame) nx, min(rot) over (partition by rig_id, bone_id) lo, max(rot) over (partition by rig_id, bone_id) hi from po) select rig_id, bone_id, frame, round(v, 5) + 0 as value, round((nx - v) * 24, 5) + 0 velocity, round(case when hi - lo < 1e-9 then 50 else 100 - (v - lo) / (hi - lo) * 100 end, 5) normalised, round(frame / 47.0::double * 1000, 5) x from cu", "bones", "keyframes")),
     "h18_bone_tree": (rb(lambda b, k: R.bone_tree(b)), oracle(", tr as (select rig_id, bone_id, 0 depth, [ord] path from bones where parent_id is null union all select b.rig_id, b.bone_id, depth + 1, list_append(path, b.ord) from tr join bones b on b.rig_id = tr.rig_id and b.parent_id = tr.bone_id) select rig_id, bone_id, depth, row_number() over (partition by rig_id order by path)::int position from tr", "bones")),
@@ -313,8 +388,7 @@ QUERIES = {
     "i8_heal_box": (_heal_box, oracle(", sp as (select distinct plate_id, (y % 16 + dy)::int y, (x % 16 + dx)::int x from strokes, (select unnest(range(-2, 3)) dy), (select unnest(range(-2, 3)) dx) where dy * dy + dx * dx <= 4) select plate_id clip_id, min(x) x, min(y) y, max(x) - min(x) + 1 width, max(y) - min(y) + 1 height from sp where y between 0 and 15 and x between 0 and 15 group by 1", "strokes")),
     "i9_apply_corrections": (_corrected, oracle(LOADED + """, pc as (select rig_id, id, y, x, floor(255 * least(1.0::double, (least(x - x0 + 1, x1 - x, y - y0 + 1, y1 - y) - 1) / band::double))::int al from (select lc.*, gy.y, gx.x from lc, lateral (select unnest(range(y0, y1)) y) gy, lateral (select unnest(range(x0, x1)) x) gx)),
         nm as (select *, row_number() over (partition by rig_id, y, x order by id) k, count(*) over (partition by rig_id, y, x) n from pc), st as (select rig_id, y, x, 0 k, 200 b, 100 g, 50 r from nm where k = 1 union all select st.rig_id, st.y, st.x, st.k + 1, """ + ", ".join(f"floor(st.{c} * (1 - al / 255.0::double) + (nm.id * {v} % 256) * (al / 255.0::double))::int" for c, v in zip("bgr", (3, 5, 7), strict=True)) + " from st join nm on nm.rig_id = st.rig_id and nm.y = st.y and nm.x = st.x and nm.k = st.k + 1) select rig_id, count(*) n, " + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgr") + " from (select st.* from st join (select rig_id, y, x, max(n) n from nm group by 1, 2, 3) m on m.rig_id = st.rig_id and m.y = st.y and m.x = st.x and m.n = st.k) group by 1", "corrections")),
-    "i10_build_patch": (_patch, small_oracle(little_sql(5) + SWEPT + ", pl as materialized (select clip_id, 0 frame, y, x, 90 b, x * 5 g, 30 r, 255 a from st), todo as materialized (select clip_id, 0 frame, y, x from swept)" + filled_sql("pl", "todo", 5, 12) + """, bare as (select clip_id, y, x from pl anti join todo using (clip_id, y, x)), far as (select p.clip_id, p.y, p.x, min(sqrt(((p.y - q.y) ** 2 + (p.x - q.x) ** 2)::double)) d from todo p left join bare q using (clip_id) group by 1, 2, 3),
-        gd as (select pl.clip_id, pl.y, pl.x, """ + ", ".join(f"coalesce(f.{c}, pl.{c}) {c}" for c in "bgr") + ", case when pl.y between 4 and 11 and pl.x between 4 and 11 then pl.x * 16 / 255.0::double else 0 end w from pl left join filled f using (clip_id, frame, y, x)) " + stats_sql("select gd.clip_id, 0 frame, gd.y, gd.x, " + ", ".join(f"cast(floor({c} * (1 - w) + {v} * w) as int) {c}" for c, v in zip("bgr", (1, 2, 3), strict=True)) + ", case when d is null then 0 else floor(255 * least(1.0::double, greatest(0.0::double, (d - 1) / 2.0::double))) end::int a from gd left join (select clip_id, y, x, coalesce(d, 1e9) d from far) using (clip_id, y, x)", *"bgra"))),
+    "i10_build_patch": (_patch, small_oracle(little_sql(5) + PATCH_SQL)),
     "i11_content_fingerprint": (rb(lambda b, k: Y.content_fingerprint(b, ["rig_id"], ["ord"], ["bone_id", "parent_id", "falloff"])), oracle("select rig_id, sha1(string_agg(bone_id || ',' || coalesce(parent_id, '~') || ',' || falloff, ';' order by ord)) fingerprint from bones group by 1", "bones")),
     "i11_layer_fingerprint": (px(lambda p: Y.content_fingerprint(p, ["clip_id"], ["frame", "y", "x"], ["b", "g", "r", "a"], 256)), oracle(", ln as (select clip_id, row_number() over (partition by clip_id order by frame, y, x) - 1 p, concat_ws(',', b, g, r, a) l from pixels), l0 as (select clip_id, p // 256 p, sha1(string_agg(l, ';' order by p)) l from ln group by 1, p // 256)" + "".join(f", l{k + 1} as (select clip_id, p // 256 p, case when max(n) = 1 then min(l) else sha1(string_agg(l, ';' order by p)) end l from (select *, count(*) over (partition by clip_id) n from l{k}) group by clip_id, p // 256)" for k in range(3)) + " select clip_id, l fingerprint from l3", "pixels")),
     "i12_stale_artifacts": (lambda s, d: Y.stale_artifacts(_prints(s, d, 0), _prints(s, d, 3)), "select s_suppkey rig_id, (s_suppkey % 4)::varchar fingerprint from supplier where s_suppkey % 3 = 0 or s_suppkey % 4 <> s_suppkey % 2"),

@@ -33,6 +33,13 @@ def _written(s, d):
     return stats(O.read_pixels(s, path, [2, 3]).where("frame between 10 and 30"))
 
 
+def _range(s, d):
+    """Each clip's frames 25 to 34, from a table in chunks of 20."""
+    path = f"{shared_dir(s)}/frames-{uuid.uuid4().hex}"
+    O.write_pixels(X.pixels(s, d), path, 20)
+    return stats(O.read_pixels(s, path, frames=(25, 34), chunk_frames=20))
+
+
 def _formats(s, d):
     p = s.read.parquet(f"{d}/part.parquet").select("p_partkey")
     k = F.col("p_partkey")
@@ -176,6 +183,7 @@ QUERIES = {
     "a7_corrections_kept": (lambda s, d: Y.load_corrections(_faulty_corrections(s, d), SIZE, SIZE, strict=False), oracle(LOADED + " select * from lc where id % 7 > 0 and id % 11 > 0 and id % 13 > 0", "corrections")),
     "a5_read_rigs_keyframes": (lambda s, d: _documents(s, d)[2], oracle("select rig_id::varchar rig_id, frame, bone_id, rot, tx, ty from keyframes", "keyframes")),
     "a6_read_strokes": (_strokes_read, oracle("select plate_id, (row_number() over (partition by plate_id order by stroke) - 1)::int stroke, 0 pt, x::double x, y::double y, radius from strokes", "strokes")),
+    "a1_read_range": (_range, oracle(stats_sql("select * from pixels where frame between 25 and 34", *"bgra"), "pixels")),
     "a3_write_read_pixels": (_written, oracle(stats_sql("select * from pixels where clip_id in (2, 3) and frame between 10 and 30", *"bgra"), "pixels")),
     "a9_probe": (lambda s, d: O.probe(X.pixels(s, d), _meta(s, d)).select("clip_id", "width", "height", F.round("fps", 6).alias("fps"), "total_frames", F.round("duration_s", 6).alias("duration_s"), "has_alpha"), oracle(""", p as (select clip_id, max(x) + 1 width, max(y) + 1 height, count(distinct frame) n, bool_or(a < 255) has_alpha from pixels group by 1),
         q as (select *, case when clip_id % 3 = 0 then 30000 / 1001.0::double when clip_id % 4 < 3 then 25.0 else 0.0 end::double fps from p), t as (select *, case when clip_id % 2 = 0 and clip_id > 0 then clip_id * 7 when clip_id % 5 < 3 and fps > 0 then round_even(2.5 * fps, 0) else n end::int total_frames from q)

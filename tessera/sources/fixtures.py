@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Vector ids to a block of frames.
+IDS = 1 << 16
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,19 +20,38 @@ def _int(c: Column) -> Column:
     return c.cast("int")
 
 
+def placed(rows: DataFrame, by: str, block: Column, *order: str) -> DataFrame:
+    """``rows`` with ``place``, each row's place from 0 among those of the same ``by``, in that order.
+
+    ``block`` must rise with the order. Each block is sorted by itself, and the counts of the
+    blocks before it are added, so a group that holds most rows is spread over many tasks.
+    Rows without ``by`` are left out.
+    """
+    rows = rows.withColumn("_block", block)
+    counts = rows.groupBy(by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(by, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(by, "_block").orderBy(*order)) - 1
+    return rows.join(offsets, [by, "_block"]).withColumn("place", _int(within + F.col("_before"))).drop("_block", "_before")
+
+
+def _by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their place among their user's, in order of time; blocks are weeks."""
+    return placed(_table(spark, sf_dir, "events"), "user_id", F.date_trunc("week", "ts"), "ts", "event_id")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 frames from vectors of 64 values; a clip per label."""
     level = lambda k: _int(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("e")[(F.col("i") + k) % 64].cast("double") + 0.6) / 1.2 * 255))))
-    order = Window.partitionBy("label").orderBy("vec_id")
-    f = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), _int(F.row_number().over(order) - 1).alias("frame"), F.col("embedding").alias("e"))
+    f = placed(_table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", F.floor(F.col("vec_id") / IDS), "vec_id")
+    f = f.select(F.col("label").alias("clip_id"), F.col("place").alias("frame"), F.col("embedding").alias("e"))
     p = f.select("clip_id", "frame", "e", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     return p.select("clip_id", "frame", _int(F.floor(F.col("i") / 8)).alias("y"), _int(F.col("i") % 8).alias("x"), level(0).alias("b"), level(21).alias("g"), level(42).alias("r"), F.lit(255).alias("a"))
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value per clip and frame; a clip per user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), _int(F.row_number().over(order) - 1).alias("frame"), "value")
+    return _by_time(spark, sf_dir).select(F.col("user_id").alias("clip_id"), F.col("place").alias("frame"), "value")
 
 
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +103,8 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of chunk attempts: about four a chunk, a job per user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), _int(F.floor((F.row_number().over(order) - 1) / 4)).alias("chunk_id"), F.concat(F.lit("player-"), (F.col("event_id") % 4).cast("string")).alias("player_id"), "event_id", "ts",
+    return _by_time(spark, sf_dir).select(
+        F.col("user_id").alias("job_id"), _int(F.floor(F.col("place") / 4)).alias("chunk_id"), F.concat(F.lit("player-"), (F.col("event_id") % 4).cast("string")).alias("player_id"), "event_id", "ts",
         F.when(F.col("event_type").isin("error", "signup"), "failed").otherwise("ok").alias("result"),
     )
 

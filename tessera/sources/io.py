@@ -22,8 +22,12 @@ RIG = (
 )
 
 
-def read_pixels(spark: SparkSession, path: str, clip_ids: list[int] | None = None) -> DataFrame:
-    """The pixel table at ``path``; one channel (``v``) is copied to b, g, r, a missing alpha is 255."""
+def read_pixels(spark: SparkSession, path: str, clip_ids: list[int] | None = None, frames: tuple[int, int] | None = None, chunk_frames: int | None = None) -> DataFrame:
+    """The pixel table at ``path``; one channel (``v``) is copied to b, g, r, a missing alpha is 255.
+
+    Of ``clip_ids`` only, and of the frames from ``frames``' first to its last. With the
+    ``chunk_frames`` that ``write_pixels`` wrote the table with, folders of other chunks aren't read.
+    """
     df = spark.read.parquet(path)
     if "v" in df.columns and "b" not in df.columns:
         df = df.withColumns({c: F.col("v") for c in CHANNELS})
@@ -31,6 +35,10 @@ def read_pixels(spark: SparkSession, path: str, clip_ids: list[int] | None = Non
         raise ValueError("frames need one, three or four channels")
     if "a" not in df.columns:
         df = df.withColumn("a", F.lit(255))
+    if frames is not None:
+        if chunk_frames:
+            df = df.where(F.col("chunk").between(*(f // chunk_frames for f in frames)))
+        df = df.where(F.col("frame").between(*frames))
     df = df.select("clip_id", "frame", "y", "x", *CHANNELS, "a")
     return df if clip_ids is None else df.where(F.col("clip_id").isin(clip_ids))
 

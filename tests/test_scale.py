@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import layers as Y
 from tessera.operators import rigs as R
 from tessera.operators import segment as S
+from tessera.sources import fixtures, io
 from tessera.sources import shared
 from tessera.streaming import streams as K
 
@@ -253,3 +254,25 @@ def test_motion_of_sparse_tiles(spark, tmp_path):
         spark.createDataFrame([r for r in rows if r[1] // 4 == k][::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = K.run_available(K.stream_motion(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))))
     assert {(r["y"], r["x"]): r["frame"] for r in got.collect()} == want
+
+
+def test_ranges_of_frames_prune_folders_and_columns(spark, tmp_path):
+    frames = spark.range(3).selectExpr("id clip_id").selectExpr("clip_id", "explode(sequence(0, 49)) frame").selectExpr("clip_id", "frame", "explode(sequence(0, 1)) y").selectExpr("clip_id", "frame", "y", "0 x", "int(frame) b", "1 g", "2 r", "255 a")
+    path = f"{tmp_path}/frames"
+    io.write_pixels(frames, path, 10)
+    got = io.read_pixels(spark, path, [2], (12, 17), 10).select("clip_id", "frame", "y", "b")
+    assert {tuple(r) for r in got.collect()} == {(2, f, y, f) for f in range(12, 18) for y in (0, 1)}
+    assert all("/clip_id=2/chunk=1/" in r[0] for r in got.select(F.input_file_name()).distinct().collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
+    assert "clip_id" in filters and "chunk" in filters and "GreaterThanOrEqual(frame,12)" in plan
+    assert plan[plan.index("ReadSchema") :].split("struct<")[1].split(">")[0] == "frame:int,y:int,b:int"
+
+
+def test_places_in_a_group_that_holds_most_rows(spark):
+    rows = [(0 if k % 3 else k % 5, (k * 37) % 600) for k in range(600)] + [(None, 3), (7, -4)]
+    df = spark.createDataFrame(rows, "label int, id int")
+    got = fixtures.placed(df, "label", F.floor(F.col("id") / 16), "id")
+    want = sorted((g, i, n) for g in {r[0] for r in rows} - {None} for n, i in enumerate(sorted(i for h, i in rows if h == g)))
+    assert sorted(tuple(r) for r in got.select("label", "id", "place").collect()) == want
+    assert fixtures.placed(df.limit(0), "label", F.floor(F.col("id") / 16), "id").count() == 0
