@@ -77,9 +77,12 @@ def trim(df: DataFrame, fps: float, start: float = 0.0, end: float | None = None
 
 
 def reindex(df: DataFrame, index: DataFrame) -> DataFrame:
-    """The frames that ``index`` (clip_id, out_frame, src_frame) names, under their new numbers."""
+    """The frames that ``index`` (clip_id, out_frame, src_frame) names, under their new numbers.
+
+    An index is exploded from a row a clip, which is the size that a planner sees, so it is never broadcast.
+    """
     rest = [c for c in df.columns if c not in ("clip_id", "frame")]
-    i = index.select("clip_id", F.col("src_frame").alias("frame"), "out_frame")
+    i = index.select("clip_id", F.col("src_frame").alias("frame"), "out_frame").hint("merge")
     return df.join(i, ["clip_id", "frame"]).select("clip_id", F.col("out_frame").cast("int").alias("frame"), *rest)
 
 
