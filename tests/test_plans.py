@@ -22,6 +22,6 @@ def exploded_broadcasts(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["f5_retime_repeat", "g1_pingpong", "g2_reverse_loop", "g6_speedramp_slow"])
+@pytest.mark.parametrize("name", ["f5_retime_repeat", "g1_pingpong", "g2_reverse_loop", "g6_speedramp_slow", "g1_pingpong_until"])
 def test_exploded_sides_are_not_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(Q.queries()[name](spark, sf_dir)) == 0
