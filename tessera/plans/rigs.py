@@ -135,6 +135,14 @@ shown as materialized (select q.rig_id clip_id, q.frame, q.y, q.x, {cols} from (
 left join st s on s.clip_id = q.rig_id and s.y = q.py and s.x = q.px group by 1, 2, 3, 4)"""
 
 
+def tree_sql(by: str, chunk: int, levels: int) -> str:
+    """Each group's fingerprint: digests of ``chunk`` lines of ``ln`` (``by``, p, l), then of as many digests, ``levels`` times at most."""
+    out = f", l0 as (select {by}, p // {chunk} p, sha1(string_agg(l, ';' order by p)) l from ln group by {by}, p // {chunk})"
+    for k in range(levels):
+        out += f", l{k + 1} as (select {by}, p // {chunk} p, case when max(n) = 1 then min(l) else sha1(string_agg(l, ';' order by p)) end l from (select *, count(*) over (partition by {by}) n from l{k}) group by {by}, p // {chunk})"
+    return out + f" select {by}, l fingerprint from l{levels}"
+
+
 def small_oracle(body: str) -> str:
     """``body`` over the rigs whose bones are scaled to the small canvas."""
     scaled = ", ".join(f"{c} / 4 {c}" for c in ("hx", "hy", "tx", "ty", "radius"))
@@ -389,7 +397,7 @@ QUERIES = {
     "i9_apply_corrections": (_corrected, oracle(LOADED + """, pc as (select rig_id, id, y, x, floor(255 * least(1.0::double, (least(x - x0 + 1, x1 - x, y - y0 + 1, y1 - y) - 1) / band::double))::int al from (select lc.*, gy.y, gx.x from lc, lateral (select unnest(range(y0, y1)) y) gy, lateral (select unnest(range(x0, x1)) x) gx)),
         nm as (select *, row_number() over (partition by rig_id, y, x order by id) k, count(*) over (partition by rig_id, y, x) n from pc), st as (select rig_id, y, x, 0 k, 200 b, 100 g, 50 r from nm where k = 1 union all select st.rig_id, st.y, st.x, st.k + 1, """ + ", ".join(f"floor(st.{c} * (1 - al / 255.0::double) + (nm.id * {v} % 256) * (al / 255.0::double))::int" for c, v in zip("bgr", (3, 5, 7), strict=True)) + " from st join nm on nm.rig_id = st.rig_id and nm.y = st.y and nm.x = st.x and nm.k = st.k + 1) select rig_id, count(*) n, " + ", ".join(f"sum({c} * (y * 67 + x + 1))::bigint s_{c}" for c in "bgr") + " from (select st.* from st join (select rig_id, y, x, max(n) n from nm group by 1, 2, 3) m on m.rig_id = st.rig_id and m.y = st.y and m.x = st.x and m.n = st.k) group by 1", "corrections")),
     "i10_build_patch": (_patch, small_oracle(little_sql(5) + PATCH_SQL)),
-    "i11_content_fingerprint": (rb(lambda b, k: Y.content_fingerprint(b, ["rig_id"], ["ord"], ["bone_id", "parent_id", "falloff"])), oracle("select rig_id, sha1(string_agg(bone_id || ',' || coalesce(parent_id, '~') || ',' || falloff, ';' order by ord)) fingerprint from bones group by 1", "bones")),
+    "i11_content_fingerprint": (rb(lambda b, k: Y.content_fingerprint(b, ["rig_id"], ["ord"], ["bone_id", "parent_id", "falloff"])), oracle(", ln as (select rig_id, row_number() over (partition by rig_id order by ord, l) - 1 p, l from (select rig_id, ord, bone_id || ',' || coalesce(parent_id, '~') || ',' || falloff l from bones))" + tree_sql("rig_id", Y.CHUNK, 3), "bones")),
     "i11_layer_fingerprint": (px(lambda p: Y.content_fingerprint(p, ["clip_id"], ["frame", "y", "x"], ["b", "g", "r", "a"], 256)), oracle(", ln as (select clip_id, row_number() over (partition by clip_id order by frame, y, x) - 1 p, concat_ws(',', b, g, r, a) l from pixels), l0 as (select clip_id, p // 256 p, sha1(string_agg(l, ';' order by p)) l from ln group by 1, p // 256)" + "".join(f", l{k + 1} as (select clip_id, p // 256 p, case when max(n) = 1 then min(l) else sha1(string_agg(l, ';' order by p)) end l from (select *, count(*) over (partition by clip_id) n from l{k}) group by clip_id, p // 256)" for k in range(3)) + " select clip_id, l fingerprint from l3", "pixels")),
     "i12_stale_artifacts": (lambda s, d: Y.stale_artifacts(_prints(s, d, 0), _prints(s, d, 3)), "select s_suppkey rig_id, (s_suppkey % 4)::varchar fingerprint from supplier where s_suppkey % 3 = 0 or s_suppkey % 4 <> s_suppkey % 2"),
     "i13_resolve_layers": (px(lambda p: stats(Y.resolve_layers(_stored(p), p, _layered(p)))), oracle(", whole as (select * from pixels), rest as (select * from pixels where clip_id % 2 = 1 and clip_id % 5 < 4 and clip_id % 7 < 6)" + CLIPS.replace("from pixels", "from rest") + ranges_sql().replace("from pixels p", "from rest p") + " " + stats_sql(f"select clip_id, frame, y, x, case when {hit()} then 0 else 255 end m from rest p union all select clip_id, frame, y, x, 7 from whole where clip_id % 2 = 0 and clip_id % 5 < 4 and clip_id % 7 < 6", "m"), "pixels")),

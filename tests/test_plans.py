@@ -1,5 +1,6 @@
 """Plans whose exploded sides must never be broadcast: the planner sees them by the few rows that they come from."""
 
+import duckdb
 import pytest
 
 from tessera import queries as Q
@@ -25,3 +26,22 @@ def exploded_broadcasts(df):
 @pytest.mark.parametrize("name", ["f5_retime_repeat", "g1_pingpong", "g2_reverse_loop", "g6_speedramp_slow", "g1_pingpong_until"])
 def test_exploded_sides_are_not_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(Q.queries()[name](spark, sf_dir)) == 0
+
+
+def rows_of_both(spark, where, name, **tables):
+    """The rows of a query over ``tables`` and of its SQL."""
+    c = duckdb.connect()
+    c.sql("set timezone = 'UTC'")
+    for table, df in tables.items():
+        df.write.parquet(f"{where}/{table}.parquet")
+        c.sql(f"create view {table} as select * from '{where}/{table}.parquet/*.parquet'")
+    got = Q.queries()[name](spark, str(where))
+    want = c.sql(f"select {', '.join(got.columns)} from ({Q.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, got.collect())), sorted(want)
+
+
+def test_a_fingerprint_of_more_than_a_leaf_equals_its_sql(spark, sf_dir, tmp_path):
+    small = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation")}
+    supplier = spark.range(25_000).selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey")
+    got, want = rows_of_both(spark, tmp_path, "i11_content_fingerprint", supplier=supplier, **small)
+    assert got == want and len(got) == 5
