@@ -235,33 +235,47 @@ def disc(r: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
 
 
-def stroke_pixels(strokes: DataFrame, width: int, height: int) -> DataFrame:
-    """(plate_id, stroke, y, x): the discs of each stroke's points, clipped to the canvas.
+def _painted(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
+    """(*by, y, x): the distinct places of the discs of all points of ``by``, clipped to the canvas.
 
-    A radius of at most 0 is 12. Offsets are generated per point, so any radius works.
+    A disc is dealt as a row of the canvas and the half of its width there, not as pixels; a
+    canvas row's places are put together in one aggregation. Offsets are generated per point, so any radius works.
     """
     r = F.when(F.coalesce("radius", F.lit(0)) > 0, F.greatest(F.lit(1), F.rint("radius").cast("int"))).otherwise(DEFAULT_RADIUS)
-    d = strokes.select("plate_id", "stroke", F.col("x").alias("cx"), F.col("y").alias("cy"), r.alias("r")).select("*", F.explode(F.expr("sequence(-r, r)")).alias("dy"))
-    d = d.select("*", F.explode(F.expr("sequence(-r, r)")).alias("dx")).where("dy * dy + dx * dx <= r * r")
-    d = d.select("plate_id", "stroke", F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), F.rint(F.col("cx") + F.col("dx")).cast("int").alias("x"))
-    return d.where(f"y >= 0 and y < {height} and x >= 0 and x < {width}").distinct()
+    d = strokes.select(*by, F.col("x").alias("cx"), F.col("y").alias("cy"), r.alias("r")).select("*", F.explode(F.expr("sequence(-r, r)")).alias("dy"))
+    half = F.floor(F.sqrt(F.expr("r * r - dy * dy"))).cast("int")
+    d = d.select(*by, F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), F.struct("cx", half.alias("h")).alias("run")).where(f"y >= 0 and y < {height}")
+    d = d.groupBy(*by, "y").agg(F.collect_set("run").alias("runs"))
+    places = F.flatten(F.transform("runs", lambda s: F.transform(F.sequence(-s["h"], s["h"]), lambda k: F.rint(s["cx"] + k).cast("int"))))
+    return d.select(*by, "y", F.explode(F.array_distinct(F.filter(places, lambda x: (x >= 0) & (x < width)))).alias("x"))
+
+
+def stroke_pixels(strokes: DataFrame, width: int, height: int) -> DataFrame:
+    """(plate_id, stroke, y, x): the discs of each stroke's points, clipped to the canvas; a radius of at most 0 is 12."""
+    return _painted(strokes, width, height, ["plate_id", "stroke"])
 
 
 def stroke_mask(strokes: DataFrame, width: int, height: int) -> DataFrame:
     """(plate_id, y, x): what any stroke of a plate paints."""
-    return stroke_pixels(strokes, width, height).select("plate_id", "y", "x").distinct()
+    return _painted(strokes, width, height, ["plate_id"])
 
 
 def correction_band(strokes: DataFrame, fade: int, width: int, height: int) -> DataFrame:
     """(plate_id, band): the feather, narrowed to what the narrowest stroke can carry, at least 1.
 
     Each stroke is measured on the box around what it painted: the canvas beyond counts as painted not.
+    Strokes of the same points have the same radius, so each list of points is measured once.
     """
-    p = stroke_pixels(strokes, width, height)
+    drawn = strokes.groupBy("plate_id", "stroke").agg(F.array_sort(F.collect_set(F.struct("x", "y", "radius"))).alias("_shape"))
+    shapes = drawn.select("_shape").distinct().withColumn("_id", F.monotonically_increasing_id()).transform(cut)
+    p = stroke_pixels(shapes.select(F.lit(0).alias("plate_id"), F.col("_id").alias("stroke"), F.inline("_shape")), width, height)
     box = p.groupBy("plate_id", "stroke").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     grid = box.select("plate_id", "stroke", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).select("plate_id", "stroke", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    m = grid.join(p.withColumn("m", F.lit(255)), ["plate_id", "stroke", "y", "x"], "left").select(F.col("plate_id").alias("clip_id"), F.col("stroke").alias("frame"), "y", "x", F.coalesce("m", F.lit(0)).alias("m"))
-    r = region_radius(m).groupBy(F.col("clip_id").alias("plate_id")).agg(F.min("radius").alias("radius"))
+    # The box and what is painted meet in one aggregation: neither is a side of a join, which the planner would take for a row a stroke.
+    both = grid.withColumn("m", F.lit(0)).unionByName(p.withColumn("m", F.lit(255)))
+    m = both.groupBy(F.col("plate_id").alias("clip_id"), F.col("stroke").alias("frame"), "y", "x").agg(F.max("m").alias("m"))
+    radii = shapes.join(region_radius(m).select(F.col("frame").alias("_id"), F.col("radius").alias("_r")), "_id").drop("_id")
+    r = drawn.join(radii, "_shape").groupBy("plate_id").agg(F.min("_r").alias("radius"))
     limit = F.greatest(F.lit(1), F.floor(F.least(F.col("radius"), F.lit(1e6))).cast("int") - 1)
     return r.select("plate_id", F.greatest(F.lit(1), F.least(F.lit(fade if fade > 0 else MIN_BAND), limit)).alias("band"))
 
