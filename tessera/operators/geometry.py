@@ -34,9 +34,9 @@ def resize(df: DataFrame, width: int, height: int) -> DataFrame:
     clips = clips_of(df)
     w = F.lit(width) if width > 0 else F.greatest(F.lit(1), F.rint(F.col("width") * height / F.col("height")).cast("int"))
     h = F.lit(height) if height > 0 else F.greatest(F.lit(1), F.rint(F.col("height") * width / F.col("width")).cast("int"))
-    d = densify(df, clips).join(_axis(clips, "width", w, "x"), ["clip_id", "x"])
+    d = densify(df, clips).join(_axis(clips, "width", w, "x").hint("merge"), ["clip_id", "x"])
     d = d.groupBy("clip_id", "frame", "y", "tx").agg(*(F.sum(F.col(c) * F.col("wx")).alias(c) for c in BGRA))
-    d = d.join(_axis(clips, "height", h, "y"), ["clip_id", "y"])
+    d = d.join(_axis(clips, "height", h, "y").hint("merge"), ["clip_id", "y"])
     d = d.groupBy("clip_id", "frame", "ty", "tx").agg(*(F.rint(F.round(F.sum(F.col(c) * F.col("wy")), 6)).cast("int").alias(c) for c in BGRA))
     return d.withColumnsRenamed({"ty": "y", "tx": "x"})
 
@@ -46,9 +46,9 @@ def pad(df: DataFrame, width: int, height: int) -> DataFrame:
     clips = clips_of(df)
     scale = F.least(F.lit(float(width)) / F.col("width"), F.lit(float(height)) / F.col("height"))
     fit = clips.select("clip_id", "width", "height", F.floor(F.col("width") * scale).cast("int").alias("nw"), F.floor(F.col("height") * scale).cast("int").alias("nh"))
-    d = densify(df, clips).join(_axis(fit, "width", F.col("nw"), "x"), ["clip_id", "x"])
+    d = densify(df, clips).join(_axis(fit, "width", F.col("nw"), "x").hint("merge"), ["clip_id", "x"])
     d = d.groupBy("clip_id", "frame", "y", "tx").agg(*(F.sum(F.col(c) * F.col("wx")).alias(c) for c in BGRA))
-    d = d.join(_axis(fit, "height", F.col("nh"), "y"), ["clip_id", "y"])
+    d = d.join(_axis(fit, "height", F.col("nh"), "y").hint("merge"), ["clip_id", "y"])
     d = d.groupBy("clip_id", "frame", "ty", "tx").agg(*(F.rint(F.round(F.sum(F.col(c) * F.col("wy")), 6)).cast("int").alias(c) for c in BGRA))
     d = d.join(fit, "clip_id").select("clip_id", "frame", (F.col("ty") + F.floor((height - F.col("nh")) / 2)).cast("int").alias("y"), (F.col("tx") + F.floor((width - F.col("nw")) / 2)).cast("int").alias("x"), *BGRA)
     return densify(d, clips.select("clip_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "total_frames"))

@@ -175,7 +175,7 @@ def fill_region(plate: DataFrame, region: DataFrame, iters: int = 40) -> DataFra
     """
     cols = [*KEY, *CHANNELS, "a"]
     kinds = dict(plate.dtypes)
-    marked = plate.select(*cols).join(region.select(*KEY).distinct().withColumn("_todo", F.lit(True)), KEY, "left").withColumn("_todo", F.coalesce("_todo", F.lit(False))).transform(cut)
+    marked = plate.select(*cols).join(region.select(*KEY).distinct().withColumn("_todo", F.lit(True)).hint("merge"), KEY, "left").withColumn("_todo", F.coalesce("_todo", F.lit(False))).transform(cut)
     whole, large = by_size(marked, ["clip_id", "frame"])
 
     def run(table: pa.Table) -> pa.Table:
@@ -325,7 +325,7 @@ def apply_corrections(ground: DataFrame, painted: DataFrame) -> DataFrame:
     Each lerp is truncated; pixels without a correction join nothing.
     """
     stack = painted.groupBy("rig_id", "y", "x").agg(F.array_sort(F.collect_list(F.struct("id", "al", *CHANNELS))).alias("_s"))
-    d = ground.join(stack, ["rig_id", "y", "x"], "left")
+    d = ground.join(stack.hint("merge"), ["rig_id", "y", "x"], "left")
     fold = lambda c: F.coalesce(F.aggregate("_s", F.col(c).cast("int"), lambda acc, s: F.floor(acc * (1 - s["al"] / F.lit(255.0)) + s[c] * (s["al"] / F.lit(255.0))).cast("int")), F.col(c))
     return d.select("rig_id", "y", "x", *(fold(c).alias(c) for c in CHANNELS))
 
@@ -360,13 +360,13 @@ def heal_parts(plate: DataFrame, strokes: DataFrame, fade: int, width: int, heig
     bad = F.raise_error(F.concat(F.lit("no painted point on plate "), F.col("clip_id").cast("string"))).cast("boolean")
     frames = frames.where(F.coalesce("_some", bad)).drop("_some").transform(cut)
     grid = frames.select("*", upto(F.lit(height)).alias("y")).select("*", upto(F.lit(width)).alias("x"))
-    mask = grid.join(painted.withColumn("m", F.lit(255)), ["clip_id", "y", "x"], "left").na.fill(0, ["m"]).select(*KEY, "m")
+    mask = grid.join(painted.withColumn("m", F.lit(255)).hint("merge"), ["clip_id", "y", "x"], "left").na.fill(0, ["m"]).select(*KEY, "m")
     band = correction_band(strokes, fade, width, height).withColumnRenamed("plate_id", "clip_id")
     d = distance_transform(mask).join(band, "clip_id", "left")
     ramp = d.select(*KEY, F.when(F.col("m") > 0, F.floor(255 * F.least(F.lit(1.0), (F.col("d") - 1) / F.coalesce("band", F.lit(1))))).otherwise(0).cast("int").alias("m"))
     fit = lambda m: m if own == (width, height) else _fitted(m, *own)
     filled = fill_region(plate, fit(mask).where("m > 127").select(*KEY), iters).transform(cut)
-    both = plate.join(fit(ramp), KEY).join(filled.select(*KEY, *(F.col(c).alias(f"{c}2") for c in CHANNELS)), KEY).withColumn("w", F.col("m") / 255.0)
+    both = plate.join(fit(ramp).hint("merge"), KEY).join(filled.select(*KEY, *(F.col(c).alias(f"{c}2") for c in CHANNELS)).hint("merge"), KEY).withColumn("w", F.col("m") / 255.0)
     healed = both.select(*KEY, *(trunc(F.col(c) * (1 - F.col("w")) + F.col(f"{c}2") * F.col("w")).alias(c) for c in CHANNELS), F.lit(255).alias("a"))
     shown = lambda p: p if own == (width, height) else resize(p, width, height)
     lit = painted.groupBy("clip_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
@@ -384,8 +384,8 @@ def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes:
     ground = fill_region(plate, swept.select(*KEY), iters)
     if corrections is not None:
         ground = apply_corrections(ground.select(F.col("clip_id").alias("rig_id"), "y", "x", *CHANNELS), corrections).select(F.col("rig_id").alias("clip_id"), F.lit(0).alias("frame"), "y", "x", *CHANNELS)
-    grid = plate.select(*KEY).join(swept.select(*KEY, F.lit(255).alias("m")), KEY, "left").na.fill(0, ["m"])
-    return ground.select(*KEY, *CHANNELS).join(feather_ramp(grid, fade).withColumnRenamed("m", "a"), KEY)
+    grid = plate.select(*KEY).join(swept.select(*KEY, F.lit(255).alias("m")).hint("merge"), KEY, "left").na.fill(0, ["m"])
+    return ground.select(*KEY, *CHANNELS).join(feather_ramp(grid, fade).withColumnRenamed("m", "a").hint("merge"), KEY)
 
 
 def content_fingerprint(rows: DataFrame, by: list[str], order: list[str], fields: list[str], chunk: int = CHUNK) -> DataFrame:

@@ -33,12 +33,12 @@ def frame_sizes(pixels: DataFrame) -> DataFrame:
 
 
 def densify(pixels: DataFrame, clips: DataFrame | None = None) -> DataFrame:
-    """A row for each pixel of each frame; missing ones are 0, 0, 0, 0."""
+    """A row for each pixel of each frame; missing ones are 0, 0, 0, 0. Neither side is broadcast: a planner may see both by a row a clip."""
     clips = clips_of(pixels) if clips is None else clips
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     grid = clips.where("total_frames > 0 and height > 0 and width > 0").select("clip_id", "width", "height", upto("total_frames").alias("frame"))
     grid = grid.select("clip_id", "width", "frame", upto("height").alias("y")).select("clip_id", "frame", "y", upto("width").alias("x"))
-    return grid.join(pixels, KEY, "left").na.fill(0, [c for c in pixels.columns if c not in KEY])
+    return grid.join(pixels.hint("merge"), KEY, "left").na.fill(0, [c for c in pixels.columns if c not in KEY])
 
 
 def densify_mask(mask: DataFrame, clips: DataFrame | None = None) -> DataFrame:
