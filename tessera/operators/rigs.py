@@ -6,14 +6,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.shared import by_size, cut
 from .geometry import remap, upto
-from .pixels import CHANNELS, KEY, composite_over
+from .pixels import CHANNELS, KEY, composite_over, over_columns
 
 M = ["a", "b", "c", "d", "e", "f"]
 FALLOFFS = ("smooth", "linear", "hard")
@@ -22,6 +27,8 @@ POSE = ["rot", "tx", "ty"]
 CELLS = (2048, 256, 32, 4)
 #: Digits that an estimated place is rounded to.
 DIGITS = 6
+#: Frames that a task takes of a rig.
+TOGETHER = 16
 
 
 def bone_closure(bones: DataFrame) -> DataFrame:
@@ -140,18 +147,18 @@ def interpolate_poses(keyframes: DataFrame, bones: DataFrame, frames: DataFrame)
     at = frames.join(ends, "rig_id", "left").withColumn("_at", F.greatest("first", F.least("last", "frame")))
     # One row a frame within a span, so the match is by equality.
     spread = spans.select("rig_id", "lo", "hi", F.explode(F.sequence("lo", F.greatest(F.col("lo"), F.col("hi") - 1))).alias("_at"))
-    at = at.join(spread, ["rig_id", "_at"], "left").withColumn("u", F.when(F.col("hi") > F.col("lo"), (F.col("_at") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
-    d = at.join(bones.select("rig_id", "bone_id"), "rig_id")
+    at = at.join(spread.hint("merge"), ["rig_id", "_at"], "left").withColumn("u", F.when(F.col("hi") > F.col("lo"), (F.col("_at") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
+    d = at.join(bones.select("rig_id", "bone_id").hint("merge"), "rig_id")
     for side in ("lo", "hi"):
         k = keyframes.select("rig_id", F.col("frame").alias(side), "bone_id", *(F.col(c).alias(f"{c}_{side}") for c in POSE))
-        d = d.join(k, ["rig_id", side, "bone_id"], "left")
+        d = d.join(k.hint("merge"), ["rig_id", side, "bone_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return d.select("rig_id", "frame", "bone_id", *((zero(f"{c}_lo") + (zero(f"{c}_hi") - zero(f"{c}_lo")) * F.coalesce("u", F.lit(0.0))).alias(c) for c in POSE))
 
 
 def bone_local(bones: DataFrame, poses: DataFrame) -> DataFrame:
     """(rig_id, frame, bone_id, a..f): rotation about the bone's head, then translation."""
-    d = poses.withColumnsRenamed({"tx": "ptx", "ty": "pty"}).join(bones.select("rig_id", "bone_id", "hx", "hy"), ["rig_id", "bone_id"])
+    d = poses.withColumnsRenamed({"tx": "ptx", "ty": "pty"}).join(bones.select("rig_id", "bone_id", "hx", "hy").hint("merge"), ["rig_id", "bone_id"])
     c, s = F.cos("rot"), F.sin("rot")
     return d.select("rig_id", "frame", "bone_id", c.alias("a"), (-s).alias("b"), (F.col("hx") - c * F.col("hx") + s * F.col("hy") + F.col("ptx")).alias("c"), s.alias("d"), c.alias("e"), (F.col("hy") - s * F.col("hx") - c * F.col("hy") + F.col("pty")).alias("f"))
 
@@ -173,16 +180,16 @@ def bone_world(bones: DataFrame, poses: DataFrame) -> DataFrame:
     bones takes log2(n) joins. Bones on a cycle, and below one, have no root and no transform.
     """
     known = bones.select("rig_id", F.col("bone_id").alias("up"), F.lit(True).alias("_known"))
-    tree = bones.select("rig_id", "bone_id", F.col("parent_id").alias("up")).join(known, ["rig_id", "up"], "left")
+    tree = bones.select("rig_id", "bone_id", F.col("parent_id").alias("up")).join(known.hint("merge"), ["rig_id", "up"], "left")
     tree = tree.select("rig_id", "bone_id", F.when(F.col("_known"), F.col("up")).alias("up")).transform(cut)
-    out = bone_local(bones, poses).join(tree, ["rig_id", "bone_id"]).transform(cut)
+    out = bone_local(bones, poses).join(tree.hint("merge"), ["rig_id", "bone_id"]).transform(cut)
     left = tree.where("up is not null").count()
     while left:
         above = out.select("rig_id", "frame", F.col("bone_id").alias("up"), F.col("up").alias("_up"), *(F.col(k).alias(f"{k}1") for k in M))
-        mine = out.withColumnsRenamed({k: f"{k}2" for k in M}).join(above, ["rig_id", "frame", "up"], "left")
+        mine = out.withColumnsRenamed({k: f"{k}2" for k in M}).join(above.hint("merge"), ["rig_id", "frame", "up"], "left")
         out = mine.select("rig_id", "frame", "bone_id", F.col("_up").alias("up"), *(F.when(F.col("up").isNull(), F.col(f"{k}2")).otherwise(c).alias(k) for k, c in zip(M, _product("1", "2"), strict=True))).transform(cut)
         over = tree.select("rig_id", F.col("bone_id").alias("up"), F.col("up").alias("_up"))
-        tree = tree.join(over, ["rig_id", "up"], "left").select("rig_id", "bone_id", F.col("_up").alias("up")).transform(cut)
+        tree = tree.join(over.hint("merge"), ["rig_id", "up"], "left").select("rig_id", "bone_id", F.col("_up").alias("up")).transform(cut)
         # As long as a bone without a cycle above it is left, some of them end in each round.
         before, left = left, tree.where("up is not null").count()
         if left == before:
@@ -240,8 +247,8 @@ def near_bones(points: DataFrame, bones: DataFrame, reach: Column) -> DataFrame:
         if larger:
             own = own.withColumns({"_cy": at("cy", larger // size), "_cx": at("cx", larger // size)})
             above = ["_cy", "_cx"]
-        found = own.join(found.withColumnsRenamed({"cy": "_cy", "cx": "_cx"}), ["rig_id", *above]).drop("_cy", "_cx").transform(_narrowed, size)
-    d = placed.join(found.drop("reach"), ["rig_id", "cy", "cx"])
+        found = own.join(found.withColumnsRenamed({"cy": "_cy", "cx": "_cx"}).hint("merge"), ["rig_id", *above]).drop("_cy", "_cx").transform(_narrowed, size)
+    d = placed.join(found.drop("reach").hint("merge"), ["rig_id", "cy", "cx"])
     return d.withColumns({"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
 
 
@@ -298,9 +305,8 @@ def _step(x: np.ndarray, y: np.ndarray, m: list[np.ndarray]) -> tuple[np.ndarray
     return (e * (x - c) - b * (y - f)) / det, (a * (y - f) - d * (x - c)) / det
 
 
-def _iterated(table: pa.Table, iters: int) -> pa.Table:
-    """The map of one frame's whole field (rig_id, frame, y, x, a..f)."""
-    y, x, *m = (table.column(c).to_numpy().astype(float) for c in ("y", "x", *M))
+def _sources(y: np.ndarray, x: np.ndarray, m: list[np.ndarray], iters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which places have a source, sy, sx) of one frame's whole field: places (y, x) and their matrices a to f."""
     # Places are found by their numbers in rows of the frame's width.
     width = x.max() + 1
     number = y * width + x
@@ -314,6 +320,13 @@ def _iterated(table: pa.Table, iters: int) -> pa.Table:
         some = number[hit] == want
         live, hit = live[some], hit[some]
         sx, sy = _step(x[live], y[live], [k[hit] for k in m])
+    return live, sy, sx
+
+
+def _iterated(table: pa.Table, iters: int) -> pa.Table:
+    """The map of one frame's whole field (rig_id, frame, y, x, a..f)."""
+    y, x, *m = (table.column(c).to_numpy().astype(float) for c in ("y", "x", *M))
+    live, sy, sx = _sources(y, x, m, iters)
     rows = table.select(["rig_id", "frame", "y", "x"]).take(pa.array(live))
     return rows.append_column("sy", pa.array(sy)).append_column("sx", pa.array(sx))
 
@@ -348,19 +361,151 @@ def _joined_map(fields: DataFrame, iters: int) -> DataFrame:
     return est.select("rig_id", "frame", "y", "x", "sy", "sx")
 
 
+def _maps(weights: pa.Table, skins: pa.Table, iters: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(frame, y, x, sy, sx) of the frames of ``skins``, by the weights of the rig's whole canvas; a frame's field is held alone."""
+    y, x, w = (weights.column(c).to_numpy().astype(float) for c in ("y", "x", "w"))
+    names = skins.column("bone").combine_chunks().unique()
+    bone = pc.fill_null(pc.index_in(weights.column("bone_id"), value_set=names), -1).to_numpy()
+    of, frame = pc.index_in(skins.column("bone"), value_set=names).to_numpy(), skins.column("frame").to_numpy()
+    matrix = np.column_stack([skins.column(c).to_numpy() for c in M])
+    width = x.max() + 1
+    number, at = np.unique(y * width + x, return_inverse=True)
+    py, px = np.divmod(number, width)
+    for f in np.unique(frame).tolist():
+        rows = frame == f
+        here, own = np.zeros(len(names) + 1, bool), np.zeros((len(names) + 1, len(M)))
+        here[of[rows]], own[of[rows]] = True, matrix[rows]  # a bone without a place in the list is -1, the last row
+        some = here[bone]
+        field = [np.bincount(at[some], w[some] * own[bone[some], k], len(number)) for k in range(len(M))]
+        got = np.bincount(at[some], minlength=len(number)) > 0
+        if got.any():
+            live, sy, sx = _sources(py[got], px[got], [k[got] for k in field], iters)
+            yield f, py[got][live], px[got][live], sy, sx
+
+
+def _pixels_at(y: np.ndarray, x: np.ndarray, table: pa.Table) -> np.ndarray:
+    """(n, 4) colours b, g, r, a of the places by ``table``'s pixels, 0 where it has none."""
+    out = np.zeros((len(y), 4))
+    if not table.num_rows or not len(y):
+        return out
+    own = [table.column(c).to_numpy().astype(float) for c in ("y", "x")]
+    low, wide = own[1].min(), own[1].max() - own[1].min() + 1
+    number, place = np.unique(own[0] * wide + own[1] - low, return_inverse=True)
+    value = np.column_stack([np.bincount(place, table.column(c).to_numpy().astype(float)) for c in (*CHANNELS, "a")])
+    inside = (x >= low) & (x < low + wide)
+    want = y * wide + x - low
+    at = np.minimum(np.searchsorted(number, want), len(number) - 1)
+    hit = inside & (number[at] == want)
+    out[hit] = value[at[hit]]
+    return out
+
+
+def _moved(y: np.ndarray, x: np.ndarray, still: pa.Table) -> np.ndarray:
+    """(n, 4) colours of the places (y, x) in ``still`` from their four neighbours, as ``remap`` reads them."""
+    ly, lx = np.floor(y), np.floor(x)
+    fy, fx = y - ly, x - lx
+    total = sum(_pixels_at(ly + j, lx + i, still) * ((fy if j else 1 - fy) * (fx if i else 1 - fx))[:, None] for j in (0, 1) for i in (0, 1))
+    return np.rint(np.round(total, DIGITS))
+
+
+#: Columns of what a task is given of a rig, and of what it gives: a pixel, and the plate's under it.
+GIVEN = "kind int, y int, x int, bone_id string, w double, b double, g double, r double, a double"
+SHOWN = "frame int, y int, x int, b int, g int, r int, a int, b2 int, g2 int, r2 int, a2 int"
+
+
+def _shown(rig: pa.Table, skins: pa.Table, iters: int, schema: pa.Schema) -> pa.Table:
+    """The moved pixels of the frames of ``skins``, and the plate's, of one rig's weights (kind 0), still (1) and plate (2)."""
+    weights, still, plate = (rig.filter(pc.equal(rig.column("kind"), k)) for k in (0, 1, 2))
+    if not weights.num_rows or not skins.num_rows:
+        return schema.empty_table()
+    clip = rig.column("rig_id")[0]
+    py, px = (plate.column(c).to_numpy().astype(float) for c in ("y", "x"))
+    out = []
+    for f, y, x, sy, sx in _maps(weights, skins, iters):
+        over = _moved(sy, sx, still)
+        if len(py):
+            if (y.max(), x.max()) != (py.max(), px.max()):
+                raise ValueError(f"layers differ in size: clip {clip} is {int(x.max()) + 1}x{int(y.max()) + 1} and {int(px.max()) + 1}x{int(py.max()) + 1}")
+            wide = max(x.max(), px.max()) + 1
+            rest = ~np.isin(py * wide + px, y * wide + x)
+            y, x, over = np.concatenate([y, py[rest]]), np.concatenate([x, px[rest]]), np.concatenate([over, np.zeros((rest.sum(), 4))])
+        out.append((np.full(len(y), f), y, x, *over.T, *_pixels_at(y, x, plate).T))
+    if not out:
+        return schema.empty_table()
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    ids = pa.array([clip.as_py()] * len(columns[0]), schema.field(0).type)
+    return pa.table([ids, *(pa.array(c.astype(np.int32)) for c in columns)], schema=schema)
+
+
+def _turns(rows: DataFrame, skins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rigs' rows once for each turn of TOGETHER frames, and the skins (rig_id, _turn, frame, bone, a..f) with their turn."""
+    kind = rows.schema["rig_id"].dataType
+    rig, turn = F.col("rig_id").cast(kind).alias("rig_id"), F.floor(F.col("frame") / TOGETHER).cast("int").alias("_turn")
+    return rows.join(skins.select(rig, turn).distinct().hint("merge"), "rig_id"), skins.select(rig, turn, "frame", F.col("bone_id").alias("bone"), *M)
+
+
+def _deformed(weights: DataFrame, skins: DataFrame, still: DataFrame, plate: DataFrame | None, iters: int) -> DataFrame:
+    """(clip_id, SHOWN...): a rig's weights, still and plate go to a task once for each TOGETHER frames, so no field and no map is a table."""
+    kind = still.schema["clip_id"].dataType.simpleString()
+    given = [f.split() for f in GIVEN.split(", ")]
+    pixels = [*CHANNELS, "a"]
+
+    def one(df: DataFrame, rig: str, number: int, has: list[str]) -> DataFrame:
+        return df.select(F.col(rig).cast(kind).alias("rig_id"), *((F.lit(number) if c == "kind" else F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in given))
+
+    rows = one(weights, "rig_id", 0, ["y", "x", "bone_id", "w"]).unionByName(one(still, "clip_id", 1, ["y", "x", *pixels]))
+    if plate is not None:
+        rows = rows.unionByName(one(plate, "clip_id", 2, ["y", "x", *pixels]))
+    rows, turns = _turns(rows, skins)
+    schema = f"clip_id {kind}, {SHOWN}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return rows.groupBy("rig_id", "_turn").cogroup(turns.groupBy("rig_id", "_turn")).applyInArrow(lambda a, b: _shown(a, b, iters, arrow), schema)
+
+
+def skinned_map(weights: DataFrame, skins: DataFrame, iters: int = 5) -> DataFrame:
+    """``backward_map`` of ``skinning_fields``, whose fields are made and iterated in one task for each rig and TOGETHER frames.
+
+    So fields, a row a pixel and frame, are neither stored nor dealt. Rigs with too many weights for one task go by fields.
+    """
+    kinds = dict(weights.dtypes)
+    schema = f"rig_id {kinds['rig_id']}, frame int, y int, x int, sy double, sx double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    whole, large = by_size(cut(weights), ["rig_id"])
+    def run(w: pa.Table, s: pa.Table) -> pa.Table:
+        maps = list(_maps(w, s, iters)) if w.num_rows and s.num_rows else []
+        if not maps:
+            return arrow.empty_table()
+        frame, y, x, sy, sx = (np.concatenate(c) for c in zip(*((np.full(len(y), f), y, x, sy, sx) for f, y, x, sy, sx in maps), strict=True))
+        ids = pa.array([w.column("rig_id")[0].as_py()] * len(y), arrow.field(0).type)
+        return pa.table([ids, *(pa.array(c.astype(np.int32)) for c in (frame, y, x)), pa.array(sy), pa.array(sx)], schema=arrow)
+
+    rows, turns = _turns(whole, skins)
+    out = rows.groupBy("rig_id", "_turn").cogroup(turns.groupBy("rig_id", "_turn")).applyInArrow(run, schema)
+    return out if large is None else out.unionByName(backward_map(skinning_fields(large, skins), iters))
+
+
 def deform(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame, plate: DataFrame | None = None, iters: int = 5) -> DataFrame:
-    """The frames (clip_id, frame, y, x, b, g, r, a) of each rig's still (clip_id = rig_id, y, x, ...), over ``plate``."""
-    weights = bone_weights(grid_points(rigs), bones)
-    skins = skin_matrices(bone_world(bones, interpolate_poses(keyframes, bones, frames)))
-    to = backward_map(skinning_fields(weights, skins), iters).withColumnRenamed("rig_id", "clip_id")
-    out = cut(remap(still, to))
-    return out if plate is None else composite_over(out, plate.join(out.select("clip_id", "frame").distinct(), "clip_id").select(*KEY, *CHANNELS, "a"))
+    """The frames (clip_id, frame, y, x, b, g, r, a) of each rig's still (clip_id = rig_id, y, x, ...), over ``plate``.
+
+    A rig of at most WHOLE weights is moved and laid over its plate in one task for each TOGETHER frames; others go by joins.
+    """
+    whole, large = by_size(cut(bone_weights(grid_points(rigs), bones)), ["rig_id"])
+    skins = cut(skin_matrices(bone_world(bones, interpolate_poses(keyframes, bones, frames))))
+    pixels = [*KEY, *CHANNELS, "a"]
+    out = _deformed(whole, skins, still, plate, iters).select(*(pixels if plate is None else [*KEY, *over_columns()]))
+    if large is None:
+        return out
+    to = backward_map(skinning_fields(large, skins), iters).withColumnRenamed("rig_id", "clip_id")
+    rest = cut(remap(still, to))
+    if plate is not None:
+        rest = composite_over(rest, plate.join(rest.select("clip_id", "frame").distinct(), "clip_id").select(*pixels))
+    return out.unionByName(rest.select(*pixels))
 
 
 def footprint_union(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame) -> DataFrame:
     """(clip_id, y, x): pixels that the moved still covers in any frame and the resting one does not."""
     moved = deform(still, rigs, bones, keyframes, frames).where("a > 127").select("clip_id", "y", "x").distinct()
-    return moved.join(still.where("a > 127").select("clip_id", "y", "x"), ["clip_id", "y", "x"], "left_anti")
+    return moved.join(still.where("a > 127").select("clip_id", "y", "x").hint("merge"), ["clip_id", "y", "x"], "left_anti")
 
 
 def skin_points(points: DataFrame, weights: DataFrame, world: DataFrame) -> DataFrame:

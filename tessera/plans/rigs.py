@@ -295,7 +295,7 @@ def crew(s, d):
 def _crew_map(s, d):
     rigs, bones, keyframes, frames = crew(s, d)
     world = R.bone_world(bones, R.interpolate_poses(keyframes, bones, frames))
-    return rounded(R.backward_map(R.skinning_fields(R.bone_weights(R.grid_points(rigs), bones), world), 3), "sy", "sx", digits=4)
+    return rounded(R.skinned_map(R.bone_weights(R.grid_points(rigs), bones), world, 3), "sy", "sx", digits=4)
 
 
 def _crew_deform(s, d):

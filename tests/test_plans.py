@@ -23,7 +23,7 @@ def exploded_broadcasts(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["f5_retime_repeat", "g1_pingpong", "g2_reverse_loop", "g6_speedramp_slow", "g1_pingpong_until", "i7_correction_band", "i8_heal_other_size"])
+@pytest.mark.parametrize("name", ["f5_retime_repeat", "g1_pingpong", "g2_reverse_loop", "g6_speedramp_slow", "g1_pingpong_until", "i7_correction_band", "i8_heal_other_size", "h12_supplier_map", "h14_supplier_deform", "h15_supplier_footprints", "i10_supplier_patch"])
 def test_exploded_sides_are_not_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(Q.queries()[name](spark, sf_dir)) == 0
 
