@@ -29,6 +29,8 @@ CELLS = (2048, 256, 32, 4)
 DIGITS = 6
 #: Frames that a task takes of a rig.
 TOGETHER = 16
+#: Weights by frames that a task holds at once.
+AT_ONCE = 1 << 18
 
 
 def bone_closure(bones: DataFrame) -> DataFrame:
@@ -305,16 +307,20 @@ def _step(x: np.ndarray, y: np.ndarray, m: list[np.ndarray]) -> tuple[np.ndarray
     return (e * (x - c) - b * (y - f)) / det, (a * (y - f) - d * (x - c)) / det
 
 
-def _sources(y: np.ndarray, x: np.ndarray, m: list[np.ndarray], iters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which places have a source, sy, sx) of one frame's whole field: places (y, x) and their matrices a to f."""
-    # Places are found by their numbers in rows of the frame's width.
-    width = x.max() + 1
-    number = y * width + x
+def _sources(frame: np.ndarray, y: np.ndarray, x: np.ndarray, m: list[np.ndarray], iters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which places have a source, sy, sx) of whole fields: places (y, x) of frames, numbered from 0, and their matrices a to f."""
+    # Places are found by their numbers in rows of one width; estimates are clamped to their own frame's field.
+    width, height = x.max() + 1, y.max() + 1
+    top_y, top_x = (np.zeros(frame.max() + 1) for _ in range(2))
+    np.maximum.at(top_y, frame, y)
+    np.maximum.at(top_x, frame, x)
+    number = (frame * height + y) * width + x
     order = np.argsort(number, kind="stable")
     sx, sy, live = x, y, np.arange(len(x))
     for _ in range(max(1, iters)):
         near = lambda v, top: np.minimum(top, np.maximum(0, np.rint(np.round(v, DIGITS))))
-        want = near(sy, y.max()) * width + near(sx, x.max())
+        own = frame[live]
+        want = (own * height + near(sy, top_y[own])) * width + near(sx, top_x[own])
         at = np.minimum(np.searchsorted(number, want, sorter=order), len(order) - 1)
         hit = order[at]
         some = number[hit] == want
@@ -326,7 +332,7 @@ def _sources(y: np.ndarray, x: np.ndarray, m: list[np.ndarray], iters: int) -> t
 def _iterated(table: pa.Table, iters: int) -> pa.Table:
     """The map of one frame's whole field (rig_id, frame, y, x, a..f)."""
     y, x, *m = (table.column(c).to_numpy().astype(float) for c in ("y", "x", *M))
-    live, sy, sx = _sources(y, x, m, iters)
+    live, sy, sx = _sources(np.zeros(len(y), int), y, x, m, iters)
     rows = table.select(["rig_id", "frame", "y", "x"]).take(pa.array(live))
     return rows.append_column("sy", pa.array(sy)).append_column("sx", pa.array(sx))
 
@@ -361,26 +367,32 @@ def _joined_map(fields: DataFrame, iters: int) -> DataFrame:
     return est.select("rig_id", "frame", "y", "x", "sy", "sx")
 
 
-def _maps(weights: pa.Table, skins: pa.Table, iters: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(frame, y, x, sy, sx) of the frames of ``skins``, by the weights of the rig's whole canvas; a frame's field is held alone."""
+def _maps(weights: pa.Table, skins: pa.Table, iters: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(frame, y, x, sy, sx) of the frames of ``skins``, by the weights of the rig's whole canvas; some frames at once, up to AT_ONCE weights."""
     y, x, w = (weights.column(c).to_numpy().astype(float) for c in ("y", "x", "w"))
     names = skins.column("bone").combine_chunks().unique()
     bone = pc.fill_null(pc.index_in(weights.column("bone_id"), value_set=names), -1).to_numpy()
-    of, frame = pc.index_in(skins.column("bone"), value_set=names).to_numpy(), skins.column("frame").to_numpy()
+    of, at_frame = pc.index_in(skins.column("bone"), value_set=names).to_numpy(), skins.column("frame").to_numpy()
     matrix = np.column_stack([skins.column(c).to_numpy() for c in M])
     width = x.max() + 1
     number, at = np.unique(y * width + x, return_inverse=True)
     py, px = np.divmod(number, width)
-    for f in np.unique(frame).tolist():
-        rows = frame == f
-        here, own = np.zeros(len(names) + 1, bool), np.zeros((len(names) + 1, len(M)))
-        here[of[rows]], own[of[rows]] = True, matrix[rows]  # a bone without a place in the list is -1, the last row
-        some = here[bone]
-        field = [np.bincount(at[some], w[some] * own[bone[some], k], len(number)) for k in range(len(M))]
-        got = np.bincount(at[some], minlength=len(number)) > 0
-        if got.any():
-            live, sy, sx = _sources(py[got], px[got], [k[got] for k in field], iters)
-            yield f, py[got][live], px[got][live], sy, sx
+    frames = np.unique(at_frame)
+    step = max(1, AT_ONCE // len(w))
+    for k in range(0, len(frames), step):
+        now = frames[k : k + step]
+        rows = np.flatnonzero((at_frame >= now[0]) & (at_frame <= now[-1]))
+        turn = np.searchsorted(now, at_frame[rows])
+        here, own = np.zeros((len(now), len(names) + 1), bool), np.zeros((len(now), len(names) + 1, len(M)))
+        here[turn, of[rows]], own[turn, of[rows]] = True, matrix[rows]  # a bone without a place in the list is -1, the last one
+        some = here[:, bone].ravel()
+        place = (np.arange(len(now))[:, None] * len(number) + at).ravel()[some]
+        field = [np.bincount(place, (w * own[:, bone, j]).ravel()[some], len(now) * len(number)) for j in range(len(M))]
+        got = np.flatnonzero(np.bincount(place, minlength=len(now) * len(number)))
+        if len(got):
+            f, p = np.divmod(got, len(number))
+            live, sy, sx = _sources(f, py[p], px[p], [c[got] for c in field], iters)
+            yield now[f[live]], py[p[live]], px[p[live]], sy, sx
 
 
 def _pixels_at(y: np.ndarray, x: np.ndarray, table: pa.Table) -> np.ndarray:
@@ -426,10 +438,12 @@ def _shown(rig: pa.Table, skins: pa.Table, iters: int, schema: pa.Schema) -> pa.
         if len(py):
             if (y.max(), x.max()) != (py.max(), px.max()):
                 raise ValueError(f"layers differ in size: clip {clip} is {int(x.max()) + 1}x{int(y.max()) + 1} and {int(px.max()) + 1}x{int(py.max()) + 1}")
-            wide = max(x.max(), px.max()) + 1
-            rest = ~np.isin(py * wide + px, y * wide + x)
-            y, x, over = np.concatenate([y, py[rest]]), np.concatenate([x, px[rest]]), np.concatenate([over, np.zeros((rest.sum(), 4))])
-        out.append((np.full(len(y), f), y, x, *over.T, *_pixels_at(y, x, plate).T))
+            shown = np.unique(f)
+            qf, qy, qx = np.repeat(shown, len(py)), np.tile(py, len(shown)), np.tile(px, len(shown))
+            number = lambda f, y, x: (f * (py.max() + 1) + y) * (px.max() + 1) + x
+            rest = ~np.isin(number(qf, qy, qx), number(f, y, x))
+            f, y, x, over = np.concatenate([f, qf[rest]]), np.concatenate([y, qy[rest]]), np.concatenate([x, qx[rest]]), np.concatenate([over, np.zeros((rest.sum(), 4))])
+        out.append((f, y, x, *over.T, *_pixels_at(y, x, plate).T))
     if not out:
         return schema.empty_table()
     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
@@ -475,7 +489,7 @@ def skinned_map(weights: DataFrame, skins: DataFrame, iters: int = 5) -> DataFra
         maps = list(_maps(w, s, iters)) if w.num_rows and s.num_rows else []
         if not maps:
             return arrow.empty_table()
-        frame, y, x, sy, sx = (np.concatenate(c) for c in zip(*((np.full(len(y), f), y, x, sy, sx) for f, y, x, sy, sx in maps), strict=True))
+        frame, y, x, sy, sx = (np.concatenate(c) for c in zip(*maps, strict=True))
         ids = pa.array([w.column("rig_id")[0].as_py()] * len(y), arrow.field(0).type)
         return pa.table([ids, *(pa.array(c.astype(np.int32)) for c in (frame, y, x)), pa.array(sy), pa.array(sx)], schema=arrow)
 
