@@ -11,9 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .geometry import BGRA, block_match_flow, frame_counts, reindex, remap, upto
 from .pixels import CHANNELS, KEY, blend_column, gray_column, parse_color_rgba
 
+#: Frames of a block that is held against another, at most, and their pixels.
+BLOCK, BLOCK_PIXELS = 2048, 1 << 17
+
 
 def _index(df: DataFrame, m: Column, src: Column) -> DataFrame:
     return frame_counts(df).select("clip_id", "n", upto(m).alias("i")).select("clip_id", F.col("i").alias("out_frame"), src.cast("int").alias("src_frame"))
@@ -190,12 +194,62 @@ def best_loop_points(df: DataFrame, scan: int = 100, thr: float = 70) -> DataFra
 
 
 def best_match_point(first: DataFrame, last: DataFrame, thr: float = 85) -> DataFrame:
-    """As ``best_loop_points`` for two tables of frames; a clip that one of them lacks has nulls and 0."""
-    best = _best(_pair_scores(first.withColumn("s", F.col("frame")), last.withColumn("e", F.col("frame"))), thr)
+    """As ``best_loop_points`` for two tables of frames; a clip that one of them lacks has nulls and 0.
+
+    All frames of a clip are held against all, which is quadratic. Both sides are dealt in blocks of
+    frames, and a task gives the best pair of two blocks, so no task holds a clip and no table its pairs.
+    """
+    best = _best(_block_bests(first, last), thr)
     clips = first.select("clip_id").union(last.select("clip_id")).distinct()
     return clips.join(best, "clip_id", "left").na.fill(0.0, ["score"])
 
 
+def _block_bests(heads: DataFrame, tails: DataFrame) -> DataFrame:
+    """(clip_id, s, e, score): the best pair of each block of a clip's heads with each block of its tails."""
+    cols = ["clip_id", "frame", "y", "x", *CHANNELS]
+    both = heads.select(*cols, F.lit(True).alias("head")).unionByName(tails.select(*cols, F.lit(False).alias("head")))
+    canvas = (F.max("y") + 1).cast("bigint") * (F.max("x") + 1)
+    per = both.groupBy("clip_id").agg(F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_PIXELS / F.greatest(F.lit(1), canvas)))).alias("_per"))
+    frames = both.groupBy("clip_id", "head", "frame").agg(F.collect_list(F.struct("y", "x", *CHANNELS)).alias("px"))
+    frames = frames.join(per, "clip_id").select("clip_id", "head", F.col("frame").cast("int").alias("f"), F.floor(F.col("frame") / F.col("_per")).alias("_block"), "px").transform(cut)
+    others = frames.groupBy("clip_id", (~F.col("head")).alias("head")).agg(F.collect_set("_block").alias("_others"))
+    met = frames.join(others, ["clip_id", "head"]).select("clip_id", "head", "f", "px", "_block", F.explode("_others").alias("_other"))
+    sides = [F.when(F.col("head"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("_block", "_other", "_hb"), ("_other", "_block", "_tb"))]
+    kind = heads.schema["clip_id"].dataType.simpleString()
+    return met.select("clip_id", "head", "f", "px", *sides).groupBy("clip_id", "_hb", "_tb").applyInArrow(_block_best, f"clip_id {kind}, s int, e int, score double")
+
+
+def _block_best(table: pa.Table) -> pa.Table:
+    """The best pair of a block of heads and one of tails: the first s, then e, of those with the highest score."""
+    table = table.combine_chunks()
+    px = table.column("px").combine_chunks()
+    px = px.chunk(0) if isinstance(px, pa.ChunkedArray) else px
+    which = np.repeat(np.arange(len(table)), np.diff(px.offsets.to_numpy()))
+    y, x, *v = (c.to_numpy(zero_copy_only=False).astype(float) for c in px.flatten().flatten())
+    places, at = np.unique(y * (x.max() + 1) + x, return_inverse=True)
+    head, f = table.column("head").to_numpy().astype(bool), table.column("f").to_numpy()
+    made = []
+    for side in (head, ~head):
+        frames, row = np.unique(f[side], return_inverse=True)
+        own = np.full(len(f), -1)
+        own[side] = row
+        some = own[which] >= 0
+        cell, n = own[which[some]] * len(places) + at[some], len(frames) * len(places)
+        dense = lambda w=None: np.bincount(cell, w, n).reshape(len(frames), -1).astype(float)  # noqa: B023, E731
+        value = [c[some] for c in v]
+        made.append((frames, np.hstack([dense(c) for c in value]), dense(sum(c * c for c in value)), dense()))
+    (s, a, a2, i), (e, b, b2, j) = made
+    # Sums over the places of both; a pixel that is missing on one side counts on neither. Values are bytes, so sums are exact.
+    n = i @ j.T
+    sq = a2 @ j.T + i @ b2.T - 2 * (a @ b.T)
+    score = np.where(n > 0, np.maximum(0.0, 100 - sq / (3 * np.maximum(n, 1)) / 10), -1.0)
+    row, col = np.unravel_index(np.argmax(score), score.shape)
+    best = float(score[row, col])
+    clip = table.column("clip_id").slice(0, 1 if best > 0 else 0)
+    k = len(clip)
+    return pa.table([clip, pa.array([int(s[row])] * k, pa.int32()), pa.array([int(e[col])] * k, pa.int32()), pa.array([best] * k, pa.float64())], ["clip_id", "s", "e", "score"])
+
+
 def morph_loop(df: DataFrame, steps: int = 10, block: int = 4, search: int = 2) -> DataFrame:
     """The clip and ``steps`` frames that move and fade from its last to its first frame."""
     counts = frame_counts(df)

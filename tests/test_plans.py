@@ -1,9 +1,11 @@
 """Plans whose exploded sides must never be broadcast: the planner sees them by the few rows that they come from."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera import queries as Q
+from tessera.operators import loops
 
 
 def exploded_broadcasts(df):
@@ -45,3 +47,23 @@ def test_a_fingerprint_of_more_than_a_leaf_equals_its_sql(spark, sf_dir, tmp_pat
     supplier = spark.range(25_000).selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey")
     got, want = rows_of_both(spark, tmp_path, "i11_content_fingerprint", supplier=supplier, **small)
     assert got == want and len(got) == 5
+
+
+def test_best_matches_over_blocks_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    rows = [(c, f, y, x, *(int(v) for v in rng.randint(0, 60, 3))) for c in (1, 2) for f in range(11) for y in range(3) for x in range(2) if rng.rand() < 0.8]
+    rows += [(1, 4, y, x, *p) for c, f, y, x, *p in rows if (c, f) == (1, 2)]  # a frame twice
+    df = spark.createDataFrame(rows, "clip_id int, frame int, y int, x int, b int, g int, r int")
+    monkeypatch.setattr(loops, "BLOCK", 4)
+    first, last = df.where("frame < 9 or clip_id = 2"), df.where("frame > 1")
+    best = {}
+    for c in (1, 2):
+        for s in range(9 if c == 1 else 11):
+            for e in range(2, 11):
+                d = [sum((p - q) ** 2 for p, q in zip(a[4:], b[4:], strict=True)) for a in rows for b in rows if a[:2] == (c, s) and b[:2] == (c, e) and a[2:4] == b[2:4]]
+                if d:
+                    best[c] = min(best.get(c, (9.0, 0, 0)), (-max(0.0, 100 - sum(d) / (3 * len(d)) / 10), s, e))
+    got = {r["clip_id"]: (-r["score"], r["start_frame"], r["end_frame"]) for r in loops.best_match_point(first, last, 30).collect()}
+    assert got == best
+    pairs = loops._block_bests(first, last)
+    assert pairs.groupBy("clip_id").count().where("count > 4").count() == 2
