@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import by_size, cut, ranked
+from ..sources import shared
+from ..sources.shared import by_size, cut, frame_numbers, frames_at_once, ranked
 from .geometry import resize, upto
 from .pixels import CHANNELS, KEY, densify, trunc
 from .rigs import footprint_union
@@ -95,6 +96,16 @@ def nearest_squares(g: np.ndarray) -> np.ndarray:
     return out
 
 
+def grid_distances(mask: np.ndarray) -> np.ndarray:
+    """``distance_transform`` of whole frames (n, height, width)."""
+    g = np.where(mask, FAR, 0.0)
+    for k in range(1, g.shape[1]):
+        g[:, k] = np.minimum(g[:, k], g[:, k - 1] + 1)
+    for k in reversed(range(g.shape[1] - 1)):
+        g[:, k] = np.minimum(g[:, k], g[:, k + 1] + 1)
+    return np.sqrt(nearest_squares((g * g).reshape(-1, g.shape[2]))).reshape(g.shape)
+
+
 def feather_ramp(mask: DataFrame, fade: int) -> DataFrame:
     """(..., m): opaque inside the region, falling to 0 at its edge over ``fade`` pixels."""
     keep = [c for c in KEY if c in mask.columns]
@@ -165,13 +176,29 @@ def filled(y: np.ndarray, x: np.ndarray, todo: np.ndarray, color: np.ndarray, it
     return which, out
 
 
+def _with_fill(table: pa.Table, turn: np.ndarray, todo: np.ndarray, iters: int) -> tuple[pa.Table, list[np.ndarray]]:
+    """Whole frames of pixels, those of ``todo`` filled and opaque, and their colours b, g, r; ``turn`` numbers the frames."""
+    y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+    colors = [table.column(c).to_numpy() for c in CHANNELS]
+    if not todo.any():
+        return table, colors
+    # Frames lie below each other with an empty row between, so they have no neighbours in common.
+    low = y.min()
+    which, value = filled(y - low + turn * (y.max() - low + 2), x, todo, np.column_stack(colors), iters)
+    for k, c in enumerate(CHANNELS):
+        colors[k] = np.where(which, np.floor(np.minimum(255.0, np.round(value[:, k], DIGITS) + 0.5)), colors[k]).astype(colors[k].dtype)
+        table = table.set_column(table.schema.get_field_index(c), c, pa.array(colors[k]))
+    alpha = table.column("a").to_numpy()
+    return table.set_column(table.schema.get_field_index("a"), "a", pa.array(np.where(which, 255, alpha).astype(alpha.dtype))), colors
+
+
 def fill_region(plate: DataFrame, region: DataFrame, iters: int = 40) -> DataFrame:
     """The plate (clip_id, frame, y, x, ...) with ``region`` (same key) filled from around it, opaque.
 
     Pixels next to known ones take their mean, layer by layer; a few rounds of averaging
     smooth them. Only the region changes; a frame without known pixels stays as it is. A frame
-    is filled whole in one task, in one pass whatever the region's depth; frames too large
-    for that are filled by joins, a ring a round.
+    is filled whole in one task, some frames at once, in one pass whatever the region's depth;
+    frames too large for that are filled by joins, a ring a round.
     """
     cols = [*KEY, *CHANNELS, "a"]
     kinds = dict(plate.dtypes)
@@ -180,19 +207,10 @@ def fill_region(plate: DataFrame, region: DataFrame, iters: int = 40) -> DataFra
 
     def run(table: pa.Table) -> pa.Table:
         todo = table.column("_todo").to_numpy(zero_copy_only=False)
-        table = table.drop_columns(["_todo"])
-        if not todo.any():
-            return table
-        y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
-        which, value = filled(y, x, todo, np.column_stack([table.column(c).to_numpy() for c in CHANNELS]), iters)
-        for k, c in enumerate(CHANNELS):
-            old = table.column(c).to_numpy()
-            new = np.where(which, np.floor(np.minimum(255.0, np.round(value[:, k], DIGITS) + 0.5)), old).astype(old.dtype)
-            table = table.set_column(table.schema.get_field_index(c), c, pa.array(new))
-        alpha = table.column("a").to_numpy()
-        return table.set_column(table.schema.get_field_index("a"), "a", pa.array(np.where(which, 255, alpha).astype(alpha.dtype)))
-
-    out = whole.groupBy("clip_id", "frame").applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in cols))
+        turn, table = frame_numbers(table), table.drop_columns(["_todo"])
+        return _with_fill(table, turn, todo, iters)[0]
+
+    out = frames_at_once(whole, run, ", ".join(f"{c} {kinds[c]}" for c in cols))
     if large is not None:
         out = out.unionByName(_fill_by_joins(large.drop("_todo"), large.where("_todo").select(*KEY), iters))
     return out
@@ -235,8 +253,8 @@ def disc(r: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
 
 
-def _painted(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
-    """(*by, y, x): the distinct places of the discs of all points of ``by``, clipped to the canvas.
+def _painted_rows(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
+    """(*by, y, xs): the distinct places of the discs of all points of ``by``, clipped to the canvas, a row of the canvas each.
 
     A disc is dealt as a row of the canvas and the half of its width there, not as pixels; a
     canvas row's places are put together in one aggregation. Offsets are generated per point, so any radius works.
@@ -247,7 +265,12 @@ def _painted(strokes: DataFrame, width: int, height: int, by: list[str]) -> Data
     d = d.select(*by, F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), F.struct("cx", half.alias("h")).alias("run")).where(f"y >= 0 and y < {height}")
     d = d.groupBy(*by, "y").agg(F.collect_set("run").alias("runs"))
     places = F.flatten(F.transform("runs", lambda s: F.transform(F.sequence(-s["h"], s["h"]), lambda k: F.rint(s["cx"] + k).cast("int"))))
-    return d.select(*by, "y", F.explode(F.array_distinct(F.filter(places, lambda x: (x >= 0) & (x < width)))).alias("x"))
+    return d.select(*by, "y", F.array_distinct(F.filter(places, lambda x: (x >= 0) & (x < width))).alias("xs"))
+
+
+def _painted(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
+    """(*by, y, x): a row for each place of ``_painted_rows``."""
+    return _painted_rows(strokes, width, height, by).select(*by, "y", F.explode("xs").alias("x"))
 
 
 def stroke_pixels(strokes: DataFrame, width: int, height: int) -> DataFrame:
@@ -355,23 +378,78 @@ def heal_parts(plate: DataFrame, strokes: DataFrame, fade: int, width: int, heig
     the filled ``content``, the ``replaced`` pixels, and (``bbox``) the painted box with its ``band``."""
     own = plate_size or (width, height)
     plate = plate.transform(cut)
-    painted = stroke_mask(strokes, width, height).withColumnRenamed("plate_id", "clip_id").transform(cut)
-    frames = plate.select("clip_id", "frame").distinct().join(painted.select("clip_id", F.lit(True).alias("_some")).distinct(), "clip_id", "left")
+    rows = _painted_rows(strokes, width, height, ["plate_id"]).withColumnRenamed("plate_id", "clip_id").where("size(xs) > 0").transform(cut)
+    painted = rows.select("clip_id", "y", F.explode("xs").alias("x"))
+    counts = plate.groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("_n"))
+    frames = counts.join(rows.select("clip_id", F.lit(True).alias("_some")).distinct(), "clip_id", "left")
     bad = F.raise_error(F.concat(F.lit("no painted point on plate "), F.col("clip_id").cast("string"))).cast("boolean")
     frames = frames.where(F.coalesce("_some", bad)).drop("_some").transform(cut)
-    grid = frames.select("*", upto(F.lit(height)).alias("y")).select("*", upto(F.lit(width)).alias("x"))
+    grid = frames.select("clip_id", "frame", upto(F.lit(height)).alias("y")).select("*", upto(F.lit(width)).alias("x"))
     mask = grid.join(painted.withColumn("m", F.lit(255)).hint("merge"), ["clip_id", "y", "x"], "left").na.fill(0, ["m"]).select(*KEY, "m")
     band = correction_band(strokes, fade, width, height).withColumnRenamed("plate_id", "clip_id")
     d = distance_transform(mask).join(band, "clip_id", "left")
     ramp = d.select(*KEY, F.when(F.col("m") > 0, F.floor(255 * F.least(F.lit(1.0), (F.col("d") - 1) / F.coalesce("band", F.lit(1))))).otherwise(0).cast("int").alias("m"))
+    shown = lambda p: p if own == (width, height) else resize(p, width, height)
+    lit = painted.groupBy("clip_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
+    parts = {"mask": mask, "replaced": shown(plate), "bbox": lit.join(band, "clip_id")}
+    if own == (width, height) and width * height <= shared.WHOLE and frames.where(F.col("_n") > shared.WHOLE).limit(1).count() == 0:
+        both = _healed(plate, frames.select("clip_id", "frame"), rows, band, width, height, iters)
+        return parts | {"plate": both.where("inside").select(*KEY, *CHANNELS, F.lit(255).alias("a")), "content": both.select(*KEY, *(F.col(f"{c}2").alias(c) for c in CHANNELS), F.lit(255).alias("a"))}
     fit = lambda m: m if own == (width, height) else _fitted(m, *own)
     filled = fill_region(plate, fit(mask).where("m > 127").select(*KEY), iters).transform(cut)
     both = plate.join(fit(ramp).hint("merge"), KEY).join(filled.select(*KEY, *(F.col(c).alias(f"{c}2") for c in CHANNELS)).hint("merge"), KEY).withColumn("w", F.col("m") / 255.0)
     healed = both.select(*KEY, *(trunc(F.col(c) * (1 - F.col("w")) + F.col(f"{c}2") * F.col("w")).alias(c) for c in CHANNELS), F.lit(255).alias("a"))
-    shown = lambda p: p if own == (width, height) else resize(p, width, height)
-    lit = painted.groupBy("clip_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
-    content = shown(filled.select(*KEY, *CHANNELS, F.lit(255).alias("a")))
-    return {"plate": healed, "mask": mask, "content": content, "replaced": shown(plate), "bbox": lit.join(band, "clip_id")}
+    return parts | {"plate": healed, "content": shown(filled.select(*KEY, *CHANNELS, F.lit(255).alias("a")))}
+
+
+def _healed(plate: DataFrame, frames: DataFrame, rows: DataFrame, band: DataFrame, width: int, height: int, iters: int) -> DataFrame:
+    """(*KEY, b, g, r, b2, g2, r2, inside): the healed and the filled colours of the plates' pixels, and whether the canvas has them.
+
+    A frame's pixels, its painted rows (clip_id, y, xs) and its band meet in one task, where the
+    mask is made, its distances are taken, and the region is filled and blended: no grid is a table.
+    """
+    kinds = dict(plate.dtypes)
+    pixels = [*KEY, *CHANNELS, "a"]
+    most = max(1, shared.WHOLE // (width * height))  # canvases of a step
+
+    def one(df: DataFrame, kind: int) -> DataFrame:
+        has = {c: F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]) for c in pixels}
+        more = {"xs": "array<int>", "band": "int"}
+        return df.select(F.lit(kind).alias("kind"), *(c.cast(kinds[k]).alias(k) for k, c in has.items()), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in more.items()))
+
+    at = frames.hint("merge")
+    given = one(plate, 0).unionByName(one(rows.join(at, "clip_id"), 1)).unionByName(one(band.join(at, "clip_id"), 2))
+
+    def some(table: pa.Table, turn: np.ndarray) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        of = lambda k, *names: (turn[kind == k], *(table.column(c).filter(pa.array(kind == k)).combine_chunks() for c in names))
+        mask, bands = np.zeros((turn[-1] + 1, height, width), bool), np.ones(turn[-1] + 1)
+        t, y, xs = of(1, "y", "xs")
+        each = np.diff(xs.offsets.to_numpy())
+        mask[np.repeat(t, each), np.repeat(y.to_numpy(), each), xs.flatten().to_numpy()] = True
+        t, b = of(2, "band")
+        bands[t] = b.to_numpy()
+        ramp = np.where(mask, np.floor(255 * np.minimum(1.0, (grid_distances(mask) - 1) / bands[:, None, None])), 0.0)
+        shown, turn = table.select(pixels).filter(pa.array(kind == 0)), turn[kind == 0]
+        y, x = (shown.column(c).to_numpy() for c in ("y", "x"))
+        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+        todo, w = np.zeros(len(y), bool), np.zeros(len(y))
+        todo[inside], w[inside] = (v[turn[inside], y[inside], x[inside]] for v in (mask, ramp / 255.0))
+        new, out = _with_fill(shown, turn, todo, iters)[1], shown.select(KEY)
+        made = [np.floor(np.clip(shown.column(c).to_numpy() * (1 - w) + v * w, 0, 255)).astype(np.int32) for c, v in zip(CHANNELS, new, strict=True)]
+        for c, v in zip((*CHANNELS, *(f"{c}2" for c in CHANNELS)), (*made, *new), strict=True):
+            out = out.append_column(c, pa.array(v))
+        return out.append_column("inside", pa.array(inside))
+
+    def run(table: pa.Table) -> pa.Table:
+        turn, out = frame_numbers(table), []
+        for k in range(0, turn[-1] + 1, most):
+            a, b = np.searchsorted(turn, (k, k + most))
+            out.append(some(table.slice(a, b - a), turn[a:b] - k))
+        return pa.concat_tables(out)
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in KEY), *(f"{c} int" for c in CHANNELS), *(f"{c}2 {kinds[c]}" for c in CHANNELS), "inside boolean"])
+    return frames_at_once(given, run, schema)
 
 
 def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame, plate: DataFrame, fade: int, iters: int = 20, corrections: DataFrame | None = None) -> DataFrame:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a group, such as a frame's pixels, that one task takes whole: a frame of 1920 x 1080 is one.
 WHOLE = 1 << 21
+#: Rows of whole frames that a task takes in one call, when frames are small.
+AT_ONCE = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +47,42 @@ def by_size(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
     return df.join(large, by, "left_anti"), df.join(large, by, "left_semi")
 
 
+def frame_numbers(table: pa.Table) -> np.ndarray:
+    """Each row's frame, numbered from 0, of rows in which those of a frame (clip_id, frame) lie together."""
+    codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("clip_id", "frame")]
+    codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy() for c in codes]
+    new = np.zeros(len(table), np.int64)
+    for c in codes:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def frames_at_once(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the whole frames (clip_id, frame) of ``df``, as many at once as have about AT_ONCE rows.
+
+    Small frames would cost a call each if each were a group.
+    """
+    most = AT_ONCE
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < most:
+                continue
+            table = pa.Table.from_batches(held)
+            number = frame_numbers(table)
+            last = int(np.searchsorted(number, number[-1]))
+            if last:
+                yield from run(table.slice(0, last)).to_batches()
+            held, n = table.slice(last).to_batches(), len(table) - last
+        if n:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition("clip_id", "frame").sortWithinPartitions("clip_id", "frame").mapInArrow(whole, schema)
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``pos``, each row's place from 0 within its group ``by`` in that order.
 

@@ -5,6 +5,7 @@ import math
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,42 @@ def test_fills_in_a_task_and_by_joins_are_one(spark, monkeypatch):
     assert sorted(map(tuple, Y.fill_region(plate, plate.select("clip_id", "frame", "y", "x"), 3).collect())) == sorted((*k, *v) for k, v in old.items())
 
 
+def test_plates_healed_in_a_task_and_by_joins_are_one(spark, monkeypatch):
+    plate = grid(spark, 14, 12).union(grid(spark, 14, 12, 4).withColumn("frame", F.lit(3)))
+    rng = np.random.RandomState(8)
+    strokes = spark.createDataFrame([(c, k // 3, int(rng.randint(-1, 13)), int(rng.randint(-1, 15)), int(rng.randint(1, 4))) for c in (1, 2) for k in range(9)], "plate_id int, stroke int, x int, y int, radius int")
+
+    def of():
+        parts = Y.heal_parts(plate, strokes, 2, 11, 13, 3)
+        return {k: sorted(map(tuple, parts[k].select(sorted(parts[k].columns)).collect())) for k in ("plate", "content", "mask", "bbox", "replaced")}
+
+    want = of()
+    assert len(want["plate"]) == 4 * 13 * 11
+    monkeypatch.setattr(shared, "AT_ONCE", 200)  # a frame or two a call
+    assert of() == want
+    plan = Y.heal(plate, strokes, 2, 11, 13, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Join" in line and "y#" in line]  # pixels join nothing
+    monkeypatch.setattr(shared, "WHOLE", 100)
+    assert of() == want
+
+
+def test_frames_come_whole_and_many_at_once(spark, monkeypatch):
+    monkeypatch.setattr(shared, "AT_ONCE", 50)
+    sizes = {(c, f): 1 + (7 * f + len(c or "")) % 40 for c in ("a", "bb", None) for f in range(30)}
+    df = spark.createDataFrame([(c, f, k) for (c, f), n in sizes.items() for k in range(n)], "clip_id string, frame int, k int")
+
+    def run(table):
+        number = shared.frame_numbers(table)
+        first = np.unique(number, return_index=True)[1]
+        count = np.bincount(number)
+        return table.select(["clip_id", "frame"]).take(first).append_column("n", pa.array(count)).append_column("calls", pa.array(np.full(len(count), len(count))))
+
+    got = shared.frames_at_once(df, run, "clip_id string, frame int, n bigint, calls bigint").collect()
+    assert {(r["clip_id"], r["frame"]): r["n"] for r in got} == sizes and len(got) == len(sizes)
+    assert max(r["calls"] for r in got) > 1
+    assert shared.frames_at_once(df.limit(0), run, "clip_id string, frame int, n bigint, calls bigint").collect() == []
+
+
 def test_a_deep_fill_takes_no_round_a_ring(spark):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     plate = spark.range(200 * 200).selectExpr("1 clip_id", "0 frame", "cast(id div 200 as int) y", "cast(id % 200 as int) x", "50 b", "60 g", "70 r", "255 a")
