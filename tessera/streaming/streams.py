@@ -57,36 +57,70 @@ def stream_progress(events: DataFrame, late: str = "30 days") -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Rows of a key held back until the watermark has passed them, and then taken in order of (us, event_id).
 
-    A subclass has ``fields``, what it keeps of a row beside ``us`` and ``event_id``, ``states``
-    to open its own, and ``taken`` for the rows that are final up to the watermark. A timer
-    brings the key back when its first waiting row is due.
+    A subclass has ``fields``, the columns that it keeps of a row, all whole numbers, with ``us`` and
+    ``event_id`` first, ``states`` to open its own, and ``taken`` for the rows that are final up to
+    the watermark. A timer brings the key back when its first waiting row is due.
+
+    Each call to a state costs a round trip, so rows wait packed, a batch's in one entry that is
+    added to the others unread, and a key is read and taken only when a row of it is due.
     """
 
-    fields = ""
+    fields = ("us", "event_id")
+    out = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint" + self.fields)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.first = handle.getValueState("first", "us bigint")
         self.states(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for batch in rows for r in self.kept(batch)]
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs(), new)
+        new = []
+        for batch in rows:
+            real = zip(*(batch[c].tolist() for c in (*self.fields, "result")), strict=True)
+            new += [[*(int(v) for v in r[:-1]), r[-1] == "ok"] for r in real if r[-1] in ("ok", "failed")]
+        if new:
+            yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs(), [])
-
-    def _drain(self, key, mark: int, new: list[tuple]) -> pd.DataFrame:
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows = sorted(held + new)
-        ready = sum(r[0] <= mark * 1000 for r in rows)
-        if ready or new:
-            if rows[ready:]:
-                self.waiting.put(rows[ready:])
-                self.handle.registerTimer(rows[ready][0] // 1000 + 1)
-            elif held:
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _drain(self, key, mark: int, new: list[list]) -> Iterator[pd.DataFrame]:
+        first = self.first.get()
+        first = first[0] if first else None
+        due = first is not None and first <= mark * 1000
+        ready = []
+        if due or new and min(new)[0] <= mark * 1000:
+            held = [] if first is None else [r for packed in self.waiting.get() for r in self._rows(packed[0])]
+            rows = sorted(held + new)
+            n = sum(r[0] <= mark * 1000 for r in rows)
+            ready, left = rows[:n], rows[n:]
+            if left:
+                self.waiting.put([self._packed(left)])
+                first = self._wake(left[0][0])
+            elif first is not None:
                 self.waiting.clear()
-        return self.taken(key, mark, rows[:ready], rows[ready:])
+                self.first.clear()
+                first = None
+        elif new:
+            self.waiting.appendList([self._packed(new)])
+            if first is None or min(new)[0] < first:
+                self._wake(min(new)[0])
+            return
+        out = self.taken(key, mark, ready, first)
+        if out:
+            yield pd.DataFrame(out, columns=list(self.out))
+
+    def _wake(self, us: int) -> int:
+        self.first.update((us,))
+        self.handle.registerTimer(us // 1000 + 1)
+        return us
+
+    def _packed(self, rows: list[list]) -> tuple[bytes]:
+        return (np.array(rows, np.int64).tobytes(),)
+
+    def _rows(self, packed: bytes) -> list[list]:
+        return np.frombuffer(packed, np.int64).reshape(-1, len(self.fields) + 1).tolist()
 
     def close(self) -> None:
         pass
@@ -95,7 +129,8 @@ class _InOrder(StatefulProcessor):
 class _Attempts(_InOrder):
     """A job's failures by chunk, its errors, and what has ended; forgotten ``keep`` after its last attempt."""
 
-    fields = ", chunk_id int, ok boolean"
+    fields = ("us", "event_id", "chunk_id")
+    out = ("job_id", "chunk_id", "event_id", "outcome")
 
     def __init__(self, keep: int):
         self.keep = keep
@@ -104,20 +139,21 @@ class _Attempts(_InOrder):
         self.job = handle.getValueState("job", "errors int, failed boolean, last bigint")
         self.chunks = handle.getMapState("chunks", "chunk_id int", "fails int, done boolean")
 
-    def kept(self, batch: pd.DataFrame) -> list[tuple]:
-        real = batch[batch["result"].isin(["ok", "failed"])]
-        return list(zip(real["us"].tolist(), real["event_id"].tolist(), real["chunk_id"].tolist(), (real["result"] == "ok").tolist(), strict=True))
-
-    def taken(self, key, mark: int, rows: list[tuple], left: list[tuple]) -> pd.DataFrame:
-        errors, failed, last = self.job.get() if self.job.exists() else (0, False, 0)
-        out, touched = [], {}
+    def taken(self, key, mark: int, rows: list[list], first: int | None) -> list[tuple]:
+        job = self.job.get()
+        if job is None and not rows:
+            return []
+        errors, failed, last = job or (0, False, 0)
+        known = job is not None  # a job not met before has no chunks
+        out, touched, old = [], {}, {}
         for us, event, chunk, ok in rows:
             if last and us > last + self.keep * 1000:
-                self.chunks.clear()
-                errors, failed, touched = 0, False, {}
+                if known:
+                    self.chunks.clear()
+                known, errors, failed, touched, old = False, 0, False, {}, {}
             last = max(last, us)
             if chunk not in touched:
-                touched[chunk] = self.chunks.getValue((chunk,)) if self.chunks.containsKey((chunk,)) else (0, False)
+                touched[chunk] = old[chunk] = tuple(self.chunks.getValue((chunk,))) if known and self.chunks.containsKey((chunk,)) else (0, False)
             fails, done = touched[chunk]
             if failed or done or fails >= CHUNK_FAILURES:
                 continue
@@ -132,15 +168,18 @@ class _Attempts(_InOrder):
                     failed = True
                     out.append((key[0], chunk, event, "job_failed"))
             touched[chunk] = (fails, done)
-        if rows:
+        if mark >= last // 1000 + self.keep and (first is None or first > last + self.keep * 1000):
+            if job is not None:
+                self.job.clear()
+            if known:
+                self.chunks.clear()
+        elif rows:
             for chunk, state in touched.items():
-                self.chunks.updateValue((chunk,), state)
+                if state != old[chunk]:
+                    self.chunks.updateValue((chunk,), state)
             self.job.update((errors, failed, last))
             self.handle.registerTimer(last // 1000 + self.keep)
-        elif self.job.exists() and mark >= last // 1000 + self.keep and (not left or left[0][0] > last + self.keep * 1000):
-            self.job.clear()
-            self.chunks.clear()
-        return pd.DataFrame(out, columns=["job_id", "chunk_id", "event_id", "outcome"])
+        return out
 
 
 def stream_attempts(events: DataFrame, late: str = "1 day", keep: str = "30 days") -> DataFrame:
@@ -205,20 +244,19 @@ def stream_motion(gray: DataFrame, thr: int = 15) -> DataFrame:
 class _Silence(_InOrder):
     """A job's running session; a timer tells of its silence while it lasts."""
 
+    out = ("job_id", "us", "n")
+
     def __init__(self, gap: int):
         self.gap = gap * 1000
 
     def states(self, handle: StatefulProcessorHandle) -> None:
         self.session = handle.getValueState("session", "n bigint, last bigint")
 
-    def kept(self, batch: pd.DataFrame) -> list[tuple]:
-        real = batch[batch["result"].isin(["ok", "failed"])]
-        return list(zip(real["us"].tolist(), real["event_id"].tolist(), strict=True))
-
-    def taken(self, key, mark: int, rows: list[tuple], left: list[tuple]) -> pd.DataFrame:
-        n, last = self.session.get() if self.session.exists() else (0, 0)
+    def taken(self, key, mark: int, rows: list[list], first: int | None) -> list[tuple]:
+        session = self.session.get()
+        n, last = session or (0, 0)
         out = []
-        for us, _ in rows:
+        for us, *_ in rows:
             if n and us - last >= self.gap:
                 out.append((key[0], last, n))
                 n = 0
@@ -226,12 +264,12 @@ class _Silence(_InOrder):
         if n and mark * 1000 >= last + self.gap:
             out.append((key[0], last, n))
             n = 0
-        if n:
+        if n and rows:
             self.session.update((n, last))
             self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        elif self.session.exists():
+        elif session and not n:
             self.session.clear()
-        return pd.DataFrame(out, columns=["job_id", "us", "n"])
+        return out
 
 
 def stream_stall(events: DataFrame, gap: str = "10 minutes", late: str = "1 day") -> DataFrame:

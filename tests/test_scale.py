@@ -5,6 +5,7 @@ import math
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -271,6 +272,78 @@ def test_a_job_is_forgotten_after_a_while(spark, tmp_path):
     assert [(r["event_id"], r["outcome"]) for r in out.collect()] == [(3, "failed")]
 
 
+class Calls:
+    """A processor's states and timers in memory, and the number of calls to them, each a round trip to the state store."""
+
+    def __init__(self):
+        self.n, self.timers = 0, set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return Kept(self)
+
+    getListState = getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.n += 1
+        self.timers.add(at)
+
+
+class Kept:
+    def __init__(self, calls):
+        self.calls, self.v, self.map, self.list = calls, None, {}, []
+
+    def __getattribute__(self, name):
+        if name[0] != "_" and name not in ("calls", "v", "map", "list"):
+            self.calls.n += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return iter(self.list) if self.list else self.v
+
+    def exists(self):
+        return bool(self.v or self.list)
+
+    def update(self, v):
+        self.v = v
+
+    def put(self, v):
+        self.list = list(v)
+
+    def appendList(self, v):  # noqa: N802
+        self.list = self.list + list(v)
+
+    def containsKey(self, k):  # noqa: N802
+        return k in self.map
+
+    def getValue(self, k):  # noqa: N802
+        return self.map.get(k)
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.map[k] = v
+
+    def clear(self):
+        self.v, self.map, self.list = None, {}, []
+
+
+@pytest.mark.parametrize("processor, told", [(K._Attempts(1000), 50), (K._Silence(1000), 1)])
+def test_calls_to_the_state_do_not_follow_the_rows(processor, told):
+    class Time:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    calls, out = Calls(), []
+    processor.init(calls)
+    for k in range(4):  # in no order of time, and none due
+        batch = pd.DataFrame({"us": [1000 * (9 - k) + i for i in range(100)], "event_id": range(100 * k, 100 * k + 100), "chunk_id": [i % 50 for i in range(100)], "result": ["tick" if i == 7 else "ok" for i in range(100)]})
+        out += list(processor.handleInputRows((1,), iter([batch]), Time(0)))
+    assert out == [] and calls.n <= 16
+    while calls.timers:
+        out += list(processor.handleExpiredTimer((1,), Time(100_000), None))
+        calls.timers.remove(min(calls.timers))
+    assert sum(map(len, out)) == told and calls.n < 50
+    assert not [s for s in vars(processor).values() if isinstance(s, Kept) and (s.v or s.map or s.list)]
+
+
 def test_a_silence_is_told_while_it_lasts(spark, tmp_path):
     # Job 1 never comes back; job 2's events tell that time passes. Job 3's gap is filled by a late row.
     batches = [[event(1, "00:00:00", 0, "ok"), event(2, "00:05:00", 0, "ok"), event(3, "00:00:00", 0, "ok", 3), event(4, "00:18:00", 0, "ok", 3)], [event(5, "00:09:00", 0, "ok", 3), event(6, "00:30:00", 0, "ok", 2)], [event(7, "02:00:00", 0, "ok", 2)]]
