@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 from collections import deque
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.operators import layers as Y
 from tessera.operators import rigs as R
 from tessera.operators import segment as S
+from tessera.queries import queries
 from tessera.sources import fixtures, io
 from tessera.sources import shared
 from tessera.streaming import streams as K
@@ -386,3 +388,12 @@ def test_places_in_a_group_that_holds_most_rows(spark):
     want = sorted((g, i, n) for g in {r[0] for r in rows} - {None} for n, i in enumerate(sorted(i for h, i in rows if h == g)))
     assert sorted(tuple(r) for r in got.select("label", "id", "place").collect()) == want
     assert fixtures.placed(df.limit(0), "label", F.floor(F.col("id") / 16), "id").count() == 0
+
+
+def test_files_of_strokes_are_written_by_many_tasks(spark, sf_dir):
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("strokes-*"))
+    assert queries()["a6_read_strokes"](spark, sf_dir).count() > 0
+    (made,) = set(root.glob("strokes-*")) - before
+    files = [f.name for f in made.glob("plate_id=*/part-*")]
+    assert len(files) > 8 and len({f.split("-")[1] for f in files}) > 1
