@@ -23,6 +23,8 @@ from ..sources.shared import shared_dir
 
 #: Side in pixels of the tiles that motion is kept by.
 TILE = 64
+#: Jobs, as a power of two, whose silences are kept under one key: a run of ids.
+RUN = 6
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,7 +60,7 @@ class _InOrder(StatefulProcessor):
     """Rows of a key held back until the watermark has passed them, and then taken in order of (us, event_id).
 
     A subclass has ``fields``, the columns that it keeps of a row, all whole numbers, with ``us`` and
-    ``event_id`` first, ``states`` to open its own, and ``taken`` for the rows that are final up to
+    ``event_id`` first (one that the rows lack is the key itself), ``states`` to open its own, and ``taken`` for the rows that are final up to
     the watermark. A timer brings the key back when its first waiting row is due.
 
     Each call to a state costs a round trip, so rows wait packed, a batch's in one entry that is
@@ -77,7 +79,7 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for batch in rows:
-            real = zip(*(batch[c].tolist() for c in (*self.fields, "result")), strict=True)
+            real = zip(*(batch[c].tolist() if c in batch else key * len(batch) for c in (*self.fields, "result")), strict=True)
             new += [[*(int(v) for v in r[:-1]), r[-1] == "ok"] for r in real if r[-1] in ("ok", "failed")]
         if new:
             yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), new)
@@ -242,34 +244,40 @@ def stream_motion(gray: DataFrame, thr: int = 15) -> DataFrame:
 
 
 class _Silence(_InOrder):
-    """A job's running session; a timer tells of its silence while it lasts."""
+    """The running sessions of a run of jobs; a timer tells of a silence while it lasts.
 
+    Calls to a state cost more than a job's rows, so the jobs of a run wait and are kept together.
+    """
+
+    fields = ("us", "event_id", "job_id")
     out = ("job_id", "us", "n")
 
     def __init__(self, gap: int):
         self.gap = gap * 1000
 
     def states(self, handle: StatefulProcessorHandle) -> None:
-        self.session = handle.getValueState("session", "n bigint, last bigint")
+        self.sessions = handle.getValueState("sessions", "packed binary")
 
     def taken(self, key, mark: int, rows: list[list], first: int | None) -> list[tuple]:
-        session = self.session.get()
-        n, last = session or (0, 0)
-        out = []
-        for us, *_ in rows:
+        packed = self.sessions.get()
+        held = {job: (n, last) for job, n, last in np.frombuffer(packed[0], np.int64).reshape(-1, 3).tolist()} if packed else {}
+        ended = []
+        for us, _, job, _ in rows:
+            n, last = held.get(job, (0, 0))
             if n and us - last >= self.gap:
-                out.append((key[0], last, n))
+                ended.append((job, last, n))
                 n = 0
-            n, last = n + 1, us
-        if n and mark * 1000 >= last + self.gap:
-            out.append((key[0], last, n))
-            n = 0
-        if n and rows:
-            self.session.update((n, last))
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        elif session and not n:
-            self.session.clear()
-        return out
+            held[job] = (n + 1, us)
+        over = [job for job, (_, last) in held.items() if mark * 1000 >= last + self.gap]
+        for job in over:
+            n, last = held.pop(job)
+            ended.append((job, last, n))
+        if held and (rows or over):
+            self.sessions.update((np.array([(job, *session) for job, session in held.items()], np.int64).tobytes(),))
+            self.handle.registerTimer((min(last for _, last in held.values()) + self.gap) // 1000 + 1)
+        elif packed and not held:
+            self.sessions.clear()
+        return [(None, *e[1:]) for e in ended] if key[0] is None else ended
 
 
 def stream_stall(events: DataFrame, gap: str = "10 minutes", late: str = "1 day") -> DataFrame:
@@ -280,8 +288,10 @@ def stream_stall(events: DataFrame, gap: str = "10 minutes", late: str = "1 day"
     that is neither ok nor failed only carry time forward.
     """
     given = {"event_id": F.lit(0).cast("bigint"), "result": F.lit("ok")} | {c: F.col(c) for c in events.columns}
-    d = events.select("job_id", given["event_id"].alias("event_id"), "ts", F.unix_micros("ts").alias("us"), given["result"].alias("result")).withWatermark("ts", late)
-    s = d.groupBy("job_id").transformWithStateInPandas(_Silence(_ms(gap)), "job_id bigint, us bigint, n bigint", "append", "EventTime")
+    run = F.shiftright(F.col("job_id").cast("bigint"), RUN).alias("run")
+    job = F.coalesce(F.col("job_id").cast("bigint"), F.lit(0)).alias("job_id")  # rows without a job are a run of their own
+    d = events.select(run, job, given["event_id"].alias("event_id"), "ts", F.unix_micros("ts").alias("us"), given["result"].alias("result")).withWatermark("ts", late)
+    s = d.groupBy("run").transformWithStateInPandas(_Silence(_ms(gap)), "job_id bigint, us bigint, n bigint", "append", "EventTime")
     return s.select("job_id", F.timestamp_micros("us").alias("silent_from"), "n")
 
 

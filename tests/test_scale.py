@@ -346,6 +346,36 @@ def test_calls_to_the_state_do_not_follow_the_rows(processor, told):
     assert not [s for s in vars(processor).values() if isinstance(s, Kept) and (s.v or s.map or s.list)]
 
 
+def test_calls_to_the_state_do_not_follow_the_jobs_of_a_run(spark, tmp_path):
+    class Time:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    calls, out, processor = Calls(), [], K._Silence(1000)
+    processor.init(calls)
+    ids = [(job, k) for k in range(6) for job in range(64, 128)]
+    batch = pd.DataFrame({"us": [1000 * (job + 300 * k + (k > 3) * 2000) for job, k in ids], "event_id": range(len(ids)), "job_id": [job for job, _ in ids], "result": "ok"})
+    for part in (batch[::2], batch[1::2]):
+        out += list(processor.handleInputRows((1,), iter([part]), Time(0)))
+    for mark in range(500, 8000, 500):
+        for at in sorted(t for t in calls.timers if t <= mark):
+            out += list(processor.handleExpiredTimer((1,), Time(mark), None))
+            calls.timers.remove(at)
+    got = sorted(map(tuple, pd.concat(out).itertuples(index=False)))
+    assert got == sorted((job, 1000 * (job + last), n) for job in range(64, 128) for last, n in ((900, 4), (3500, 2)))
+    assert calls.n < 400 and not calls.timers
+    assert not [s for s in vars(processor).values() if isinstance(s, Kept) and (s.v or s.map or s.list)]
+
+    # Jobs of several runs, below 0, and none at all.
+    jobs = [-65, -1, 0, 63, 64, None, 1 << 40]
+    first = [(job, f"00:0{k % 6}:00", k, "ok") for k, job in enumerate(jobs)]
+    rows = [(j, f"2024-01-01 {t}", k, r) for j, t, k, r in first] + [(5, "2024-01-03 00:00:00", 99, "tick")]
+    df = spark.createDataFrame(rows, "job_id long, t string, event_id long, result string").selectExpr("job_id", "cast(t as timestamp) ts", "event_id", "result")
+    df.write.parquet(str(tmp_path / "in"))
+    out = K.run_available(K.stream_stall(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))))
+    assert {(r["job_id"], str(r["silent_from"])[11:], r["n"]) for r in out.collect()} == {(job, t, 1) for job, t, _, _ in first}
+
+
 def test_a_silence_is_told_while_it_lasts(spark, tmp_path):
     # Job 1 never comes back; job 2's events tell that time passes. Job 3's gap is filled by a late row.
     batches = [[event(1, "00:00:00", 0, "ok"), event(2, "00:05:00", 0, "ok"), event(3, "00:00:00", 0, "ok", 3), event(4, "00:18:00", 0, "ok", 3)], [event(5, "00:09:00", 0, "ok", 3), event(6, "00:30:00", 0, "ok", 2)], [event(7, "02:00:00", 0, "ok", 2)]]
