@@ -254,18 +254,23 @@ def disc(r: int) -> list[tuple[int, int]]:
 
 
 def _painted_rows(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
-    """(*by, y, xs): the distinct places of the discs of all points of ``by``, clipped to the canvas, a row of the canvas each.
+    """(*by, y, xs): the distinct places of the discs of all points of ``by``, clipped to the canvas, by rows of the canvas and 64 columns each.
 
-    A disc is dealt as a row of the canvas and the half of its width there, not as pixels; a
-    canvas row's places are put together in one aggregation. Offsets are generated per point, so any radius works.
+    A disc is dealt as rows of the canvas, each as the bits of 64 columns that it paints there, so
+    a group's state is one number. Offsets are generated per point, so any radius works.
     """
     r = F.when(F.coalesce("radius", F.lit(0)) > 0, F.greatest(F.lit(1), F.rint("radius").cast("int"))).otherwise(DEFAULT_RADIUS)
     d = strokes.select(*by, F.col("x").alias("cx"), F.col("y").alias("cy"), r.alias("r")).select("*", F.explode(F.expr("sequence(-r, r)")).alias("dy"))
     half = F.floor(F.sqrt(F.expr("r * r - dy * dy"))).cast("int")
-    d = d.select(*by, F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), F.struct("cx", half.alias("h")).alias("run")).where(f"y >= 0 and y < {height}")
-    d = d.groupBy(*by, "y").agg(F.collect_set("run").alias("runs"))
-    places = F.flatten(F.transform("runs", lambda s: F.transform(F.sequence(-s["h"], s["h"]), lambda k: F.rint(s["cx"] + k).cast("int"))))
-    return d.select(*by, "y", F.array_distinct(F.filter(places, lambda x: (x >= 0) & (x < width))).alias("xs"))
+    ends = [F.rint(F.col("cx") + k).cast("int").alias(c) for c, k in (("x0", -half), ("x1", half))]
+    # Places are rounded half to even, so around a point between two columns only the even ones are painted.
+    kept = F.when(F.abs(F.col("cx") % 1) == 0.5, F.lit(0x5555555555555555)).otherwise(F.lit(-1).cast("bigint"))
+    d = d.select(*by, F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), *ends, kept.alias("kept")).where(f"y >= 0 and y < {height} and x1 >= 0 and x0 < {width}")
+    d = d.withColumns({"x0": F.greatest(F.lit(0), "x0"), "x1": F.least(F.lit(width - 1), "x1")}).select("*", F.explode(F.expr("sequence(x0 div 64, x1 div 64)")).alias("word"))
+    low, high = F.expr("cast(greatest(0, x0 - word * 64) as int)"), F.expr("cast(least(63, x1 - word * 64) as int)")
+    d = d.withColumns({"low": low, "high": high}).withColumn("bits", F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (high - low)), low) & kept"))
+    d = d.groupBy(*by, "y", "word").agg(F.bit_or("bits").alias("bits"))
+    return d.select(*by, "y", F.expr("transform(filter(sequence(0, 63), k -> (shiftrightunsigned(bits, k) & 1) = 1), k -> cast(word * 64 + k as int))").alias("xs"))
 
 
 def _painted(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera import queries as Q
-from tessera.operators import loops
+from tessera.operators import layers, loops
 
 
 def exploded_broadcasts(df):
@@ -30,6 +30,19 @@ def test_exploded_sides_are_not_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(Q.queries()[name](spark, sf_dir)) == 0
 
 
+def test_painted_rows_are_put_together_as_bits(spark):
+    rng = np.random.RandomState(5)
+    rows = [(int(rng.randint(2)), k, float(rng.randint(-40, 400)) / 2, float(rng.randint(-40, 240)) / 2, float(r)) for k, r in enumerate([0, 1, 2, 3, 50, 90] * 6)] + [(3, 99, None, 4.0, 2.0)]
+    got = layers.stroke_mask(spark.createDataFrame(rows, "plate_id int, stroke int, x double, y double, radius double"), 140, 70)
+    want = set()
+    for plate, _, cx, cy, radius in rows[:-1]:
+        for dy, dx in layers.disc(int(radius) or layers.DEFAULT_RADIUS):
+            y, x = round(cy + dy), round(cx + dx)  # half to even
+            want |= {(plate, y, x)} if 0 <= y < 70 and 0 <= x < 140 else set()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()  # whose groups are lists, and are sorted out to disk
+
+
 def rows_of_both(spark, where, name, **tables):
     """The rows of a query over ``tables`` and of its SQL."""
     c = duckdb.connect()
