@@ -146,7 +146,7 @@ def interpolate_poses(keyframes: DataFrame, bones: DataFrame, frames: DataFrame)
     w = Window.partitionBy("rig_id").orderBy("frame")
     spans = keys.select("rig_id", F.col("frame").alias("lo"), F.coalesce(F.lead("frame").over(w), "frame").alias("hi"), F.row_number().over(w).alias("_k"))
     ends = keys.groupBy("rig_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    at = frames.join(ends, "rig_id", "left").withColumn("_at", F.greatest("first", F.least("last", "frame")))
+    at = frames.join(ends.hint("merge"), "rig_id", "left").withColumn("_at", F.greatest("first", F.least("last", "frame")))
     # One row a frame within a span, so the match is by equality.
     spread = spans.select("rig_id", "lo", "hi", F.explode(F.sequence("lo", F.greatest(F.col("lo"), F.col("hi") - 1))).alias("_at"))
     at = at.join(spread.hint("merge"), ["rig_id", "_at"], "left").withColumn("u", F.when(F.col("hi") > F.col("lo"), (F.col("_at") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from tessera import queries as Q
-from tessera.operators import layers, loops
+from tessera.operators import layers, loops, rigs
+from tessera.sources import shared
 
 
 def exploded_broadcasts(df):
@@ -30,6 +31,17 @@ def test_exploded_sides_are_not_broadcast(spark, sf_dir, name):
     assert exploded_broadcasts(Q.queries()[name](spark, sf_dir)) == 0
 
 
+@pytest.mark.parametrize("name", ["h12_supplier_map", "h14_supplier_deform", "h15_supplier_footprints", "i10_supplier_patch"])
+def test_no_step_of_a_rig_a_supplier_is_broadcast(spark, sf_dir, monkeypatch, name):
+    ran, cut = [], shared.cut
+    for module in (shared, rigs, layers):
+        monkeypatch.setattr(module, "cut", lambda df: ran.append(df) or cut(df))
+    last = Q.queries()[name](spark, sf_dir)
+    last.collect()
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*ran, last)]
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p.split("== Initial Plan ==")[0]]
+
+
 def test_painted_rows_are_put_together_as_bits(spark):
     rng = np.random.RandomState(5)
     rows = [(int(rng.randint(2)), k, float(rng.randint(-40, 400)) / 2, float(rng.randint(-40, 240)) / 2, float(r)) for k, r in enumerate([0, 1, 2, 3, 50, 90] * 6)] + [(3, 99, None, 4.0, 2.0)]
