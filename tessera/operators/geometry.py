@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,21 @@ def resize(df: DataFrame, width: int, height: int) -> DataFrame:
     return d.withColumnsRenamed({"ty": "y", "tx": "x"})
 
 
+def resize_grids(v: np.ndarray, width: int, height: int) -> np.ndarray:
+    """``resize`` of whole frames (n, height, width)."""
+
+    def axis(n: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = np.minimum(np.maximum((np.arange(to) + 0.5) * n / to - 0.5, 0.0), n - 1.0)
+        low = np.floor(s).astype(int)
+        return low, np.minimum(low + 1, n - 1), s - low
+
+    low, high, f = axis(v.shape[2], width)
+    v = v[:, :, low] * (1 - f) + v[:, :, high] * f
+    low, high, f = axis(v.shape[1], height)
+    v = v[:, low] * (1 - f)[:, None] + v[:, high] * f[:, None]
+    return np.rint(np.floor(v * 1e6 + 0.5) / 1e6)
+
+
 def pad(df: DataFrame, width: int, height: int) -> DataFrame:
     """Each clip scaled to fit, in the middle of a transparent frame of that size."""
     clips = clips_of(df)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources import shared
-from ..sources.shared import by_size, cut, frame_numbers, frames_at_once, ranked
-from .geometry import resize, upto
+from ..sources.shared import by_size, cut, frame_numbers, frames_at_once, packed, ranked, unpack, unpacked
+from .geometry import resize, resize_grids, upto
 from .pixels import CHANNELS, KEY, densify, trunc
 from .rigs import footprint_union
 from .segment import character_alpha
@@ -253,8 +256,8 @@ def disc(r: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
 
 
-def _painted_rows(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
-    """(*by, y, xs): the distinct places of the discs of all points of ``by``, clipped to the canvas, by rows of the canvas and 64 columns each.
+def _painted_words(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
+    """(*by, y, word, bits): the places of the discs of all points of ``by``, clipped to the canvas, as bits of runs of 64 columns.
 
     A disc is dealt as rows of the canvas, each as the bits of 64 columns that it paints there, so
     a group's state is one number. Offsets are generated per point, so any radius works.
@@ -269,13 +272,18 @@ def _painted_rows(strokes: DataFrame, width: int, height: int, by: list[str]) ->
     d = d.withColumns({"x0": F.greatest(F.lit(0), "x0"), "x1": F.least(F.lit(width - 1), "x1")}).select("*", F.explode(F.expr("sequence(x0 div 64, x1 div 64)")).alias("word"))
     low, high = F.expr("cast(greatest(0, x0 - word * 64) as int)"), F.expr("cast(least(63, x1 - word * 64) as int)")
     d = d.withColumns({"low": low, "high": high}).withColumn("bits", F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (high - low)), low) & kept"))
-    d = d.groupBy(*by, "y", "word").agg(F.bit_or("bits").alias("bits"))
-    return d.select(*by, "y", F.expr("transform(filter(sequence(0, 63), k -> (shiftrightunsigned(bits, k) & 1) = 1), k -> cast(word * 64 + k as int))").alias("xs"))
+    return d.groupBy(*by, "y", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _word_places(words: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, y, x): a row for each place of ``_painted_words``."""
+    xs = F.expr("transform(filter(sequence(0, 63), k -> (shiftrightunsigned(bits, k) & 1) = 1), k -> cast(word * 64 + k as int))")
+    return words.select(*by, "y", F.explode(xs).alias("x"))
 
 
 def _painted(strokes: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
-    """(*by, y, x): a row for each place of ``_painted_rows``."""
-    return _painted_rows(strokes, width, height, by).select(*by, "y", F.explode("xs").alias("x"))
+    """(*by, y, x): the distinct places of the discs of all points of ``by``, clipped to the canvas."""
+    return _word_places(_painted_words(strokes, width, height, by), by)
 
 
 def stroke_pixels(strokes: DataFrame, width: int, height: int) -> DataFrame:
@@ -382,24 +390,33 @@ def heal_parts(plate: DataFrame, strokes: DataFrame, fade: int, width: int, heig
     """What ``heal`` makes of each plate: the healed ``plate``, and, in canvas pixels, the painted ``mask``,
     the filled ``content``, the ``replaced`` pixels, and (``bbox``) the painted box with its ``band``."""
     own = plate_size or (width, height)
-    plate = plate.transform(cut)
-    rows = _painted_rows(strokes, width, height, ["plate_id"]).withColumnRenamed("plate_id", "clip_id").where("size(xs) > 0").transform(cut)
-    painted = rows.select("clip_id", "y", F.explode("xs").alias("x"))
-    counts = plate.groupBy("clip_id", "frame").agg(F.count(F.lit(1)).alias("_n"))
-    frames = counts.join(rows.select("clip_id", F.lit(True).alias("_some")).distinct(), "clip_id", "left")
+    packs, schema = packed(plate).transform(cut), plate.schema
+    plate = unpacked(packs, schema)
+    words = _painted_words(strokes, width, height, ["plate_id"]).withColumnRenamed("plate_id", "clip_id").where("bits <> 0").transform(cut)
+    painted = _word_places(words, ["clip_id"])
+    counts = packs.groupBy("clip_id", "frame").agg(F.sum("n").alias("_n"))
+    frames = counts.join(words.select("clip_id", F.lit(True).alias("_some")).distinct(), "clip_id", "left")
     bad = F.raise_error(F.concat(F.lit("no painted point on plate "), F.col("clip_id").cast("string"))).cast("boolean")
     frames = frames.where(F.coalesce("_some", bad)).drop("_some").transform(cut)
     grid = frames.select("clip_id", "frame", upto(F.lit(height)).alias("y")).select("*", upto(F.lit(width)).alias("x"))
     mask = grid.join(painted.withColumn("m", F.lit(255)).hint("merge"), ["clip_id", "y", "x"], "left").na.fill(0, ["m"]).select(*KEY, "m")
     band = correction_band(strokes, fade, width, height).withColumnRenamed("plate_id", "clip_id")
-    d = distance_transform(mask).join(band, "clip_id", "left")
-    ramp = d.select(*KEY, F.when(F.col("m") > 0, F.floor(255 * F.least(F.lit(1.0), (F.col("d") - 1) / F.coalesce("band", F.lit(1))))).otherwise(0).cast("int").alias("m"))
     shown = lambda p: p if own == (width, height) else resize(p, width, height)
     lit = painted.groupBy("clip_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
     parts = {"mask": mask, "replaced": shown(plate), "bbox": lit.join(band, "clip_id")}
-    if own == (width, height) and width * height <= shared.WHOLE and frames.where(F.col("_n") > shared.WHOLE).limit(1).count() == 0:
-        both = _healed(plate, frames.select("clip_id", "frame"), rows, band, width, height, iters)
-        return parts | {"plate": both.where("inside").select(*KEY, *CHANNELS, F.lit(255).alias("a")), "content": both.select(*KEY, *(F.col(f"{c}2").alias(c) for c in CHANNELS), F.lit(255).alias("a"))}
+    sizes = packs.groupBy("clip_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), (F.max("frame") + 1).alias("_frames"))
+    large = frames.where(F.col("_n") > shared.WHOLE).limit(1).count() > 0 or max(width * height, own[0] * own[1]) > shared.WHOLE
+    if not large and own != (width, height):
+        large = sizes.where(F.col("width").cast("bigint") * F.col("height") > shared.WHOLE).limit(1).count() > 0
+    if not large:
+        at = frames.select("clip_id", "frame").hint("merge")
+        given = [(packs, 0), (words.join(at, "clip_id"), 1)]
+        # A resized clip has a frame for each number up to its last.
+        shown_at = sizes.where("width > 0 and height > 0").select("clip_id", "width", "height", upto(F.col("_frames")).alias("frame"))
+        content = given if own == (width, height) else [*given, (shown_at, 3)]
+        return parts | {"plate": _healed([*given, (band.join(at, "clip_id"), 2)], schema, width, height, own, iters, False), "content": _healed(content, schema, width, height, own, iters, True)}
+    d = distance_transform(mask).join(band, "clip_id", "left")
+    ramp = d.select(*KEY, F.when(F.col("m") > 0, F.floor(255 * F.least(F.lit(1.0), (F.col("d") - 1) / F.coalesce("band", F.lit(1))))).otherwise(0).cast("int").alias("m"))
     fit = lambda m: m if own == (width, height) else _fitted(m, *own)
     filled = fill_region(plate, fit(mask).where("m > 127").select(*KEY), iters).transform(cut)
     both = plate.join(fit(ramp).hint("merge"), KEY).join(filled.select(*KEY, *(F.col(c).alias(f"{c}2") for c in CHANNELS)).hint("merge"), KEY).withColumn("w", F.col("m") / 255.0)
@@ -407,54 +424,86 @@ def heal_parts(plate: DataFrame, strokes: DataFrame, fade: int, width: int, heig
     return parts | {"plate": healed, "content": shown(filled.select(*KEY, *CHANNELS, F.lit(255).alias("a")))}
 
 
-def _healed(plate: DataFrame, frames: DataFrame, rows: DataFrame, band: DataFrame, width: int, height: int, iters: int) -> DataFrame:
-    """(*KEY, b, g, r, b2, g2, r2, inside): the healed and the filled colours of the plates' pixels, and whether the canvas has them.
+def _healed(given: list[tuple[DataFrame, int]], plate: StructType, width: int, height: int, own: tuple[int, int], iters: int, content: bool) -> DataFrame:
+    """(*KEY, b, g, r, a): the healed pixels of the plates that ``own`` has, or, as ``content``, the filled ones at the canvas's size.
 
-    A frame's pixels, its painted rows (clip_id, y, xs) and its band meet in one task, where the
-    mask is made, its distances are taken, and the region is filled and blended: no grid is a table.
+    ``given``, tables of (clip_id, frame) by their kind: 0 the plates' packed pixels, of the schema ``plate``; 1 painted
+    words; 2 the band, for healed pixels; 3 the height and width that a frame is resized from, for content of another size.
+    A frame's rows meet in one task, where the mask is made and fitted, its distances are taken, and the region
+    is filled and blended: no grid is a table, and pixels travel packed.
     """
-    kinds = dict(plate.dtypes)
-    pixels = [*KEY, *CHANNELS, "a"]
-    most = max(1, shared.WHOLE // (width * height))  # canvases of a step
+    kinds, most = dict((f.name, f.dataType.simpleString()) for f in plate), shared.AT_ONCE
+    pixels, same = [*KEY, *CHANNELS, "a"], own == (width, height)
+    fields = {"y": "int", "word": "bigint", "bits": "bigint", "band": "int", "n": "int", "height": "int", "width": "int", "size": "int", "data": "binary"}
 
     def one(df: DataFrame, kind: int) -> DataFrame:
-        has = {c: F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]) for c in pixels}
-        more = {"xs": "array<int>", "band": "int"}
-        return df.select(F.lit(kind).alias("kind"), *(c.cast(kinds[k]).alias(k) for k, c in has.items()), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in more.items()))
+        has = {**{c: kinds[c] for c in ("clip_id", "frame")}, **fields}
+        return df.select(F.lit(kind).alias("kind"), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in has.items()))
 
-    at = frames.hint("merge")
-    given = one(plate, 0).unionByName(one(rows.join(at, "clip_id"), 1)).unionByName(one(band.join(at, "clip_id"), 2))
+    rows = reduce(DataFrame.unionByName, (one(df, kind) for df, kind in given))
+    fit = lambda v: v if same else resize_grids(v, *own)
 
     def some(table: pa.Table, turn: np.ndarray) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        of = lambda k, *names: (turn[kind == k], *(table.column(c).filter(pa.array(kind == k)).combine_chunks() for c in names))
-        mask, bands = np.zeros((turn[-1] + 1, height, width), bool), np.ones(turn[-1] + 1)
-        t, y, xs = of(1, "y", "xs")
-        each = np.diff(xs.offsets.to_numpy())
-        mask[np.repeat(t, each), np.repeat(y.to_numpy(), each), xs.flatten().to_numpy()] = True
+        kind, n = table.column("kind").to_numpy(), turn[-1] + 1
+        of = lambda k, *names: (turn[kind == k], *(table.column(c).filter(pa.array(kind == k)).to_numpy() for c in names))
+        mask = np.zeros((n, height, width), bool)
+        t, y, word, bits = of(1, "y", "word", "bits")
+        row, bit = np.nonzero(bits[:, None] >> np.arange(64) & 1)
+        mask[t[row], y[row], word[row] * 64 + bit] = True
+        t, each = of(0, "n")
+        shown, turn_ = unpack(table.filter(pa.array(kind == 0)), plate).select(pixels), np.repeat(t, each)
+        y, x = (shown.column(c).to_numpy() for c in ("y", "x"))
+        inside = (y >= 0) & (y < own[1]) & (x >= 0) & (x < own[0])
+        place = turn_[inside], y[inside], x[inside]
+        todo = np.zeros(len(y), bool)
+        todo[inside] = (mask if same else fit(np.where(mask, 255.0, 0.0)) > 127)[place]
+        new = _with_fill(shown, turn_, todo, iters)[1]
+        if content and not same:
+            return resized(table, turn, turn_, y, x, new, *of(3, "height", "width"))
+        if content:
+            return pa.table([*shown.select(KEY).columns, *map(pa.array, new), pa.array(np.full(len(y), 255, np.int32))], names=pixels)
+        bands = np.ones(n)
         t, b = of(2, "band")
-        bands[t] = b.to_numpy()
+        bands[t] = b
         ramp = np.where(mask, np.floor(255 * np.minimum(1.0, (grid_distances(mask) - 1) / bands[:, None, None])), 0.0)
-        shown, turn = table.select(pixels).filter(pa.array(kind == 0)), turn[kind == 0]
-        y, x = (shown.column(c).to_numpy() for c in ("y", "x"))
-        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
-        todo, w = np.zeros(len(y), bool), np.zeros(len(y))
-        todo[inside], w[inside] = (v[turn[inside], y[inside], x[inside]] for v in (mask, ramp / 255.0))
-        new, out = _with_fill(shown, turn, todo, iters)[1], shown.select(KEY)
-        made = [np.floor(np.clip(shown.column(c).to_numpy() * (1 - w) + v * w, 0, 255)).astype(np.int32) for c, v in zip(CHANNELS, new, strict=True)]
-        for c, v in zip((*CHANNELS, *(f"{c}2" for c in CHANNELS)), (*made, *new), strict=True):
-            out = out.append_column(c, pa.array(v))
-        return out.append_column("inside", pa.array(inside))
+        w = fit(ramp)[place] / 255.0
+        made = [np.floor(np.clip(shown.column(c).to_numpy()[inside] * (1 - w) + v[inside] * w, 0, 255)) for c, v in zip(CHANNELS, new, strict=True)]
+        return pa.table([*shown.select(KEY).filter(pa.array(inside)).columns, *(pa.array(v.astype(np.int32)) for v in (*made, np.full(len(w), 255)))], names=pixels)
+
+    def resized(table: pa.Table, turn: np.ndarray, at: np.ndarray, y: np.ndarray, x: np.ndarray, new: list[np.ndarray], of: np.ndarray, tall: np.ndarray, wide: np.ndarray) -> pa.Table:
+        """The frames ``of``, each from its own height and width, at the canvas's size; pixels that a frame lacks are 0."""
+        ids, out = table.select(["clip_id", "frame"]).take(np.searchsorted(turn, np.arange(turn[-1] + 1))), []
+        for h, w in np.unique(np.stack([tall, wide], 1), axis=0).tolist():
+            these = of[(tall == h) & (wide == w)]
+            number = np.full(turn[-1] + 1, -1)
+            number[these] = np.arange(len(these))
+            some = (number[at] >= 0) & (y >= 0) & (x >= 0)
+            values = []
+            for v in (*new, np.full(len(y), 255)):
+                grid = np.zeros((len(these), h, w))
+                grid[number[at[some]], y[some], x[some]] = v[some]
+                values.append(pa.array(resize_grids(grid, width, height).astype(np.int32).ravel()))
+            py, px = (np.tile(v.ravel().astype(np.int32), len(these)) for v in np.mgrid[:height, :width])
+            own_ids = ids.take(np.repeat(these, height * width))
+            out.append(pa.table([*own_ids.columns, pa.array(py), pa.array(px), *values], names=pixels))
+        return pa.concat_tables(out) if out else pa.table([*ids.slice(0, 0).columns, *[pa.array([], pa.int32())] * 6], names=pixels)
 
     def run(table: pa.Table) -> pa.Table:
         turn, out = frame_numbers(table), []
-        for k in range(0, turn[-1] + 1, most):
-            a, b = np.searchsorted(turn, (k, k + most))
-            out.append(some(table.slice(a, b - a), turn[a:b] - k))
+        of = lambda c: pc.fill_null(table.column(c), 0).to_numpy().astype(np.int64)
+        kind = table.column("kind").to_numpy()
+        # What a frame costs: its pixels, the canvas, the plate, or the grid that is resized.
+        cost = np.maximum(np.bincount(turn, of("n")), max(width * height, own[0] * own[1]))
+        np.maximum.at(cost, turn[kind == 3], (of("height") * of("width"))[kind == 3])
+        step = ((np.cumsum(cost) - 1) // most)[turn]
+        starts = np.unique(step, return_index=True)[1].tolist()
+        for a, b in zip(starts, [*starts[1:], len(turn)], strict=True):
+            out.append(some(table.slice(a, b - a), turn[a:b] - turn[a]))
         return pa.concat_tables(out)
 
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in KEY), *(f"{c} int" for c in CHANNELS), *(f"{c}2 {kinds[c]}" for c in CHANNELS), "inside boolean"])
-    return frames_at_once(given, run, schema)
+    whole = content and same
+    schema = ", ".join([*(f"{c} {kinds[c] if whole or c not in CHANNELS else 'int'}" for c in (*KEY, *CHANNELS)), "a int"])
+    return frames_at_once(rows, run, schema, "n")
 
 
 def build_patch(still: DataFrame, rigs: DataFrame, bones: DataFrame, keyframes: DataFrame, frames: DataFrame, plate: DataFrame, fade: int, iters: int = 20, corrections: DataFrame | None = None) -> DataFrame:

@@ -254,7 +254,9 @@ def _strokes(s, d):
 
 def _plates(s, d, size=16):
     """A coloured plate for each plate that was painted on."""
-    g = X.strokes(s, d).select(F.col("plate_id").alias("clip_id")).distinct().select("clip_id", F.lit(0).alias("frame"), upto(F.lit(size)).alias("y")).select("*", upto(F.lit(size)).alias("x"))
+    # Ids are few bytes, of which the adaptive engine would make few tasks, but a plate's pixels are many rows.
+    ids = X.strokes(s, d).select(F.col("plate_id").alias("clip_id")).distinct().repartition(int(s.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("clip_id"))
+    g = ids.select("clip_id", F.lit(0).alias("frame"), upto(F.lit(size)).alias("y")).select("*", upto(F.lit(size)).alias("x"))
     return g.select(*KEY, (F.col("y") * 240 / size).cast("int").alias("b"), (F.col("x") * 240 / size).cast("int").alias("g"), (F.col("clip_id") % 256).cast("int").alias("r"), F.lit(255).alias("a"))
 
 

@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a group, such as a frame's pixels, that one task takes whole: a frame of 1920 x 1080 is one.
 WHOLE = 1 << 21
@@ -47,28 +50,35 @@ def by_size(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
     return df.join(large, by, "left_anti"), df.join(large, by, "left_semi")
 
 
+def _frame_codes(table: pa.Table) -> np.ndarray:
+    """A number for each row, the same for rows of the same frame (clip_id, frame) only."""
+    codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("clip_id", "frame")]
+    clip, frame = ((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy().astype(np.int64) for c in codes)
+    return clip * (frame.max(initial=0) + 1) + frame
+
+
 def frame_numbers(table: pa.Table) -> np.ndarray:
     """Each row's frame, numbered from 0, of rows in which those of a frame (clip_id, frame) lie together."""
-    codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("clip_id", "frame")]
-    codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy() for c in codes]
-    new = np.zeros(len(table), np.int64)
-    for c in codes:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+    return np.cumsum(np.diff(codes, prepend=codes[:1]) != 0) if len(codes := _frame_codes(table)) else codes
 
 
-def frames_at_once(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def frames_at_once(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, weight: str | None = None) -> DataFrame:
     """``run`` over the whole frames (clip_id, frame) of ``df``, as many at once as have about AT_ONCE rows.
 
-    Small frames would cost a call each if each were a group.
+    Small frames would cost a call each if each were a group. ``weight``: a column of what a row counts for besides
+    itself; such rows are few bytes, of which the adaptive engine would make few tasks, so they are dealt over all shuffle partitions.
     """
     most = AT_ONCE
+    parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if weight else []
+
+    def size(table: pa.Table | pa.RecordBatch) -> int:
+        return len(table) + (int(pc.sum(table.column(weight)).as_py() or 0) if weight else 0)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
+            n += size(batch)
             if n < most:
                 continue
             table = pa.Table.from_batches(held)
@@ -76,11 +86,71 @@ def frames_at_once(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: s
             last = int(np.searchsorted(number, number[-1]))
             if last:
                 yield from run(table.slice(0, last)).to_batches()
-            held, n = table.slice(last).to_batches(), len(table) - last
+            table = table.slice(last)
+            held, n = table.to_batches(), size(table)
         if n:
             yield from run(pa.Table.from_batches(held)).to_batches()
 
-    return df.repartition("clip_id", "frame").sortWithinPartitions("clip_id", "frame").mapInArrow(whole, schema)
+    return df.repartition(*parts, "clip_id", "frame").sortWithinPartitions("clip_id", "frame").mapInArrow(whole, schema)
+
+
+def packed(pixels: DataFrame) -> DataFrame:
+    """(clip_id, frame, n, height, width, size, data): rows of pixels (clip_id, frame, y, x, ...) of a frame that come together, as one.
+
+    ``data`` has the ``n`` rows' columns besides the frame as a compressed Arrow batch, of ``size`` bytes when it
+    isn't; ``height`` and ``width`` reach their largest y and x. A frame may be many such rows, of up to AT_ONCE pixels each.
+    """
+    kinds, most = dict(pixels.dtypes), AT_ONCE
+    arrow = to_arrow_schema(StructType([f for f in pixels.schema if f.name not in ("clip_id", "frame")]))
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        codes = _frame_codes(table)
+        if (np.diff(codes) < 0).any():
+            table = table.take(np.argsort(codes, kind="stable"))
+        at = np.unique(frame_numbers(table), return_index=True)[1]
+        ends = [*at[1:].tolist(), len(table)]
+        rows = table.select(arrow.names).cast(arrow).combine_chunks().to_batches()[0]
+        plain = [rows.slice(a, b - a).serialize() for a, b in zip(at.tolist(), ends, strict=True)]
+        reach = [np.maximum.reduceat(table.column(c).to_numpy(), at) + 1 for c in ("y", "x")]
+        ids = [table.column(c).take(at).combine_chunks() for c in ("clip_id", "frame")]
+        data = pa.array([pa.compress(p, "zstd", asbytes=True) for p in plain], pa.binary())
+        rest = [np.diff(at, append=len(table)), *reach, [p.size for p in plain]]
+        return pa.RecordBatch.from_arrays([*ids, *(pa.array(c).cast(pa.int32()) for c in rest), data], ["clip_id", "frame", "n", "height", "width", "size", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= most:
+                yield pack(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    return pixels.mapInArrow(run, f"clip_id {kinds['clip_id']}, frame {kinds['frame']}, n int, height int, width int, size int, data binary")
+
+
+def unpack(table: pa.Table, schema: StructType) -> pa.Table:
+    """The pixels of rows of ``packed`` (clip_id, frame, n, size, data), one row's after the other's; ``schema`` is theirs."""
+    arrow = to_arrow_schema(StructType([f for f in schema if f.name not in ("clip_id", "frame")]))
+    plain = (pa.decompress(d.as_buffer(), n, "zstd") for d, n in zip(table.column("data"), table.column("size").to_pylist(), strict=True))
+    rows = pa.Table.from_batches([pa.ipc.read_record_batch(p, arrow) for p in plain], arrow).combine_chunks()
+    each = np.repeat(np.arange(len(table)), table.column("n").to_numpy())
+    columns = {c: table.column(c).combine_chunks().take(each) for c in ("clip_id", "frame")} | {c: rows.column(c) for c in arrow.names}
+    return pa.table({c: columns[c] for c in schema.names})
+
+
+def unpacked(df: DataFrame, schema: StructType) -> DataFrame:
+    """The pixels that ``packed`` made ``df`` of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from unpack(pa.Table.from_batches([batch.slice(k, 1)]), schema).to_batches()
+
+    return df.mapInArrow(run, schema)
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

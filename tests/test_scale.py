@@ -176,6 +176,39 @@ def test_plates_healed_in_a_task_and_by_joins_are_one(spark, monkeypatch):
     assert of() == want
 
 
+def test_plates_of_another_size_are_healed_in_a_task_and_by_joins_alike(spark, monkeypatch):
+    # A frame without rows, places that a plate lacks, clips that are larger and smaller than the plates' size, and a pixel outside.
+    plate = grid(spark, 20, 17).union(grid(spark, 20, 17, 4).withColumn("frame", F.lit(3))).where("(y * 7 + x) % 11 > 0 and (clip_id = 1 or y < 15)")
+    plate = plate.union(spark.createDataFrame([(1, 0, 21, 18, 9, 8, 7, 255)], plate.schema))
+    rng = np.random.RandomState(8)
+    strokes = spark.createDataFrame([(c, k // 3, int(rng.randint(-1, 13)), int(rng.randint(-1, 15)), int(rng.randint(1, 4))) for c in (1, 2) for k in range(9)], "plate_id int, stroke int, x int, y int, radius int")
+
+    def of():
+        parts = Y.heal_parts(plate, strokes, 2, 11, 13, 3, (17, 20))
+        return {k: sorted(map(tuple, parts[k].select(*Y.KEY, *"bgra").collect())) for k in ("plate", "content")}
+
+    want = of()
+    assert len(want["content"]) == 2 * 4 * 13 * 11 and len(want["plate"]) == plate.count() - 1
+    monkeypatch.setattr(shared, "AT_ONCE", 200)
+    assert of() == want
+    for part in ("plate", "content"):
+        plan = Y.heal_parts(plate, strokes, 2, 11, 13, 3, (17, 20))[part]._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Join" in line and "y#" in line]  # pixels join nothing
+    monkeypatch.setattr(shared, "WHOLE", 100)
+    assert of() == want
+
+
+def test_pixels_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr(shared, "AT_ONCE", 3000)
+    plates = spark.range(40, numPartitions=2).selectExpr("nullif(id, 3) clip_id", "explode(sequence(0, 1)) frame", "id").selectExpr("clip_id", "frame", "explode(sequence(0, 15)) y", "id").selectExpr("clip_id", "frame", "y", "explode(sequence(0, 19)) x", "nullif(y * 9, 18) b", "cast(id as string) name")
+    for df in (plates, plates.orderBy("x", "y"), plates.limit(0)):
+        rows = shared.packed(df).transform(shared.cut)
+        assert sorted(map(repr, shared.unpacked(rows, df.schema).collect())) == sorted(map(repr, df.collect()))
+    rows = shared.packed(plates)
+    n, pixels, tall, wide, size = rows.selectExpr("count(*)", "sum(n)", "max(height)", "max(width)", "sum(length(data))").first()
+    assert (pixels, tall, wide) == (plates.count(), 16, 20) and n < 120 and size < 4 * pixels
+
+
 def test_frames_come_whole_and_many_at_once(spark, monkeypatch):
     monkeypatch.setattr(shared, "AT_ONCE", 50)
     sizes = {(c, f): 1 + (7 * f + len(c or "")) % 40 for c in ("a", "bb", None) for f in range(30)}
